@@ -1,0 +1,189 @@
+"""From event messages to bronze, silver, published features and the viral registry."""
+
+from __future__ import annotations
+
+import logging
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from edgelake.functions.clock import window_index
+from edgelake.functions.keys import is_get
+from edgelake.operators.features import add_hour_features, join_previous_count
+from edgelake.operators.model import latest_version, load_model, score
+from edgelake.operators.registry import put_viral, viral_flags
+from edgelake.schemas import REGISTRY, SILVER_KEYS, VIRAL_THRESHOLD, VIRAL_TTL_SECONDS
+from edgelake.sources.events import feature_messages
+from edgelake.sources.tables import append_silver, read_silver, silver_batch, write_bronze
+
+log = logging.getLogger(__name__)
+
+# Window, lateness and trigger of the feature stream.
+WINDOW = "15 minutes"
+LATENESS = "15 minutes"
+TRIGGER = {"processingTime": "15 minutes"}
+
+
+def windowed_features(events: DataFrame, window: str = WINDOW, lateness: str = LATENESS) -> DataFrame:
+    """Bronze rows to counts per open window and object.
+
+    Run in update mode a late row re-emits its window until the watermark has passed it.
+    """
+    seconds = int(window.split()[0]) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[
+        window.split()[1].rstrip("s")
+    ]
+    counts = (
+        events.where(is_get(F.col("operation")))
+        .withWatermark("timestamp", lateness)
+        .groupBy(F.window("timestamp", window).alias("w"), F.col("object_id").alias("curr_object_id"))
+        .agg(
+            F.approx_count_distinct("node_id").alias("active_edges_count"),
+            F.count(F.lit(1)).alias("req_count_current"),
+        )
+        .withColumn("window_index", window_index(F.col("w.start"), seconds))
+        .drop("w")
+    )
+    return add_hour_features(counts, seconds)
+
+
+class SilverSink:
+    """``foreachBatch`` step: previous counts from the silver store, append, publish.
+
+    The previous count is looked up in what earlier batches stored; with ``include_batch`` also in the
+    batch itself, which gives the value a batch job would.
+    """
+
+    def __init__(
+        self,
+        path: str,
+        publish: Callable[[DataFrame], None] | None = None,
+        include_batch: bool = False,
+    ):
+        self.path = path
+        self.publish = publish
+        self.include_batch = include_batch
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            self.write(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first, last = batch.agg(F.min("window_index"), F.max("window_index")).first()
+        if first is None:
+            return
+        history = read_silver(spark, self.path, (first - 2, last), before_batch=batch_id).select(
+            *SILVER_KEYS, "req_count_current"
+        )
+        if self.include_batch:
+            own = batch.select(*SILVER_KEYS, "req_count_current")
+            history = history.join(own, SILVER_KEYS, "left_anti").unionByName(own)
+        append_silver(join_previous_count(batch, history), self.path, batch_id)
+        if self.publish:
+            self.publish(feature_messages(silver_batch(spark, self.path, batch_id, (first, last))))
+
+
+class ScoringSink:
+    """``foreachBatch`` step: score feature rows with the newest model and set viral flags.
+
+    A newer model is taken up when its version appears. A batch that fails is logged and passed over;
+    the registry is written before Spark commits the batch, and setting a flag twice is harmless.
+    """
+
+    def __init__(
+        self,
+        model_path: str,
+        registry_path: str,
+        threshold: float = VIRAL_THRESHOLD,
+        ttl: int = VIRAL_TTL_SECONDS,
+        now: Callable[[], Column] = F.current_timestamp,
+    ):
+        self.model_path = model_path
+        self.registry_path = registry_path
+        self.threshold = threshold
+        self.ttl = ttl
+        self.now = now
+        self.version: int | None = None
+        self.model = None
+        self.failed: list[int] = []
+
+    def reload(self, spark: SparkSession) -> None:
+        newest = latest_version(spark, self.model_path)
+        if newest is not None and newest != self.version:
+            self.model, self.version = load_model(spark, self.model_path, newest), newest
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        try:
+            self.reload(batch.sparkSession)
+            if self.model is None:
+                return
+            scores = score(batch, self.model, self.threshold).withColumnRenamed("curr_object_id", "object_id")
+            append_flags(viral_flags(scores, self.now(), self.ttl), self.registry_path, batch_id)
+        except Exception:
+            log.exception("batch %s was not scored", batch_id)
+            self.failed.append(batch_id)
+
+
+def append_flags(flags: DataFrame, path: str, batch_id: int) -> None:
+    """Flags set by one batch, in a folder of its own that a repeat replaces."""
+    flags.select(*REGISTRY.fieldNames()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def current_registry(flags: DataFrame) -> DataFrame:
+    """One row per object from all flags ever set: the latest one."""
+    rest = [c for c in REGISTRY.fieldNames() if c != "object_id"]
+    newest = flags.groupBy("object_id").agg(F.max_by(F.struct(*rest), "scored_at").alias("f"))
+    return newest.select("object_id", "f.*")
+
+
+def update_registry(registry: DataFrame, scores: DataFrame, scored_at: Column) -> DataFrame:
+    """Registry after one batch of scores."""
+    return put_viral(registry, viral_flags(scores, scored_at))
+
+
+def start_bronze(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    return write_bronze(events, path, checkpoint, trigger)
+
+
+def start_silver(
+    events: DataFrame,
+    sink: SilverSink,
+    checkpoint: str,
+    trigger: dict | None = None,
+    window: str = WINDOW,
+    lateness: str = LATENESS,
+) -> StreamingQuery:
+    return (
+        windowed_features(events, window, lateness)
+        .writeStream.outputMode("update")
+        .foreachBatch(sink)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or TRIGGER))
+        .start()
+    )
+
+
+def start_scoring(
+    features: DataFrame, sink: ScoringSink, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    return (
+        features.writeStream.foreachBatch(sink)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or TRIGGER))
+        .start()
+    )
+
+
+def start_pipeline(
+    events: DataFrame, root: str, publish: Callable[[DataFrame], None] | None = None, trigger: dict | None = None
+) -> list[StreamingQuery]:
+    """Bronze and silver from one parsed source, each with a checkpoint of its own."""
+    return [
+        start_bronze(events, f"{root}/bronze", f"{root}/checkpoints/bronze", trigger),
+        start_silver(events, SilverSink(f"{root}/silver", publish), f"{root}/checkpoints/silver", trigger),
+    ]
