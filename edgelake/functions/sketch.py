@@ -2,32 +2,57 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# xxhash64 of SEED_KEYS[s] under Spark's seed is s, so that
-# xxhash64(SEED_KEYS[s], x) is the hash of x with seed s.
-SEED_KEYS = [
-    -365884300664092260,
-    -7682426122119481604,
-    -4733188169505733816,
-    -1064537043014365674,
-    2486877116911687618,
-    -2009786485756025030,
-    -2794691731086159904,
-    -8007201389943880149,
-    -2209900000925935860,
-    4668507848252555052,
-    1286919942440362419,
-]
-MAX_HASHES = len(SEED_KEYS)
+# The five primes of the 64-bit xxHash, and the seed Spark hashes with.
+PRIMES = (
+    11400714785074694791,
+    14029467366897019727,
+    1609587929392839161,
+    9650029242287828579,
+    2870177450012600261,
+)
+SPARK_SEED = 42
+
+_WORD = 1 << 64
+
+
+def _unshift(x: int, n: int) -> int:
+    """The y for which ``y ^ (y >> n)`` is x."""
+    y = x
+    for _ in range(64 // n):
+        y = x ^ (y >> n)
+    return y
+
+
+def _rotate_right(x: int, n: int) -> int:
+    return (x >> n | x << (64 - n)) % _WORD
+
+
+@functools.cache
+def seed_key(seed: int) -> int:
+    """The bigint that Spark's ``xxhash64`` maps to ``seed``.
+
+    Of several columns Spark hashes each with the hash of those before it as its seed, so a first
+    column with this number sets the seed of the next. The hash of one word is a chain of steps that
+    all have an inverse; this walks them back.
+    """
+    p1, p2, p3, p4, p5 = PRIMES
+    x = _unshift(seed % _WORD, 32) * pow(p3, -1, _WORD) % _WORD
+    x = _unshift(x, 29) * pow(p2, -1, _WORD) % _WORD
+    x = (_unshift(x, 33) - p4) * pow(p1, -1, _WORD) % _WORD
+    word = _rotate_right(x, 27) ^ (SPARK_SEED + p5 + 8) % _WORD
+    word = _rotate_right(word * pow(p1, -1, _WORD) % _WORD, 31) * pow(p2, -1, _WORD) % _WORD
+    return word - _WORD if word >= _WORD // 2 else word
 
 
 def seeded_hash(value: Column, seed: int) -> Column:
     """64-bit xxHash of a bigint column with a chosen seed."""
-    return F.xxhash64(F.lit(SEED_KEYS[seed]).cast("bigint"), value.cast("bigint"))
+    return F.xxhash64(F.lit(seed_key(seed)).cast("bigint"), value.cast("bigint"))
 
 
 def bloom_bits_per_entry(false_positive_rate: float) -> int:
@@ -40,8 +65,6 @@ def bloom_hash_count(bits_per_entry: int) -> int:
 
 def bloom_positions(value: Column, n_bits: int, n_hashes: int) -> Column:
     """Bit positions of a value; positions may repeat, and a repeat counts."""
-    if n_hashes > MAX_HASHES:
-        raise ValueError(f"at most {MAX_HASHES} hash functions, got {n_hashes}")
     size = F.lit(n_bits).cast("bigint")
     first = seeded_hash(value, 0)
     rest = [seeded_hash(first, i) for i in range(1, n_hashes)]

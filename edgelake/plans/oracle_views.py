@@ -199,12 +199,12 @@ def sweep_sql(name: str, protect: str) -> str:
     """State per object after the turn of node ``s``; a drop shortens the list of copies."""
     verdict = """list_contains(alive, t) AND len(list_intersect(alive, element_at(m, t)[1])) > 0 AS candidate,
         coalesce(list_bool_and(list_transform(element_at(m, t)[1],
-            x -> len(list_intersect(alive, element_at(m, x)[1])) > 1)), true) AS permitted"""
+            lambda x: len(list_intersect(alive, element_at(m, x)[1])) > 1)), true) AS permitted"""
     return f"""SELECT object_id, -1 AS s, alive, false AS candidate, false AS permitted, false AS dropped
     FROM sweep_start
     UNION ALL
     SELECT object_id, t, CASE WHEN candidate AND permitted AND NOT viral AND turn
-             THEN list_filter(alive, x -> x <> t) ELSE alive END,
+             THEN list_filter(alive, lambda x: x <> t) ELSE alive END,
       candidate AND turn, candidate AND permitted AND turn, candidate AND permitted AND NOT viral AND turn
     FROM (SELECT q.object_id, q.s + 1 AS t, q.alive, {verdict},
             q.object_id IN (SELECT object_id FROM {protect}) AS viral,

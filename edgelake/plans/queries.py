@@ -192,7 +192,7 @@ def follow_simple_log(spark, sf):
 
 
 @query(
-    """SELECT CAST(object_id AS VARCHAR) AS key, line_no AS timestamp_rel, epoch_ms(ts) AS timestamp_abs,
+    """SELECT CAST(object_id AS VARCHAR) AS key, line_no AS timestamp_rel, epoch_us(ts) // 1000 AS timestamp_abs,
       object_id, CAST(node_id AS VARCHAR) AS node_id, operation FROM requests""",
     "requests",
 )
@@ -211,7 +211,7 @@ def event_messages(spark, sf):
 
 
 @query(
-    """SELECT CASE WHEN line_no % 10 <> 3 THEN epoch_ms(ts) * 1000 END AS ts_us,
+    """SELECT CASE WHEN line_no % 10 <> 3 THEN (epoch_us(ts) // 1000) * 1000 END AS ts_us,
       CASE WHEN line_no % 10 <> 3 THEN object_id END AS object_id,
       CASE WHEN line_no % 10 <> 3 THEN CAST(node_id AS VARCHAR) END AS node_id,
       CASE WHEN line_no % 10 <> 3 THEN operation END AS operation
@@ -1080,14 +1080,14 @@ CBF = (N_BITS, N_HASHES)
 @query(
     f"""SELECT object_id, s.seed, {ov.signed('h')} AS h FROM (SELECT object_id, seed, {ov.XX_RESULT} AS h FROM (
       SELECT object_id, seed, {ov.xx_steps('object_id', 'seed')}
-      FROM (SELECT DISTINCT object_id FROM content), (SELECT unnest(range(11)) AS seed))) s""",
+      FROM (SELECT DISTINCT object_id FROM content), (SELECT unnest(range(24)) AS seed))) s""",
     "content",
 )
 def seeded_hash(spark, sf):
     ids = fx.content(spark, sf).select("object_id").distinct()
     hashes = F.array(*[
         F.struct(F.lit(s).cast("bigint").alias("seed"), sketch.seeded_hash(F.col("object_id"), s).alias("h"))
-        for s in range(sketch.MAX_HASHES)
+        for s in range(24)
     ])
     return ids.select("object_id", F.explode(hashes).alias("x")).select("object_id", "x.*")
 
