@@ -288,6 +288,18 @@ view("hashes", hashes_sql("content"), "content")
 view("positions", positions_sql("hashes", 1 << 14, 5), "hashes")
 view("place_hashes", hashes_sql("placement"), "placement")
 view("place_positions", positions_sql("place_hashes", 1 << 14, 5), "place_hashes")
+view(
+    "negatives",
+    """SELECT CAST(((h % 9223372036854775807) + 9223372036854775807) % 9223372036854775807 AS BIGINT) AS object_id FROM (
+      SELECT CAST(concat('0x', substr(sha256('doc-' || doc_id), 1, 16)) AS UBIGINT) AS u,
+        CASE WHEN u >= 9223372036854775808 THEN CAST(u AS HUGEINT) - 18446744073709551616
+             ELSE CAST(u AS HUGEINT) END AS h FROM documents)""",
+)
+view("negative_hashes", hashes_sql("negatives"), "negatives")
+view("negative_positions", positions_sql("negative_hashes", 1 << 10, 3), "negative_hashes")
+view("small_negatives", "SELECT DISTINCT object_id, pos FROM negative_positions", "negative_positions")
+view("small_positions", positions_sql("hashes", 1 << 10, 3), "hashes")
+view("small_content", "SELECT DISTINCT node_id, pos FROM content JOIN small_positions USING (object_id)", "content", "small_positions")
 view(
     "paths",
     """SELECT [node_id] AS path FROM nodes

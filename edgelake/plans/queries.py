@@ -931,19 +931,19 @@ def message_overhead(spark, sf):
 INITIATOR = 3
 
 
-def latency_views(source: str) -> str:
+def latency_views(source: str, initiator: int = INITIATOR) -> str:
     """Permitted copies near the initiator of objects it holds, with the summed hops of its group."""
     return f"""SELECT p.object_id, p.node_id, q.permitted,
-        (SELECT CAST(sum(hop) AS BIGINT) FROM all_hops WHERE dst = p.node_id AND (src = {INITIATOR} OR src IN (
-          SELECT node_id FROM neighbors WHERE viewer = {INITIATOR}))) AS total_hop
-    FROM {source} p JOIN neighbors b ON b.viewer = {INITIATOR} AND b.node_id = p.node_id
+        (SELECT CAST(sum(hop) AS BIGINT) FROM all_hops WHERE dst = p.node_id AND (src = {initiator} OR src IN (
+          SELECT node_id FROM neighbors WHERE viewer = {initiator}))) AS total_hop
+    FROM {source} p JOIN neighbors b ON b.viewer = {initiator} AND b.node_id = p.node_id
     JOIN ({ov.permission_sql(source)}) q ON q.node_id = p.node_id AND q.object_id = p.object_id
-    WHERE p.object_id IN (SELECT object_id FROM {source} WHERE node_id = {INITIATOR})"""
+    WHERE p.object_id IN (SELECT object_id FROM {source} WHERE node_id = {initiator})"""
 
 
-def victims(source: str) -> str:
+def victims(source: str, initiator: int = INITIATOR) -> str:
     return f"""SELECT object_id, node_id FROM (SELECT *, row_number() OVER (
-        PARTITION BY object_id ORDER BY total_hop DESC, node_id DESC) AS r FROM ({latency_views(source)}) WHERE permitted)
+        PARTITION BY object_id ORDER BY total_hop DESC, node_id DESC) AS r FROM ({latency_views(source, initiator)}) WHERE permitted)
       WHERE r = 1"""
 
 
@@ -979,11 +979,26 @@ def dedup_latency(spark, sf):
     return dedup.dedup_latency(*_latency_inputs(spark, sf), INITIATOR, fx.hot_objects(spark, sf))
 
 
-@query()
+TURNS = [3, 11, 19]
+
+
+def _after_turn(before: str, initiator: int) -> str:
+    """Placement after the turn of an initiator, unchanged when that is below the limit."""
+    return f"""SELECT node_id, object_id FROM {before} WHERE NOT (
+        (SELECT count(*) FROM {before} WHERE node_id = {initiator}) / (SELECT capacity FROM nodes WHERE node_id = {initiator})
+          >= {fx.LIMIT} AND (object_id, node_id) IN ({victims(before, initiator)}))"""
+
+
+for _turn, _node in enumerate(TURNS):
+    _before = f"turn{_turn - 1}" if _turn else "placement"
+    ov.view(f"turn{_turn}", _after_turn(_before, _node), _before, "nodes", "neighbors", "all_hops")
+
+
+@query("SELECT node_id, object_id FROM turn2", "turn2")
 def dedup_latency_sweep(spark, sf):
     """Three initiators in turn; later ones see what earlier ones dropped."""
     rows, near, hops = _latency_inputs(spark, sf)
-    return dedup.dedup_latency_sweep(rows, near, hops, fx.nodes(spark, sf), fx.LIMIT, [3, 11, 19])
+    return dedup.dedup_latency_sweep(rows, near, hops, fx.nodes(spark, sf), fx.LIMIT, TURNS)
 
 
 @query(
@@ -1237,7 +1252,17 @@ def index_tree_search(spark, sf):
     return membership.qf_tree_search(rows.withColumnRenamed("node_id", "viewer"), tree, near, TREE_RATE)
 
 
-@query()
+@query(
+    """SELECT viewer, object_id, hop, node_id FROM (
+      SELECT p.node_id AS viewer, p.object_id, b.hop, b.node_id, d.pos FROM content p
+      JOIN neighbors b ON b.viewer = p.node_id
+      JOIN (SELECT DISTINCT object_id, pos FROM positions) d ON d.object_id = p.object_id)
+    LEFT JOIN (SELECT DISTINCT node_id, pos, 1 AS is_set FROM content JOIN positions USING (object_id)) USING (node_id, pos)
+    GROUP BY viewer, object_id, hop, node_id HAVING count(*) = count(is_set)""",
+    "content",
+    "neighbors",
+    "positions",
+)
 def index_tree_search_cbf(spark, sf):
     rows, near = fx.content(spark, sf), fx.neighbors(spark, sf)
     tree = membership.cbf_tree(rows, near, *CBF)
@@ -1250,11 +1275,29 @@ def _negatives(spark, sf):
     return fx.table(spark, sf, "documents").select(keys.object_id(number).alias("object_id"))
 
 
-@query()
+def _fpr_sql() -> str:
+    """Rates per viewer; a negative is a false hit where no position of it is missing."""
+    parts = {
+        kind: f"""SELECT {', '.join(f'f.{c}' for c in cols)}, count(*) FILTER (missed = 0) / count(*) AS fpr FROM (
+          SELECT {', '.join(f'f.{c}' for c in cols)}, n.object_id, count(*) - count(t.pos) AS missed
+          FROM (SELECT DISTINCT {', '.join(cols)} FROM neighbors) f CROSS JOIN small_negatives n
+          LEFT JOIN (SELECT DISTINCT {', '.join(cols)}, pos FROM small_content JOIN neighbors USING (node_id)) t
+            ON {' AND '.join(f't.{c} = f.{c}' for c in cols)} AND t.pos = n.pos
+          GROUP BY ALL) f GROUP BY ALL"""
+        for kind, cols in membership.LEVELS.items()
+    }
+    return f"""SELECT viewer, round(r, 9) AS root_fpr, round(level, 9) AS level_fpr, round((leaf + r + level) / 3, 9) AS all_fpr
+    FROM (SELECT viewer, r, (levels + r) / (n + 1) AS level, leaf
+      FROM (SELECT viewer, fpr AS r FROM ({parts['root']}))
+      JOIN (SELECT viewer, sum(fpr) AS levels, count(*) AS n FROM ({parts['level']}) GROUP BY 1) USING (viewer)
+      JOIN (SELECT viewer, avg(fpr) AS leaf FROM ({parts['leaf']}) GROUP BY 1) USING (viewer))"""
+
+
+@query(_fpr_sql(), "small_negatives", "small_content", "neighbors")
 def false_positive_rates(spark, sf):
     near = fx.neighbors(spark, sf)
-    tree = membership.cbf_tree(fx.content(spark, sf), near, 1 << 12, 3)
-    return rounded(membership.cbf_tree_fpr(_negatives(spark, sf), tree, near, 1 << 12, 3))
+    tree = membership.cbf_tree(fx.content(spark, sf), near, 1 << 10, 3)
+    return rounded(membership.cbf_tree_fpr(_negatives(spark, sf), tree, near, 1 << 10, 3))
 
 
 @query(
