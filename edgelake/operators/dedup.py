@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelake.operators.placement import KEYS, copies, delete_rows, over_limit
-from edgelake.operators.scale import lookup_join
 from edgelake.session import shared_dir
 
 # All decisions about an object depend on its own copies alone: a neighbour of a holder counts the
@@ -233,7 +232,7 @@ def latency_overhead(permissions: DataFrame, neighbors: DataFrame, initiator: in
     asked = permissions.groupBy("node_id").agg(F.count(F.lit(1)).alias("same"))
     first = neighbors.where(F.col("viewer") == initiator).select("node_id", "hop")
     second = neighbors.groupBy(F.col("viewer").alias("node_id")).agg(F.sum("hop").alias("onward"))
-    per_holder = lookup_join(lookup_join(asked, first, ["node_id"]), second, ["node_id"], "left")
+    per_holder = asked.join(first, "node_id").join(second, "node_id", "left")
     return per_holder.agg(
         (F.coalesce(F.sum("same"), F.lit(0)) + own).cast("bigint").alias("packs"),
         F.coalesce(F.sum(F.col("hop") + F.coalesce("onward", F.lit(0))), F.lit(0)).cast("bigint").alias("trans_hops"),

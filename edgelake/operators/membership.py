@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelake.functions.sketch import bloom_positions, fingerprint, fingerprint_bits
-from edgelake.operators.scale import lookup_join, skew_join
+from edgelake.operators.scale import is_small, lookup_join, skew_join
 
 
 # Counting Bloom filter: (group..., pos, cnt)
@@ -42,24 +42,33 @@ def cbf_semi_join(
 
     Every distinct value is probed once, and the verdict goes back to its rows by a salted join.
     """
-    group = list(group)
+    probes = df.select(*group, col).distinct()
+    found = _cbf_found(probes, cbf, group, col, n_bits, n_hashes)
+    return skew_join(df, found, [*group, col], "left_semi")
+
+
+def _cbf_found(
+    probes: DataFrame, cbf: DataFrame, group: Sequence[str], col: str, n_bits: int, n_hashes: int
+) -> DataFrame:
+    """Those of the distinct probes, with all their columns, whose positions are all set."""
     places = F.array_distinct(bloom_positions(F.col(col), n_bits, n_hashes))
-    probes = df.select(*group, col).distinct().withColumn("_places", places)
-    found = (
-        probes.select(*group, col, F.size("_places").alias("_wanted"), F.explode("_places").alias("pos"))
-        .join(cbf.where("cnt > 0").select(*group, "pos"), [*group, "pos"], "left_semi")
-        .groupBy(*group, col, "_wanted")
+    laid = probes.withColumn("_places", places).select(
+        *probes.columns, F.size("_places").alias("_wanted"), F.explode("_places").alias("pos")
+    )
+    return (
+        laid.join(cbf.where("cnt > 0").select(*group, "pos"), [*group, "pos"], "left_semi")
+        .groupBy(*probes.columns, "_wanted")
         .agg(F.count(F.lit(1)).alias("_met"))
         .where("_met = _wanted")
+        .select(*probes.columns)
     )
-    return skew_join(df, found.select(*group, col), [*group, col], "left_semi")
 
 
 def cbf_delete(
     cbf: DataFrame, keys: DataFrame, group: Sequence[str], col: str, n_bits: int, n_hashes: int
 ) -> DataFrame:
     """Filter without the keys, each taken out once; keys that are not found change nothing."""
-    gone = cbf_semi_join(keys.select(*group, col).distinct(), cbf, group, col, n_bits, n_hashes)
+    gone = _cbf_found(keys.select(*group, col).distinct(), cbf, group, col, n_bits, n_hashes)
     minus = cbf_build(gone, group, col, n_bits, n_hashes).withColumn("cnt", -F.col("cnt"))
     return cbf_merge(cbf, minus, group).where("cnt > 0")
 
@@ -80,8 +89,11 @@ def qf_build(df: DataFrame, group: Sequence[str], col: str, bits: int | str) ->
 def qf_semi_join(df: DataFrame, qf: DataFrame, group: Sequence[str], col: str, bits: int | str) -> DataFrame:
     """Rows whose fingerprint is in the filter of their group."""
     probes = df.withColumn("fp", fingerprint(F.col(col), _bits(bits)))
-    held = qf.where("cnt > 0").select(*group, "fp")
-    return skew_join(probes, held, [*group, "fp"], "left_semi").drop("fp")
+    return skew_join(probes, _held(qf, group), [*group, "fp"], "left_semi").drop("fp")
+
+
+def _held(qf: DataFrame, group: Sequence[str]) -> DataFrame:
+    return qf.where("cnt > 0").select(*group, "fp")
 
 
 def qf_delete(qf: DataFrame, keys: DataFrame, group: Sequence[str], col: str, bits: int | str) -> DataFrame:
@@ -117,7 +129,7 @@ def tree_sizes(neighbors: DataFrame, false_positive_rate: float) -> DataFrame:
 def cbf_tree(placement: DataFrame, neighbors: DataFrame, n_bits: int, n_hashes: int) -> dict[str, DataFrame]:
     """Filters by kind. The filter of a node's content is built once and added up for its viewers."""
     content = cbf_build(placement, ["node_id"], "object_id", n_bits, n_hashes)
-    leaf = lookup_join(content, neighbors.select("viewer", "node_id", "hop"), ["node_id"])
+    leaf = lookup_join(content, neighbors.select("viewer", "node_id", "hop"), ["node_id"], small=is_small(neighbors))
     return {
         kind: leaf.groupBy(*keys, "pos").agg(F.sum("cnt").alias("cnt")) for kind, keys in LEVELS.items()
     }
@@ -126,21 +138,25 @@ def cbf_tree(placement: DataFrame, neighbors: DataFrame, n_bits: int, n_hashes:
 def qf_tree(placement: DataFrame, neighbors: DataFrame, false_positive_rate: float) -> dict[str, DataFrame]:
     """Fingerprint filters by kind, each with the bits its volume asks for."""
     sizes = tree_sizes(neighbors, false_positive_rate)
-    near = lookup_join(placement, neighbors.select("viewer", "node_id", "hop"), ["node_id"])
+    small = is_small(neighbors)
+    near = lookup_join(placement, neighbors.select("viewer", "node_id", "hop"), ["node_id"], small=small)
     trees = {}
     for kind, keys in LEVELS.items():
         bits = sizes.where(F.col("kind") == kind).select(*keys, "bits")
-        trees[kind] = qf_build(lookup_join(near, bits, keys), keys, "object_id", "bits")
+        trees[kind] = qf_build(lookup_join(near, bits, keys, small=small), keys, "object_id", "bits")
     return trees
 
 
-def _down_the_tree(probes: DataFrame, neighbors: DataFrame, search) -> DataFrame:
-    """Probes ``(viewer, object_id)`` from the root by the levels to the leaves."""
+def _down_the_tree(probes: DataFrame, neighbors: DataFrame, small: bool, search) -> DataFrame:
+    """Probes ``(viewer, object_id)`` from the root by the levels to the leaves.
+
+    They are made distinct first, so no value of a filter is looked up twice and no key is hot.
+    """
     at_root = search(probes.select("viewer", "object_id").distinct(), "root")
     levels = neighbors.select("viewer", "hop").distinct()
-    at_level = search(lookup_join(at_root, levels, ["viewer"]), "level")
+    at_level = search(lookup_join(at_root, levels, ["viewer"], small=small), "level")
     leaves = neighbors.select("viewer", "hop", "node_id")
-    return search(lookup_join(at_level, leaves, ["viewer", "hop"]), "leaf").select(
+    return search(lookup_join(at_level, leaves, ["viewer", "hop"], small=small), "leaf").select(
         "viewer", "object_id", "hop", "node_id"
     )
 
@@ -152,7 +168,8 @@ def cbf_tree_search(
     return _down_the_tree(
         probes,
         neighbors,
-        lambda rows, kind: cbf_semi_join(rows, tree[kind], LEVELS[kind], "object_id", n_bits, n_hashes),
+        is_small(neighbors),
+        lambda rows, kind: _cbf_found(rows, tree[kind], LEVELS[kind], "object_id", n_bits, n_hashes),
     )
 
 
@@ -160,13 +177,16 @@ def qf_tree_search(
     probes: DataFrame, tree: dict[str, DataFrame], neighbors: DataFrame, false_positive_rate: float
 ) -> DataFrame:
     sizes = tree_sizes(neighbors, false_positive_rate)
+    small = is_small(neighbors)
 
     def search(rows: DataFrame, kind: str) -> DataFrame:
         keys = LEVELS[kind]
         bits = sizes.where(F.col("kind") == kind).select(*keys, "bits")
-        return qf_semi_join(lookup_join(rows, bits, keys), tree[kind], keys, "object_id", "bits").drop("bits")
+        sized = lookup_join(rows, bits, keys, small=small)
+        marked = sized.withColumn("fp", fingerprint(F.col("object_id"), F.col("bits")))
+        return marked.join(_held(tree[kind], keys), [*keys, "fp"], "left_semi").drop("bits", "fp")
 
-    return _down_the_tree(probes, neighbors, search)
+    return _down_the_tree(probes, neighbors, small, search)
 
 
 def false_positive_rates(hits: DataFrame, filters: DataFrame, keys: Sequence[str], n_negatives: Column) -> DataFrame:

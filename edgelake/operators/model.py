@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -30,30 +32,33 @@ def training_rows(gold: DataFrame) -> DataFrame:
 
 
 def chronological_split(gold: DataFrame, test_share: float = TEST_SHARE) -> DataFrame:
-    """Gold with ``is_test`` on the last ``ceil(test_share * n)`` rows by (window, object).
+    """A stored gold table with ``is_test`` on its last ``ceil(test_share * n)`` rows by (window, object).
 
-    The cut is a (window, object) pair found from the counts per window and a ranking of the cut
-    window alone, so the table itself is only filtered.
+    The cut is one (window, object) pair, found from the counts per window and from a ranking of the
+    cut window alone; the table itself is only filtered, not sorted.
     """
-    sizes = gold.groupBy("window_index").agg(F.count(F.lit(1)).alias("_n"))
-    upto = prefix_sum(sizes, "window_index", "_upto", F.col("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    train = total - F.ceil(total * F.lit(test_share))
-    cut = upto.where(F.col("_upto") >= train).agg(
-        F.min_by(F.struct("window_index", (F.col("_upto") - F.col("_n")).alias("before")), "window_index").alias("c")
+    sizes = gold.groupBy("window_index").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    train = total - math.ceil(total * test_share)
+    cut = (
+        prefix_sum(sizes, "window_index", "upto", F.col("n"))
+        .where(F.col("upto") >= train)
+        .agg(F.min_by(F.struct("window_index", (F.lit(train) - F.col("upto") + F.col("n")).alias("rank")), "window_index"))
+        .first()[0]
     )
-    cut_window = cut.select("c.window_index").scalar()
-    ids = gold.where(F.col("window_index") == cut_window).select("curr_object_id")
-    span = ids.agg(
-        F.greatest(F.lit(1), F.ceil((F.max("curr_object_id") - F.min("curr_object_id")) / _RANK_BUCKETS))
-    ).scalar()
-    ranked = prefix_sum(ids, "curr_object_id", "_rank", width=span)
-    last_id = ranked.where(F.col("_rank") == train - cut.select("c.before").scalar()).agg(
-        F.max("curr_object_id")
-    ).scalar()
-    window, oid = F.col("window_index"), F.col("curr_object_id")
-    is_train = (window < cut_window) | ((window == cut_window) & F.coalesce(oid <= last_id, F.lit(False)))
-    return gold.withColumn("is_test", (~is_train).cast("int"))
+    if cut is None:
+        return gold.withColumn("is_test", F.lit(1))
+    ids = gold.where(F.col("window_index") == cut["window_index"]).select("curr_object_id")
+    low, high = ids.agg(F.min("curr_object_id"), F.max("curr_object_id")).first()
+    ranked = prefix_sum(ids, "curr_object_id", "rank", width=(high - low) // _RANK_BUCKETS + 1)
+    last = ranked.where(F.col("rank") == cut["rank"]).select("curr_object_id").first()
+    window = F.col("window_index")
+    is_test = window >= cut["window_index"]
+    if last is not None:
+        is_test = (window > cut["window_index"]) | (
+            (window == cut["window_index"]) & (F.col("curr_object_id") > last[0])
+        )
+    return gold.withColumn("is_test", is_test.cast("int"))
 
 
 def class_balance(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgelake.functions.traffic import ratio
 from edgelake.operators.features import get_requests, number_requests
-from edgelake.operators.scale import lookup_join, prefix_sum, skew_join
+from edgelake.operators.scale import is_small, lookup_join, prefix_sum, skew_join
 from edgelake.operators.topology import neighbor_lists
 
 KEYS = ["node_id", "object_id"]
@@ -51,7 +51,7 @@ def copies(placement: DataFrame, neighbors: DataFrame) -> DataFrame:
     """
     entry = F.struct("node_id", F.coalesce("neighbors", F.array().cast("array<int>")).alias("neighbors"))
     rows = lookup_join(
-        placement.select(*KEYS).distinct(), neighbor_lists(neighbors), ["node_id"], "left", units=F.size("neighbors")
+        placement.select(*KEYS).distinct(), neighbor_lists(neighbors), ["node_id"], "left", is_small(neighbors)
     )
     return rows.groupBy("object_id").agg(F.array_sort(F.collect_list(entry)).alias("copies"))
 

@@ -11,11 +11,9 @@ BROADCAST_ROWS = 200_000
 LINES_PER_BUCKET = 1 << 20
 
 
-def is_small(df: DataFrame, max_units: int = BROADCAST_ROWS, units: Column | None = None) -> bool:
-    """Whether a frame has at most ``max_units`` rows (or summed ``units``); reads no more than that."""
-    head = df.limit(max_units + 1)
-    total = head.agg(F.coalesce(F.sum(F.lit(1) if units is None else units), F.lit(0))).first()[0]
-    return total <= max_units
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame has at most ``max_rows`` rows; counts no further."""
+    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
 
 
 def lookup_join(
@@ -23,11 +21,13 @@ def lookup_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    max_units: int = BROADCAST_ROWS,
-    units: Column | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Join with a side that is small as a rule: broadcast when its counted size allows, else salted."""
-    if is_small(right, max_units, units):
+    """Join with a side that is small as a rule: broadcast when its counted size allows, else salted.
+
+    ``small`` is the outcome of an earlier count, of a frame that bounds this one.
+    """
+    if is_small(right) if small is None else small:
         return left.join(F.broadcast(right), list(keys), how)
     return skew_join(left, right, keys, how)
 
@@ -38,7 +38,8 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     A key is hot when it has more than one part in P of the left rows, P being the number of
     shuffle partitions. There are fewer than P such keys, so their list is broadcast; a key with
     k parts is dealt over k salts, and only its right rows are repeated k times. ``how`` is one of
-    inner, left, left_semi and left_anti.
+    inner, left, left_semi and left_anti. The left side is read once more for the key counts, so it is
+    best a stored table, and these joins are not to be nested.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not repeat right rows safely for {how!r}")

@@ -95,10 +95,11 @@ def hops(spark: SparkSession, sf: str, max_hop: int | None = MAX_HOP) -> DataFra
     return hop_distances(edges(spark, sf), nodes(spark, sf), max_hop)
 
 
-def neighbors(spark: SparkSession, sf: str, max_hop: int = MAX_HOP) -> DataFrame:
+def neighbors(spark: SparkSession, sf: str, known_hops: DataFrame | None = None) -> DataFrame:
     """Neighbourhoods as a stored table: several steps of a query read it, and it is small."""
     path = new_table_path(spark, "neighbors")
-    neighborhood(hops(spark, sf, max_hop), nodes(spark, sf), max_hop).coalesce(1).write.parquet(path)
+    distances = hops(spark, sf) if known_hops is None else known_hops
+    neighborhood(distances, nodes(spark, sf), MAX_HOP).coalesce(1).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -106,6 +107,13 @@ def features(spark: SparkSession, sf: str, seconds: int = DAY) -> DataFrame:
     return build_features(requests(spark, sf), seconds)
 
 
+def silver(spark: SparkSession, sf: str) -> DataFrame:
+    """Day features as the stored table they are in the lake."""
+    path = new_table_path(spark, "features")
+    features(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def placement(spark: SparkSession, sf: str) -> DataFrame:
     return first_touch_placement(requests(spark, sf), nodes(spark, sf))
 
@@ -119,11 +127,13 @@ def content(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flags(spark: SparkSession, sf: str) -> DataFrame:
-    """``(object_id, scored_at)``: objects labelled viral, flagged at the end of their day."""
-    return label_viral(features(spark, sf)).where("is_viral_now = 1").select(
+    """``(object_id, scored_at)``: objects labelled viral, flagged at the end of their day; stored."""
+    path = new_table_path(spark, "flags")
+    label_viral(silver(spark, sf)).where("is_viral_now = 1").select(
         F.col("curr_object_id").alias("object_id"),
         F.timestamp_seconds((F.col("window_index") + 1) * DAY).alias("scored_at"),
-    )
+    ).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def evictions(spark: SparkSession, sf: str) -> DataFrame:

@@ -221,7 +221,6 @@ def event_messages(spark, sf):
 def parse_events(spark, sf):
     """Messages to bronze rows; some values are broken, some are missing."""
     rows, rel, absolute = fx.event_records(spark, sf)
-    broken = F.when(rel % 10 == 3, F.lit("{not json")).when(rel % 10 != 7, F.col("value"))
     numbered = events.event_messages(rows, rel, absolute).withColumn(
         "_line", F.get_json_object("value", "$.timestamp_rel").cast("bigint")
     )
@@ -300,7 +299,7 @@ def silver_store(spark, sf):
 def gold_table(spark, sf):
     """Gold written over an older table, and read back."""
     path = new_table_path(spark, "gold")
-    rows = labels.build_gold(fx.features(spark, sf))
+    rows = labels.build_gold(fx.silver(spark, sf))
     tables.write_table(rows.limit(0), path)
     tables.write_table(rows, path)
     return rounded(tables.read_table(spark, path, GOLD))
@@ -387,12 +386,12 @@ def count_floor_approx(spark, sf):
     "features_day",
 )
 def window_limits(spark, sf):
-    return labels.add_window_limit(fx.features(spark, sf)).select("window_index", "curr_object_id", "p95_limit")
+    return labels.add_window_limit(fx.silver(spark, sf)).select("window_index", "curr_object_id", "p95_limit")
 
 
 @query("SELECT window_index, curr_object_id, req_count_current, is_viral_now FROM labeled", "labeled")
 def label_viral(spark, sf):
-    return labels.label_viral(fx.features(spark, sf)).select(
+    return labels.label_viral(fx.silver(spark, sf)).select(
         "window_index", "curr_object_id", "req_count_current", "is_viral_now"
     )
 
@@ -404,7 +403,7 @@ def label_viral(spark, sf):
     "labeled",
 )
 def shift_label(spark, sf):
-    labeled = labels.label_viral(fx.features(spark, sf))
+    labeled = labels.label_viral(fx.silver(spark, sf))
     return features.add_next_label(labeled, "is_viral_now", TARGET_COL).select(
         "window_index", "curr_object_id", TARGET_COL
     )
@@ -412,15 +411,13 @@ def shift_label(spark, sf):
 
 @query(f"SELECT {FEATURE_SELECT}, is_viral_next_window FROM gold", "gold")
 def gold_labels(spark, sf):
-    return rounded(labels.build_gold(fx.features(spark, sf)))
+    return rounded(labels.build_gold(fx.silver(spark, sf)))
 
 
 # Registry
 
-FLAG_TIME = f"TIMESTAMP '2024-01-20 00:00:00'"
-
-
 def _flag_time():
+    """2024-01-20 00:00 UTC."""
     return F.timestamp_seconds(F.lit(1705708800))
 
 
@@ -431,14 +428,14 @@ def _flag_time():
 )
 def put_viral(spark, sf):
     """Registry after all flags: early ones set first, then the later ones over them."""
-    return _registry(spark, sf).select(
+    return _registry(fx.flags(spark, sf)).select(
         "object_id", "status", F.unix_micros("scored_at").alias("scored_us"),
         F.unix_micros("expires_at").alias("expires_us"),
     )
 
 
-def _registry(spark, sf):
-    scores = fx.flags(spark, sf).withColumn("prediction", F.lit(1))
+def _registry(flags):
+    scores = flags.withColumn("prediction", F.lit(1))
     early = registry.viral_flags(scores.where(F.col("scored_at") < _flag_time()), F.col("scored_at"))
     late = registry.viral_flags(scores.where(F.col("scored_at") >= _flag_time()), F.col("scored_at"))
     return registry.put_viral(early, late)
@@ -453,8 +450,9 @@ def _registry(spark, sf):
 )
 def get_viral(spark, sf):
     """Requested objects whose flag is alive when the last flags are set."""
-    stored = _registry(spark, sf)
-    at = fx.flags(spark, sf).agg(F.max("scored_at")).scalar()
+    flags = fx.flags(spark, sf)
+    stored = _registry(flags)
+    at = flags.agg(F.max("scored_at")).scalar()
     ids = features.get_requests(fx.requests(spark, sf)).select("object_id").distinct()
     return registry.get_viral(ids, stored, at)
 
@@ -467,8 +465,9 @@ def get_viral(spark, sf):
 )
 def flag_expiry(spark, sf):
     """Flags alive when the last one is set, and none 900 seconds later."""
-    stored = _registry(spark, sf)
-    last = fx.flags(spark, sf).agg(F.max("scored_at")).scalar()
+    flags = fx.flags(spark, sf)
+    stored = _registry(flags)
+    last = flags.agg(F.max("scored_at")).scalar()
     now = registry.live_flags(stored, last).withColumn("alive_now", F.lit(1))
     later = registry.live_flags(stored, last + F.make_dt_interval(secs=F.lit(900))).withColumn(
         "alive_later", F.lit(1)
@@ -948,7 +947,8 @@ def victims(source: str, initiator: int = INITIATOR) -> str:
 
 
 def _latency_inputs(spark, sf):
-    return fx.placement(spark, sf), fx.neighbors(spark, sf), fx.hops(spark, sf, None)
+    hops = fx.hops(spark, sf, None)
+    return fx.placement(spark, sf), fx.neighbors(spark, sf, hops), hops
 
 
 @query(
@@ -1026,7 +1026,7 @@ def latency_overhead(spark, sf):
     "gold",
 )
 def chronological_split(spark, sf):
-    rows = model.chronological_split(model.training_rows(labels.build_gold(fx.features(spark, sf))))
+    rows = model.chronological_split(model.training_rows(_stored_gold(spark, sf)))
     return rows.select("window_index", "curr_object_id", "is_test")
 
 
@@ -1038,7 +1038,7 @@ def chronological_split(spark, sf):
     "gold",
 )
 def class_balance(spark, sf):
-    return rounded(model.class_balance(labels.build_gold(fx.features(spark, sf))))
+    return rounded(model.class_balance(labels.build_gold(fx.silver(spark, sf))))
 
 
 @query(
@@ -1052,7 +1052,7 @@ def class_balance(spark, sf):
 )
 def classification_report(spark, sf):
     """A simple score, the request count over five, judged at the threshold."""
-    gold = labels.build_gold(fx.features(spark, sf))
+    gold = labels.build_gold(fx.silver(spark, sf))
     share = F.least(F.col("req_count_current") / 5.0, F.lit(1.0))
     return rounded(model.classification_report(gold.withColumn("prediction", model.decide(share))))
 
@@ -1060,10 +1060,14 @@ def classification_report(spark, sf):
 TRAIN_ROUNDS = 10
 
 
-def _trained(spark, sf):
+def _stored_gold(spark, sf):
     path = new_table_path(spark, "gold")
-    tables.write_table(labels.build_gold(fx.features(spark, sf)), path)
-    split = model.chronological_split(model.training_rows(tables.read_table(spark, path, GOLD)))
+    tables.write_table(labels.build_gold(fx.silver(spark, sf)), path)
+    return tables.read_table(spark, path, GOLD)
+
+
+def _trained(spark, sf):
+    split = model.chronological_split(model.training_rows(_stored_gold(spark, sf)))
     return split, model.train_viral(split.where("is_test = 0"), TRAIN_ROUNDS)
 
 

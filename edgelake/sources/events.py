@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from edgelake.functions.clock import event_time
 from edgelake.schemas import EVENT, SILVER
@@ -25,17 +26,19 @@ def read_messages(spark: SparkSession, fmt: str = "kafka", path: str | None = No
 
 def parse_events(messages: DataFrame) -> DataFrame:
     """Message values to bronze rows; a value that is not JSON gives a row of NULLs."""
-    data = messages.where(F.col("value").isNotNull()).select(
-        F.from_json(F.col("value").cast("string"), EVENT).alias("data")
-    )
-    return data.select(
-        event_time(F.col("data.timestamp_abs")).alias("timestamp"),
-        F.col("data.key").alias("object_id"),
-        F.col("data.node_id").alias("node_id"),
-        F.col("data.operation").alias("operation"),
+    return _json_columns(messages.where(F.col("value").isNotNull()), EVENT).select(
+        event_time(F.col("timestamp_abs")).alias("timestamp"),
+        F.col("key").alias("object_id"),
+        "node_id",
+        "operation",
     )
 
 
+def _json_columns(messages: DataFrame, schema: StructType) -> DataFrame:
+    """Fields of the JSON values as columns; the generator keeps a value from being parsed per field."""
+    return messages.select(F.inline(F.array(F.from_json(F.col("value").cast("string"), schema))))
+
+
 def event_messages(requests: DataFrame, rel_ms: Column, abs_ms: Column) -> DataFrame:
     """Requests ``(object_id, node_id, operation)`` to messages keyed by object id."""
     record = F.struct(
@@ -60,11 +63,7 @@ def feature_messages(features: DataFrame) -> DataFrame:
 
 def parse_feature_messages(messages: DataFrame) -> DataFrame:
     """Feature messages back to rows; those without an object id are dropped."""
-    return (
-        messages.select(F.from_json(F.col("value").cast("string"), SILVER).alias("f"))
-        .where(F.col("f.curr_object_id").isNotNull())
-        .select("f.*")
-    )
+    return _json_columns(messages, SILVER).where(F.col("curr_object_id").isNotNull())
 
 
 def write_messages(messages: DataFrame, servers: str, topic: str = FEATURE_TOPIC) -> None:

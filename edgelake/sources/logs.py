@@ -19,18 +19,19 @@ NUMBER_COLUMN = 4
 OPERATION_COLUMN = 5
 
 
-def _stripped(value: Column) -> Column:
-    return F.regexp_replace(value, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+def _split_once(lines: DataFrame, keep: list[str], separator: str) -> DataFrame:
+    """Lines with their ``_fields``; blanks and control characters around a line and separators at its
+    end make no fields.
 
-
-def _columns(text: Column, separator: str) -> Column:
-    """Fields of a line; separators at its end make no empty fields."""
-    return F.split(F.regexp_replace(text, f"{separator}$", ""), separator)
+    The array goes through a generator, which filters on it are not pushed below: as a plain column
+    the split would run again for every field and condition that reads it.
+    """
+    text = F.regexp_replace("value", rf"^[\x00-\x20]+|(?:{separator}|[\x00-\x20])+$", "")
+    return lines.select(*keep, F.explode(F.array(F.split(text, separator))).alias("_fields"))
 
 
-def _whole_number(text: Column) -> Column:
-    """Signed 64-bit number, NULL for any other text."""
-    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+def _is_whole(text: Column) -> Column:
+    return text.rlike(r"^[+-]?[0-9]+$")
 
 
 def number_lines(lines: DataFrame, file: str = "file", block: str = "block", row: str = "row") -> DataFrame:
@@ -76,19 +77,17 @@ def parse_request_lines(lines: DataFrame) -> DataFrame:
     Dropped: blank lines, a first line that starts with a non-digit, lines of fewer than six fields,
     lines whose fifth field is no whole number.
     """
-    text = _stripped(F.col("value"))
-    fields = lines.withColumn("_text", text).where(
-        (F.col("_text") != "") & ((F.col("line_no") != 1) | F.col("_text").rlike(r"^\p{Nd}"))
-    ).withColumn("_fields", _columns(F.col("_text"), REQUEST_SEPARATOR))
-    keep = [c for c in lines.columns if c not in ("line_no", "value")]
+    keep = [c for c in lines.columns if c != "value"]
+    fields = F.col("_fields")
+    header = (F.col("line_no") == 1) & ~fields[0].rlike(r"^\p{Nd}")
     return (
-        fields.where(F.size("_fields") >= REQUEST_MIN_COLUMNS)
+        _split_once(lines, keep, REQUEST_SEPARATOR)
+        .where((F.size(fields) >= REQUEST_MIN_COLUMNS) & ~header & _is_whole(fields[NUMBER_COLUMN]))
         .select(
             *keep,
-            "line_no",
-            F.col("_fields")[KEY_COLUMN].alias("object_key"),
-            _whole_number(F.col("_fields")[NUMBER_COLUMN]).alias("node_number"),
-            F.lower(F.col("_fields")[OPERATION_COLUMN]).alias("operation"),
+            fields[KEY_COLUMN].alias("object_key"),
+            fields[NUMBER_COLUMN].try_cast("bigint").alias("node_number"),
+            F.lower(fields[OPERATION_COLUMN]).alias("operation"),
         )
         .where(F.col("node_number").isNotNull())
     )
@@ -97,11 +96,11 @@ def parse_request_lines(lines: DataFrame) -> DataFrame:
 def parse_simple_lines(lines: DataFrame, n_nodes: int) -> DataFrame:
     """White-space separated lines; the fifth field is the object id and routes the request."""
     keep = [c for c in lines.columns if c != "value"]
-    fields = _columns(_stripped(F.col("value")), SIMPLE_SEPARATOR)
+    fields = F.col("_fields")
     return (
-        lines.withColumn("_fields", fields)
-        .where(F.size("_fields") >= SIMPLE_MIN_COLUMNS)
-        .select(*keep, _whole_number(F.col("_fields")[NUMBER_COLUMN]).alias("object_id"))
+        _split_once(lines, keep, SIMPLE_SEPARATOR)
+        .where((F.size(fields) >= SIMPLE_MIN_COLUMNS) & _is_whole(fields[NUMBER_COLUMN]))
+        .select(*keep, fields[NUMBER_COLUMN].try_cast("bigint").alias("object_id"))
         .where(F.col("object_id").isNotNull())
         .withColumn("node_id", route(F.col("object_id"), n_nodes))
     )
