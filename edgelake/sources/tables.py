@@ -69,9 +69,11 @@ _STORED = StructType(
 
 
 def append_silver(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write the rows of one batch. Rebalancing gives a day few files, and several when it is large."""
     day = F.floor(F.col("window_index") / WINDOWS_PER_DAY).cast("bigint")
     (
         df.select(*SILVER.fieldNames(), day.alias("window_day"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+        .hint("rebalance", "window_day")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("window_day", "batch_id")
