@@ -97,7 +97,7 @@ def feature_vector(features: DataFrame) -> DataFrame:
 
 def number_requests(requests: DataFrame) -> DataFrame:
     """GET requests with ``get_seq``, their number in line order, from 1."""
-    return prefix_sum(get_requests(requests), "line_no", "get_seq")
+    return prefix_sum(get_requests(requests), "line_no", {"get_seq": F.lit(1)})
 
 
 def first_lines(requests: DataFrame, max_lines: int | None = None, max_gets: int | None = None) -> DataFrame:

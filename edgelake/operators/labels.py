@@ -32,10 +32,11 @@ def complete_windows(features: DataFrame) -> DataFrame:
     return closed.select("window_index").distinct().agg(F.count(F.lit(1)).alias("complete_windows"))
 
 
-def in_lookback(features: DataFrame, lookback: int = LOOKBACK_WINDOWS) -> DataFrame:
-    newest = max_window(features)
+def in_lookback(features: DataFrame, lookback: int = LOOKBACK_WINDOWS, newest: int | None = None) -> DataFrame:
+    """The ``lookback`` windows below the newest one; with its number given the scan is pruned by it."""
+    top = max_window(features) if newest is None else F.lit(newest)
     window = F.col("window_index")
-    return features.where((window >= newest - lookback) & (window < newest))
+    return features.where((window >= top - lookback) & (window < top))
 
 
 def quantile(col: str, p: float, rel_err: float = 0.0) -> Column:
@@ -92,13 +93,17 @@ def build_gold(
     """Features of the closed windows in the lookback with the label of the window ``ahead``.
 
     The newest labelled windows have no future yet and are cut. Empty when there are not more than
-    ``ahead`` closed windows.
+    ``ahead`` closed windows. ``features`` is the stored silver table: its newest window is looked up
+    first, so that the scans below read the lookback only.
     """
-    recent = in_lookback(features, lookback)
+    newest = window_bounds(features).first()["max_window"]
+    closed = features.where(F.col("window_index") < newest).select("window_index").distinct()
+    if newest is None or closed.limit(ahead + 1).count() <= ahead:
+        return features.sparkSession.createDataFrame([], GOLD)
+    recent = in_lookback(features, lookback, newest)
     labeled = label_viral(recent, rel_err, max_windows=lookback)
-    enough = complete_windows(features).scalar() > ahead
     return (
         add_next_label(labeled, "is_viral_now", TARGET_COL, ahead)
-        .where((F.col("window_index") < max_window(features) - ahead) & enough)
+        .where(F.col("window_index") < newest - ahead)
         .select(*GOLD.fieldNames())
     )

@@ -41,7 +41,7 @@ def chronological_split(gold: DataFrame, test_share: float = TEST_SHARE) -> Data
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     train = total - math.ceil(total * test_share)
     cut = (
-        prefix_sum(sizes, "window_index", "upto", F.col("n"))
+        prefix_sum(sizes, "window_index", {"upto": F.col("n")})
         .where(F.col("upto") >= train)
         .agg(F.min_by(F.struct("window_index", (F.lit(train) - F.col("upto") + F.col("n")).alias("rank")), "window_index"))
         .first()[0]
@@ -50,7 +50,7 @@ def chronological_split(gold: DataFrame, test_share: float = TEST_SHARE) -> Data
         return gold.withColumn("is_test", F.lit(1))
     ids = gold.where(F.col("window_index") == cut["window_index"]).select("curr_object_id")
     low, high = ids.agg(F.min("curr_object_id"), F.max("curr_object_id")).first()
-    ranked = prefix_sum(ids, "curr_object_id", "rank", width=(high - low) // _RANK_BUCKETS + 1)
+    ranked = prefix_sum(ids, "curr_object_id", {"rank": F.lit(1)}, width=(high - low) // _RANK_BUCKETS + 1)
     last = ranked.where(F.col("rank") == cut["rank"]).select("curr_object_id").first()
     window = F.col("window_index")
     is_test = window >= cut["window_index"]

@@ -1,4 +1,7 @@
-"""Content of the caches: placements ``(node_id, object_id)`` and who holds what near whom."""
+"""Content of the caches: who holds what, near whom.
+
+A placement is a table ``(node_id, object_id)`` with every row once.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelake.functions.traffic import ratio
-from edgelake.operators.features import get_requests, number_requests
+from edgelake.operators.features import get_requests
 from edgelake.operators.scale import is_small, lookup_join, prefix_sum, skew_join
 from edgelake.operators.topology import neighbor_lists
 
@@ -20,7 +23,7 @@ def first_touch_placement(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     a node are counted over buckets of lines, not in one sorted group.
     """
     touched = get_requests(requests).groupBy(*KEYS).agg(F.min("line_no").alias("insert_line"))
-    slots = prefix_sum(touched, "insert_line", "slot", by=["node_id"])
+    slots = prefix_sum(touched, "insert_line", {"slot": F.lit(1)}, by=["node_id"])
     return (
         lookup_join(slots, nodes.select("node_id", "capacity"), ["node_id"])
         .where(F.col("slot") <= F.col("capacity"))
@@ -47,11 +50,11 @@ def common_objects(placement: DataFrame, node: int, candidates: DataFrame) -> Da
 def copies(placement: DataFrame, neighbors: DataFrame) -> DataFrame:
     """``(object_id, copies)``: the nodes that hold an object, ascending, each with its neighbours.
 
-    A node counts once per object, so the array has at most as many entries as there are nodes.
+    The array has at most as many entries as there are nodes.
     """
     entry = F.struct("node_id", F.coalesce("neighbors", F.array().cast("array<int>")).alias("neighbors"))
     rows = lookup_join(
-        placement.select(*KEYS).distinct(), neighbor_lists(neighbors), ["node_id"], "left", is_small(neighbors)
+        placement.select(*KEYS), neighbor_lists(neighbors), ["node_id"], "left", is_small(neighbors)
     )
     return rows.groupBy("object_id").agg(F.array_sort(F.collect_list(entry)).alias("copies"))
 
@@ -63,7 +66,7 @@ def holders(placement: DataFrame, neighbors: DataFrame, hop: int | None = None)
     """
     near = neighbors if hop is None else neighbors.where(F.col("hop") == hop)
     return (
-        lookup_join(placement.select(*KEYS).distinct(), near.select("viewer", "node_id", "hop"), ["node_id"])
+        lookup_join(placement.select(*KEYS), near.select("viewer", "node_id", "hop"), ["node_id"])
         .groupBy("viewer", "object_id")
         .agg(F.array_sort(F.collect_list("node_id")).alias("holders"), F.min("hop").alias("min_hop"))
     )
@@ -86,7 +89,7 @@ def duplicate_candidates(placement: DataFrame, neighbors: DataFrame, hop: int |
 
 def candidate_holders(candidates: DataFrame, placement: DataFrame, neighbors: DataFrame) -> DataFrame:
     """``(viewer, node_id)``: all neighbours that hold some candidate object of the viewer."""
-    held = lookup_join(placement.select(*KEYS).distinct(), neighbors.select("viewer", "node_id"), ["node_id"])
+    held = lookup_join(placement.select(*KEYS), neighbors.select("viewer", "node_id"), ["node_id"])
     wanted = candidates.select(F.col("node_id").alias("viewer"), "object_id")
     return held.join(wanted, ["viewer", "object_id"], "left_semi").select("viewer", "node_id").distinct()
 
@@ -167,20 +170,21 @@ def over_limit(placement: DataFrame, nodes: DataFrame, limit: float) -> DataFram
 def storage_series(requests: DataFrame, inserts: DataFrame, nodes: DataFrame, every_n: int) -> DataFrame:
     """``(sample, used, sample_millionths)``: use of all caches after every n-th GET.
 
-    An insert happens at a GET, so it is first seen by the sample that GET leads up to; the samples
-    then need one running sum over themselves.
+    An insert happens at a GET, so numbers of GETs and of inserts run along the same lines.
     """
-    number = F.ceil(F.col("get_seq") / every_n).cast("bigint")
-    gets = number_requests(requests).select("line_no", number.alias("sample"), "get_seq")
-    added = gets.join(inserts.select(F.col("insert_line").alias("line_no")), "line_no").groupBy("sample").agg(
-        F.count(F.lit(1)).alias("added")
-    )
-    samples = gets.where(F.col("get_seq") % every_n == 0).select("sample").join(added, "sample", "left")
+    marks = inserts.select(F.col("insert_line").alias("line_no"), F.lit(1).alias("added"))
+    gets = get_requests(requests).select("line_no").join(marks, "line_no", "left")
+    sums = {"get_seq": F.lit(1), "used": F.coalesce("added", F.lit(0))}
     capacity = nodes.agg(F.sum("capacity").cast("bigint").alias("capacity")).scalar()
     return (
-        prefix_sum(samples, "sample", "used", F.coalesce("added", F.lit(0)))
+        prefix_sum(gets, "line_no", sums)
+        .where(F.col("get_seq") % every_n == 0)
         .withColumn("_capacity", capacity)
-        .select("sample", "used", F.expr("used * 1000000 div _capacity").alias("sample_millionths"))
+        .select(
+            (F.col("get_seq") / every_n).cast("bigint").alias("sample"),
+            "used",
+            F.expr("used * 1000000 div _capacity").alias("sample_millionths"),
+        )
     )
 
 

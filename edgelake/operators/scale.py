@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 BROADCAST_ROWS = 200_000
 LINES_PER_BUCKET = 1 << 20
@@ -32,71 +33,79 @@ def lookup_join(
     return skew_join(left, right, keys, how)
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], parts: int) -> list[tuple]:
+    """Keys with more than one part in ``parts`` of the rows, each with its parts: fewer than ``parts``."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    share = F.col("_rows") * F.lit(parts) / counts.agg(F.sum("_rows")).scalar()
+    return [tuple(r) for r in counts.where(share > 1).select(*keys, F.ceil(share).cast("int")).collect()]
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join of a long left side, whose keys may be hot, with few right rows per key.
 
-    A key is hot when it has more than one part in P of the left rows, P being the number of
-    shuffle partitions. There are fewer than P such keys, so their list is broadcast; a key with
-    k parts is dealt over k salts, and only its right rows are repeated k times. ``how`` is one of
-    inner, left, left_semi and left_anti. The left side is read once more for the key counts, so it is
-    best a stored table, and these joins are not to be nested.
+    A key is hot when it has more than one part in P of the left rows, P being the number of shuffle
+    partitions, so there are fewer than P such keys. A key with k parts is dealt over k salts, and only
+    its right rows are repeated k times; without hot keys it is a plain join. ``how`` is one of inner,
+    left, left_semi and left_anti. The keys of the left side are counted at once, so it is best a
+    stored table, and these joins are not to be nested.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not repeat right rows safely for {how!r}")
     keys = list(keys)
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    share = F.col("_rows") * F.lit(parts) / counts.agg(F.sum("_rows")).scalar()
-    hot = F.broadcast(
-        counts.where(share > 1).select(*keys, F.ceil(share).cast("int").alias("_salts"))
-    )
+    spark = left.sparkSession
+    found = hot_keys(left, keys, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not found:
+        return left.join(right, keys, how)
+    schema = StructType([*left.select(*keys).schema.fields, StructField("_salts", IntegerType())])
+    hot = F.broadcast(spark.createDataFrame(found, schema))
+
+    def add_salts(df: DataFrame) -> DataFrame:
+        same = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_h.{k}")) for k in keys]
+        joined = df.alias("_l").join(hot.alias("_h"), same, "left")
+        return joined.select("_l.*", F.coalesce("_salts", F.lit(1)).alias("_salts"))
+
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
-    no_key = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    salts = F.when(no_key, F.lit(parts)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
-    salted_left = left.join(hot, keys, "left").withColumn(
-        "_salt", F.pmod(row_hash, salts).cast("int")
-    ).drop("_salts")
-    salted_right = right.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    ).drop("_salts")
+    salted_left = add_salts(left).withColumn("_salt", F.pmod(row_hash, "_salts").cast("int")).drop("_salts")
+    salted_right = (
+        add_salts(right)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+        .drop("_salts")
+    )
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
 def prefix_sum(
     df: DataFrame,
     order: str,
-    out: str,
-    value: Column | None = None,
+    sums: dict[str, Column],
     by: Sequence[str] = (),
-    width: int | Column = LINES_PER_BUCKET,
+    width: int = LINES_PER_BUCKET,
 ) -> DataFrame:
-    """Running sum of ``value`` (running count by default) along a whole-number column.
+    """Running sums along a whole-number column that is unique within ``by``.
 
-    ``order`` is unique within ``by``. Rows are cut into buckets of ``width`` order values; one task
-    sorts one bucket, and the totals of earlier buckets are added from a table with a row per bucket.
+    Rows are cut into buckets of ``width`` order values; one task sorts one bucket, and the totals of
+    earlier buckets are added from a table with a row per bucket.
     """
-    value = F.lit(1) if value is None else value
-    width = F.lit(width) if isinstance(width, int) else width
     by = list(by)
-    rows = df.withColumn("_value", value.cast("bigint")).withColumn(
-        "_bucket", F.floor(F.col(order) / width).cast("bigint")
-    )
+    rows = df.withColumn("_bucket", F.floor(F.col(order) / width).cast("bigint"))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*by, "_bucket")
-        .agg(F.sum("_value").alias("_total"))
-        .select(*by, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
-    )
     inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    totals = rows.groupBy(*by, "_bucket").agg(
+        *[F.sum(value.cast("bigint")).alias(f"_total_{name}") for name, value in sums.items()]
+    )
+    offsets = totals.select(
+        *by,
+        "_bucket",
+        *[F.coalesce(F.sum(f"_total_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums],
+    )
+    running = {f"_inside_{n}": F.sum(value.cast("bigint")).over(inside) for n, value in sums.items()}
     return (
-        rows.withColumn("_inside", F.sum("_value").over(inside))
+        rows.withColumns(running)
         .join(offsets, [*by, "_bucket"])
-        .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_value", "_bucket", "_inside", "_before")
+        .withColumns({n: F.col(f"_before_{n}") + F.col(f"_inside_{n}") for n in sums})
+        .select(*df.columns, *sums)
     )
 
 

@@ -115,7 +115,10 @@ def silver(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def placement(spark: SparkSession, sf: str) -> DataFrame:
-    return first_touch_placement(requests(spark, sf), nodes(spark, sf))
+    """Content of the caches after all requests, as a stored snapshot."""
+    path = new_table_path(spark, "placement")
+    first_touch_placement(requests(spark, sf), nodes(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def content(spark: SparkSession, sf: str) -> DataFrame:

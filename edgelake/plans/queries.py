@@ -530,7 +530,7 @@ def shortest_path_trees(spark, sf):
 
 @query("SELECT node_id, object_id, insert_line, slot FROM placement", "placement")
 def first_touch_placement(spark, sf):
-    return fx.placement(spark, sf)
+    return placement.first_touch_placement(fx.requests(spark, sf), fx.nodes(spark, sf))
 
 
 @query(
@@ -633,9 +633,10 @@ def nearest_replica_asof(spark, sf):
     return _measured(spark, sf).select("line_no", "object_id", "node_id", "distance")
 
 
-def _measured(spark, sf):
+def _measured(spark, sf, stored=None):
     rows = features.get_requests(fx.requests(spark, sf))
-    return placement.nearest_replica_asof(rows, fx.placement(spark, sf), fx.neighbors(spark, sf), fx.CLOUD_HOP)
+    stored = stored or fx.placement(spark, sf)
+    return placement.nearest_replica_asof(rows, stored, fx.neighbors(spark, sf), fx.CLOUD_HOP)
 
 
 @query(
@@ -688,8 +689,9 @@ SERIES = """SELECT CAST(get_seq // 50 AS BIGINT) AS sample, CAST(used AS BIGINT)
         SELECT line_no, row_number() OVER (ORDER BY line_no) AS get_seq FROM gets)) WHERE get_seq % 50 = 0"""
 
 
-def _series(spark, sf):
-    return placement.storage_series(fx.requests(spark, sf), fx.placement(spark, sf), fx.nodes(spark, sf), 50)
+def _series(spark, sf, stored=None):
+    stored = stored or fx.placement(spark, sf)
+    return placement.storage_series(fx.requests(spark, sf), stored, fx.nodes(spark, sf), 50)
 
 
 @query(SERIES, "gets", "placement", "nodes")
@@ -717,8 +719,8 @@ FULL = f"""SELECT m.line_no, m.object_id, m.node_id, m.distance, v.viral,
 FULL_NEEDS = ("gets", "placement", "neighbors", "requests", "flags")
 
 
-def _full(spark, sf):
-    flagged = registry.add_viral_flag(_measured(spark, sf), fx.flags(spark, sf), fx.DAY)
+def _full(spark, sf, stored=None):
+    flagged = registry.add_viral_flag(_measured(spark, sf, stored), fx.flags(spark, sf), fx.DAY)
     return metrics.mark_thrashing(flagged, fx.evictions(spark, sf), fx.THRASH_LINES, fx.CLOUD_HOP)
 
 
@@ -767,8 +769,8 @@ METRICS = f"""SELECT CAST(count(*) AS BIGINT) AS total_requests,
     FROM ({FULL})"""
 
 
-def _metrics(spark, sf):
-    return metrics.request_metrics(_full(spark, sf), fx.EDGE_MAX_HOP, fx.CLOUD_HOP)
+def _metrics(spark, sf, stored=None):
+    return metrics.request_metrics(_full(spark, sf, stored), fx.EDGE_MAX_HOP, fx.CLOUD_HOP)
 
 
 @query(METRICS, *FULL_NEEDS)
@@ -789,9 +791,10 @@ EFFICIENCY = f"""count(*) FILTER (distance <= {fx.EDGE_MAX_HOP}) / count(*) / {U
     "nodes",
 )
 def dedup_efficiency(spark, sf):
-    measured = _measured(spark, sf).withColumn("viral", F.lit(0)).withColumn("thrash", F.lit(0))
+    stored = fx.placement(spark, sf)
+    measured = _measured(spark, sf, stored).withColumn("viral", F.lit(0)).withColumn("thrash", F.lit(0))
     totals = metrics.request_metrics(measured, fx.EDGE_MAX_HOP, fx.CLOUD_HOP)
-    use = placement.average_utilization(_series(spark, sf))
+    use = placement.average_utilization(_series(spark, sf, stored))
     return rounded(
         metrics.dedup_efficiency(totals, use).select("avg_storage_utilization", "dedup_efficiency_score")
     )
@@ -842,7 +845,8 @@ def metrics_report(spark, sf):
     rows, near, hosts = fx.placement(spark, sf), fx.neighbors(spark, sf), fx.nodes(spark, sf)
     gone = dedup.dedup_basic(rows, near, hosts, fx.LIMIT)
     log = dedup.eviction_log(rows, placement.delete_rows(rows, gone), 0, fx.hot_objects(spark, sf))
-    totals = metrics.dedup_efficiency(_metrics(spark, sf), placement.average_utilization(_series(spark, sf)))
+    use = placement.average_utilization(_series(spark, sf, rows))
+    totals = metrics.dedup_efficiency(_metrics(spark, sf, rows), use)
     path = new_table_path(spark, "report")
     reports.write_metrics_csv(metrics.run_metrics(totals, dedup.eviction_counts(log)), path)
     return rounded(spark.read.csv(path, header=True, schema="metric string, value double"))
@@ -1359,7 +1363,7 @@ def run_summary(spark, sf):
         "viewer", F.col("root_fpr").alias("fpr")
     )
     summary = reports.run_summary(
-        counters, rates, membership.cbf_tree_bits(near, N_BITS), metrics.node_mean_latency(_measured(spark, sf), hosts)
+        counters, rates, membership.cbf_tree_bits(near, N_BITS), metrics.node_mean_latency(_measured(spark, sf, rows), hosts)
     )
     path = new_table_path(spark, "summary")
     reports.write_run_json(summary, path)

@@ -63,15 +63,16 @@ def test_is_small(spark):
 
 @pytest.mark.parametrize("width", [1, 7, 1000, 10**7])
 def test_prefix_sum_is_a_running_sum(spark, hot, width):
-    got = scale.prefix_sum(hot, "line", "total", F.col("line") % 5, width=width)
+    got = scale.prefix_sum(hot, "line", {"total": F.col("line") % 5, "n": F.lit(1)}, width=width)
     window = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     want = hot.withColumn("total", F.sum(F.col("line") % 5).over(window))
     assert rows(got, "line", "total") == rows(want, "line", "total")
+    assert rows(got, "line", "n") == [(i, i + 1) for i in range(3000)]
 
 
 def test_prefix_sum_by_group(spark, hot):
     keyed = hot.where("key IS NOT NULL")
-    got = scale.prefix_sum(keyed, "line", "n", by=["key"], width=100)
+    got = scale.prefix_sum(keyed, "line", {"n": F.lit(1)}, by=["key"], width=100)
     want = keyed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("line")))
     assert rows(got, "line", "n") == rows(want, "line", "n")
 
