@@ -10,6 +10,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 BROADCAST_ROWS = 200_000
 LINES_PER_BUCKET = 1 << 20
+HORIZON_SLICES = 32
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -118,35 +119,35 @@ def seen_recently(
     horizon: int,
     out: str,
     include_now: bool = False,
+    slices: int = HORIZON_SLICES,
 ) -> DataFrame:
     """Flag rows whose key has a mark at most ``horizon`` before them, on whole-number clocks.
 
     ``0 < at - marked_at <= horizon``, or ``0 <= at - marked_at < horizon`` with ``include_now``.
-    Both sides are cut into buckets one horizon long, so a hot key is spread over its buckets. A mark
-    that counts lies in the bucket of the row, where only the earliest matters, or in the bucket
-    before, where only the latest matters: the join is on (key, bucket) with two numbers per bucket.
+    The clock is cut into slices of the horizon, so a hot key is spread over its slices, also within a
+    burst. Of the marks in the slice of a row the earliest decides, of those in the slices before it
+    the latest: the join is on (key, slice) with these two numbers, and no key is sorted or windowed.
     """
-    width = F.lit(horizon)
-    bucket = F.floor(F.col(marked_at) / width).cast("bigint")
-    per_bucket = marks.groupBy(F.col(key), bucket.alias("_bucket")).agg(
+    width = F.lit(max(1, horizon // slices))
+    reach = -(-horizon // max(1, horizon // slices))
+    per_slice = marks.groupBy(key, F.floor(F.col(marked_at) / width).cast("bigint").alias("_slice")).agg(
         F.min(marked_at).alias("_first"), F.max(marked_at).alias("_last")
     )
     none = F.lit(None).cast("bigint")
-    same = per_bucket.select(key, "_bucket", F.col("_first"), none.alias("_prior"))
-    after = per_bucket.select(
-        key, (F.col("_bucket") + 1).alias("_bucket"), none.alias("_first"), F.col("_last").alias("_prior")
-    )
-    reach = same.unionByName(after).groupBy(key, "_bucket").agg(
+    same = per_slice.select(key, "_slice", "_first", none.alias("_prior"))
+    later = F.explode(F.sequence(F.col("_slice") + 1, F.col("_slice") + reach))
+    after = per_slice.select(key, later.alias("_slice"), none.alias("_first"), F.col("_last").alias("_prior"))
+    near = same.unionByName(after).groupBy(key, "_slice").agg(
         F.min("_first").alias("_first"), F.max("_prior").alias("_prior")
     )
     now = F.col(at)
     if include_now:
-        hit = (F.col("_first") <= now) | (now - F.col("_prior") < width)
+        hit = (F.col("_first") <= now) | (now - F.col("_prior") < horizon)
     else:
-        hit = (F.col("_first") < now) | (now - F.col("_prior") <= width)
+        hit = (F.col("_first") < now) | (now - F.col("_prior") <= horizon)
     return (
-        rows.withColumn("_bucket", F.floor(now / width).cast("bigint"))
-        .join(reach, [key, "_bucket"], "left")
+        rows.withColumn("_slice", F.floor(now / width).cast("bigint"))
+        .join(near, [key, "_slice"], "left")
         .withColumn(out, F.coalesce(hit, F.lit(False)).cast("int"))
-        .drop("_bucket", "_first", "_prior")
+        .drop("_slice", "_first", "_prior")
     )

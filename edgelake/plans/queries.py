@@ -19,7 +19,7 @@ from edgelake.plans import oracle_views as ov
 from edgelake.schemas import FEATURE_COLS, GOLD, SILVER, TARGET_COL
 from edgelake.session import new_table_path
 from edgelake.sources import events, logs, reports, tables
-from edgelake.streaming import pipeline
+from edgelake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -221,12 +221,11 @@ def event_messages(spark, sf):
 def parse_events(spark, sf):
     """Messages to bronze rows; some values are broken, some are missing."""
     rows, rel, absolute = fx.event_records(spark, sf)
-    numbered = events.event_messages(rows, rel, absolute).withColumn(
-        "_line", F.get_json_object("value", "$.timestamp_rel").cast("bigint")
+    messages = events.event_messages(rows, rel, absolute)
+    digit = F.regexp_extract("value", r'"timestamp_rel":\d*(\d)', 1)
+    values = messages.select(
+        "key", F.when(digit == "3", F.lit("{not json")).when(digit != "7", F.col("value")).alias("value")
     )
-    values = numbered.select("key", F.when(F.col("_line") % 10 == 3, F.lit("{not json")).when(
-        F.col("_line") % 10 != 7, F.col("value")
-    ).alias("value"))
     bronze = events.parse_events(values)
     return bronze.select(F.unix_micros("timestamp").alias("ts_us"), "object_id", "node_id", "operation")
 
@@ -1024,6 +1023,21 @@ def latency_overhead(spark, sf):
 # Model
 
 
+@query(
+    """SELECT window_index, curr_object_id, is_viral_next_window FROM gold
+    WHERE curr_object_id % 5 <> 0 AND window_index % 7 <> 3""",
+    "gold",
+)
+def training_rows(spark, sf):
+    """Gold rows complete in all inputs and the label; some of both are taken out first."""
+    gold = labels.build_gold(fx.silver(spark, sf))
+    growth = F.when(F.col("curr_object_id") % 5 != 0, F.col("growth_rate"))
+    label = F.when(F.col("window_index") % 7 != 3, F.col(TARGET_COL))
+    return model.training_rows(gold.withColumn("growth_rate", growth).withColumn(TARGET_COL, label)).select(
+        "window_index", "curr_object_id", TARGET_COL
+    )
+
+
 @query(
     """SELECT window_index, curr_object_id, CAST(row_number() OVER (ORDER BY window_index, curr_object_id)
       > (SELECT count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) FROM gold) AS INTEGER) AS is_test FROM gold""",
@@ -1345,9 +1359,26 @@ def sketch_bits_qf(spark, sf):
     return membership.qf_tree_bits(tree, membership.tree_sizes(near, TREE_RATE), QF_START)
 
 
-@query()
+@query(
+    f"""SELECT (SELECT CAST(count(*) AS BIGINT) FROM sweep WHERE dropped) AS deletes,
+      round((SELECT count(*) FROM sweep WHERE dropped) / (SELECT count(*) FROM placement), 9) AS dedup_rate,
+      CAST(0 AS DOUBLE) AS false_delete_rate,
+      (SELECT CAST(sum(hop) AS BIGINT) FROM neighbors WHERE viewer IN (SELECT node_id FROM turns)) AS overhead,
+      (SELECT CAST(count(*) AS BIGINT) FROM sweep WHERE candidate) AS packs,
+      (SELECT round(sum(coalesce(l, 0)) / count(*), 9) FROM nodes LEFT JOIN (
+        SELECT node_id, avg(distance) AS l FROM ({ASOF}) GROUP BY 1) USING (node_id)) AS average_latency,
+      (SELECT CAST(count(DISTINCT viewer) AS INTEGER) FROM neighbors) AS fpr_entries,
+      (SELECT CAST(sum(9 * {1 << 14} * (n + h + 1)) AS BIGINT) FROM (
+        SELECT viewer, count(*) AS n, count(DISTINCT hop) AS h FROM neighbors GROUP BY 1)) AS memory_bits""",
+    "gets",
+    "placement",
+    "neighbors",
+    "nodes",
+    "turns",
+    "sweep",
+)
 def run_summary(spark, sf):
-    """The summary of a run, written as JSON and read back."""
+    """The summary of a run, written as JSON and read back; its lists as their length and sum."""
     rows, near, hosts = fx.placement(spark, sf), fx.neighbors(spark, sf), fx.nodes(spark, sf)
     plan = dedup.sweep_plan(rows, near, hosts, fx.LIMIT)
     overhead = dedup.message_overhead(plan, near, placement.over_limit(rows, hosts, fx.LIMIT))
@@ -1367,7 +1398,11 @@ def run_summary(spark, sf):
     )
     path = new_table_path(spark, "summary")
     reports.write_run_json(summary, path)
-    return spark.read.json(path, schema=summary.schema)
+    stored = spark.read.json(path, schema=summary.schema)
+    total = F.aggregate("memory", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return rounded(
+        stored.withColumn("fpr_entries", F.size("fpr_data")).withColumn("memory_bits", total).drop("fpr_data", "memory")
+    )
 
 
 # Streams
@@ -1389,8 +1424,8 @@ def _bronze_stream(spark, sf):
 def stream_silver(spark, sf):
     """Silver store filled by the feature stream, previous counts taken from the batch as well."""
     path = new_table_path(spark, "silver")
-    sink = pipeline.SilverSink(path, include_batch=True)
-    _run(pipeline.start_silver(_bronze_stream(spark, sf), sink, f"{path}-checkpoint", ONCE))
+    sink = jobs.SilverSink(path, include_batch=True)
+    _run(jobs.start_silver(_bronze_stream(spark, sf), sink, f"{path}-checkpoint", ONCE))
     return rounded(tables.read_silver(spark, path).select(
         "window_index", "curr_object_id", "req_count_current", "hour_of_day", "req_count_previous", "growth_rate"
     ))
@@ -1404,8 +1439,8 @@ def stream_silver(spark, sf):
 def stream_silver_stored_history(spark, sf):
     """The same with previous counts from earlier batches only: a first batch finds none."""
     path = new_table_path(spark, "silver")
-    sink = pipeline.SilverSink(path)
-    _run(pipeline.start_silver(_bronze_stream(spark, sf), sink, f"{path}-checkpoint", ONCE))
+    sink = jobs.SilverSink(path)
+    _run(jobs.start_silver(_bronze_stream(spark, sf), sink, f"{path}-checkpoint", ONCE))
     return rounded(tables.read_silver(spark, path).select(
         "window_index", "curr_object_id", "req_count_current", "req_count_previous", "growth_rate"
     ))
@@ -1422,7 +1457,7 @@ def stream_two_sinks(spark, sf):
     """Bronze and silver from one source, and the messages the silver stream published."""
     root = new_table_path(spark, "lake")
     publish = lambda messages: messages.write.mode("append").parquet(f"{root}/published")
-    for started in pipeline.start_pipeline(_bronze_stream(spark, sf), root, publish, ONCE):
+    for started in jobs.start_lake(_bronze_stream(spark, sf), root, publish, ONCE):
         started.awaitTermination()
     parts = [
         ("bronze", spark.read.parquet(f"{root}/bronze")),
@@ -1444,8 +1479,8 @@ def stream_scoring(spark, sf):
     model.publish_model(trained, f"{root}/models", 1.0, spark)
     events.feature_messages(fx.features(spark, sf)).write.parquet(f"{root}/features")
     rows = events.parse_feature_messages(events.read_messages(spark, "parquet", f"{root}/features"))
-    sink = pipeline.ScoringSink(f"{root}/models", f"{root}/registry", threshold=0.5, now=_flag_time)
-    _run(pipeline.start_scoring(rows, sink, f"{root}/checkpoint", ONCE))
-    return pipeline.current_registry(spark.read.parquet(f"{root}/registry")).select(
+    sink = jobs.ScoringSink(f"{root}/models", f"{root}/registry", threshold=0.5, now=_flag_time)
+    _run(jobs.start_scoring(rows, sink, f"{root}/checkpoint", ONCE))
+    return jobs.read_registry(spark, f"{root}/registry", since="2024-01-20").select(
         "object_id", "status", F.unix_micros("expires_at").alias("expires_us")
     )

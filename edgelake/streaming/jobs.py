@@ -8,15 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from edgelake.functions.clock import window_index
 from edgelake.functions.keys import is_get
 from edgelake.operators.features import add_hour_features, join_previous_count
 from edgelake.operators.model import latest_version, load_model, score
-from edgelake.operators.registry import put_viral, viral_flags
+from edgelake.operators.registry import viral_flags
 from edgelake.schemas import REGISTRY, SILVER_KEYS, VIRAL_THRESHOLD, VIRAL_TTL_SECONDS
 from edgelake.sources.events import feature_messages
-from edgelake.sources.tables import append_silver, read_silver, silver_batch, write_bronze
+from edgelake.sources.tables import append_silver, read_silver, read_table, silver_batch, write_bronze
 
 log = logging.getLogger(__name__)
 
@@ -130,22 +131,36 @@ class ScoringSink:
 
 
 def append_flags(flags: DataFrame, path: str, batch_id: int) -> None:
-    """Flags set by one batch, in a folder of its own that a repeat replaces."""
-    flags.select(*REGISTRY.fieldNames()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    """Flags set by one batch, in folders by day and batch that a repeat replaces."""
+    (
+        flags.select(
+            *REGISTRY.fieldNames(),
+            F.to_date("scored_at").alias("scored_day"),
+            F.lit(batch_id).cast("bigint").alias("batch_id"),
+        )
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("scored_day", "batch_id")
+        .parquet(path)
+    )
 
 
-def current_registry(flags: DataFrame) -> DataFrame:
-    """One row per object from all flags ever set: the latest one."""
+def read_registry(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """One row per object: its latest flag, of those set since a day when one is given.
+
+    A flag lives minutes, so a lookup reads the last day or two and leaves older folders alone.
+    """
+    stored = StructType(
+        [*REGISTRY.fields, StructField("scored_day", DateType()), StructField("batch_id", LongType())]
+    )
+    flags = read_table(spark, path, stored)
+    if since is not None:
+        flags = flags.where(F.col("scored_day") >= F.lit(since).cast("date"))
     rest = [c for c in REGISTRY.fieldNames() if c != "object_id"]
     newest = flags.groupBy("object_id").agg(F.max_by(F.struct(*rest), "scored_at").alias("f"))
     return newest.select("object_id", "f.*")
 
 
-def update_registry(registry: DataFrame, scores: DataFrame, scored_at: Column) -> DataFrame:
-    """Registry after one batch of scores."""
-    return put_viral(registry, viral_flags(scores, scored_at))
-
-
 def start_bronze(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     return write_bronze(events, path, checkpoint, trigger)
 
@@ -179,7 +194,7 @@ def start_scoring(
     )
 
 
-def start_pipeline(
+def start_lake(
     events: DataFrame, root: str, publish: Callable[[DataFrame], None] | None = None, trigger: dict | None = None
 ) -> list[StreamingQuery]:
     """Bronze and silver from one parsed source, each with a checkpoint of its own."""

@@ -78,14 +78,14 @@ def test_prefix_sum_by_group(spark, hot):
 
 
 @pytest.mark.parametrize("include_now", [False, True])
-@pytest.mark.parametrize("horizon", [1, 5, 40])
-def test_seen_recently_by_brute_force(spark, horizon, include_now):
+@pytest.mark.parametrize("horizon, slices", [(1, 32), (5, 1), (40, 7), (100, 32)])
+def test_seen_recently_by_brute_force(spark, horizon, slices, include_now):
     events = [((i * 37) % 6, i) for i in range(300)]
     marks = [((i * 11) % 6, (i * i) % 300) for i in range(60)]
     got = scale.seen_recently(
         spark.createDataFrame(events, "key int, t long"),
         spark.createDataFrame(marks, "key int, m long"),
-        "key", "t", "m", horizon, "seen", include_now,
+        "key", "t", "m", horizon, "seen", include_now, slices,
     )
 
     def near(diff):

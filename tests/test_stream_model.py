@@ -10,7 +10,7 @@ from edgelake.operators import labels, model
 from edgelake.operators.features import build_features
 from edgelake.schemas import FEATURE_COLS, GOLD, SILVER, TARGET_COL
 from edgelake.sources import events, logs, tables
-from edgelake.streaming import pipeline
+from edgelake.streaming import jobs
 
 ONCE = {"availableNow": True}
 
@@ -31,7 +31,7 @@ class Feed:
         df = self.spark.createDataFrame(list(messages), "key string, value string").coalesce(1)
         df.write.mode("append").parquet(f"{self.root}/in")
         source = events.parse_events(events.read_messages(self.spark, "parquet", f"{self.root}/in"))
-        pipeline.start_silver(source, self.sink, f"{self.root}/cp", ONCE).awaitTermination()
+        jobs.start_silver(source, self.sink, f"{self.root}/cp", ONCE).awaitTermination()
 
 
 def base():
@@ -40,7 +40,7 @@ def base():
 
 def test_late_rows_update_open_windows_and_then_are_dropped(spark, tmp_path):
     root = str(tmp_path)
-    feed = Feed(spark, root, pipeline.SilverSink(f"{root}/silver"))
+    feed = Feed(spark, root, jobs.SilverSink(f"{root}/silver"))
     feed.send(message(1), message(16))
     feed.send(message(2), message(50))
     feed.send(message(3), message(20), message(36))
@@ -50,7 +50,7 @@ def test_late_rows_update_open_windows_and_then_are_dropped(spark, tmp_path):
 
 def test_previous_counts_come_from_earlier_batches(spark, tmp_path):
     root, sent = str(tmp_path), []
-    sink = pipeline.SilverSink(f"{root}/silver", publish=lambda df: sent.extend(map(tuple, df.collect())))
+    sink = jobs.SilverSink(f"{root}/silver", publish=lambda df: sent.extend(map(tuple, df.collect())))
     feed = Feed(spark, root, sink)
     feed.send(message(1), message(2), message(3, operation="put"), message(16))
     feed.send(message(31), message(17))
@@ -64,7 +64,7 @@ def test_previous_counts_come_from_earlier_batches(spark, tmp_path):
 
 def test_batch_and_stream_agree_when_the_batch_is_included(spark, tmp_path):
     root = str(tmp_path)
-    feed = Feed(spark, root, pipeline.SilverSink(f"{root}/silver", include_batch=True))
+    feed = Feed(spark, root, jobs.SilverSink(f"{root}/silver", include_batch=True))
     data = [message(m, key=m % 3, node=m % 5) for m in range(0, 120, 2)]
     feed.send(*data)
     requests = events.parse_events(spark.createDataFrame(data, "key string, value string")).withColumnRenamed("timestamp", "ts")
@@ -115,7 +115,7 @@ def test_model_life(spark, tmp_path):
 def test_scoring_sink_reloads_and_skips_bad_batches(spark, tmp_path):
     models, flags = str(tmp_path / "models"), str(tmp_path / "flags")
     at = F.timestamp_seconds(F.lit(1000))
-    sink = pipeline.ScoringSink(models, flags, threshold=0.5, now=lambda: at)
+    sink = jobs.ScoringSink(models, flags, threshold=0.5, now=lambda: at)
     batch = gold(spark).select(*SILVER.fieldNames())
     sink(batch, 0)
     assert sink.model is None
@@ -125,7 +125,8 @@ def test_scoring_sink_reloads_and_skips_bad_batches(spark, tmp_path):
     sink(batch.drop(FEATURE_COLS[0]), 2)
     assert sink.failed == [2]
     sink(batch, 1)
-    stored = pipeline.current_registry(spark.read.parquet(flags))
+    stored = jobs.read_registry(spark, flags, since="1970-01-01")
+    assert jobs.read_registry(spark, flags, since="1970-01-02").count() == 0
     want = gold(spark).where(f"{TARGET_COL} = 1").select("curr_object_id").distinct()
     assert rows(stored, "object_id") == rows(want)
     model.publish_model(sink.model, models, 1.0, spark)
