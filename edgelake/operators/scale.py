@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 BROADCAST_ROWS = 200_000
 LINES_PER_BUCKET = 1 << 20
-HORIZON_SLICES = 32
+HORIZON_SLICES = 4
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

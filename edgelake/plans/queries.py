@@ -1363,7 +1363,7 @@ def sketch_bits_qf(spark, sf):
     f"""SELECT (SELECT CAST(count(*) AS BIGINT) FROM sweep WHERE dropped) AS deletes,
       round((SELECT count(*) FROM sweep WHERE dropped) / (SELECT count(*) FROM placement), 9) AS dedup_rate,
       CAST(0 AS DOUBLE) AS false_delete_rate,
-      (SELECT CAST(sum(hop) AS BIGINT) FROM neighbors WHERE viewer IN (SELECT node_id FROM turns)) AS overhead,
+      (SELECT CAST(coalesce(sum(hop), 0) AS BIGINT) FROM neighbors WHERE viewer IN (SELECT node_id FROM turns)) AS overhead,
       (SELECT CAST(count(*) AS BIGINT) FROM sweep WHERE candidate) AS packs,
       (SELECT round(sum(coalesce(l, 0)) / count(*), 9) FROM nodes LEFT JOIN (
         SELECT node_id, avg(distance) AS l FROM ({ASOF}) GROUP BY 1) USING (node_id)) AS average_latency,
@@ -1386,8 +1386,8 @@ def run_summary(spark, sf):
         F.col("deletes"),
         F.col("dedup_rate"),
         F.col("false_delete_rate"),
-        overhead.agg(F.sum("trans_hops")).scalar().alias("overhead"),
-        overhead.agg(F.sum("packs")).scalar().alias("packs"),
+        overhead.agg(F.coalesce(F.sum("trans_hops"), F.lit(0))).scalar().alias("overhead"),
+        overhead.agg(F.coalesce(F.sum("packs"), F.lit(0))).scalar().alias("packs"),
     )
     tree = membership.cbf_tree(rows, near, *CBF)
     rates = membership.cbf_tree_fpr(_negatives(spark, sf), tree, near, *CBF).select(
