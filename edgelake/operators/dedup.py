@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelake.operators.placement import KEYS, copies, delete_rows, over_limit
-from edgelake.session import shared_dir
+from edgelake.session import stored
 
 # All decisions about an object depend on its own copies alone: a neighbour of a holder counts the
 # copies it can see, and a node's turn is set by its own use before the sweep. So one row per object
@@ -187,14 +187,13 @@ def dedup_latency_sweep(
 ) -> DataFrame:
     """Placement after several initiators in turn; a node below the limit when its turn comes is passed.
 
-    A turn changes other nodes' use, so turns are separate jobs, cut off from each other by checkpoints.
+    A turn changes other nodes' use, so turns are separate jobs, and the placement is stored after each.
     """
-    shared_dir(placement.sparkSession)
-    left = placement.select(*KEYS).checkpoint()
+    left = placement.select(*KEYS)
     for initiator in initiators:
         if over_limit(left, nodes, limit).where(F.col("node_id") == initiator).isEmpty():
             continue
-        left = delete_rows(left, dedup_latency(left, neighbors, hops, initiator, viral)).checkpoint()
+        left = stored(delete_rows(left, dedup_latency(left, neighbors, hops, initiator, viral)), "placement")
     return left
 
 

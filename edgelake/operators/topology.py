@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgelake.operators.scale import lookup_join
-from edgelake.session import shared_dir
+from edgelake.session import stored
 
 LAZY_ROUNDS = 4
 
@@ -22,7 +22,7 @@ def hop_distances(edges: DataFrame, nodes: DataFrame, max_hop: int | None = None
 
     ``edges`` has both directions. Few rounds are one plan: the ends of all walks of h steps, least h
     first. More rounds, or an open end, go step by step over the pairs not met before, and every step
-    is cut off by a checkpoint.
+    is stored, so that plans stay short and a lost executor costs one step.
     """
     step = edges.select(F.col("src").alias("_via"), F.col("dst").alias("_next"))
     ends = nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
@@ -37,21 +37,18 @@ def hop_distances(edges: DataFrame, nodes: DataFrame, max_hop: int | None = None
             found = found.unionByName(ends.withColumn("hop", F.lit(hop)))
         return found.groupBy("src", "dst").agg(F.min("hop").alias("hop"))
 
-    shared_dir(edges.sparkSession)
-    step = step.checkpoint()
-    frontier = ends.withColumn("hop", F.lit(0)).checkpoint()
-    found = frontier
+    step = stored(step, "edges")
+    found = frontier = stored(ends.withColumn("hop", F.lit(0)), "hops")
     hop = 0
     while max_hop is None or hop < max_hop:
         hop += 1
-        frontier = (
+        ends = (
             frontier.join(step, frontier["dst"] == step["_via"])
             .select("src", F.col("_next").alias("dst"))
             .distinct()
             .join(found, ["src", "dst"], "left_anti")
-            .withColumn("hop", F.lit(hop))
-            .checkpoint()
         )
+        frontier = stored(ends.withColumn("hop", F.lit(hop)), "hops")
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
@@ -81,22 +78,20 @@ def shortest_path_trees(edges: DataFrame, nodes: DataFrame, max_hop: int) -> Dat
     Breadth-first search takes the parent that was queued first, and siblings by id. In that order a
     level is sorted by its paths of ids, so the path to a node is the smallest of its shortest paths.
     """
-    step = edges.select(F.col("src").alias("_via"), F.col("dst").alias("_next"))
-    level = nodes.select(
-        F.col("node_id").alias("source"), F.col("node_id"), F.array("node_id").alias("path")
+    step = stored(edges.select(F.col("src").alias("_via"), F.col("dst").alias("_next")), "edges")
+    level = stored(
+        nodes.select(F.col("node_id").alias("source"), F.col("node_id"), F.array("node_id").alias("path")), "paths"
     )
-    shared_dir(edges.sparkSession)
-    met = level.select("source", "node_id").checkpoint()
-    tree = level
+    met, tree = level.select("source", "node_id"), level
     for _ in range(max_hop):
-        level = (
+        grown = (
             level.join(step, level["node_id"] == step["_via"])
             .select("source", F.col("_next").alias("node_id"), F.concat("path", F.array("_next")).alias("path"))
             .join(met, ["source", "node_id"], "left_anti")
             .groupBy("source", "node_id")
             .agg(F.min("path").alias("path"))
-            .checkpoint()
         )
+        level = stored(grown, "paths")
         if level.isEmpty():
             break
         met = met.union(level.select("source", "node_id"))

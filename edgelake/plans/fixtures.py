@@ -15,7 +15,7 @@ from edgelake.operators.features import build_features
 from edgelake.operators.labels import label_viral
 from edgelake.operators.placement import first_touch_placement
 from edgelake.operators.topology import hop_distances, neighborhood, undirected
-from edgelake.session import new_table_path, utc_timestamp
+from edgelake.session import stored, utc_timestamp
 
 N_NODES = 25
 MAX_HOP = 2
@@ -88,7 +88,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     node = nodes(spark, sf).select(F.col("node_id").alias("src"))
     ring = node.withColumn("dst", F.pmod(F.col("src") + 1, F.lit(N_NODES)).cast("int"))
     chord = node.withColumn("dst", F.pmod(F.col("src") * 7 + 3, F.lit(N_NODES)).cast("int"))
-    return undirected(ring.union(chord))
+    return stored(undirected(ring.union(chord)).coalesce(1), "edges")
 
 
 def hops(spark: SparkSession, sf: str, max_hop: int | None = MAX_HOP) -> DataFrame:
@@ -97,10 +97,8 @@ def hops(spark: SparkSession, sf: str, max_hop: int | None = MAX_HOP) -> DataFra
 
 def neighbors(spark: SparkSession, sf: str, known_hops: DataFrame | None = None) -> DataFrame:
     """Neighbourhoods as a stored table: several steps of a query read it, and it is small."""
-    path = new_table_path(spark, "neighbors")
     distances = hops(spark, sf) if known_hops is None else known_hops
-    neighborhood(distances, nodes(spark, sf), MAX_HOP).coalesce(1).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(neighborhood(distances, nodes(spark, sf), MAX_HOP).coalesce(1), "neighbors")
 
 
 def features(spark: SparkSession, sf: str, seconds: int = DAY) -> DataFrame:
@@ -109,16 +107,12 @@ def features(spark: SparkSession, sf: str, seconds: int = DAY) -> DataFrame:
 
 def silver(spark: SparkSession, sf: str) -> DataFrame:
     """Day features as the stored table they are in the lake."""
-    path = new_table_path(spark, "features")
-    features(spark, sf).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(features(spark, sf), "features")
 
 
 def placement(spark: SparkSession, sf: str) -> DataFrame:
     """Content of the caches after all requests, as a stored snapshot."""
-    path = new_table_path(spark, "placement")
-    first_touch_placement(requests(spark, sf), nodes(spark, sf)).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(first_touch_placement(requests(spark, sf), nodes(spark, sf)), "placement")
 
 
 def content(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,12 +125,11 @@ def content(spark: SparkSession, sf: str) -> DataFrame:
 
 def flags(spark: SparkSession, sf: str) -> DataFrame:
     """``(object_id, scored_at)``: objects labelled viral, flagged at the end of their day; stored."""
-    path = new_table_path(spark, "flags")
-    label_viral(silver(spark, sf)).where("is_viral_now = 1").select(
+    marked = label_viral(silver(spark, sf)).where("is_viral_now = 1").select(
         F.col("curr_object_id").alias("object_id"),
         F.timestamp_seconds((F.col("window_index") + 1) * DAY).alias("scored_at"),
-    ).write.parquet(path)
-    return spark.read.parquet(path)
+    )
+    return stored(marked, "flags")
 
 
 def evictions(spark: SparkSession, sf: str) -> DataFrame:
