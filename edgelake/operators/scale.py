@@ -14,8 +14,8 @@ HORIZON_SLICES = 4
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame has at most ``max_rows`` rows; counts no further."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+    """Whether a frame has at most ``max_rows`` rows, by a count in which every task sends one number."""
+    return df.count() <= max_rows
 
 
 def lookup_join(

@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         path = tempfile.mkdtemp(prefix="edgelake-")
         spark.sparkContext.setCheckpointDir(path)
@@ -60,6 +61,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of this run that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def utc_timestamp(spark: SparkSession, col: str | Column) -> Column:
     """Zoneless timestamp read as UTC, whatever the time zone of the session is."""
     col = F.col(col) if isinstance(col, str) else col
