@@ -59,3 +59,29 @@ SELECT x.doc_id, x.size, x.source_size, x.target,
        CAST(x.size * (x.whole + CASE WHEN x.filled OR (x.part AND f.fits) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM x LEFT JOIN f ON f.turn = x.turn AND f.n = x.n AND x.part
 """
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT a AS doc_id, b AS reached FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a),
+m AS (SELECT doc_id, min(reached) AS least FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(least, doc_id)) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS least FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM f
+"""
