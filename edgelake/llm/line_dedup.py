@@ -174,7 +174,7 @@ def common_prefixes(entries: DataFrame, seqs: DataFrame) -> DataFrame:
         "follows", (F.col("level") > 0) & F.coalesce(F.col("before") == F.col("prev.before"), F.lit(False))
     )
     near = stored(near.select("chunk", "rank", "d", "t", "line", "level", "follows", "prev"), "near")
-    asked = near.where("NOT follows AND level > 1").withColumn("from", F.shiftleft(F.lit(1), F.col("level") - 1))
+    asked = near.where("NOT follows AND level > 1").withColumn("from", F.pow(F.lit(2), F.col("level") - 1).cast("int"))
 
     def some(line: Column) -> Column:
         return F.slice("ids", (line + F.col("from") + 1).cast("int"), F.col("from") - 1)

@@ -16,6 +16,7 @@ from edgelake.llm import (
     decontaminate, html_text, language, line_dedup, mixing, near_dup, quality_classifier, quality_rules, token_counts, twins, warc,
 )
 from edgelake.llm.folds import fold
+from edgelake.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +34,7 @@ def query(oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
