@@ -243,3 +243,14 @@ def decontaminate(
         F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
         F.col("items").isNull().alias("kept"),
     )
+
+
+def drop_leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_id_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """``docs`` without the rows whose text overlaps a test item, with all their columns."""
+    found = overlaps(docs, items, id_col, text_col, item_id_col, item_text_col)
+    leaks = stored(found.select(F.xxhash64("doc_id", "text_key").alias("_key")).distinct(), "leaks")
+    key = F.xxhash64(F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col)))
+    return lookup_join(docs.withColumn("_key", key), leaks, ["_key"], "left_anti").select(*docs.columns)

@@ -346,3 +346,15 @@ def delete_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("_lines"),
         F.when(F.col("keep").isNull(), 0).otherwise(deleted).cast("bigint").alias("_deleted"),
     )
+
+
+def without_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", min_words: int = MIN_WORDS
+) -> DataFrame:
+    """``docs`` without later copies of runs, and without the rows of which nothing else is left.
+
+    All columns stay; ``size_col``, where there is one, follows the shorter text.
+    """
+    found = delete_copies(docs, id_col, text_col, min_words).where("_deleted = 0 OR _deleted < _lines")
+    size = F.when(F.col("_deleted") > 0, F.length(text_col)).otherwise(F.col(size_col)) if size_col in docs.columns else None
+    return found.select(*[size.cast(docs.schema[c].dataType).alias(c) if c == size_col else F.col(c) for c in docs.columns])

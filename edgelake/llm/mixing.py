@@ -245,3 +245,20 @@ def mixed_copies(plan: DataFrame, seed: str = SEED) -> DataFrame:
     copies = plan.select("doc_id", "source", F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64(F.lit(seed), "shard", "doc_id", "copy")
     return copies.repartition("shard").sortWithinPartitions("shard", order)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the mix draws, with all their columns and size, target, taken, copies and shards.
+
+    Rows without an id are drawn alike within their source, as often as the one that is drawn most.
+    """
+    def key(id_: str, source: str) -> Column:
+        return F.xxhash64(F.coalesce(F.col(id_).cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")))
+
+    plan = mix(docs, id_col, text_col, source_col).select(
+        key("doc_id", "source").alias("_key"), F.struct("copies", "size", "target", "taken", "shards").alias("_plan")
+    )
+    drawn = stored(plan.groupBy("_key").agg(F.max("_plan").alias("_plan")).where("_plan.copies > 0"), "plan")
+    return lookup_join(docs.withColumn("_key", key(id_col, source_col)), drawn, ["_key"]).select(
+        *docs.columns, *[F.col(f"_plan.{c}").alias(c) for c in ("size", "target", "taken", "copies", "shards")]
+    )

@@ -224,3 +224,19 @@ def near_duplicates(
         F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
         F.col("doc_id").eqNullSafe(F.when(F.col("doc_id").isNotNull(), component)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that of the smallest id, and all its columns.
+
+    Of rows of one id one stays. Rows without an id and texts without words are in no group and stay.
+    """
+    groups = stored(near_duplicates(docs, id_col, text_col, percent), "groups")
+    dropped = stored(groups.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
+    left = lookup_join(docs, dropped, [id_col], "left_anti").select(*docs.columns)
+    again = groups.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").drop("count")
+    again = stored(again, "again")
+    if again.isEmpty():
+        return left
+    single = lookup_join(left, again, [id_col], "left_anti").select(*docs.columns)
+    return single.unionByName(lookup_join(left, again, [id_col], "left_semi").select(*docs.columns).dropDuplicates([id_col]))
