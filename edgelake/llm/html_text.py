@@ -49,7 +49,7 @@ MARKS = re.compile(
 HEADERS = re.compile(r"(?:^|[^a-z])header(?=$|[^a-z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*?)>|[^<]+|<""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|[^<]+|<""",
     re.S,
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -161,7 +161,7 @@ def classify(found: list[Block]) -> list[Block]:
     """Label blocks in two passes; ``label`` is true for main text.
 
     With an article in the page, blocks outside it need a decision of their own; inside it only links speak against a
-    block. A block that has no decided neighbour in its region is main text.
+    block, and say nothing of its neighbours. A block that has no decided neighbour in its region is main text.
     """
     has_main = any(b.main and not b.furniture for b in found)
     for b in found:
@@ -175,26 +175,27 @@ def classify(found: list[Block]) -> list[Block]:
                 b.label = True
             elif stops < STOP_LOW and not b.main:
                 b.label = False
-    decided = [b.label for b in found]
+    decided = [None if b.main and b.label is False else b.label for b in found]
+    before = _nearest(found, decided, range(len(found)))
+    after = _nearest(found, decided, range(len(found) - 1, -1, -1))
     for i, b in enumerate(found):
         if b.label is None:
-            b.label = (b.main or not has_main) and _inherited(found, decided, i)
+            near = [j for j in (before[i], after[i]) if j is not None]
+            least = min((abs(j - i) for j in near), default=0)
+            inherited = not near or any(decided[j] for j in near if abs(j - i) == least)
+            b.label = inherited and (b.main or not has_main)
     return found
 
 
-def _inherited(found: list[Block], decided: list[bool | None], i: int) -> bool:
-    """The label of the nearest decided blocks of the same region; main text if either side is, or none is there."""
-    near = []
-    for step in (-1, 1):
-        j = i + step
-        while 0 <= j < len(found) and (decided[j] is None or found[j].region != found[i].region):
-            j += step
-        if 0 <= j < len(found):
-            near.append((abs(j - i), decided[j]))
-    if not near:
-        return True
-    least = min(near)[0]
-    return any(label for distance, label in near if distance == least)
+def _nearest(found: list[Block], decided: list[bool | None], order: range) -> list[int | None]:
+    """For each block the last decided block of its region that came before it in this order."""
+    last: dict[int, int] = {}
+    near: list[int | None] = [None] * len(found)
+    for i in order:
+        near[i] = last.get(found[i].region)
+        if decided[i] is not None:
+            last[found[i].region] = i
+    return near
 
 
 def main_text(page: str) -> tuple[str, int, int]:
