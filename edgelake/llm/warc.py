@@ -29,6 +29,7 @@ MIN_REVISIT_BYTES = 100
 RECORDS_PER_ARCHIVE = 50_000
 CHUNK = 1 << 20
 RANGE_BYTES = 8 << 20
+MOST_TASKS = 20_000
 LEVEL = 6
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -194,14 +195,15 @@ _RECORD = "page_id bigint, url string, record_type string, refers_to bigint, dig
 def read_records(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Records of normalised archives by their index: page_id, url, record_type, refers_to, digest, payload.
 
-    Members are taken in ranges of about ``range_bytes``, so one archive is read by many tasks. The digest is that of the
+    Members are taken in ranges of about ``range_bytes``, each a task, so one archive is read by many. The digest is that of the
     payload for a response, of which the header must agree, and the header's for a revisit, which has no payload.
     """
     stop = F.col("offset") + F.col("length")
     ranges = index.groupBy("archive", F.floor(F.col("offset") / range_bytes).alias("part")).agg(
         F.min("offset").alias("start"), F.max(stop).alias("stop")
     )
-    ranges = ranges.repartition("archive", "part").select("archive", "start", "stop")
+    ranges = stored(ranges.select("archive", "start", "stop"), "ranges")
+    ranges = ranges.repartition(min(MOST_TASKS, max(1, ranges.count())))
 
     def number(value: str | None) -> int | None:
         text = (value or "").removeprefix(f"<{ID}").removesuffix(">")
