@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from edgelake.schemas import WINDOW_SECONDS
 
 
+# First and last millisecond of the years 1 to 9999.
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
+
+
 def event_time(epoch_ms: Column) -> Column:
-    return F.timestamp_millis(epoch_ms)
+    """Time of a number of milliseconds; NULL outside the years 1 to 9999."""
+    return F.when(epoch_ms.between(FIRST_MS, LAST_MS), F.timestamp_millis(epoch_ms))
 
 
 def window_index(ts: Column, seconds: int = WINDOW_SECONDS) -> Column:

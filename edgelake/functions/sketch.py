@@ -55,11 +55,17 @@ def seeded_hash(value: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed_key(seed)).cast("bigint"), value.cast("bigint"))
 
 
-def bloom_bits_per_entry(false_positive_rate: float) -> int:
+def bloom_bits_per_entry(false_positive_rate: Column | float) -> Column | int:
+    """Bits per entry of a Bloom filter for a rate; a column of rates gives a column."""
+    if isinstance(false_positive_rate, Column):
+        return F.ceil(-F.log(false_positive_rate) / math.log(2) ** 2).cast("bigint")
     return math.ceil(-math.log(false_positive_rate) / math.log(2) ** 2)
 
 
-def bloom_hash_count(bits_per_entry: int) -> int:
+def bloom_hash_count(bits_per_entry: Column | int) -> Column | int:
+    """Hash functions that suit so many bits per entry."""
+    if isinstance(bits_per_entry, Column):
+        return F.floor(bits_per_entry * math.log(2) + 0.5).cast("bigint")
     return math.floor(bits_per_entry * math.log(2) + 0.5)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from edgelake.functions.sketch import bloom_positions, fingerprint, fingerprint_bits
 from edgelake.operators.scale import is_small, lookup_join, skew_join
 
+FILTER_BYTES = 64 << 20
 
 # Counting Bloom filter: (group..., pos, cnt)
 
@@ -35,13 +36,36 @@ def cbf_merge(first: DataFrame, second: DataFrame, group: Sequence[str] = ()) ->
     return first.unionByName(second).groupBy(*group, "pos").agg(F.sum("cnt").alias("cnt"))
 
 
+def cbf_words(cbf: DataFrame, group: Sequence[str], n_bits: int) -> DataFrame:
+    """Filters as bitmaps, one row per group: ``words`` has 64 positions per number."""
+    bit = F.expr("shiftleft(1L, CAST(pos % 64 AS INT))")
+    used = cbf.where("cnt > 0").select(*group, F.expr("pos div 64").alias("word"), bit.alias("bits"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(-(-n_bits // 64) - 1).cast("bigint")))
+    groups = cbf.select(*group).distinct() if group else cbf.sparkSession.range(1).select()
+    empty = groups.select(*group, every.alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    whole = used.unionByName(empty).groupBy(*group, "word").agg(F.bit_or("bits").alias("bits"))
+    return whole.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("words"))
+
+
 def cbf_semi_join(
     df: DataFrame, cbf: DataFrame, group: Sequence[str], col: str, n_bits: int, n_hashes: int
 ) -> DataFrame:
     """Rows whose positions are all set in the filter of their group.
 
-    Every distinct value is probed once, and the verdict goes back to its rows by a salted join.
+    The filters are packed to bitmaps; as long as these have at most FILTER_BYTES together they are broadcast, and
+    no probe is shuffled. Beyond that every distinct value is probed once by position, and the verdict goes back
+    to its rows by a salted join.
     """
+    group = list(group)
+    filters = cbf.select(*group).distinct().count() if group else 1
+    if filters * n_bits <= 8 * FILTER_BYTES:
+        def is_set(pos: Column) -> Column:
+            word = F.get("words", (pos / 64).cast("int"))
+            return F.call_function("shiftright", word, (pos % 64).cast("int")).bitwiseAND(1) == 1
+
+        words = F.broadcast(cbf_words(cbf, group, n_bits))
+        probes = df.join(words, group) if group else df.withColumn("words", words.scalar())
+        return probes.where(F.forall(bloom_positions(F.col(col), n_bits, n_hashes), is_set)).select(*df.columns)
     probes = df.select(*group, col).distinct()
     found = _cbf_found(probes, cbf, group, col, n_bits, n_hashes)
     return skew_join(df, found, [*group, col], "left_semi")
@@ -67,9 +91,27 @@ def _cbf_found(
 def cbf_delete(
     cbf: DataFrame, keys: DataFrame, group: Sequence[str], col: str, n_bits: int, n_hashes: int
 ) -> DataFrame:
-    """Filter without the keys, each taken out once; keys that are not found change nothing."""
-    gone = _cbf_found(keys.select(*group, col).distinct(), cbf, group, col, n_bits, n_hashes)
-    minus = cbf_build(gone, group, col, n_bits, n_hashes).withColumn("cnt", -F.col("cnt"))
+    """Filter with one insert less per key, as often as the key seems to be in it; others change nothing."""
+    group = list(group)
+    asked = keys.groupBy(*group, col).agg(F.count(F.lit(1)).alias("_asked"))
+    laid = (
+        asked.select(*group, col, "_asked", F.explode(bloom_positions(F.col(col), n_bits, n_hashes)).alias("pos"))
+        .groupBy(*group, col, "_asked", "pos")
+        .agg(F.count(F.lit(1)).alias("_times"))
+    )
+    held = F.floor(F.coalesce("cnt", F.lit(0)) / F.col("_times"))
+    taken = (
+        laid.join(cbf, [*group, "pos"], "left")
+        .groupBy(*group, col, "_asked")
+        .agg(F.min(held).alias("_held"))
+        .select(*group, col, F.least("_asked", "_held").alias("_n"))
+        .where("_n > 0")
+    )
+    minus = (
+        taken.select(*group, "_n", F.explode(bloom_positions(F.col(col), n_bits, n_hashes)).alias("pos"))
+        .groupBy(*group, "pos")
+        .agg((-F.sum("_n")).alias("cnt"))
+    )
     return cbf_merge(cbf, minus, group).where("cnt > 0")
 
 

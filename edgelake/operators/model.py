@@ -154,7 +154,10 @@ def load_model(spark: SparkSession, path: str, version: int) -> PipelineModel:
 
 def retrain(spark: SparkSession, gold: DataFrame, path: str, rounds: int = ROUNDS, min_f1: float = MIN_F1) -> int | None:
     """Gold to a new published version, or None when the labels or the quality do not allow one."""
-    split = chronological_split(training_rows(gold))
+    usable = training_rows(gold)
+    if usable.select(TARGET_COL).distinct().count() < 2:
+        return None
+    split = chronological_split(usable)
     model = train_viral(split.where("is_test = 0").drop("is_test"), rounds)
     if model is None:
         return None

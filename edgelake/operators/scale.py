@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from edgelake.session import stored
+
 BROADCAST_ROWS = 200_000
 LINES_PER_BUCKET = 1 << 20
 HORIZON_SLICES = 4
+SALTS_PER_PART = 4
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -35,18 +38,19 @@ def lookup_join(
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], parts: int) -> list[tuple]:
-    """Keys with more than one part in ``parts`` of the rows, each with its parts: fewer than ``parts``."""
+    """Keys with more than one part in ``parts`` of the rows, each with its salts: fewer than ``parts``."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     share = F.col("_rows") * F.lit(parts) / counts.agg(F.sum("_rows")).scalar()
-    return [tuple(r) for r in counts.where(share > 1).select(*keys, F.ceil(share).cast("int")).collect()]
+    salts = F.ceil(share * SALTS_PER_PART).cast("int")
+    return [tuple(r) for r in counts.where(share > 1).select(*keys, salts).collect()]
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join of a long left side, whose keys may be hot, with few right rows per key.
 
     A key is hot when it has more than one part in P of the left rows, P being the number of shuffle
-    partitions, so there are fewer than P such keys. A key with k parts is dealt over k salts, and only
-    its right rows are repeated k times; without hot keys it is a plain join. ``how`` is one of inner,
+    partitions, so there are fewer than P such keys. A key with k parts is dealt over 4k salts, so that some
+    falling together matters little, and only its right rows are repeated; without hot keys it is a plain join. ``how`` is one of inner,
     left, left_semi and left_anti. The keys of the left side are counted at once, so it is best a
     stored table, and these joins are not to be nested.
     """
@@ -124,9 +128,10 @@ def seen_recently(
     """Flag rows whose key has a mark at most ``horizon`` before them, on whole-number clocks.
 
     ``0 < at - marked_at <= horizon``, or ``0 <= at - marked_at < horizon`` with ``include_now``.
-    The clock is cut into slices of the horizon, so a hot key is spread over its slices, also within a
-    burst. Of the marks in the slice of a row the earliest decides, of those in the slices before it
-    the latest: the join is on (key, slice) with these two numbers, and no key is sorted or windowed.
+    The clock is cut into slices of the horizon. Of the marks in the slice of a row the earliest decides, of
+    those in the slices before it the latest: the join is on (key, slice) with these two numbers, and no key is
+    sorted or windowed. A burst on one key falls into few slices, so the rows are stored, and slices with many of
+    them are salted.
     """
     width = F.lit(max(1, horizon // slices))
     reach = -(-horizon // max(1, horizon // slices))
@@ -145,9 +150,9 @@ def seen_recently(
         hit = (F.col("_first") <= now) | (now - F.col("_prior") < horizon)
     else:
         hit = (F.col("_first") < now) | (now - F.col("_prior") <= horizon)
+    sliced = stored(rows.withColumn("_slice", F.floor(now / width).cast("bigint")), "sliced")
     return (
-        rows.withColumn("_slice", F.floor(now / width).cast("bigint"))
-        .join(near, [key, "_slice"], "left")
+        skew_join(sliced, near, [key, "_slice"], "left")
         .withColumn(out, F.coalesce(hit, F.lit(False)).cast("int"))
         .drop("_slice", "_first", "_prior")
     )

@@ -88,7 +88,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     node = nodes(spark, sf).select(F.col("node_id").alias("src"))
     ring = node.withColumn("dst", F.pmod(F.col("src") + 1, F.lit(N_NODES)).cast("int"))
     chord = node.withColumn("dst", F.pmod(F.col("src") * 7 + 3, F.lit(N_NODES)).cast("int"))
-    return stored(undirected(ring.union(chord)).coalesce(1), "edges")
+    return stored(undirected(ring.union(chord)), "edges")
 
 
 def hops(spark: SparkSession, sf: str, max_hop: int | None = MAX_HOP) -> DataFrame:
@@ -98,7 +98,7 @@ def hops(spark: SparkSession, sf: str, max_hop: int | None = MAX_HOP) -> DataFra
 def neighbors(spark: SparkSession, sf: str, known_hops: DataFrame | None = None) -> DataFrame:
     """Neighbourhoods as a stored table: several steps of a query read it, and it is small."""
     distances = hops(spark, sf) if known_hops is None else known_hops
-    return stored(neighborhood(distances, nodes(spark, sf), MAX_HOP).coalesce(1), "neighbors")
+    return stored(neighborhood(distances, nodes(spark, sf), MAX_HOP), "neighbors")
 
 
 def features(spark: SparkSession, sf: str, seconds: int = DAY) -> DataFrame:

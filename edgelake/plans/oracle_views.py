@@ -80,12 +80,9 @@ view("counts15", counts_sql(900), "gets")
 view("counts_day", counts_sql(DAY), "gets")
 view("features15", features_sql("counts15", 900), "counts15")
 view("features_day", features_sql("counts_day", DAY), "counts_day")
-view(
-    "closed",
-    """SELECT f.* FROM features_day f, (SELECT max(window_index) AS m FROM features_day)
-    WHERE window_index >= m - 96 AND window_index < m""",
-    "features_day",
-)
+def closed_sql(source: str) -> str:
+    return f"""SELECT f.* FROM {source} f, (SELECT max(window_index) AS m FROM {source})
+    WHERE window_index >= m - 96 AND window_index < m"""
 
 
 def label_sql(source: str) -> str:
@@ -98,20 +95,22 @@ def label_sql(source: str) -> str:
 
 
 view("labeled", label_sql("features_day"), "features_day")
-view("labeled_closed", label_sql("closed"), "closed")
-view(
-    "gold",
-    """SELECT a.window_index, a.hour_of_day, a.hour_sin, a.hour_cos, a.curr_object_id, a.active_edges_count,
+
+
+def gold_sql(closed: str, source: str) -> str:
+    return f"""SELECT a.window_index, a.hour_of_day, a.hour_sin, a.hour_cos, a.curr_object_id, a.active_edges_count,
         a.req_count_current, a.req_count_previous, a.growth_rate,
         coalesce(b.is_viral_now, 0) AS is_viral_next_window
-    FROM labeled_closed a LEFT JOIN labeled_closed b
+    FROM labeled_{closed} a LEFT JOIN labeled_{closed} b
       ON b.curr_object_id = a.curr_object_id AND b.window_index = a.window_index + 1
-    WHERE a.window_index < (SELECT max(window_index) - 1 FROM features_day)
-      AND (SELECT count(DISTINCT window_index) FROM closed) > 1""",
-    "labeled_closed",
-    "closed",
-    "features_day",
-)
+    WHERE a.window_index < (SELECT max(window_index) - 1 FROM {source})
+      AND (SELECT count(DISTINCT window_index) FROM {closed}) > 1"""
+
+
+for closed, source, gold in (("closed", "features_day", "gold"), ("closed15", "features15", "gold15")):
+    view(closed, closed_sql(source), source)
+    view(f"labeled_{closed}", label_sql(closed), closed)
+    view(gold, gold_sql(closed, source), f"labeled_{closed}", closed, source)
 view(
     "flags",
     f"""SELECT curr_object_id AS object_id, make_timestamp(CAST((window_index + 1) * {DAY} * 1000000 AS BIGINT)) AS scored_at
@@ -169,6 +168,24 @@ view(
 )
 
 
+def over_lines(text: str) -> str:
+    """A query over the same views, with requests taken from the log lines instead of the events."""
+    requests = f"""SELECT line_no, CAST(NULL AS TIMESTAMP) AS ts, operation,
+        CAST(((node_number % {N_NODES}) + {N_NODES}) % {N_NODES} AS INTEGER) AS node_id,
+        CAST(((h % 9223372036854775807) + 9223372036854775807) % 9223372036854775807 AS BIGINT) AS object_id
+      FROM (SELECT *, CAST(concat('0x', substr(sha256(object_key), 1, 16)) AS UBIGINT) AS u,
+        CASE WHEN u >= 9223372036854775808 THEN CAST(u AS HUGEINT) - 18446744073709551616 ELSE CAST(u AS HUGEINT) END AS h
+      FROM ({PARSED.format(lines=f"({VIEWS['lines'][1]})")}))"""
+    return text.replace(VIEWS["requests"][1], requests)
+
+
+PARSED = r"""SELECT line_no, f[2] AS object_key, TRY_CAST(f[5] AS BIGINT) AS node_number, lower(f[6]) AS operation
+    FROM (SELECT line_no, string_split_regex(regexp_replace(trim(value), '[,\s]+$', ''), '[,\s]+') AS f,
+            trim(value) AS t FROM {lines})
+    WHERE t <> '' AND NOT (line_no = 1 AND NOT regexp_matches(t, '^[0-9]')) AND len(f) >= 6
+      AND regexp_matches(f[5], '^[+-]?[0-9]+$')"""
+
+
 def permission_sql(source: str) -> str:
     return f"""SELECT p.node_id, p.object_id, bool_and(coalesce(c.n, 0) > 1 OR b.node_id IS NULL) AS permitted
     FROM {source} p LEFT JOIN neighbors b ON b.viewer = p.node_id

@@ -16,8 +16,8 @@ from edgelake.operators import dedup, features, labels, membership, metrics, mod
 from edgelake.operators.scale import prefix_sum
 from edgelake.plans import fixtures as fx
 from edgelake.plans import oracle_views as ov
-from edgelake.schemas import FEATURE_COLS, GOLD, SILVER, TARGET_COL
-from edgelake.session import new_table_path
+from edgelake.schemas import FEATURE_COLS, GOLD, MIN_F1, SILVER, TARGET_COL, WINDOWS_PER_DAY
+from edgelake.session import new_table_path, stored
 from edgelake.sources import events, logs, reports, tables
 from edgelake.streaming import jobs
 
@@ -133,11 +133,7 @@ def every_nth_get(spark, sf):
 
 # Logs and messages
 
-PARSED = r"""SELECT line_no, f[2] AS object_key, TRY_CAST(f[5] AS BIGINT) AS node_number, lower(f[6]) AS operation
-    FROM (SELECT line_no, string_split_regex(regexp_replace(trim(value), '[,\s]+$', ''), '[,\s]+') AS f,
-            trim(value) AS t FROM lines)
-    WHERE t <> '' AND NOT (line_no = 1 AND NOT regexp_matches(t, '^[0-9]')) AND len(f) >= 6
-      AND regexp_matches(f[5], '^[+-]?[0-9]+$')"""
+PARSED = ov.PARSED.format(lines="lines")
 
 
 @query(PARSED, "lines")
@@ -153,8 +149,14 @@ def read_request_log(spark, sf):
     """The same through packed text files on disk, numbered by the reader."""
     path = new_table_path(spark, "log")
     lines = fx.request_lines(spark, sf)
-    lines.repartition(1).sortWithinPartitions("line_no").select("value").write.option("compression", "gzip").text(path)
-    return logs.read_request_log(spark, path).drop("file")
+    _four_files(lines, path)
+    return logs.read_request_log(spark, path).select("line_no", "object_key", "node_number", "operation")
+
+
+def _four_files(lines, path):
+    """Packed files that follow each other by name as their lines do."""
+    ordered = lines.repartitionByRange(4, "line_no").sortWithinPartitions("line_no")
+    ordered.select("value").write.option("compression", "gzip").text(path)
 
 
 SIMPLE_LINE = "line_no || ' a b  c ' || CASE WHEN line_no % 9 = 4 THEN 'x' ELSE CAST(node_number * 31 AS VARCHAR) END"
@@ -211,7 +213,7 @@ def event_messages(spark, sf):
 
 
 @query(
-    """SELECT CASE WHEN line_no % 10 <> 3 THEN (epoch_us(ts) // 1000) * 1000 END AS ts_us,
+    """SELECT CASE WHEN line_no % 10 NOT IN (3, 5) THEN (epoch_us(ts) // 1000) * 1000 END AS ts_us,
       CASE WHEN line_no % 10 <> 3 THEN object_id END AS object_id,
       CASE WHEN line_no % 10 <> 3 THEN CAST(node_id AS VARCHAR) END AS node_id,
       CASE WHEN line_no % 10 <> 3 THEN operation END AS operation
@@ -219,9 +221,10 @@ def event_messages(spark, sf):
     "requests",
 )
 def parse_events(spark, sf):
-    """Messages to bronze rows; some values are broken, some are missing."""
+    """Messages to bronze rows; some values are broken, some are missing, some have a time no calendar has."""
     rows, rel, absolute = fx.event_records(spark, sf)
-    messages = events.event_messages(rows, rel, absolute)
+    far = F.when(F.col("line_no") % 20 == 5, F.lit(2**63 - 1)).otherwise(F.lit(-(2**63)))
+    messages = events.event_messages(rows, rel, F.when(F.col("line_no") % 10 == 5, far).otherwise(absolute))
     digit = F.regexp_extract("value", r'"timestamp_rel":\d*(\d)', 1)
     values = messages.select(
         "key", F.when(digit == "3", F.lit("{not json")).when(digit != "7", F.col("value")).alias("value")
@@ -413,6 +416,15 @@ def gold_labels(spark, sf):
     return rounded(labels.build_gold(fx.silver(spark, sf)))
 
 
+@query(f"SELECT {FEATURE_SELECT}, is_viral_next_window FROM gold15", "gold15")
+def gold_from_store(spark, sf):
+    """Gold of the last day's 15-minute windows, from the silver store; folders of earlier days are not read."""
+    path = new_table_path(spark, "silver")
+    tables.append_silver(fx.features(spark, sf, 900), path, 1)
+    recent = tables.read_recent_silver(spark, path, labels.LOOKBACK_WINDOWS)
+    return rounded(labels.build_gold(recent))
+
+
 # Registry
 
 def _flag_time():
@@ -1020,6 +1032,53 @@ def latency_overhead(spark, sf):
     return dedup.latency_overhead(dedup.latency_permissions(rows, near, hops, INITIATOR), near, INITIATOR)
 
 
+# Replay of a log
+
+
+def replay_log(spark, sf):
+    """From packed log files to hits, backhaul, use of the caches and a sweep, as totals of one replay."""
+    path = new_table_path(spark, "log")
+    _four_files(fx.request_lines(spark, sf), path)
+    parsed = logs.read_request_log(spark, path).select(
+        "line_no",
+        keys.object_id(F.col("object_key")).alias("object_id"),
+        keys.route(F.col("node_number"), fx.N_NODES).alias("node_id"),
+        "operation",
+    )
+    requests, hosts, near = stored(parsed, "requests"), fx.nodes(spark, sf), fx.neighbors(spark, sf)
+    held = stored(placement.first_touch_placement(requests, hosts), "placement")
+    measured = placement.nearest_replica_asof(features.get_requests(requests), held, near, fx.CLOUD_HOP)
+    evicted = requests.where("operation = 'error'").select("object_id", "line_no")
+    marked = metrics.mark_thrashing(measured.withColumn("viral", F.lit(0)), evicted, fx.THRASH_LINES, fx.CLOUD_HOP)
+    totals = metrics.request_metrics(marked, fx.EDGE_MAX_HOP, fx.CLOUD_HOP).select(
+        "total_requests", "local_hit_requests", "neighbor_hit_requests", "cloud_requests", "total_latency", "cache_thrashing_count"
+    )
+    series = placement.storage_series(requests, held, hosts, 50)
+    drops = dedup.dedup_basic(held, near, hosts, fx.LIMIT)
+    return totals.select(
+        "*",
+        series.agg(F.coalesce(F.sum("used"), F.lit(0))).scalar().alias("used_in_samples"),
+        drops.agg(F.count(F.lit(1))).scalar().alias("dropped_copies"),
+    )
+
+
+QUERIES["replay_log"] = replay_log
+ORACLES["replay_log"] = ov.over_lines(ov.sql(
+    f"""SELECT CAST(count(*) AS BIGINT) AS total_requests,
+      CAST(count(*) FILTER (distance = 0) AS BIGINT) AS local_hit_requests,
+      CAST(count(*) FILTER (distance > 0 AND distance <= {fx.EDGE_MAX_HOP}) AS BIGINT) AS neighbor_hit_requests,
+      CAST(count(*) FILTER (distance >= {fx.CLOUD_HOP}) AS BIGINT) AS cloud_requests,
+      CAST(coalesce(sum(distance), 0) AS BIGINT) AS total_latency,
+      CAST(count(*) FILTER (distance >= {fx.CLOUD_HOP} AND EXISTS (SELECT 1 FROM requests e WHERE e.operation = 'error'
+        AND e.object_id = m.object_id AND m.line_no - e.line_no > 0 AND m.line_no - e.line_no <= {fx.THRASH_LINES}))
+        AS BIGINT) AS cache_thrashing_count,
+      (SELECT CAST(coalesce(sum(used), 0) AS BIGINT) FROM ({SERIES})) AS used_in_samples,
+      (SELECT count(*) FROM sweep WHERE dropped) AS dropped_copies
+    FROM ({ASOF}) m""",
+    "gets", "placement", "neighbors", "requests", "nodes", "sweep",
+))
+
+
 # Model
 
 
@@ -1075,7 +1134,7 @@ def classification_report(spark, sf):
     return rounded(model.classification_report(gold.withColumn("prediction", model.decide(share))))
 
 
-TRAIN_ROUNDS = 10
+_published: dict[tuple[str, str], str] = {}
 
 
 def _stored_gold(spark, sf):
@@ -1084,27 +1143,54 @@ def _stored_gold(spark, sf):
     return tables.read_table(spark, path, GOLD)
 
 
-def _trained(spark, sf):
-    split = model.chronological_split(model.training_rows(_stored_gold(spark, sf)))
-    return split, model.train_viral(split.where("is_test = 0"), TRAIN_ROUNDS)
+def _models(spark, sf):
+    """Folder of the model that ``retrain`` makes of gold with the published settings; made once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _published:
+        path = new_table_path(spark, "models")
+        rows = _stored_gold(spark, sf)
+        if model.retrain(spark, rows, path) is None:
+            # Below the gate nothing is published; what was trained is then stored under the version it would have.
+            split = model.chronological_split(model.training_rows(rows))
+            trained = model.train_viral(split.where("is_test = 0").drop("is_test"))
+            trained.write().overwrite().save(f"{path}/version=1")
+        _published[key] = path
+    return _published[key]
 
 
 @query()
 def train_and_score(spark, sf):
-    """Scores of the held-out rows by a model trained on the others."""
-    split, trained = _trained(spark, sf)
-    return model.score(split.where("is_test = 1"), trained, 0.5)
+    """Scores of the held-out rows by a model trained on the others: 200 rounds, threshold 0.95."""
+    split = model.chronological_split(model.training_rows(_stored_gold(spark, sf)))
+    return model.score(split.where("is_test = 1"), model.load_model(spark, _models(spark, sf), 1))
 
 
-@query()
+@query(
+    """SELECT CAST(count(*) FILTER (WHERE NOT is_test) AS BIGINT) AS train_rows,
+      CAST(count(*) FILTER (WHERE is_test) AS BIGINT) AS test_rows,
+      CAST(count(*) FILTER (WHERE NOT is_test AND is_viral_next_window = 1) AS BIGINT) AS positives,
+      round(CAST(count(*) FILTER (WHERE NOT is_test AND is_viral_next_window = 0) AS DOUBLE)
+        / greatest(count(*) FILTER (WHERE NOT is_test AND is_viral_next_window = 1), 1) * 0.7, 9) AS positive_weight,
+      true AS gate_held
+    FROM (SELECT *, row_number() OVER (ORDER BY window_index, curr_object_id)
+        > count(*) OVER () - CAST(ceil(count(*) OVER () * 0.2) AS BIGINT) AS is_test FROM gold)""",
+    "gold",
+)
 def model_publication(spark, sf):
-    """Versions after a model passed the gate and another did not."""
-    path = new_table_path(spark, "models")
-    split, trained = _trained(spark, sf)
-    f1 = model.classification_report(model.score(split.where("is_test = 1"), trained, 0.5)).first()["f1"]
-    model.publish_model(trained, path, f1, spark, min_f1=0.0)
-    model.publish_model(trained, path, f1, spark, min_f1=1.1)
-    return spark.read.json(f"{path}/versions", schema="version long, f1 double")
+    """What a model was trained on, and whether it was published exactly if its F1 is 0.4 or more."""
+    split = model.chronological_split(model.training_rows(_stored_gold(spark, sf)))
+    train, test = split.where("is_test = 0"), split.where("is_test = 1")
+    path = _models(spark, sf)
+    f1 = model.classification_report(model.score(test, model.load_model(spark, path, 1))).first()["f1"]
+    version = model.latest_version(spark, path)
+    balance = model.class_balance(train)
+    return rounded(balance.select(
+        (F.col("negatives") + F.col("positives")).alias("train_rows"),
+        F.lit(test.count()).cast("bigint").alias("test_rows"),
+        "positives",
+        "positive_weight",
+        F.lit((version is not None) == (f1 >= MIN_F1)).alias("gate_held"),
+    ))
 
 
 # Membership
@@ -1144,13 +1230,8 @@ def bloom_positions(spark, sf):
 )
 def bloom_sizing(spark, sf):
     """Bits per entry and hash functions for one false hit in ``capacity``, node by node."""
-    rate = 1 / F.col("capacity")
-    bits = F.ceil(-F.log(rate) / F.pow(F.log(F.lit(2.0)), 2))
-    return fx.nodes(spark, sf).select(
-        "node_id",
-        bits.cast("bigint").alias("bits"),
-        F.floor(bits * F.log(F.lit(2.0)) + 0.5).cast("bigint").alias("hashes"),
-    )
+    bits = sketch.bloom_bits_per_entry(1 / F.col("capacity"))
+    return fx.nodes(spark, sf).select("node_id", bits.alias("bits"), sketch.bloom_hash_count(bits).alias("hashes"))
 
 
 CBF_SQL = """SELECT node_id, pos, CAST(count(*) AS BIGINT) AS cnt FROM content JOIN positions USING (object_id)
@@ -1175,12 +1256,22 @@ def cbf_merge(spark, sf):
     return membership.cbf_merge(even, odd)
 
 
-@query("SELECT node_id, object_id FROM content", "content")
+@query(
+    """SELECT node_id, object_id FROM (
+      SELECT p.node_id, p.object_id, d.pos FROM (
+        SELECT node_id, object_id FROM content UNION SELECT (node_id + 1) % 20, object_id FROM content) p
+      JOIN (SELECT DISTINCT object_id, pos FROM positions) d USING (object_id))
+    LEFT JOIN (SELECT DISTINCT node_id, pos, 1 AS is_set FROM content JOIN positions USING (object_id)) USING (node_id, pos)
+    GROUP BY node_id, object_id HAVING count(*) = count(is_set)""",
+    "content",
+    "positions",
+)
 def cbf_semi_join(spark, sf):
-    """Every member is found in the filter of its node."""
+    """Members and as many others against the filter of a node: members are found, and others by false hits."""
     rows = fx.content(spark, sf)
+    others = rows.select(F.pmod(F.col("node_id") + 1, F.lit(20)).alias("node_id"), "object_id")
     cbf = membership.cbf_build(rows, ["node_id"], "object_id", *CBF)
-    return membership.cbf_semi_join(rows, cbf, ["node_id"], "object_id", *CBF)
+    return membership.cbf_semi_join(rows.union(others).distinct(), cbf, ["node_id"], "object_id", *CBF)
 
 
 @query(
@@ -1416,19 +1507,71 @@ def _bronze_stream(spark, sf):
     return events.parse_events(events.read_messages(spark, "parquet", _message_files(spark, sf)))
 
 
-@query(
-    """SELECT window_index, curr_object_id, req_count_current, hour_of_day,
-      CAST(req_count_previous AS BIGINT) AS req_count_previous, round(growth_rate, 9) AS growth_rate FROM features15""",
-    "features15",
-)
+@query(f"SELECT {FEATURE_SELECT} FROM features15", "features15")
 def stream_silver(spark, sf):
     """Silver store filled by the feature stream, previous counts taken from the batch as well."""
     path = new_table_path(spark, "silver")
     sink = jobs.SilverSink(path, include_batch=True)
     _run(jobs.start_silver(_bronze_stream(spark, sf), sink, f"{path}-checkpoint", ONCE))
-    return rounded(tables.read_silver(spark, path).select(
-        "window_index", "curr_object_id", "req_count_current", "hour_of_day", "req_count_previous", "growth_rate"
-    ))
+    return rounded(tables.read_silver(spark, path))
+
+
+# 2024-01-16 00:00 UTC, a window boundary.
+HALF_MS = 1705363200000
+
+
+def _feed(spark, sf, folder, chosen):
+    """Append the chosen events to a folder of messages, as one file per task."""
+    rows, rel, absolute = fx.event_records(spark, sf)
+    events.event_messages(rows.where(chosen), rel, absolute).write.mode("append").parquet(folder)
+
+
+@query(f"SELECT {FEATURE_SELECT} FROM features15", "features15")
+def stream_silver_restarted(spark, sf):
+    """The same by two streams: the second has a checkpoint of its own, so its batches count from 0 again."""
+    root = new_table_path(spark, "restarted")
+    at = F.unix_millis("ts")
+    for half, chosen in enumerate((at < HALF_MS, at >= HALF_MS)):
+        _feed(spark, sf, f"{root}/messages{half}", chosen)
+        source = events.parse_events(events.read_messages(spark, "parquet", f"{root}/messages{half}"))
+        sink = jobs.SilverSink(f"{root}/silver", include_batch=True)
+        _run(jobs.start_silver(source, sink, f"{root}/checkpoint{half}", ONCE))
+    return rounded(tables.read_silver(spark, f"{root}/silver"))
+
+
+@query(f"SELECT {FEATURE_SELECT} FROM features15", "features15")
+def silver_compacted(spark, sf):
+    """A store of several versions, put into one."""
+    path = new_table_path(spark, "silver")
+    rows = fx.features(spark, sf, 900)
+    for batch_id, part in enumerate((rows.withColumn("req_count_current", F.lit(-1).cast("bigint")), rows)):
+        tables.append_silver(part, path, tables.batch_version(spark, path, "run", batch_id))
+    first, last = rows.agg(F.min("window_index"), F.max("window_index")).first()
+    tables.compact_silver(spark, path, first // WINDOWS_PER_DAY, last // WINDOWS_PER_DAY)
+    return rounded(tables.read_silver(spark, path))
+
+
+LATE = f"""SELECT *, line_no % 10 = 7 AND epoch_ms(ts) < {HALF_MS} AS late FROM gets"""
+
+
+@query(
+    f"""SELECT CAST(floor(epoch(ts) / 900) AS BIGINT) AS window_index, object_id AS curr_object_id,
+      CAST(count(*) AS BIGINT) AS req_count_current
+    FROM ({LATE}) WHERE NOT late OR (floor(epoch(ts) / 900) + 1) * 900 > (
+      SELECT max(epoch_ms(ts)) / 1000 - 900 FROM ({LATE}) WHERE NOT late AND epoch_ms(ts) < {HALF_MS})
+    GROUP BY 1, 2""",
+    "gets",
+)
+def stream_late_rows(spark, sf):
+    """A tenth of the first half comes with the second: it counts where its window is still open, else it is dropped."""
+    root = new_table_path(spark, "late")
+    at = F.unix_millis("ts")
+    late = (F.col("line_no") % 10 == 7) & (at < HALF_MS)
+    for chosen in (~late & (at < HALF_MS), late | (at >= HALF_MS)):
+        _feed(spark, sf, f"{root}/messages", chosen)
+        source = events.parse_events(events.read_messages(spark, "parquet", f"{root}/messages"))
+        _run(jobs.start_silver(source, jobs.SilverSink(f"{root}/silver"), f"{root}/checkpoint", ONCE))
+    return tables.read_silver(spark, f"{root}/silver").select("window_index", "curr_object_id", "req_count_current")
 
 
 @query(
@@ -1471,16 +1614,36 @@ def stream_two_sinks(spark, sf):
     return rows
 
 
-@query()
+@query(
+    """SELECT DISTINCT curr_object_id AS object_id, 'TRUE' AS status, CAST(1705709700000000 AS BIGINT) AS expires_us
+    FROM features_day WHERE req_count_current >= 2""",
+    "features_day",
+)
 def stream_scoring(spark, sf):
-    """Registry written by the scoring stream over published features, with the newest model."""
+    """Registry written by the scoring stream over published features, by a model whose rule is a request count."""
     root = new_table_path(spark, "scoring")
-    _, trained = _trained(spark, sf)
-    model.publish_model(trained, f"{root}/models", 1.0, spark)
-    events.feature_messages(fx.features(spark, sf)).write.parquet(f"{root}/features")
-    rows = events.parse_feature_messages(events.read_messages(spark, "parquet", f"{root}/features"))
+    rows = fx.features(spark, sf)
+    taught = rows.withColumn(TARGET_COL, (F.col("req_count_current") >= 2).cast("int"))
+    model.publish_model(model.train_viral(taught, 20), f"{root}/models", 1.0, spark)
+    events.feature_messages(rows).write.parquet(f"{root}/features")
+    parsed = events.parse_feature_messages(events.read_messages(spark, "parquet", f"{root}/features"))
     sink = jobs.ScoringSink(f"{root}/models", f"{root}/registry", threshold=0.5, now=_flag_time)
-    _run(jobs.start_scoring(rows, sink, f"{root}/checkpoint", ONCE))
+    _run(jobs.start_scoring(parsed, sink, f"{root}/checkpoint", ONCE))
     return jobs.read_registry(spark, f"{root}/registry", since="2024-01-20").select(
         "object_id", "status", F.unix_micros("expires_at").alias("expires_us")
     )
+
+
+@query(
+    """SELECT object_id, 'TRUE' AS status, epoch_us(max(scored_at)) + 900000000 AS expires_us FROM flags GROUP BY 1""",
+    "flags",
+)
+def registry_restarted(spark, sf):
+    """The stored registry after two streams, both with a first batch 0, which is written twice."""
+    path = new_table_path(spark, "registry")
+    scores = fx.flags(spark, sf).withColumn("prediction", F.lit(1))
+    for run, chosen in (("one", F.col("scored_at") < _flag_time()), ("two", F.col("scored_at") >= _flag_time())):
+        for _ in range(2):
+            version = tables.batch_version(spark, path, run, 0)
+            jobs.append_flags(registry.viral_flags(scores.where(chosen), F.col("scored_at")), path, version)
+    return jobs.read_registry(spark, path).select("object_id", "status", F.unix_micros("expires_at").alias("expires_us"))

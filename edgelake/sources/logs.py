@@ -18,6 +18,8 @@ KEY_COLUMN = 1
 NUMBER_COLUMN = 4
 OPERATION_COLUMN = 5
 
+PACKED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
+
 
 def _split_once(lines: DataFrame, keep: list[str], separator: str) -> DataFrame:
     """Lines with their ``_fields``; blanks and control characters around a line and separators at its
@@ -35,51 +37,61 @@ def _is_whole(text: Column) -> Column:
 
 
 def number_lines(lines: DataFrame, file: str = "file", block: str = "block", row: str = "row") -> DataFrame:
-    """Add ``line_no`` (from 1 in every file) to lines tagged with file, block start and row order.
+    """Add ``line_no``, from 1 over all files in the order of their names, and ``file_line``, from 1 in every file.
 
-    Within a block the row tag grows in reading order but starts anywhere, so the number is the
-    distance to the smallest tag of the block plus the lines of earlier blocks. The table of blocks
-    has a row per split of the input, not per line.
+    Within a block the row tag grows in reading order but starts anywhere, so the number is the distance to the
+    smallest tag of the block plus the lines of earlier blocks. The table of blocks has a row per split of the
+    input, not per line.
     """
     blocks = lines.groupBy(file, block).agg(
         F.count(F.lit(1)).alias("_lines"), F.min(row).alias("_start")
     )
-    earlier = Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)
+    of_file = Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
-        file, block, "_start", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before")
+        file,
+        block,
+        "_start",
+        F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_lines").over(of_file), F.lit(0)).alias("_before_here"),
     )
+    place = F.col(row) - F.col("_start") + 1
     return (
         lookup_join(lines, offsets, [file, block])
-        .withColumn("line_no", F.col(row) - F.col("_start") + F.col("_before") + 1)
-        .drop("_start", "_before")
+        .withColumns({"line_no": place + F.col("_before"), "file_line": place + F.col("_before_here")})
+        .drop("_start", "_before", "_before_here")
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files (gz too) as ``(file, line_no, value)``, numbered from 1 in every file.
+def read_lines(spark: SparkSession, path: str, land: str | None = None) -> DataFrame:
+    """Lines of text files as ``(file, line_no, file_line, value)``; see ``number_lines``.
 
-    Packed text is one task per file and its splits may change between two scans, so the tagged
-    lines are landed once as a columnar table, and numbered and parsed from there in parallel.
+    Plain text is read in splits, twice. A packed file is one task, so the tagged lines of packed input are landed
+    once as a columnar table, at ``land`` or a path of the run, and numbered and parsed from there in parallel. The
+    caller deletes the table when the result is used up.
     """
-    landed = new_table_path(spark, "lines")
-    spark.read.text(path).select(
+    tagged = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         "value",
-    ).write.parquet(landed)
-    return number_lines(spark.read.parquet(landed)).select("file", "line_no", "value")
+    )
+    if any(name.endswith(PACKED) for name in spark.read.text(path).inputFiles()):
+        landed = land or new_table_path(spark, "lines")
+        tagged.write.parquet(landed)
+        tagged = spark.read.parquet(landed)
+    return number_lines(tagged).select("file", "line_no", "file_line", "value")
 
 
 def parse_request_lines(lines: DataFrame) -> DataFrame:
     """``(line_no, value)`` to ``(line_no, object_key, node_number, operation)``.
 
-    Dropped: blank lines, a first line that starts with a non-digit, lines of fewer than six fields,
+    Dropped: blank lines, a first line of a file that starts with a non-digit, lines of fewer than six fields,
     lines whose fifth field is no whole number.
     """
     keep = [c for c in lines.columns if c != "value"]
     fields = F.col("_fields")
-    header = (F.col("line_no") == 1) & ~fields[0].rlike(r"^\p{Nd}")
+    header = (F.col("file_line" if "file_line" in lines.columns else "line_no") == 1) & ~fields[0].rlike(r"^\p{Nd}")
     return (
         _split_once(lines, keep, REQUEST_SEPARATOR)
         .where((F.size(fields) >= REQUEST_MIN_COLUMNS) & ~header & _is_whole(fields[NUMBER_COLUMN]))
@@ -106,12 +118,12 @@ def parse_simple_lines(lines: DataFrame, n_nodes: int) -> DataFrame:
     )
 
 
-def read_request_log(spark: SparkSession, path: str) -> DataFrame:
-    return parse_request_lines(read_lines(spark, path))
+def read_request_log(spark: SparkSession, path: str, land: str | None = None) -> DataFrame:
+    return parse_request_lines(read_lines(spark, path, land))
 
 
-def read_simple_log(spark: SparkSession, path: str, n_nodes: int) -> DataFrame:
-    return parse_simple_lines(read_lines(spark, path), n_nodes)
+def read_simple_log(spark: SparkSession, path: str, n_nodes: int, land: str | None = None) -> DataFrame:
+    return parse_simple_lines(read_lines(spark, path, land), n_nodes)
 
 
 def follow_simple_log(spark: SparkSession, folder: str, n_nodes: int, **options: str) -> DataFrame:

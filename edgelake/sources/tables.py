@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from edgelake.schemas import SILVER, SILVER_KEYS, WINDOWS_PER_DAY
+from edgelake.session import drop_tables
 
 
 def read_table(
@@ -59,49 +60,114 @@ def write_bronze(stream: DataFrame, path: str, checkpoint: str, trigger: dict |
     )
 
 
-# The silver store keeps every version of a row as it was written: one folder per (day, batch).
-# A batch that runs again replaces its own folders only, so a write is safe to repeat, and no
-# reader ever sees a row taken away. Reading keeps the newest version of every key.
+# The silver store and the registry keep every version of a row as it was written: one folder per
+# (day, version). Versions count up over all runs of a stream. A batch that runs again has the version of its
+# first try and replaces its own folders only, so a write is safe to repeat, and no reader ever sees a row
+# taken away. Reading keeps the newest version of every key. A store has one writer at a time.
 
 _STORED = StructType(
-    [*SILVER.fields, StructField("window_day", LongType()), StructField("batch_id", LongType())]
+    [*SILVER.fields, StructField("window_day", LongType()), StructField("version", LongType())]
 )
+_VERSIONS = StructType(
+    [StructField("run", StringType()), StructField("batch_id", LongType()), StructField("version", LongType())]
+)
+
+
+def run_id(spark: SparkSession) -> str:
+    """Id of the stream whose batch this is: kept in its checkpoint, and another one with a new checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
+def next_version(spark: SparkSession, path: str) -> int:
+    return (_versions(spark, path).agg(F.max("version")).first()[0] or 0) + 1
+
+
+def batch_version(spark: SparkSession, path: str, run: str, batch_id: int) -> int:
+    """The store's version for one batch of one run: the same whenever the batch is tried, and above all before it."""
+    same = (F.col("run") == run) & (F.col("batch_id") == batch_id)
+    known = _versions(spark, path).agg(F.max(F.when(same, F.col("version")))).first()[0]
+    if known is not None:
+        return known
+    version = next_version(spark, path)
+    _log_version(spark, path, run, batch_id, version)
+    return version
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, f"{path}/_versions", _VERSIONS, "json")
 
 
-def append_silver(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write the rows of one batch. Rebalancing gives a day few files, and several when it is large."""
+def _log_version(spark: SparkSession, path: str, run: str, batch_id: int, version: int) -> None:
+    spark.createDataFrame([(run, batch_id, version)], _VERSIONS).coalesce(1).write.mode("append").json(f"{path}/_versions")
+
+
+def append_silver(df: DataFrame, path: str, version: int) -> None:
+    """Write the rows of one version. Rebalancing gives a day few files, and several when it is large."""
     day = F.floor(F.col("window_index") / WINDOWS_PER_DAY).cast("bigint")
     (
-        df.select(*SILVER.fieldNames(), day.alias("window_day"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+        df.select(*SILVER.fieldNames(), day.alias("window_day"), F.lit(version).cast("bigint").alias("version"))
         .hint("rebalance", "window_day")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("window_day", "batch_id")
+        .partitionBy("window_day", "version")
         .parquet(path)
     )
 
 
-def silver_batch(spark: SparkSession, path: str, batch_id: int, windows: tuple[int, int]) -> DataFrame:
-    """The rows one batch wrote, given its range of windows."""
-    return _silver_versions(spark, path, windows).where(F.col("batch_id") == batch_id).select(*SILVER.fieldNames())
+def silver_version(spark: SparkSession, path: str, version: int, windows: tuple[int, int]) -> DataFrame:
+    """The rows of one version, given its range of windows."""
+    return _silver_rows(spark, path, windows).where(F.col("version") == version).select(*SILVER.fieldNames())
 
 
 def read_silver(
-    spark: SparkSession, path: str, windows: tuple[int, int] | None = None, before_batch: int | None = None
+    spark: SparkSession, path: str, windows: tuple[int, int] | None = None, before_version: int | None = None
 ) -> DataFrame:
-    """Newest version of every (window, object); a window range limits the folders that are listed."""
-    rows = _silver_versions(spark, path, windows)
-    if before_batch is not None:
-        rows = rows.where(F.col("batch_id") < before_batch)
+    """Newest version of every (window, object); a window range limits the folders that are read."""
+    rows = _silver_rows(spark, path, windows)
+    if before_version is not None:
+        rows = rows.where(F.col("version") < before_version)
     values = [c for c in SILVER.fieldNames() if c not in SILVER_KEYS]
-    newest = rows.groupBy(*SILVER_KEYS).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
+    newest = rows.groupBy(*SILVER_KEYS).agg(F.max_by(F.struct(*values), "version").alias("v"))
     return newest.select(*[F.col(c) if c in SILVER_KEYS else F.col(f"v.{c}") for c in SILVER.fieldNames()])
 
 
-def _silver_versions(spark: SparkSession, path: str, windows: tuple[int, int] | None) -> DataFrame:
+def newest_window(spark: SparkSession, path: str) -> int | None:
+    """The last window with rows: the last day by its folder, which no column is read for, and its last window."""
+    rows = read_table(spark, path, _STORED)
+    day = rows.agg(F.max("window_day")).first()[0]
+    return rows.where(F.col("window_day") == day).agg(F.max("window_index")).first()[0]
+
+
+def read_recent_silver(spark: SparkSession, path: str, windows: int) -> DataFrame:
+    """The newest window and so many before it; the folders of earlier days are left alone."""
+    newest = newest_window(spark, path)
+    if newest is None:
+        return read_table(spark, path, SILVER)
+    return read_silver(spark, path, (newest - windows, newest))
+
+
+def compact_silver(spark: SparkSession, path: str, first_day: int, last_day: int) -> int | None:
+    """Put the newest rows of days that are over into one version, and delete the versions before it.
+
+    Until the old folders are gone readers find rows twice and keep the newest, so a job that stops half-way
+    does no harm and can run again. To be run by the writer of the store, between its batches.
+    """
+    windows = (first_day * WINDOWS_PER_DAY, (last_day + 1) * WINDOWS_PER_DAY - 1)
+    rows = _silver_rows(spark, path, windows)
+    old = [tuple(r) for r in rows.select("window_day", "version").distinct().collect()]
+    if len(old) <= len({day for day, _ in old}):
+        return None
+    version = max(next_version(spark, path), 1 + max(v for _, v in old))
+    _log_version(spark, path, "compaction", version, version)
+    append_silver(read_silver(spark, path, windows), path, version)
+    drop_tables(spark, [f"{path}/window_day={day}/version={v}" for day, v in old])
+    return version
+
+
+def _silver_rows(spark: SparkSession, path: str, windows: tuple[int, int] | None) -> DataFrame:
+    rows = read_table(spark, path, _STORED)
     if windows is None:
-        return read_table(spark, path, _STORED)
+        return rows
     first, last = windows
-    days = ",".join(str(d) for d in range(first // WINDOWS_PER_DAY, last // WINDOWS_PER_DAY + 1))
-    rows = read_table(spark, f"{path}/window_day={{{days}}}", _STORED, base=path)
-    return rows.where(F.col("window_index").between(first, last))
+    days = F.col("window_day").between(first // WINDOWS_PER_DAY, last // WINDOWS_PER_DAY)
+    return rows.where(days & F.col("window_index").between(first, last))

@@ -15,9 +15,17 @@ from edgelake.functions.keys import is_get
 from edgelake.operators.features import add_hour_features, join_previous_count
 from edgelake.operators.model import latest_version, load_model, score
 from edgelake.operators.registry import viral_flags
-from edgelake.schemas import REGISTRY, SILVER_KEYS, VIRAL_THRESHOLD, VIRAL_TTL_SECONDS
+from edgelake.schemas import FEATURE_COLS, REGISTRY, SILVER_KEYS, VIRAL_THRESHOLD, VIRAL_TTL_SECONDS
 from edgelake.sources.events import feature_messages
-from edgelake.sources.tables import append_silver, read_silver, read_table, silver_batch, write_bronze
+from edgelake.sources.tables import (
+    append_silver,
+    batch_version,
+    read_silver,
+    read_table,
+    run_id,
+    silver_version,
+    write_bronze,
+)
 
 log = logging.getLogger(__name__)
 
@@ -52,7 +60,8 @@ def windowed_features(events: DataFrame, window: str = WINDOW, lateness: str = L
 class SilverSink:
     """``foreachBatch`` step: previous counts from the silver store, append, publish.
 
-    The previous count is looked up in what earlier batches stored; with ``include_batch`` also in the
+    A batch's version in the store belongs to its stream (the checkpoint's) and its number, so a batch that is
+    repeated replaces itself and a stream with a new checkpoint adds to what older ones stored. The previous count is looked up in what earlier batches stored; with ``include_batch`` also in the
     batch itself, which gives the value a batch job would.
     """
 
@@ -78,22 +87,25 @@ class SilverSink:
         first, last = batch.agg(F.min("window_index"), F.max("window_index")).first()
         if first is None:
             return
-        history = read_silver(spark, self.path, (first - 2, last), before_batch=batch_id).select(
+        version = batch_version(spark, self.path, run_id(spark), batch_id)
+        history = read_silver(spark, self.path, (first - 2, last), before_version=version).select(
             *SILVER_KEYS, "req_count_current"
         )
         if self.include_batch:
             own = batch.select(*SILVER_KEYS, "req_count_current")
             history = history.join(own, SILVER_KEYS, "left_anti").unionByName(own)
-        append_silver(join_previous_count(batch, history), self.path, batch_id)
+        append_silver(join_previous_count(batch, history), self.path, version)
         if self.publish:
-            self.publish(feature_messages(silver_batch(spark, self.path, batch_id, (first, last))))
+            self.publish(feature_messages(silver_version(spark, self.path, version, (first, last))))
 
 
 class ScoringSink:
     """``foreachBatch`` step: score feature rows with the newest model and set viral flags.
 
-    A newer model is taken up when its version appears. A batch that fails is logged and passed over;
-    the registry is written before Spark commits the batch, and setting a flag twice is harmless.
+    A newer model is taken up when its version appears; one that cannot be read leaves the loaded one in use. Without
+    any model the batch fails, and so does one that cannot be written, so no batch is committed unscored. Rows
+    without a feature cannot be scored and are left out. The registry is written before Spark commits the
+    batch, and setting a flag twice is harmless.
     """
 
     def __init__(
@@ -111,36 +123,39 @@ class ScoringSink:
         self.now = now
         self.version: int | None = None
         self.model = None
-        self.failed: list[int] = []
 
     def reload(self, spark: SparkSession) -> None:
-        newest = latest_version(spark, self.model_path)
-        if newest is not None and newest != self.version:
-            self.model, self.version = load_model(spark, self.model_path, newest), newest
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
         try:
-            self.reload(batch.sparkSession)
-            if self.model is None:
-                return
-            scores = score(batch, self.model, self.threshold).withColumnRenamed("curr_object_id", "object_id")
-            append_flags(viral_flags(scores, self.now(), self.ttl), self.registry_path, batch_id)
+            newest = latest_version(spark, self.model_path)
+            if newest is not None and newest != self.version:
+                self.model, self.version = load_model(spark, self.model_path, newest), newest
         except Exception:
-            log.exception("batch %s was not scored", batch_id)
-            self.failed.append(batch_id)
+            if self.model is None:
+                raise
+            log.exception("the newest model cannot be read, version %s stays in use", self.version)
+        if self.model is None:
+            raise RuntimeError(f"there is no model in {self.model_path}")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        self.reload(spark)
+        complete = batch.dropna(subset=FEATURE_COLS)
+        scores = score(complete, self.model, self.threshold).withColumnRenamed("curr_object_id", "object_id")
+        version = batch_version(spark, self.registry_path, run_id(spark), batch_id)
+        append_flags(viral_flags(scores, self.now(), self.ttl), self.registry_path, version)
 
 
-def append_flags(flags: DataFrame, path: str, batch_id: int) -> None:
-    """Flags set by one batch, in folders by day and batch that a repeat replaces."""
+def append_flags(flags: DataFrame, path: str, version: int) -> None:
+    """Flags set by one batch, in folders by day and version that a repeat replaces."""
     (
         flags.select(
             *REGISTRY.fieldNames(),
             F.to_date("scored_at").alias("scored_day"),
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
+            F.lit(version).cast("bigint").alias("version"),
         )
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("scored_day", "batch_id")
+        .partitionBy("scored_day", "version")
         .parquet(path)
     )
 
@@ -151,13 +166,13 @@ def read_registry(spark: SparkSession, path: str, since: str | None = None) -> D
     A flag lives minutes, so a lookup reads the last day or two and leaves older folders alone.
     """
     stored = StructType(
-        [*REGISTRY.fields, StructField("scored_day", DateType()), StructField("batch_id", LongType())]
+        [*REGISTRY.fields, StructField("scored_day", DateType()), StructField("version", LongType())]
     )
     flags = read_table(spark, path, stored)
     if since is not None:
         flags = flags.where(F.col("scored_day") >= F.lit(since).cast("date"))
     rest = [c for c in REGISTRY.fieldNames() if c != "object_id"]
-    newest = flags.groupBy("object_id").agg(F.max_by(F.struct(*rest), "scored_at").alias("f"))
+    newest = flags.groupBy("object_id").agg(F.max_by(F.struct(*rest), F.struct("scored_at", "version")).alias("f"))
     return newest.select("object_id", "f.*")
 
 

@@ -42,6 +42,30 @@ def test_delete_takes_back_an_insert(numbers):
     assert rows(m.cbf_delete(left, unknown, [], "x", *size), "pos", "cnt") == rows(left, "pos", "cnt")
 
 
+def test_deletes_count_repeats(spark):
+    size = (1 << 12, 7)
+    twice = spark.createDataFrame([(5,), (5,), (6,)], "x long")
+    cbf = m.cbf_build(twice, [], "x", *size)
+    once = m.cbf_delete(cbf, twice.where("x = 5").limit(1), [], "x", *size)
+    assert rows(m.cbf_semi_join(twice.distinct(), once, [], "x", *size)) == [(5,), (6,)]
+    none = m.cbf_delete(cbf, twice.where("x = 5"), [], "x", *size)
+    assert rows(m.cbf_semi_join(twice.distinct(), none, [], "x", *size)) == [(6,)]
+    more = m.cbf_delete(cbf, twice.where("x = 5").union(twice.where("x = 5")), [], "x", *size)
+    assert rows(more, "pos", "cnt") == rows(m.cbf_build(twice.where("x = 6"), [], "x", *size), "pos", "cnt")
+
+
+def test_probes_of_small_filters_are_not_shuffled(spark, numbers, monkeypatch):
+    cbf = m.cbf_build(numbers.where("x <= 100"), [], "x", 4096, 5)
+    grouped = m.cbf_build(numbers.where("x <= 100").withColumn("g", F.col("x") % 2), ["g"], "x", 4096, 5)
+    probes = numbers.withColumn("g", F.col("x") % 2)
+    found = m.cbf_semi_join(probes, grouped, ["g"], "x", 4096, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(g" not in plan.split("BroadcastExchange")[0]
+    packed = rows(found, "g", "x"), rows(m.cbf_semi_join(numbers, cbf, [], "x", 4096, 5))
+    monkeypatch.setattr(m, "FILTER_BYTES", 0)
+    assert packed == (rows(m.cbf_semi_join(probes, grouped, ["g"], "x", 4096, 5), "g", "x"), rows(m.cbf_semi_join(numbers, cbf, [], "x", 4096, 5)))
+
+
 def test_fingerprints_insert_search_delete(numbers):
     members = numbers.where("x <= 10000")
     qf = m.qf_build(members.union(members.where("x <= 10")), [], "x", 40)

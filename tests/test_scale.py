@@ -93,3 +93,24 @@ def test_seen_recently_by_brute_force(spark, horizon, slices, include_now):
 
     want = sorted((k, t, int(any(k == j and near(t - m) for j, m in marks))) for k, t in events)
     assert rows(got, "key", "t", "seen") == want
+
+
+def test_a_burst_on_one_key_is_spread_over_tasks(spark):
+    n = F.col("id")
+    events = spark.range(4000).select(
+        n.alias("line"),
+        F.when(n % 2 == 0, F.lit(7)).otherwise(n % 500).cast("int").alias("key"),
+        F.when(n % 2 == 0, F.lit(1000)).otherwise(n).alias("t"),
+    )
+    marks = spark.range(600).select((F.col("id") % 500).cast("int").alias("key"), F.col("id").alias("m"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = scale.seen_recently(events, marks, "key", "t", "m", 500, "seen")
+        sizes = got.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert sizes.sum() == 4000 and sizes.max() <= 2 * 4000 / 16
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

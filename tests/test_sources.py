@@ -6,9 +6,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from edgelake.functions.clock import event_time
 from edgelake.functions import keys, sketch
-from edgelake.operators import registry
+from edgelake.operators import features, placement, registry
 from edgelake.schemas import SILVER
+from edgelake.session import drop_tables
 from edgelake.sources import events, logs, tables
 
 # (line, parsed): what the request log rules make of a line that is not the first
@@ -40,14 +42,32 @@ def test_first_line(spark, first, kept):
     assert logs.parse_request_lines(lines).count() == 1 + kept
 
 
-def test_files_are_numbered_one_by_one(spark, tmp_path):
+def test_files_are_numbered_in_one_order(spark, tmp_path):
     for name, n in [("a", 5), ("b", 300)]:
         with gzip.open(tmp_path / f"{name}.log.gz", "wt") as out:
             out.write("h k n m x get\n\n" + "".join(f"{i} k{i} 0 0 {i} get\n" for i in range(3, n + 1)))
-    parsed = logs.read_request_log(spark, str(tmp_path))
-    assert parsed.where(F.col("line_no") != F.col("node_number")).count() == 0
+    land = str(tmp_path / "landed" / "lines")
+    parsed = logs.read_request_log(spark, f"{tmp_path}/*.gz", land)
+    assert parsed.where(F.col("file_line") != F.col("node_number")).count() == 0
     assert parsed.groupBy("file").count().count() == 2
-    assert parsed.count() == 3 + 298
+    got = rows(parsed, "line_no")
+    assert got == [(i,) for i in [*range(3, 6), *range(8, 306)]]
+    numbered = features.number_requests(parsed)
+    assert rows(numbered, "get_seq") == [(i,) for i in range(1, 302)]
+    drop_tables(spark, [land])
+    assert not (tmp_path / "landed" / "lines").exists()
+
+
+def test_series_over_several_files_has_a_sample_per_line(spark, tmp_path):
+    for name in "ab":
+        with gzip.open(tmp_path / f"{name}.log.gz", "wt") as out:
+            out.write("".join(f"{i} k{name}{i % 2} 0 0 {i} get\n" for i in range(1, 6)))
+    log = logs.read_request_log(spark, f"{tmp_path}/*.gz").withColumn("object_id", keys.object_id(F.col("object_key")))
+    requests = log.withColumn("node_id", F.lit(0))
+    nodes = spark.createDataFrame([(0, 10)], "node_id int, capacity int")
+    inserts = requests.groupBy("object_id").agg(F.min("line_no").alias("insert_line"))
+    series = placement.storage_series(requests, inserts, nodes, 1)
+    assert rows(series, "sample", "used") == list(zip(range(1, 11), [1, 2, 2, 2, 2, 3, 4, 4, 4, 4]))
 
 
 def test_split_files_are_numbered_across_splits(spark, tmp_path):
@@ -127,10 +147,39 @@ def test_silver_store_keeps_the_newest_and_repeats_safely(spark, tmp_path):
     for _ in range(2):
         tables.append_silver(silver(spark, [(97, 1, 20), (201, 2, 6)]), path, 1)
     assert rows(tables.read_silver(spark, path), *cols) == [(96, 1, 10), (97, 1, 20), (200, 2, 5), (201, 2, 6)]
-    assert rows(tables.read_silver(spark, path, before_batch=1), *cols) == [(96, 1, 10), (97, 1, 11), (200, 2, 5)]
+    assert rows(tables.read_silver(spark, path, before_version=1), *cols) == [(96, 1, 10), (97, 1, 11), (200, 2, 5)]
     assert rows(tables.read_silver(spark, path, (97, 120)), *cols) == [(97, 1, 20)]
     assert tables.read_silver(spark, path, (5000, 5001)).count() == 0
-    assert rows(tables.silver_batch(spark, path, 1, (97, 201)), *cols) == [(97, 1, 20), (201, 2, 6)]
+    assert rows(tables.silver_version(spark, path, 1, (97, 201)), *cols) == [(97, 1, 20), (201, 2, 6)]
+
+
+def test_versions_grow_over_runs_and_belong_to_a_batch(spark, tmp_path):
+    path = str(tmp_path / "silver")
+    versions = [tables.batch_version(spark, path, run, batch) for run, batch in [("a", 0), ("a", 1), ("b", 0), ("a", 1), ("b", 0)]]
+    assert versions == [1, 2, 3, 2, 3]
+
+
+def test_compaction_keeps_what_readers_see(spark, tmp_path):
+    path = str(tmp_path / "silver")
+    cols = ["window_index", "curr_object_id", "req_count_current"]
+    for run in range(3):
+        version = tables.batch_version(spark, path, "a", run)
+        tables.append_silver(silver(spark, [(96 + run, 1, run), (99, 1, run), (300, 2, run)]), path, version)
+    before = rows(tables.read_silver(spark, path), *cols)
+    assert tables.compact_silver(spark, path, 1, 1) == 4
+    assert rows(tables.read_silver(spark, path), *cols) == before
+    kept = spark.read.parquet(path).select("window_day", "version").distinct()
+    assert rows(kept) == [(1, 4), (3, 1), (3, 2), (3, 3)]
+    assert tables.compact_silver(spark, path, 1, 1) is None
+    assert tables.batch_version(spark, path, "a", 3) == 5
+    assert tables.newest_window(spark, path) == 300
+    assert rows(tables.read_recent_silver(spark, path, 5), *cols) == [(300, 2, 2)]
+
+
+def test_times_outside_the_calendar_are_null(spark):
+    ms = [0, 253_402_300_799_999, 253_402_300_800_000, 2**63 - 1, -(2**63), None]
+    df = spark.createDataFrame([(x,) for x in ms], "ms long").select("ms", event_time(F.col("ms")).isNull().alias("none"))
+    assert {r.ms: r.none for r in df.collect()} == {x: i > 1 for i, x in enumerate(ms)}
 
 
 def test_read_table_hides_only_absence(spark, tmp_path):

@@ -34,6 +34,25 @@ class Feed:
         jobs.start_silver(source, self.sink, f"{self.root}/cp", ONCE).awaitTermination()
 
 
+def test_a_new_checkpoint_adds_to_the_store(spark, tmp_path):
+    root = str(tmp_path)
+    for run, minutes in enumerate([(1, 16), (31, 46)]):
+        feed = Feed(spark, f"{root}/{run}", jobs.SilverSink(f"{root}/silver"))
+        feed.send(*[message(m) for m in minutes])
+    got = rows(tables.read_silver(spark, f"{root}/silver"), "window_index", "req_count_current", "req_count_previous")
+    b = base()
+    assert got == [(b, 1, 0), (b + 1, 1, 0), (b + 2, 1, 1), (b + 3, 1, 0)]
+
+
+def test_a_stream_goes_on_after_a_time_no_calendar_has(spark, tmp_path):
+    root = str(tmp_path)
+    feed = Feed(spark, root, jobs.SilverSink(f"{root}/silver"))
+    bad = ("1", '{"timestamp_rel":0,"timestamp_abs":9223372036854775807,"key":1,"node_id":1,"operation":"get"}')
+    feed.send(message(1), bad)
+    feed.send(message(16))
+    assert rows(tables.read_silver(spark, f"{root}/silver"), "window_index") == [(base(),), (base() + 1,)]
+
+
 def base():
     return int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp()) // 900
 
@@ -112,18 +131,20 @@ def test_model_life(spark, tmp_path):
     assert report["accuracy"] == 1.0 and report["f1"] == 1.0
 
 
-def test_scoring_sink_reloads_and_skips_bad_batches(spark, tmp_path):
+def test_scoring_sink_reloads_and_drops_no_batch(spark, tmp_path):
     models, flags = str(tmp_path / "models"), str(tmp_path / "flags")
     at = F.timestamp_seconds(F.lit(1000))
     sink = jobs.ScoringSink(models, flags, threshold=0.5, now=lambda: at)
     batch = gold(spark).select(*SILVER.fieldNames())
-    sink(batch, 0)
-    assert sink.model is None
+    with pytest.raises(RuntimeError, match="no model"):
+        sink(batch, 0)
     model.publish_model(model.train_viral(gold(spark), 20), models, 1.0, spark)
     sink(batch, 1)
     assert sink.version == 1
-    sink(batch.drop(FEATURE_COLS[0]), 2)
-    assert sink.failed == [2]
+    with pytest.raises(Exception):
+        sink(batch.drop(FEATURE_COLS[0]), 2)
+    some = batch.withColumn(FEATURE_COLS[0], F.when(F.col("curr_object_id") > 0, F.col(FEATURE_COLS[0])))
+    sink(some, 2)
     sink(batch, 1)
     stored = jobs.read_registry(spark, flags, since="1970-01-01")
     assert jobs.read_registry(spark, flags, since="1970-01-02").count() == 0
@@ -132,6 +153,9 @@ def test_scoring_sink_reloads_and_skips_bad_batches(spark, tmp_path):
     model.publish_model(sink.model, models, 1.0, spark)
     sink(batch, 3)
     assert sink.version == 2
+    spark.createDataFrame([(9, 1.0)], "version long, f1 double").write.mode("append").json(f"{models}/versions")
+    sink(batch, 4)
+    assert sink.version == 2
 
 
 def test_gold_needs_two_closed_windows(spark):
