@@ -5,10 +5,11 @@ samples are folded into an odd sketch, a bitmap in which each sample flips one b
 of two sketches count the samples in which two documents differ. Candidates that pass the sketch are confirmed
 on the full sets.
 
-Documents with equal sets are one class from the start, and only classes are compared. Members of a bucket
-are not paired with each other: they are compared with a few hubs of it, what is linked is one component, and
-only what is still apart from the largest component of its bucket becomes a hub in later rounds. A bucket
-is done when it has one component or all its minor members were hubs, so no pair that shares a bucket
+Documents with equal sets are one class from the start, and only classes are compared. From large buckets those
+go first that have too many shingles of their own to be linked with any member. Members of a bucket are not paired
+with each other: they are compared with a hub, the one with the fewest shingles of its own; what is linked is one
+component, and only what is still apart from the largest component of its bucket becomes a hub in later rounds.
+A bucket is done when it has one component or all its minor members were hubs, so no pair that shares a bucket
 and lies in two components stays unchecked.
 """
 
@@ -32,6 +33,7 @@ BANDS = 40
 BAND_ROWS = 5
 ODD_WORDS = 8
 ODD_MARGIN = 0.25
+SMALL_BUCKET = 32
 CHUNK = 4096
 SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, odd array<bigint>"
 
@@ -147,14 +149,52 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     )
 
 
+def _not_alone(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Members (key, node, n) of buckets without those that can be linked with none of their bucket: key, node, private.
+
+    ``private`` counts the shingles of a node that no other node of a large bucket has. What a node with n shingles
+    shares with another is at most c = n - private, so their similarity is at most c / (m + private), m being the
+    least set of the bucket, or c / n if that is smaller than c. This is exact, and linear in the sets of large
+    buckets; small ones are left as they are.
+    """
+    big = members.where(F.col("n") > SMALL_BUCKET)
+    own = stored(big.select(F.col("node").alias("doc_id")).distinct(), "big")
+    plain = members.select("key", "node", F.lit(0).cast("bigint").alias("private"))
+    if own.isEmpty():
+        return plain
+    sets = lookup_join(docs, own, ["doc_id"], "left_semi").mapInArrow(_full_sets, "node bigint, shingles array<bigint>")
+    held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("node")
+    )
+    private = held.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("private"))
+    sizes = nodes.groupBy("node").agg(F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("texts"))
+    known = stored(
+        sizes.join(own.withColumnRenamed("doc_id", "node"), "node", "left_semi")
+        .join(private, "node", "left")
+        .select("node", "size", F.when(F.col("texts") == 1, F.coalesce("private", F.lit(0))).otherwise(0).alias("private")),
+        "private",
+    )
+    large = big.select("key", "node").join(known, "node")
+    least = large.groupBy("key").agg(F.min("size").alias("least"))
+    shared = F.col("size") - F.col("private")
+    most = F.when(F.col("least") >= shared, F.col("least") + F.col("private")).otherwise(F.col("size"))
+    linkable = large.join(least, "key").where(shared * 100 >= most * percent).select("key", "node", "private")
+    return plain.join(big.select("key").distinct(), "key", "left_anti").unionByName(linkable)
+
+
 def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Nodes that are linked with others, with their component: node, component."""
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last")
-    live = stored(bands.join(shared.select("key", "hub"), "key"), "members")
-    members = live.select("key", "node")
-    waiting = live.where("node <> hub").select("key", "node")
-    tested = stored(live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    shared = bands.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("_first"), F.max("node").alias("_last")
+    ).where("_first < _last")
+    found = stored(bands.join(shared.select("key", "n"), "key"), "buckets")
+    members = stored(_not_alone(found, nodes, docs, percent), "members")
+    middle = members.groupBy("key").agg(F.min(F.struct("private", "node"))["node"].alias("hub"))
+    others = stored(members.join(middle, "key").where("node <> hub").select("key", "node", "hub"), "others")
+    members, waiting = members.select("key", "node"), others.select("key", "node")
+    pair = (F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    tested = stored(others.select(*pair).distinct(), "pairs")
     links = stored(_confirmed(tested, nodes, docs, percent), "links")
     labels = stored(connected_components(links), "labels")
     width = 1
@@ -175,17 +215,14 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         if hubs.isEmpty():
             return labels
         pairs = (
-            open_.join(hubs, "key")
-            .where("component <> hub_component")
-            .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-            .distinct()
+            open_.join(hubs, "key").where("component <> hub_component").select(*pair).distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
         pairs = stored(pairs, "pairs")
-        found = _confirmed(pairs, nodes, docs, percent)
-        links = stored(links.unionAll(found), "links")
+        links = stored(links.unionAll(_confirmed(pairs, nodes, docs, percent)), "links")
         tested = tested.unionAll(pairs)
-        waiting = stored(waiting.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"), "waiting")
+        used = hubs.select("key", F.col("hub").alias("node"))
+        waiting = stored(waiting.join(used, ["key", "node"], "left_anti"), "waiting")
         labels = stored(connected_components(links), "labels")
         width *= 4
 

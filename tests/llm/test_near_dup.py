@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from edgelake.llm import near_dup
 from edgelake.llm.components import connected_components
 
@@ -33,7 +35,9 @@ def changed(rng, words, n):
     return words
 
 
-def test_groups_equal_brute_force(documents):
+@pytest.mark.parametrize("small", [2, 1000])
+def test_groups_equal_brute_force(documents, monkeypatch, small):
+    monkeypatch.setattr(near_dup, "SMALL_BUCKET", small)
     rng = random.Random(5)
     rows = []
     for _ in range(12):
@@ -51,7 +55,7 @@ def test_groups_equal_brute_force(documents):
 def test_a_large_group_of_chained_copies_is_one(documents):
     rng = random.Random(6)
     base = [f"w{i}" for i in range(120)]
-    rows = [(i, " ".join(changed(rng, base, 3))) for i in range(150)] + [(900 + i, " ".join(base)) for i in range(50)]
+    rows = [(i, " ".join(changed(rng, base, rng.randint(0, 8)))) for i in range(150)] + [(900 + i, " ".join(base)) for i in range(50)]
     found = near_dup.near_duplicates(documents(rows)).collect()
     assert {(r.doc_id, r.n_shingles): r.component_id for r in found} == brute(rows)
 
