@@ -611,22 +611,16 @@ NEAREST = """SELECT g.line_no, g.object_id, g.node_id,
 ASOF = NEAREST.format(
     p="placement", own="AND p.insert_line < g.line_no", near="AND q.insert_line < g.line_no", cloud=fx.CLOUD_HOP
 )
-ODD_PLACEMENT = "(SELECT * FROM placement WHERE (node_id + object_id) % 3 = 1)"
 
 
-def _odd_placement(spark, sf):
-    return fx.placement(spark, sf).where((F.col("node_id") + F.col("object_id")) % 3 == 1)
-
-
-@query(NEAREST.format(p=ODD_PLACEMENT, own="", near="", cloud=fx.CLOUD_HOP), "gets", "placement", "neighbors")
+@query(NEAREST.format(p="placement", own="", near="", cloud=fx.CLOUD_HOP), "gets", "placement", "neighbors")
 def nearest_replica(spark, sf):
-    """Against a third of the placement, so that all distances occur."""
     rows = features.get_requests(fx.requests(spark, sf)).select("line_no", "object_id", "node_id")
-    return placement.nearest_replica(rows, _odd_placement(spark, sf), fx.neighbors(spark, sf), fx.CLOUD_HOP)
+    return placement.nearest_replica(rows, fx.placement(spark, sf), fx.neighbors(spark, sf), fx.CLOUD_HOP)
 
 
 @query(
-    NEAREST.format(p=ODD_PLACEMENT, own="", near="AND b.node_id % 4 <> 0", cloud=fx.CLOUD_HOP),
+    NEAREST.format(p="placement", own="", near="AND b.node_id % 4 <> 0", cloud=fx.CLOUD_HOP),
     "gets",
     "placement",
     "neighbors",
@@ -635,7 +629,7 @@ def nearest_replica_excluding(spark, sf):
     rows = features.get_requests(fx.requests(spark, sf)).select("line_no", "object_id", "node_id")
     passed_over = fx.nodes(spark, sf).where("node_id % 4 = 0")
     return placement.nearest_replica(
-        rows, _odd_placement(spark, sf), fx.neighbors(spark, sf), fx.CLOUD_HOP, exclude=passed_over
+        rows, fx.placement(spark, sf), fx.neighbors(spark, sf), fx.CLOUD_HOP, exclude=passed_over
     )
 
 
@@ -962,7 +956,8 @@ def victims(source: str, initiator: int = INITIATOR) -> str:
 
 
 def _latency_inputs(spark, sf):
-    hops = fx.hops(spark, sf, None)
+    """Nodes of one neighbourhood are at most twice its radius apart, so farther hops are not needed."""
+    hops = fx.hops(spark, sf, 2 * fx.MAX_HOP)
     return fx.placement(spark, sf), fx.neighbors(spark, sf, hops), hops
 
 
@@ -1388,17 +1383,18 @@ def _negatives(spark, sf):
     return fx.table(spark, sf, "documents").select(keys.object_id(number).alias("object_id"))
 
 
-def _fpr_sql() -> str:
-    """Rates per viewer; a negative is a false hit where no position of it is missing."""
-    parts = {
-        kind: f"""SELECT {', '.join(f'f.{c}' for c in cols)}, count(*) FILTER (missed = 0) / count(*) AS fpr FROM (
+def _rate_sql(cols: list[str], held: str) -> str:
+    """Share of negatives found by every filter; one is a false hit where no position of it is missing."""
+    return f"""SELECT {', '.join(f'f.{c}' for c in cols)}, count(*) FILTER (missed = 0) / count(*) AS fpr FROM (
           SELECT {', '.join(f'f.{c}' for c in cols)}, n.object_id, count(*) - count(t.pos) AS missed
           FROM (SELECT DISTINCT {', '.join(cols)} FROM neighbors) f CROSS JOIN small_negatives n
-          LEFT JOIN (SELECT DISTINCT {', '.join(cols)}, pos FROM small_content JOIN neighbors USING (node_id)) t
+          LEFT JOIN (SELECT DISTINCT {', '.join(cols)}, pos FROM {held} JOIN neighbors USING (node_id)) t
             ON {' AND '.join(f't.{c} = f.{c}' for c in cols)} AND t.pos = n.pos
           GROUP BY ALL) f GROUP BY ALL"""
-        for kind, cols in membership.LEVELS.items()
-    }
+
+
+def _fpr_sql() -> str:
+    parts = {kind: _rate_sql(cols, "small_content") for kind, cols in membership.LEVELS.items()}
     return f"""SELECT viewer, round(r, 9) AS root_fpr, round(level, 9) AS level_fpr, round((leaf + r + level) / 3, 9) AS all_fpr
     FROM (SELECT viewer, r, (levels + r) / (n + 1) AS level, leaf
       FROM (SELECT viewer, fpr AS r FROM ({parts['root']}))
@@ -1459,6 +1455,7 @@ def sketch_bits_qf(spark, sf):
       (SELECT round(sum(coalesce(l, 0)) / count(*), 9) FROM nodes LEFT JOIN (
         SELECT node_id, avg(distance) AS l FROM ({ASOF}) GROUP BY 1) USING (node_id)) AS average_latency,
       (SELECT CAST(count(DISTINCT viewer) AS INTEGER) FROM neighbors) AS fpr_entries,
+      (SELECT round(sum(fpr), 9) FROM ({_rate_sql(['viewer'], 'small_placement')})) AS fpr_total,
       (SELECT CAST(sum(9 * {1 << 14} * (n + h + 1)) AS BIGINT) FROM (
         SELECT viewer, count(*) AS n, count(DISTINCT hop) AS h FROM neighbors GROUP BY 1)) AS memory_bits""",
     "gets",
@@ -1467,6 +1464,8 @@ def sketch_bits_qf(spark, sf):
     "nodes",
     "turns",
     "sweep",
+    "small_negatives",
+    "small_placement",
 )
 def run_summary(spark, sf):
     """The summary of a run, written as JSON and read back; its lists as their length and sum."""
@@ -1480,8 +1479,8 @@ def run_summary(spark, sf):
         overhead.agg(F.coalesce(F.sum("trans_hops"), F.lit(0))).scalar().alias("overhead"),
         overhead.agg(F.coalesce(F.sum("packs"), F.lit(0))).scalar().alias("packs"),
     )
-    tree = membership.cbf_tree(rows, near, *CBF)
-    rates = membership.cbf_tree_fpr(_negatives(spark, sf), tree, near, *CBF).select(
+    tree = membership.cbf_tree(rows, near, 1 << 10, 3)
+    rates = membership.cbf_tree_fpr(_negatives(spark, sf), tree, near, 1 << 10, 3).select(
         "viewer", F.col("root_fpr").alias("fpr")
     )
     summary = reports.run_summary(
@@ -1491,8 +1490,9 @@ def run_summary(spark, sf):
     reports.write_run_json(summary, path)
     stored = spark.read.json(path, schema=summary.schema)
     total = F.aggregate("memory", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    rate = F.aggregate("fpr_data", F.lit(0.0), lambda a, b: a + b)
     return rounded(
-        stored.withColumn("fpr_entries", F.size("fpr_data")).withColumn("memory_bits", total).drop("fpr_data", "memory")
+        stored.withColumns({"fpr_entries": F.size("fpr_data"), "fpr_total": rate, "memory_bits": total}).drop("fpr_data", "memory")
     )
 
 
