@@ -25,7 +25,8 @@ from edgelake.operators.scale import lookup_join
 from edgelake.session import stored
 
 MIN_WORDS = 50
-CHUNK = 1 << 16
+CHUNKS = 2000
+CHUNK_SIZES = (1 << 12, 1 << 18)
 PARTS = 512
 END = -(1 << 63)
 LAST_ID = (1 << 63) - 1
@@ -159,10 +160,13 @@ def suffix_array(seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def common_prefixes(entries: DataFrame, seqs: DataFrame) -> DataFrame:
     """The array with lcp, the lines each suffix shares with the one before it: chunk, rank, d, t, line, lcp.
 
-    Where two neighbours also share the line before them, the value follows from that of the suffixes one line
+    Chunks are so many that they spread over the tasks, and small enough for one task each. Where two neighbours also share the line before them, the value follows from that of the suffixes one line
     earlier; only for the others lines are compared, at most twice as many as are shared.
     """
-    entries = stored(entries.withColumn("chunk", F.floor(F.col("rank") / CHUNK)), "array")
+    entries = stored(entries, "array")
+    least, most = CHUNK_SIZES
+    size = min(max(entries.count() // CHUNKS, least), most)
+    entries = entries.withColumn("chunk", F.floor(F.col("rank") / size))
     own = F.struct("rank", "d", "t", "line", F.col("before").alias("before"))
     lasts = entries.groupBy("chunk").agg(F.max(own).alias("last"))
     carried = lasts.select("chunk", F.lag("last").over(Window.orderBy("chunk")).alias("carried"))

@@ -24,7 +24,7 @@ def brute(docs, min_words):
 
 @pytest.mark.parametrize("seed", [0, 1])
 def test_deleted_lines_equal_brute_force(documents, monkeypatch, seed):
-    monkeypatch.setattr(line_dedup, "CHUNK", 7)
+    monkeypatch.setattr(line_dedup, "CHUNK_SIZES", (7, 7))
     rng = random.Random(seed)
     words = ["a", "b b", "c c c", "d", "e e", "", "  "]
     blocks = [[rng.choice(words) for _ in range(rng.randint(2, 9))] for _ in range(5)]
@@ -47,10 +47,10 @@ def test_deleted_lines_equal_brute_force(documents, monkeypatch, seed):
 def test_passages_go_and_short_lines_stay(documents):
     passage = " ".join(f"p{i}" for i in range(30)) + "\n" + " ".join(f"q{i}" for i in range(25))
     short = "just a short common line"
-    docs = [(i, f"own {i}\n{passage}\n{short}\ntail {i}") for i in range(40)] + [(90, passage), (91, short)]
+    docs = [(i, f"{short}\nown {i}\n{passage}\ntail {i}") for i in range(40)] + [(90, passage), (91, short)]
     got = {r.doc_id: r for r in line_dedup.without_copies(documents(docs)).collect()}
     assert got[0].text == docs[0][1] and 90 not in got and got[91].text == short
-    assert all(got[i].text == f"own {i}\n{short}\ntail {i}" and got[i].n_chars == len(got[i].text) for i in range(1, 40))
+    assert all(got[i].text == f"{short}\nown {i}\ntail {i}" and got[i].n_chars == len(got[i].text) for i in range(1, 40))
 
 
 def test_long_repeats_in_one_text(documents):
