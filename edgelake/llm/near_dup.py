@@ -34,6 +34,7 @@ BAND_ROWS = 5
 ODD_WORDS = 8
 ODD_MARGIN = 0.25
 SMALL_BUCKET = 32
+HUBS = 8
 CHUNK = 4096
 SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, odd array<bigint>"
 
@@ -190,14 +191,15 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ).where("_first < _last")
     found = stored(bands.join(shared.select("key", "n"), "key"), "buckets")
     members = stored(_not_alone(found, nodes, docs, percent), "members")
-    middle = members.groupBy("key").agg(F.min(F.struct("private", "node"))["node"].alias("hub"))
-    others = stored(members.join(middle, "key").where("node <> hub").select("key", "node", "hub"), "others")
-    members, waiting = members.select("key", "node"), others.select("key", "node")
+    middle = members.groupBy("key").agg(F.min(F.struct("private", "node"))["node"].alias("hub"), F.count(F.lit(1)).alias("size"))
+    placed = stored(members.join(middle, "key").select("key", "node", "hub", "size"), "placed")
     pair = (F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    tested = stored(others.select(*pair).distinct(), "pairs")
+    tested = stored(placed.where("node <> hub").select(*pair).distinct(), "pairs")
+    members = placed.where("size > 2").select("key", "node")
+    waiting = placed.where("size > 2 AND node <> hub").select("key", "node")
     links = stored(_confirmed(tested, nodes, docs, percent), "links")
     labels = stored(connected_components(links), "labels")
-    width = 1
+    width = HUBS
     while True:
         label = F.coalesce("component", "node")
         own = members.join(labels, "node", "left").select("key", "node", label.alias("component"))
@@ -219,12 +221,14 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             .join(tested, ["a", "b"], "left_anti")
         )
         pairs = stored(pairs, "pairs")
-        links = stored(links.unionAll(_confirmed(pairs, nodes, docs, percent)), "links")
+        found = stored(_confirmed(pairs, nodes, docs, percent), "found")
+        if not found.isEmpty():
+            links = stored(links.unionAll(found), "links")
+            labels = stored(connected_components(links), "labels")
         tested = tested.unionAll(pairs)
         used = hubs.select("key", F.col("hub").alias("node"))
         waiting = stored(waiting.join(used, ["key", "node"], "left_anti"), "waiting")
-        labels = stored(connected_components(links), "labels")
-        width *= 4
+        width *= HUBS
 
 
 def near_duplicates(
@@ -248,8 +252,11 @@ def near_duplicates(
     again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     same = named.join(again, "doc_id", "left_semi").join(nodes.select(*key, "node"), key)
     edges = same.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    linked = _linked(nodes, texts, percent)
-    labels = stored(connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(edges)), "labels")
+    labels = _linked(nodes, texts, percent)
+    edges = stored(edges, "edges")
+    if not edges.isEmpty():
+        linked = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = stored(connected_components(linked.unionAll(edges)), "labels")
     classes = nodes.select(*key, "node").join(labels, "node", "left").select(
         *key, F.coalesce("component", "node").alias("component_id")
     )
