@@ -32,9 +32,9 @@ PERCENT = 75
 BANDS = 40
 BAND_ROWS = 5
 ODD_WORDS = 8
-ODD_MARGIN = 0.25
+ODD_MARGIN = 0.15
 SMALL_BUCKET = 32
-HUBS = 8
+HUBS = 64
 CHUNK = 4096
 SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, odd array<bigint>"
 
@@ -121,6 +121,12 @@ def odd_similarity(a: Column, b: Column) -> Column:
     return F.when(2 * ones < bits, 1 - apart / (2 * samples)).otherwise(-1.0)
 
 
+def _promising(n_a: Column, n_b: Column, odd_a: Column, odd_b: Column, percent: int) -> Column:
+    """Whether sizes allow the similarity and the odd sketches show it, less a margin of almost four deviations."""
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return sizes & (odd_similarity(odd_a, odd_b) >= percent / 100 - ODD_MARGIN)
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, after the sizes and the odd sketches are asked."""
     own = nodes.select("node", "n_shingles", "odd")
@@ -129,8 +135,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     asked = (
         pairs.join(b, "b")
         .join(a, "a")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        .where(odd_similarity(F.col("odd_a"), F.col("odd_b")) >= percent / 100 - ODD_MARGIN)
+        .where(_promising(F.col("n_a"), F.col("n_b"), F.col("odd_a"), F.col("odd_b"), percent))
         .select("a", "b")
         .distinct()
     )
@@ -216,8 +221,19 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         hubs = stored(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.component").alias("hub_component")), "hubs")
         if hubs.isEmpty():
             return labels
+        about = nodes.select("node", F.col("n_shingles").alias("n"), "odd", "bands")
+        left = open_.select("key", "node", "component").join(about, "node")
+        right = hubs.join(about.select(*[F.col(c).alias(f"h_{c}") for c in about.columns]), F.col("hub") == F.col("h_node"))
+        equal = F.zip_with("bands", "h_bands", lambda x, y: x == y)
+        first = F.element_at("bands", F.array_position(equal, True).cast("int"))
+        ask = (
+            (F.col("component") != F.col("hub_component"))
+            & (first == F.col("l.key"))
+            & _promising(F.col("n"), F.col("h_n"), F.col("odd"), F.col("h_odd"), percent)
+        )
         pairs = (
-            open_.join(hubs, "key").where("component <> hub_component").select(*pair).distinct()
+            left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & ask)
+            .select(*pair).distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
         pairs = stored(pairs, "pairs")
