@@ -32,7 +32,7 @@ PERCENT = 75
 BANDS = 40
 BAND_ROWS = 5
 ODD_WORDS = 8
-ODD_MARGIN = 0.15
+ODD_MARGIN = 0.25
 SMALL_BUCKET = 32
 HUBS = 64
 CHUNK = 4096
@@ -122,7 +122,7 @@ def odd_similarity(a: Column, b: Column) -> Column:
 
 
 def _promising(n_a: Column, n_b: Column, odd_a: Column, odd_b: Column, percent: int) -> Column:
-    """Whether sizes allow the similarity and the odd sketches show it, less a margin of almost four deviations."""
+    """Whether sizes allow the similarity and the odd sketches show it, less a margin of about six deviations."""
     sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
     return sizes & (odd_similarity(odd_a, odd_b) >= percent / 100 - ODD_MARGIN)
 

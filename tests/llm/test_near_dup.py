@@ -90,3 +90,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (201, 200), (5, 5)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
+
+
+def test_a_pair_at_the_limit_whose_sketches_differ_by_chance_is_linked(documents):
+    """Similarity 18 of 24; the odd sketches show 0.546."""
+    numbers = """386709053 962474054 921382793 31413250 180738269 622267332 390790120 548753399 299226157 461376875 930860143
+    651565433 60747107 329892500 463599922 663022917 499710814 617064874 156332457 284144694 702383162 499191620 585308723
+    545407172 441090500"""
+    text = " ".join(f"w{n}" for n in numbers.split())
+    rows = [(1, text), (2, text.replace("w585308723", "w59113989"))]
+    assert brute(rows) == {(1, 21): 1, (2, 21): 1}
+    found = near_dup.near_duplicates(documents(rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1}
