@@ -1,7 +1,7 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by their place (navigation, forms and the
-like), their link density, length and density of stop words; short blocks and those in between stay open. In the
+like), their link density, length and density of stop words; short blocks and those with few stop words stay open. In the
 second pass open blocks take the label of the nearest decided blocks of the same region.
 """
 
@@ -20,15 +20,35 @@ from edgelake.llm.words import slices
 
 LENGTH_LOW = 70
 LENGTH_HIGH = 200
-STOP_LOW = 0.30
 STOP_HIGH = 0.32
 MAX_LINKS = 0.2
 
 STOP_WORDS = frozenset(
-    """the of and to a in is it that for on was with as are be this by at from or an not have but had his they
-    de la le et les des un une en du que qui est dans pour au aux par sur pas ne se ce il elle avec plus
-    der die das und ist ein eine zu den von mit auf für im dem nicht des auch sich als es an werden aus er
-    el los las y del por con una su para al lo como más o pero sus""".split()
+    """the of and to a in is it that for on was with as are be this by at from or an not have but had his they i me my we us
+    our ours you your yours he him she her hers its them their theirs what which who whom whose these those am were been being
+    has having do does did doing would should could can will shall may might must if because until while about against between
+    into through during before after above below up down out off over under again further then once here there when where why
+    how all any both each few more most other some such no nor only own same so than too very just also now one two like
+    de la le et les des un une en du que qui est dans pour au aux par sur pas ne se ce il elle avec plus l d s n c j m t qu
+    je tu nous vous ils elles on me te lui leur leurs mon ma mes ton ta tes son sa ses notre nos votre vos cette cet ces cela
+    ça ou où mais donc or ni car si comme quand dont y sont était étaient être été avoir a ai as avons avez ont avait avaient
+    fait faire peut sans sous entre vers chez après avant aussi très bien tout tous toute toutes même autre autres encore
+    depuis pendant ainsi alors
+    der die das und ist ein eine zu den von mit auf für im dem nicht des auch sich als es an werden aus er in am um so wie
+    ich du wir ihr sie mich dich uns euch mir dir ihm ihn ihnen mein meine sein seine seinen seiner ihre ihren ihrer unser
+    einen einem einer eines dass daß oder aber wenn weil ob denn doch noch nur schon sehr mehr kann können wird wurde wurden
+    war waren sind hat haben hatte hatten bei nach vor über unter durch gegen ohne bis seit zwischen zum zur vom beim diese
+    dieser dieses diesem diesen jede jeder jedes alle alles was wer wo hier da dann man kein keine
+    el los las y del por con una su para al lo como más o pero sus yo tú él ella nosotros ellos ellas me te nos les mi mis tu
+    tus este esta estos estas ese esa esos esas eso esto aquel aquella no ni sí si cuando donde quien quienes cual porque
+    aunque desde hasta entre sobre sin también muy ya todo toda todos todas otro otra otros otras ha han había habían he hay
+    ser es son era eran fue fueron está están estaba tiene tienen puede se le un a e u
+    il lo gli i di che è un uno per non con del della dei delle al alla ai alle nel nella da dal dalla sul sulla si come più
+    ma anche sono era ha hanno questo questa questi queste quello quella o se perché loro suo sua suoi tra fra
+    os as um uma do da dos das no na nos nas em ao aos à às pelo pela que e não com por para mais mas foi são ser está ele
+    ela eles seu sua seus suas ou quando muito já também só até isso isto este essa esse entre depois sem mesmo
+    het een van dat die is zijn op te aan niet met voor er maar om hij ze zij ook als naar bij uit dan wat nog wel geen
+    werd worden heeft hebben kan deze dit door over""".split()
 )
 SKIPPED = frozenset("script style noscript template svg math iframe object select textarea title button canvas video audio head".split())
 RAW = frozenset("script style textarea title".split())
@@ -160,8 +180,10 @@ def _marked(tag: str, rest: str, in_main: bool) -> bool:
 def classify(found: list[Block]) -> list[Block]:
     """Label blocks in two passes; ``label`` is true for main text.
 
-    With an article in the page, blocks outside it need a decision of their own; inside it only links speak against a
-    block, and say nothing of its neighbours. A block that has no decided neighbour in its region is main text.
+    A long block with many stop words is main text by itself; with few it stays open, for it may be of a language that
+    has no list here, and only its place and links can speak against it. With an article in the page, blocks outside it
+    need a decision of their own; inside it only links speak against a block, and say nothing of its neighbours. A block
+    that has no decided neighbour in its region is main text.
     """
     has_main = any(b.main and not b.furniture for b in found)
     for b in found:
@@ -173,8 +195,6 @@ def classify(found: list[Block]) -> list[Block]:
             stops = sum(t in STOP_WORDS for t in tokens) / max(1, len(tokens))
             if stops >= STOP_HIGH and size > LENGTH_HIGH:
                 b.label = True
-            elif stops < STOP_LOW and not b.main:
-                b.label = False
     decided = [None if b.main and b.label is False else b.label for b in found]
     before = _nearest(found, decided, range(len(found)))
     after = _nearest(found, decided, range(len(found) - 1, -1, -1))

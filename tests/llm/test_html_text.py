@@ -1,3 +1,7 @@
+import re
+
+import pytest
+
 from edgelake.llm.html_text import main_text
 
 LONG = "The house of the river is on the way to the town and it has been there for as long as they had known it. " * 3
@@ -60,3 +64,16 @@ def test_registered_query_equals_the_articles_of_the_table(spark, sf):
         article = re.search(r"<article>(.*?)(</article>|\Z)", pages[r.page_id], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?(?:p|br|h1)>", article)]
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_pages_keep_their_text_without_article_elements(spark, sf, tag):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        assert text(re.sub(r"<(/?)article\b", rf"<\1{tag}", r.html)) == text(r.html)
+
+
+def test_text_of_a_language_without_stop_words_is_kept():
+    prose = "Дом у реки стоит на дороге в город, и он был там столько, сколько они его знали. " * 4
+    menu = '<nav><a href="/a">Один</a></nav><div class="related"><a href="/b">Два</a></div>'
+    page = f"<body>{menu}<div><h1>Дом</h1><p>{prose}</p><p>{prose}</p></div><footer>Конец</footer></body>"
+    assert text(page) == "\n".join(["Дом", prose.strip(), prose.strip()])
