@@ -187,14 +187,27 @@ def dedup_latency_sweep(
 ) -> DataFrame:
     """Placement after several initiators in turn; a node below the limit when its turn comes is passed.
 
-    A turn changes other nodes' use, so turns are separate jobs, and the placement is stored after each.
+    A turn changes other nodes' use, so turns are separate jobs. Each reads the objects of its initiator and stores
+    only what it drops; use is counted once, a number per node, and lowered by the drops.
     """
-    left = placement.select(*KEYS)
+    held = stored(placement.select(*KEYS), "placement")
+    neighbors, hops = stored(neighbors, "neighbors"), stored(hops, "hops")
+    if viral is not None:
+        viral = stored(viral.select("object_id").distinct(), "viral")
+    capacity = {r["node_id"]: r["capacity"] for r in nodes.select("node_id", "capacity").collect()}
+    used = {r["node_id"]: r["count"] for r in held.groupBy("node_id").count().collect()}
+    gone = None
     for initiator in initiators:
-        if over_limit(left, nodes, limit).where(F.col("node_id") == initiator).isEmpty():
+        if not capacity.get(initiator) or used.get(initiator, 0) / capacity[initiator] < limit:
             continue
-        left = stored(delete_rows(left, dedup_latency(left, neighbors, hops, initiator, viral)), "placement")
-    return left
+        own = held.where(F.col("node_id") == initiator).select("object_id").distinct()
+        left = held.join(own, "object_id", "left_semi")
+        left = left if gone is None else delete_rows(left, gone)
+        drops = stored(dedup_latency(left, neighbors, hops, initiator, viral), "drops")
+        for r in drops.groupBy("node_id").count().collect():
+            used[r["node_id"]] -= r["count"]
+        gone = drops if gone is None else gone.unionAll(drops)
+    return held if gone is None else delete_rows(held, gone)
 
 
 def eviction_log(before: DataFrame, after: DataFrame, line: int, viral: DataFrame | None = None) -> DataFrame:

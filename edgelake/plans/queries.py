@@ -1011,6 +1011,18 @@ def dedup_latency_sweep(spark, sf):
     return dedup.dedup_latency_sweep(rows, near, hops, fx.nodes(spark, sf), fx.LIMIT, TURNS)
 
 
+for _node in range(fx.N_NODES):
+    _before = f"pass{_node - 1}" if _node else "placement"
+    ov.view(f"pass{_node}", _after_turn(_before, _node), _before, "nodes", "neighbors", "all_hops")
+
+
+@query(f"SELECT node_id, object_id FROM pass{fx.N_NODES - 1}", f"pass{fx.N_NODES - 1}")
+def dedup_latency_sweep_all(spark, sf):
+    """Every node in turn; later ones see what earlier ones dropped."""
+    rows, near, hops = _latency_inputs(spark, sf)
+    return dedup.dedup_latency_sweep(rows, near, hops, fx.nodes(spark, sf), fx.LIMIT, range(fx.N_NODES))
+
+
 @query(
     f"""SELECT CAST(count(DISTINCT l.object_id) + count(*) AS BIGINT) AS packs,
       CAST((SELECT sum(b.hop + o.onward) FROM neighbors b JOIN (

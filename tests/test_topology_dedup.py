@@ -119,6 +119,44 @@ def test_latency_sweep_passes_nodes_below_the_limit(spark, graph):
     assert fewer.count() < held.count()
 
 
+@pytest.mark.parametrize("seed", [0, 7])
+def test_latency_sweep_over_all_nodes_equals_the_step_by_step_one(spark, seed, monkeypatch):
+    near, tables = random_case(seed)
+    nodes = spark.createDataFrame([(i, 12) for i in near], "node_id int, capacity int")
+    edges = topology.undirected(spark.createDataFrame([(i, j) for i in near for j in near[i] if i < j], "src int, dst int"))
+    hops = topology.hop_distances(edges, nodes, None)
+    neighbors = spark.createDataFrame(
+        [(i, j, 1, 12) for i in near for j in near[i]], "viewer int, node_id int, hop int, capacity int"
+    )
+    held = spark.createDataFrame([(i, o) for i in tables for o in tables[i]], "node_id int, object_id long")
+    hop = {(r["src"], r["dst"]): r["hop"] for r in hops.collect()}
+    left, turns = {i: set(tables[i]) for i in tables}, 0
+    for i in sorted(near):
+        if len(left[i]) / 12 < 0.4:
+            continue
+        seen = lambda viewer, o: sum(o in left[m] for m in near[viewer])
+        far = lambda m: (sum(hop.get((s, m), 0) for s in near[i] | {i}), m)  # noqa: B023, E731
+        may = {o: [m for m in near[i] if o in left[m] and all(seen(k, o) > 1 for k in near[m])] for o in left[i]}
+        for o, m in [(o, max(found, key=far)) for o, found in may.items() if found]:
+            left[m].discard(o)
+        turns += 1
+    names = []
+    monkeypatch.setattr(dedup, "stored", lambda df, name, write=dedup.stored: (names.append(name), write(df, name))[1])
+    got = dedup.dedup_latency_sweep(held, neighbors, hops, nodes, 0.4, sorted(near))
+    assert rows(got, "node_id", "object_id") == sorted((i, o) for i in left for o in left[i])
+    assert sum(map(len, left.values())) < held.count()
+    assert names.count("placement") == 1 and names.count("drops") == turns
+
+
+def test_a_registered_sweep_runs_every_node(spark, sf, monkeypatch):
+    from edgelake.plans import fixtures, queries
+
+    seen = []
+    monkeypatch.setattr(dedup, "dedup_latency_sweep", lambda *a: seen.extend(a[5]))
+    queries.QUERIES["dedup_latency_sweep_all"](spark, sf)
+    assert seen == list(range(fixtures.N_NODES))
+
+
 def replay(log, near, capacity, cloud):
     """Requests one by one: measure, then keep the object while there is room."""
     tables, inserted, out = {n: [] for n in near}, [], []
