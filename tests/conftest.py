@@ -27,8 +27,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
-
-
-def rows(df, *cols):
-    """Sorted tuples of a frame."""
-    return sorted(tuple(r) for r in (df.select(*cols) if cols else df).collect())

@@ -1,7 +1,7 @@
 """Membership filters: no member is ever missed, sizes and rates are as computed."""
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from edgelake.functions import sketch

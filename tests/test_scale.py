@@ -1,7 +1,7 @@
 """Joins and running sums under hot keys, against plain forms."""
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 

@@ -3,7 +3,7 @@
 import gzip
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from edgelake.functions.clock import event_time
