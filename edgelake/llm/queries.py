@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelake.llm import (
-    decontaminate, html_text, language, line_dedup, mixing, near_dup, quality_classifier, quality_rules, token_counts, twins, warc,
+    decontaminate, html_text, language, line_dedup, mixing, near_dup, quality_classifier, quality_rules, resampling, sentence_pieces,
+    token_counts, twins, warc, whitening,
 )
 from edgelake.llm.folds import fold
 from edgelake.session import ship_package
@@ -112,3 +114,26 @@ def op9_token_recount(spark, sf):
     return token_counts.redacted_counts(table(spark, sf, "documents")).select(
         "doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_reencoded"
     )
+
+
+@query(twins.RESAMPLE)
+def op11_resample(spark, sf):
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op12_whiten(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query()
+def op13_sentence_pieces(spark, sf):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    found = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf, "documents"), model), model)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -85,3 +85,33 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> least THEN least END AS refers_to
 FROM f
 """
+
+RESAMPLE = r"""
+WITH k AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+x AS (SELECT 's' AS side, doc_id, row_number() OVER () AS r, text FROM documents
+      UNION ALL SELECT 't', NULL, 0, text FROM benchmark),
+w AS (SELECT side, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+f AS (SELECT side, r, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w),
+n AS (SELECT side, r, g, count(*) AS n FROM f GROUP BY ALL),
+d AS (SELECT g, list_transform(range(1, 2 * octet_length(encode(g)), 2), lambda i: CAST('0x' || substr(hex(g), i, 2) AS BIGINT)) AS bytes
+      FROM (SELECT DISTINCT g FROM n)),
+b AS (SELECT g, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, y: xor(c >> 8, steps[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket
+      FROM d, k),
+c AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (WHERE side = 's'), 0) AS DOUBLE) AS s,
+             CAST(coalesce(sum(n) FILTER (WHERE side = 't'), 0) AS DOUBLE) AS t FROM n JOIN b USING (g) GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM c),
+v AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM c, a),
+m AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS gain
+      FROM n JOIN b USING (g) JOIN v USING (bucket) WHERE side = 's' GROUP BY r),
+p AS (SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features,
+             CASE WHEN n_features > 0 THEN CAST(floor(gain / n_features) AS BIGINT) ELSE 0 END AS weight,
+             CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h
+      FROM w LEFT JOIN m USING (r) WHERE side = 's'),
+q AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score FROM p),
+o AS (SELECT *, words >= 20 AS enough, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place FROM q)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN enough AND place <= (SELECT count(*) FILTER (WHERE enough) * 25 // 100 FROM o) THEN place END AS rank
+FROM o
+"""

@@ -94,8 +94,11 @@ class Words:
         return mixed(np.add.reduceat(values * powers[inside], ends - sizes) + sizes.astype(np.uint64))
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of an Arrow array of strings; a null is an empty text. ``lower`` folds A-Z only."""
+def words_of(texts: pa.Array, lower: bool = False, of: np.ndarray | None = None) -> Words:
+    """Words of an Arrow array of strings; a null is an empty text. ``lower`` folds A-Z only.
+
+    ``of`` tells for each of the 256 bytes whether it belongs to words, where that is not all but blanks.
+    """
     if texts.null_count:
         texts = texts.fill_null("")
     at = _offsets(texts).astype(np.int64)
@@ -104,7 +107,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     at = at - at[0]
     if lower:
         data = np.where((data >= 65) & (data <= 90), data | np.uint8(32), data)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13))) if of is None else of[data]
     begins = np.ones(len(data) + 1, bool)
     begins[1:-1] = ~inside[:-1]
     begins[at] = True
