@@ -3,50 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgelake.operators.placement import KEYS, copies, delete_rows, over_limit
+from edgelake.operators.node_maps import View, bound, has, node_maps, without
+from edgelake.operators.placement import KEYS, delete_rows, over_limit, storage_utilization
+from edgelake.operators.scale import lookup_join
 from edgelake.session import stored
 
 # All decisions about an object depend on its own copies alone: a neighbour of a holder counts the
 # copies it can see, and a node's turn is set by its own use before the sweep. So one row per object
-# with the array of its copies (at most one per node) holds all a sweep needs, and objects are
-# independent of each other.
+# with the positions of its holders holds all a sweep needs, and objects are independent of each other.
 
 
-def _add_views(rows: DataFrame) -> DataFrame:
-    """Copies with ``seen``: how many copies each node sees that neighbours a holder.
-
-    ``seen`` is an array over those nodes; every copy gets ``slots``, the places of its neighbours.
-    """
-    nodes = F.array_sort(F.array_distinct(F.flatten(F.transform("copies", lambda c: c["neighbors"]))))
-    slots = F.transform("copies", lambda c: F.struct(
-        c["node_id"].alias("node_id"),
-        c["neighbors"].alias("neighbors"),
-        F.transform(c["neighbors"], lambda n: F.array_position("_nodes", n).cast("int")).alias("slots"),
-    ))
-    seen = F.transform("_nodes", lambda n: F.size(F.filter(
-        "copies", lambda c: F.array_contains(c["neighbors"], n)
-    )))
-    return rows.withColumn("_nodes", nodes).select("object_id", slots.alias("copies"), seen.alias("seen"))
-
-
-def _permitted(copy: Column, seen: Column) -> Column:
-    """Every neighbour of the holder sees more than one copy; true when there are no neighbours."""
-    return F.forall(copy["slots"], lambda s: F.element_at(seen, s) > 1)
+def _ids(nodes: DataFrame) -> Column:
+    """Ids of nodes as a constant; there are at most as many as nodes."""
+    return F.lit(np.array([r[0] for r in nodes.select("node_id").distinct().collect()], np.int32))
 
 
 def delete_permission(placement: DataFrame, neighbors: DataFrame) -> DataFrame:
     """``(node_id, object_id, permitted)`` of every copy."""
-    return (
-        _add_views(copies(placement, neighbors))
-        .select("object_id", F.explode(F.transform("copies", lambda c: F.struct(
-            c["node_id"].alias("node_id"), _permitted(c, F.col("seen")).alias("permitted")
-        ))).alias("c"))
-        .select("c.node_id", "object_id", F.col("c.permitted").cast("int").alias("permitted"))
-    )
+    maps = node_maps(placement, neighbors)
+    verdicts = maps.over(lambda m, alive: F.transform("held", lambda c: F.struct(
+        m.node(c).alias("node_id"), m.permitted(c, alive).cast("int").alias("permitted")
+    )))
+    return maps.rows.select("object_id", F.explode(verdicts).alias("c")).select("c.node_id", "object_id", "c.permitted")
 
 
 def sweep_plan(
@@ -61,47 +45,42 @@ def sweep_plan(
     ``(node_id, object_id, candidate, permitted, protected, dropped)`` for the copies on over-full
     nodes. A drop is seen by the nodes that come after. ``viral`` lists objects that must stay.
     """
-    turns = over_limit(placement, nodes, limit).agg(F.array_sort(F.collect_set("node_id"))).scalar()
-    rows = _add_views(copies(placement, neighbors)).withColumn("_turns", turns)
+    turns = _ids(over_limit(placement, nodes, limit))
+    maps = node_maps(placement, neighbors)
     if viral is None:
-        rows = rows.withColumn("viral", F.lit(False))
+        rows = maps.rows.withColumn("viral", F.lit(False))
     else:
         flags = viral.select("object_id").distinct().withColumn("viral", F.lit(True))
-        rows = rows.join(flags, "object_id", "left").fillna({"viral": False})
+        rows = maps.rows.join(flags, "object_id", "left").fillna({"viral": False})
 
     log_type = "array<struct<node_id:int,candidate:boolean,permitted:boolean,dropped:boolean>>"
-    start = F.struct(
-        F.transform("copies", lambda c: c["node_id"]).alias("alive"),
-        F.col("seen").alias("seen"),
-        F.array().cast(log_type).alias("log"),
-    )
 
-    def decide(state: Column, copy: Column) -> Column:
-        candidate = F.arrays_overlap(copy["neighbors"], state["alive"])
-        permitted = _permitted(copy, state["seen"])
+    def decide(m: View, state: Column, c: Column) -> Column:
+        candidate = m.candidate(c, state["alive"])
+        permitted = m.permitted(c, state["alive"])
         verdict = F.struct(candidate.alias("candidate"), permitted.alias("permitted"))
-        return F.transform(F.array(verdict), lambda v: apply(state, copy, v))[0]
+        return bound(verdict, lambda v: apply(m, state, c, v))
 
-    def apply(state: Column, copy: Column, verdict: Column) -> Column:
+    def apply(m: View, state: Column, c: Column, verdict: Column) -> Column:
         dropped = verdict["candidate"] & verdict["permitted"] & ~F.col("viral")
         entry = F.struct(
-            copy["node_id"].alias("node_id"),
+            m.node(c).alias("node_id"),
             verdict["candidate"].alias("candidate"),
             verdict["permitted"].alias("permitted"),
             dropped.alias("dropped"),
         )
-        fewer = F.transform(
-            state["seen"], lambda n, i: n - F.array_contains(copy["slots"], i + 1).cast("int")
-        )
         return F.struct(
-            F.when(dropped, F.array_remove(state["alive"], copy["node_id"])).otherwise(state["alive"]).alias("alive"),
-            F.when(dropped, fewer).otherwise(state["seen"]).alias("seen"),
+            F.when(dropped, without(state["alive"], c)).otherwise(state["alive"]).alias("alive"),
             F.concat(state["log"], F.array(entry)).alias("log"),
         )
 
-    swept = F.filter("copies", lambda c: F.array_contains("_turns", c["node_id"]))
+    def swept(m: View, alive: Column) -> Column:
+        own = F.filter("held", lambda c: F.array_contains(turns, m.node(c)))
+        start = F.struct(alive.alias("alive"), F.array().cast(log_type).alias("log"))
+        return F.aggregate(own, start, lambda state, c: decide(m, state, c), lambda state: state["log"])
+
     return (
-        rows.select("object_id", "viral", F.explode(F.aggregate(swept, start, decide, lambda s: s["log"])).alias("e"))
+        rows.select("object_id", "viral", F.explode(maps.over(swept)).alias("e"))
         .select(
             "e.node_id",
             "object_id",
@@ -139,20 +118,19 @@ def mean_hops(neighbors: DataFrame, hops: DataFrame, initiator: int) -> DataFram
 
 def latency_permissions(placement: DataFrame, neighbors: DataFrame, hops: DataFrame, initiator: int) -> DataFrame:
     """``(object_id, node_id, permitted, total_hop)``: copies near the initiator of objects it holds."""
-    reach = mean_hops(neighbors, hops, initiator).agg(
-        F.map_from_entries(F.collect_list(F.struct("node_id", "total_hop")))
-    ).scalar()
-    own = F.exists("copies", lambda c: c["node_id"] == initiator)
-    near = F.filter("copies", lambda c: F.map_contains_key("_reach", c["node_id"]))
-    return (
-        _add_views(copies(placement, neighbors).where(own & (F.size("copies") > 1)))
-        .withColumn("_reach", reach)
-        .select("object_id", F.explode(F.transform(near, lambda c: F.struct(
-            c["node_id"].alias("node_id"),
-            _permitted(c, F.col("seen")).alias("permitted"),
-            F.element_at("_reach", c["node_id"]).alias("total_hop"),
-        ))).alias("c"))
-        .select("object_id", "c.*")
+    reach = stored(mean_hops(neighbors, hops, initiator), "reach")
+    maps, near = node_maps(placement, neighbors), _ids(reach)
+
+    def verdicts(m: View, alive: Column) -> Column:
+        asked = F.filter("held", lambda c: F.array_contains(near, m.node(c)))
+        own = F.exists("held", lambda c: m.node(c) == initiator)
+        return F.when(own & (F.size("held") > 1), F.transform(asked, lambda c: F.struct(
+            m.node(c).alias("node_id"), m.permitted(c, alive).alias("permitted")
+        )))
+
+    found = maps.rows.select("object_id", F.explode(maps.over(verdicts)).alias("c"))
+    return lookup_join(found.select("object_id", "c.*"), reach, ["node_id"]).select(
+        "object_id", "node_id", "permitted", "total_hop"
     )
 
 
@@ -176,7 +154,29 @@ def dedup_latency(
     return victims.select(*KEYS)
 
 
-def dedup_latency_sweep(
+def group_hops(neighbors: DataFrame, hops: DataFrame) -> DataFrame:
+    """``(viewer, node_id, total_hop)``: ``mean_hops`` of every viewer as the initiator."""
+    near = neighbors.select("viewer", "node_id").distinct()
+    own = near.select("viewer", F.col("viewer").alias("src")).distinct()
+    group = near.select("viewer", F.col("node_id").alias("src")).unionAll(own)
+    ways = near.join(group, "viewer").select("viewer", "src", F.col("node_id").alias("dst"))
+    return ways.join(hops, ["src", "dst"]).groupBy("viewer", F.col("dst").alias("node_id")).agg(
+        F.sum("hop").alias("total_hop")
+    )
+
+
+@dataclass
+class LatencySweep:
+    """A sweep of initiators in turn: ``drops`` has (turn, node_id, object_id), ``gates`` (turn, node_id, used, open), ``used`` being
+    the copies on a node when its turn comes; ``passes`` is how often all objects were gone through."""
+
+    placement: DataFrame
+    drops: DataFrame
+    gates: DataFrame
+    passes: int
+
+
+def latency_sweep(
     placement: DataFrame,
     neighbors: DataFrame,
     hops: DataFrame,
@@ -184,30 +184,88 @@ def dedup_latency_sweep(
     limit: float,
     initiators: Iterable[int],
     viral: DataFrame | None = None,
-) -> DataFrame:
-    """Placement after several initiators in turn; a node below the limit when its turn comes is passed.
+) -> LatencySweep:
+    """Initiators in turn; a node below the limit when its turn comes is passed.
 
-    A turn changes other nodes' use, so turns are separate jobs. Each reads the objects of its initiator and stores
-    only what it drops; use is counted once, a number per node, and lowered by the drops.
+    What couples objects is only which turns are open. For given gates every object goes through all turns by
+    itself; the drops give each node's use at its turn, and that the gates of the next pass. A gate hangs on earlier turns
+    only, so a pass settles at least one more, and gates that do not change are those of one turn after the other. The
+    driver holds a number per turn.
     """
-    held = stored(placement.select(*KEYS), "placement")
-    neighbors, hops = stored(neighbors, "neighbors"), stored(hops, "hops")
+    spark = placement.sparkSession
+    held = stored(placement.select(*KEYS).distinct(), "placement")
+    turns = [(turn, int(node)) for turn, node in enumerate(initiators)]
+    schema = "turn int, node_id int"
+    at = stored(spark.createDataFrame(turns, schema), "turns")
+    use = at.join(storage_utilization(held, nodes), "node_id", "left").select("turn", "used", "capacity").collect()
+    first = {r["turn"]: (r["used"] or 0, r["capacity"] or 0) for r in use}
+    near = neighbors.select("viewer", "node_id").distinct().join(group_hops(neighbors, hops), ["viewer", "node_id"], "left")
+    maps = node_maps(held, near.fillna({"total_hop": 0}), "total_hop")
+    own = lookup_join(held, at, ["node_id"]).groupBy("object_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "node_id"))).alias("turns")
+    )
+    rows = maps.rows.where(F.size("held") > 1).join(own, "object_id")
     if viral is not None:
-        viral = stored(viral.select("object_id").distinct(), "viral")
-    capacity = {r["node_id"]: r["capacity"] for r in nodes.select("node_id", "capacity").collect()}
-    used = {r["node_id"]: r["count"] for r in held.groupBy("node_id").count().collect()}
-    gone = None
-    for initiator in initiators:
-        if not capacity.get(initiator) or used.get(initiator, 0) / capacity[initiator] < limit:
-            continue
-        own = held.where(F.col("node_id") == initiator).select("object_id").distinct()
-        left = held.join(own, "object_id", "left_semi")
-        left = left if gone is None else delete_rows(left, gone)
-        drops = stored(dedup_latency(left, neighbors, hops, initiator, viral), "drops")
-        for r in drops.groupBy("node_id").count().collect():
-            used[r["node_id"]] -= r["count"]
-        gone = drops if gone is None else gone.unionAll(drops)
-    return held if gone is None else delete_rows(held, gone)
+        rows = rows.join(viral.select("object_id").distinct(), "object_id", "left_anti")
+    rows = stored(rows, "objects")
+
+    log_type = "array<struct<turn:int,node_id:int>>"
+
+    def act(m: View, state: Column, turn: Column) -> Column:
+        def victim_of(pos: Column) -> Column:
+            free = F.filter(m.neighbours(pos), lambda n: has(state["alive"], n) & m.permitted(n, state["alive"]))
+            return F.when(has(state["alive"], pos), F.get(free, F.lit(0)))
+
+        return bound(bound(m.position(turn["node_id"]), victim_of), lambda v: F.when(v.isNull(), state).otherwise(F.struct(
+            without(state["alive"], v).alias("alive"),
+            F.concat(state["log"], F.array(F.struct(turn["turn"].alias("turn"), m.node(v).alias("node_id")))).alias("log"),
+        )))
+
+    def one_pass(open_: list[bool]) -> DataFrame:
+        gates = F.lit(np.array(open_, np.int32))
+        acting = F.filter("turns", lambda t: F.get(gates, t["turn"]) == 1)
+
+        def swept(m: View, alive: Column) -> Column:
+            start = F.struct(alive.alias("alive"), F.array().cast(log_type).alias("log"))
+            return F.aggregate(acting, start, lambda state, turn: act(m, state, turn), lambda state: state["log"])
+
+        found = rows.select("object_id", F.explode(maps.over(swept)).alias("d"))
+        return stored(found.select("d.turn", "d.node_id", "object_id"), "drops")
+
+    def used_at_turns(drops: DataFrame) -> list[int]:
+        counts = drops.groupBy(F.col("turn").alias("_turn"), "node_id").agg(F.count(F.lit(1)).alias("n"))
+        gone = lookup_join(counts, at, ["node_id"]).where("_turn < turn").groupBy("turn").agg(F.sum("n").alias("n"))
+        lost = {r["turn"]: r["n"] for r in gone.collect()}
+        return [first[turn][0] - lost.get(turn, 0) for turn, _ in turns]
+
+    def opened(used: list[int]) -> list[bool]:
+        return [bool(first[turn][1]) and used[turn] / first[turn][1] >= limit for turn, _ in turns]
+
+    used = [first[turn][0] for turn, _ in turns]
+    open_, passes, drops = opened(used), 0, spark.createDataFrame([], "turn int, node_id int, object_id bigint")
+    while turns:
+        drops, passes = one_pass(open_), passes + 1
+        used = used_at_turns(drops)
+        if (again := opened(used)) == open_:
+            break
+        open_ = again
+    gates = [(turn, node, used[turn], open_[turn]) for turn, node in turns]
+    return LatencySweep(
+        delete_rows(held, drops), drops, spark.createDataFrame(gates, "turn int, node_id int, used long, open boolean"), passes
+    )
+
+
+def dedup_latency_sweep(
+    placement: DataFrame,
+    neighbors: DataFrame,
+    hops: DataFrame,
+    nodes: DataFrame,
+    limit: float,
+    initiators: Iterable[int],
+    viral: DataFrame | None = None,
+) -> DataFrame:
+    """Placement after several initiators in turn."""
+    return latency_sweep(placement, neighbors, hops, nodes, limit, initiators, viral).placement
 
 
 def eviction_log(before: DataFrame, after: DataFrame, line: int, viral: DataFrame | None = None) -> DataFrame:

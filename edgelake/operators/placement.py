@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from edgelake.functions.traffic import ratio
 from edgelake.operators.features import get_requests
-from edgelake.operators.scale import is_small, lookup_join, prefix_sum, skew_join
-from edgelake.operators.topology import neighbor_lists
+from edgelake.operators.node_maps import node_maps
+from edgelake.operators.scale import lookup_join, prefix_sum, skew_join
 
 KEYS = ["node_id", "object_id"]
 
@@ -47,18 +47,6 @@ def common_objects(placement: DataFrame, node: int, candidates: DataFrame) -> Da
     return own.join(candidates.select("object_id"), "object_id", "left_semi")
 
 
-def copies(placement: DataFrame, neighbors: DataFrame) -> DataFrame:
-    """``(object_id, copies)``: the nodes that hold an object, ascending, each with its neighbours.
-
-    The array has at most as many entries as there are nodes.
-    """
-    entry = F.struct("node_id", F.coalesce("neighbors", F.array().cast("array<int>")).alias("neighbors"))
-    rows = lookup_join(
-        placement.select(*KEYS), neighbor_lists(neighbors), ["node_id"], "left", is_small(neighbors)
-    )
-    return rows.groupBy("object_id").agg(F.array_sort(F.collect_list(entry)).alias("copies"))
-
-
 def holders(placement: DataFrame, neighbors: DataFrame, hop: int | None = None) -> DataFrame:
     """For every viewer and object the neighbours that hold it, of all hop levels or of one.
 
@@ -75,16 +63,9 @@ def holders(placement: DataFrame, neighbors: DataFrame, hop: int | None = None)
 def duplicate_candidates(placement: DataFrame, neighbors: DataFrame, hop: int | None = None) -> DataFrame:
     """``(node_id, object_id)`` of the rows that some neighbour (of one hop level) holds as well."""
     near = neighbors if hop is None else neighbors.where(F.col("hop") == hop)
-    held = F.transform("copies", lambda c: c["node_id"])
-    return (
-        copies(placement, near)
-        .where(F.size("copies") > 1)
-        .withColumn("held", held)
-        .select("object_id", F.explode(F.filter(
-            "copies", lambda c: F.arrays_overlap(c["neighbors"], F.col("held"))
-        )).alias("c"))
-        .select("c.node_id", "object_id")
-    )
+    maps = node_maps(placement, near)
+    found = maps.over(lambda m, alive: F.transform(F.filter("held", lambda c: m.candidate(c, alive)), m.node))
+    return maps.rows.where(F.size("held") > 1).select(F.explode(found).alias("node_id"), "object_id")
 
 
 def candidate_holders(candidates: DataFrame, placement: DataFrame, neighbors: DataFrame) -> DataFrame:

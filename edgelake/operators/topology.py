@@ -65,13 +65,6 @@ def neighborhood(hops: DataFrame, nodes: DataFrame, max_hop: int) -> DataFrame:
     )
 
 
-def neighbor_lists(neighbors: DataFrame) -> DataFrame:
-    """``(node_id, neighbors)``: ids of the neighbours of a node, ascending."""
-    return neighbors.groupBy(F.col("viewer").alias("node_id")).agg(
-        F.array_sort(F.collect_set("node_id")).alias("neighbors")
-    )
-
-
 def shortest_path_trees(edges: DataFrame, nodes: DataFrame, max_hop: int) -> DataFrame:
     """``(source, node_id, parent, hop)`` of the breadth-first tree of every source.
 

@@ -989,38 +989,49 @@ def dedup_latency(spark, sf):
     return dedup.dedup_latency(*_latency_inputs(spark, sf), INITIATOR, fx.hot_objects(spark, sf))
 
 
-TURNS = [3, 11, 19]
-
-
-def _after_turn(before: str, initiator: int) -> str:
-    """Placement after the turn of an initiator, unchanged when that is below the limit."""
+def _after_turn(before: str, initiator: int, spared: str) -> str:
+    """Placement after the turn of an initiator, unchanged when that is below the limit; spared objects stay."""
     return f"""SELECT node_id, object_id FROM {before} WHERE NOT (
         (SELECT count(*) FROM {before} WHERE node_id = {initiator}) / (SELECT capacity FROM nodes WHERE node_id = {initiator})
-          >= {fx.LIMIT} AND (object_id, node_id) IN ({victims(before, initiator)}))"""
+          >= {fx.LIMIT} AND object_id NOT IN (SELECT object_id FROM {spared})
+          AND (object_id, node_id) IN ({victims(before, initiator)}))"""
 
 
-for _turn, _node in enumerate(TURNS):
-    _before = f"turn{_turn - 1}" if _turn else "placement"
-    ov.view(f"turn{_turn}", _after_turn(_before, _node), _before, "nodes", "neighbors", "all_hops")
+for _kind, _spared in (("pass", "nobody"), ("guarded", "hot")):
+    for _node in range(fx.N_NODES):
+        _before = f"{_kind}{_node - 1}" if _node else "placement"
+        ov.view(f"{_kind}{_node}", _after_turn(_before, _node, _spared), _before, "nodes", "neighbors", "all_hops", _spared)
 
 
-@query("SELECT node_id, object_id FROM turn2", "turn2")
-def dedup_latency_sweep(spark, sf):
-    """Three initiators in turn; later ones see what earlier ones dropped."""
+def _latency_sweep(spark, sf, viral=None):
     rows, near, hops = _latency_inputs(spark, sf)
-    return dedup.dedup_latency_sweep(rows, near, hops, fx.nodes(spark, sf), fx.LIMIT, TURNS)
+    return dedup.latency_sweep(rows, near, hops, fx.nodes(spark, sf), fx.LIMIT, range(fx.N_NODES), viral)
 
 
-for _node in range(fx.N_NODES):
-    _before = f"pass{_node - 1}" if _node else "placement"
-    ov.view(f"pass{_node}", _after_turn(_before, _node), _before, "nodes", "neighbors", "all_hops")
+@query(f"SELECT node_id, object_id FROM guarded{fx.N_NODES - 1}", f"guarded{fx.N_NODES - 1}")
+def dedup_latency_sweep(spark, sf):
+    """Every node in turn, flagged objects kept; later ones see what earlier ones dropped."""
+    return _latency_sweep(spark, sf, fx.hot_objects(spark, sf)).placement
 
 
 @query(f"SELECT node_id, object_id FROM pass{fx.N_NODES - 1}", f"pass{fx.N_NODES - 1}")
 def dedup_latency_sweep_all(spark, sf):
     """Every node in turn; later ones see what earlier ones dropped."""
-    rows, near, hops = _latency_inputs(spark, sf)
-    return dedup.dedup_latency_sweep(rows, near, hops, fx.nodes(spark, sf), fx.LIMIT, range(fx.N_NODES))
+    return _latency_sweep(spark, sf).placement
+
+
+@query(
+    "SELECT turn, node_id, used, open FROM (" + " UNION ALL ".join(
+        f"""SELECT CAST({n} AS INTEGER) AS turn, CAST({n} AS INTEGER) AS node_id, count(*) AS used,
+          count(*) / (SELECT capacity FROM nodes WHERE node_id = {n}) >= {fx.LIMIT} AS open
+        FROM {f'pass{n - 1}' if n else 'placement'} WHERE node_id = {n}"""
+        for n in range(fx.N_NODES)
+    ) + ")",
+    f"pass{fx.N_NODES - 1}",
+)
+def dedup_latency_gates(spark, sf):
+    """What every node holds when its turn comes, and whether that opens the turn."""
+    return _latency_sweep(spark, sf).gates
 
 
 @query(

@@ -6,7 +6,7 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
-from edgelake.operators import dedup, metrics, placement, topology
+from edgelake.operators import dedup, metrics, node_maps, placement, topology
 
 # A graph of six nodes and the hops from node 0.
 EDGES = [(0, 1), (0, 3), (1, 2), (1, 5), (2, 4), (2, 5), (3, 4)]
@@ -77,7 +77,9 @@ def random_case(seed):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_sweep_equals_the_step_by_step_one(spark, seed):
+def test_sweep_equals_the_step_by_step_one(spark, seed, monkeypatch):
+    if seed % 2:
+        monkeypatch.setattr(node_maps, "MAP_BYTES", 0)
     near, tables = random_case(seed)
     viral = {0, 5}
     neighbors = spark.createDataFrame(
@@ -96,7 +98,9 @@ def test_sweep_equals_the_step_by_step_one(spark, seed):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_permission_by_definition(spark, seed):
+def test_permission_by_definition(spark, seed, monkeypatch):
+    if seed % 2:
+        monkeypatch.setattr(node_maps, "MAP_BYTES", 0)
     near, tables = random_case(seed)
     neighbors = spark.createDataFrame(
         [(i, j, 1, 20) for i in near for j in near[i]], "viewer int, node_id int, hop int, capacity int"
@@ -119,42 +123,104 @@ def test_latency_sweep_passes_nodes_below_the_limit(spark, graph):
     assert fewer.count() < held.count()
 
 
-@pytest.mark.parametrize("seed", [0, 7])
-def test_latency_sweep_over_all_nodes_equals_the_step_by_step_one(spark, seed, monkeypatch):
-    near, tables = random_case(seed)
-    nodes = spark.createDataFrame([(i, 12) for i in near], "node_id int, capacity int")
-    edges = topology.undirected(spark.createDataFrame([(i, j) for i in near for j in near[i] if i < j], "src int, dst int"))
-    hops = topology.hop_distances(edges, nodes, None)
-    neighbors = spark.createDataFrame(
-        [(i, j, 1, 12) for i in near for j in near[i]], "viewer int, node_id int, hop int, capacity int"
-    )
-    held = spark.createDataFrame([(i, o) for i in tables for o in tables[i]], "node_id int, object_id long")
-    hop = {(r["src"], r["dst"]): r["hop"] for r in hops.collect()}
-    left, turns = {i: set(tables[i]) for i in tables}, 0
-    for i in sorted(near):
-        if len(left[i]) / 12 < 0.4:
+def turn_by_turn(near, tables, hop, capacity, limit, initiators, viral=()):
+    """One initiator after the other: of every object it shares, the farthest copy that may go."""
+    left, open_ = {i: set(tables[i]) for i in tables}, []
+    for i in initiators:
+        open_.append(len(left[i]) / capacity >= limit)
+        if not open_[-1]:
             continue
         seen = lambda viewer, o: sum(o in left[m] for m in near[viewer])
-        far = lambda m: (sum(hop.get((s, m), 0) for s in near[i] | {i}), m)  # noqa: B023, E731
+        far = lambda m: (sum(hop[s, m] for s in near[i] | {i}), m)  # noqa: B023, E731
         may = {o: [m for m in near[i] if o in left[m] and all(seen(k, o) > 1 for k in near[m])] for o in left[i]}
-        for o, m in [(o, max(found, key=far)) for o, found in may.items() if found]:
+        for o, m in [(o, max(found, key=far)) for o, found in may.items() if found and o not in viral]:
             left[m].discard(o)
-        turns += 1
-    names = []
-    monkeypatch.setattr(dedup, "stored", lambda df, name, write=dedup.stored: (names.append(name), write(df, name))[1])
-    got = dedup.dedup_latency_sweep(held, neighbors, hops, nodes, 0.4, sorted(near))
-    assert rows(got, "node_id", "object_id") == sorted((i, o) for i in left for o in left[i])
-    assert sum(map(len, left.values())) < held.count()
-    assert names.count("placement") == 1 and names.count("drops") == turns
+    return left, open_
+
+
+def hops_of(near):
+    out = {}
+    for source in near:
+        level, hop = {source}, 0
+        while level:
+            out |= {(source, m): hop for m in level}
+            level, hop = {k for m in level for k in near[m] if (source, k) not in out}, hop + 1
+    return out
+
+
+@pytest.mark.parametrize("map_bytes", [node_maps.MAP_BYTES, 0])
+def test_latency_sweep_over_all_nodes_equals_one_turn_after_the_other(spark, map_bytes, monkeypatch):
+    """300 random graphs side by side in one topology, half of them with protected objects."""
+    monkeypatch.setattr(node_maps, "MAP_BYTES", map_bytes)
+    held, near, hops, nodes, want, gates, viral = [], [], [], [], [], [], []
+    for seed in range(300):
+        around, tables = random_case(seed)
+        hop, base = hops_of(around), 100 * seed
+        spared = {0, 5} if seed % 2 else set()
+        order = sorted(around)
+        left, open_ = turn_by_turn(around, tables, hop, 12, 0.5, order, spared)
+        held += [(base + i, base + o) for i in tables for o in tables[i]]
+        near += [(base + i, base + j, 1, 12) for i in around for j in around[i]]
+        hops += [(base + i, base + j, h) for (i, j), h in hop.items()]
+        nodes += [(base + i, 12) for i in around]
+        viral += [(base + o,) for o in spared]
+        want += [(base + i, base + o) for i in left for o in left[i]]
+        gates += open_
+    frames = [
+        spark.createDataFrame(held, "node_id int, object_id long"),
+        spark.createDataFrame(near, "viewer int, node_id int, hop int, capacity int"),
+        spark.createDataFrame(hops, "src int, dst int, hop int"),
+        spark.createDataFrame(nodes, "node_id int, capacity int"),
+    ]
+    found = dedup.latency_sweep(*frames, 0.5, [n for n, _ in nodes], spark.createDataFrame(viral, "object_id long"))
+    assert rows(found.placement, "node_id", "object_id") == sorted(want)
+    assert [r["open"] for r in found.gates.orderBy("turn").collect()] == gates
+    assert len(want) < len(held) and not all(gates) and 1 < found.passes < 10
+
+
+def test_turns_may_repeat_and_come_in_any_order(spark):
+    around, tables = random_case(3)
+    hop, order = hops_of(around), [2, 0, 2, 1, 0]
+    left, open_ = turn_by_turn(around, tables, hop, 12, 0.3, order)
+    found = dedup.latency_sweep(
+        spark.createDataFrame([(i, o) for i in tables for o in tables[i]], "node_id int, object_id long"),
+        spark.createDataFrame([(i, j, 1, 12) for i in around for j in around[i]], "viewer int, node_id int, hop int, capacity int"),
+        spark.createDataFrame([(i, j, h) for (i, j), h in hop.items()], "src int, dst int, hop int"),
+        spark.createDataFrame([(i, 12) for i in around], "node_id int, capacity int"), 0.3, order,
+    )
+    assert rows(found.placement, "node_id", "object_id") == sorted((i, o) for i in left for o in left[i])
+    assert [r["open"] for r in found.gates.orderBy("turn").collect()] == open_
+
+
+def test_an_object_on_all_of_2000_nodes(spark, monkeypatch):
+    """A ring with steps of one and two: every copy may go at first, and the sweep leaves every node seeing two."""
+    n = 2000
+    near = {i: {(i + d) % n for d in (-2, -1, 1, 2)} for i in range(n)}
+    held = spark.range(n).select(F.col("id").cast("int").alias("node_id"), F.lit(7).cast("bigint").alias("object_id"))
+    pairs = [(i, j, 1, 1) for i in near for j in near[i]]
+    neighbors = spark.createDataFrame(pairs, "viewer int, node_id int, hop int, capacity int")
+    permission = dedup.delete_permission(held, neighbors)
+    assert "neighbors" not in permission._jdf.queryExecution().optimizedPlan().toString()
+    assert permission.where("permitted = 1").count() == n
+    assert placement.duplicate_candidates(held, neighbors).count() == n
+    nodes = held.select("node_id", F.lit(1).alias("capacity"))
+    gone = {r["node_id"] for r in dedup.dedup_basic(held, neighbors, nodes, 1.0).collect()}
+    alive = set(range(n))
+    for i in range(n):
+        if near[i] & alive and all(len(near[m] & alive) > 1 for m in near[i]):
+            alive.discard(i)
+    assert gone == set(range(n)) - alive
 
 
 def test_a_registered_sweep_runs_every_node(spark, sf, monkeypatch):
     from edgelake.plans import fixtures, queries
 
     seen = []
-    monkeypatch.setattr(dedup, "dedup_latency_sweep", lambda *a: seen.extend(a[5]))
-    queries.QUERIES["dedup_latency_sweep_all"](spark, sf)
-    assert seen == list(range(fixtures.N_NODES))
+    sweep_of = dedup.latency_sweep
+    monkeypatch.setattr(dedup, "latency_sweep", lambda *a: seen.append(list(a[5])) or sweep_of(*a))
+    for name in ("dedup_latency_sweep", "dedup_latency_sweep_all", "dedup_latency_gates"):
+        queries.QUERIES[name](spark, sf)
+    assert seen == [list(range(fixtures.N_NODES))] * 3
 
 
 def replay(log, near, capacity, cloud):
