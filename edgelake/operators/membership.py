@@ -6,13 +6,16 @@ many filters (one per group) are built at once. Probes never miss a member.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgelake.functions.sketch import bloom_positions, fingerprint, fingerprint_bits
+from edgelake.operators.node_maps import bit_of, word_of
 from edgelake.operators.scale import is_small, lookup_join, skew_join
+from edgelake.session import stored
 
 FILTER_BYTES = 64 << 20
 
@@ -203,16 +206,104 @@ def _down_the_tree(probes: DataFrame, neighbors: DataFrame, small: bool, search)
     )
 
 
+# Bit-sliced index of the filters of a tree: per viewer, word of 64 filters and position one bitmap that tells which
+# filters have the position set. The AND over the positions of a value names all filters that answer.
+
+
+def tree_slots(neighbors: DataFrame) -> DataFrame:
+    """``(viewer, hop, node_id, word, bit, kind)``: the place of every filter in the bitmaps of its viewer."""
+    rows = None
+    for kind, keys in LEVELS.items():
+        part = neighbors.select(*keys).distinct().select(
+            "viewer", *[F.col(c) if c in keys else F.lit(None).cast("int").alias(c) for c in ("hop", "node_id")],
+            F.lit(kind).alias("kind"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    order = Window.partitionBy("viewer").orderBy(F.col("hop").asc_nulls_first(), F.col("node_id").asc_nulls_first())
+    slot = F.row_number().over(order) - 1
+    return rows.withColumn("_slot", slot).select(
+        "viewer", "hop", "node_id", word_of(F.col("_slot")).alias("word"), F.col("_slot").bitwiseAND(63).alias("bit"), "kind"
+    )
+
+
+def sliced_index(tree: dict[str, DataFrame], slots: DataFrame) -> DataFrame:
+    """``(viewer, word, pos, bits)``, from the leaves alone: what a leaf sets is set in its level and its root."""
+    mask = bit_of(F.col("bit"))
+    small = is_small(slots)
+    ways = slots.where("kind = 'leaf'").select("viewer", "hop", "node_id", "word", mask.alias("mask"))
+    for keys, kind in ((["viewer", "hop"], "level"), (["viewer"], "root")):
+        above = slots.where(F.col("kind") == kind).select(*keys, "word", mask.alias("mask"))
+        leaves = slots.where("kind = 'leaf'").select("viewer", "hop", "node_id")
+        ways = ways.unionByName(leaves.join(above, keys).select("viewer", "hop", "node_id", "word", "mask"))
+    masks = ways.groupBy("viewer", "hop", "node_id", "word").agg(F.bit_or("mask").alias("mask"))
+    held = tree["leaf"].where("cnt > 0").select("viewer", "hop", "node_id", "pos")
+    laid = lookup_join(held, masks, ["viewer", "hop", "node_id"], small=small)
+    return laid.groupBy("viewer", "word", "pos").agg(F.bit_or("mask").alias("bits"))
+
+
+class TreeIndex:
+    """The index of a tree, stored once; up to FILTER_BYTES it is also packed to one array per viewer and word."""
+
+    def __init__(self, tree: dict[str, DataFrame], neighbors: DataFrame, n_bits: int, n_hashes: int):
+        self.n_bits, self.n_hashes = n_bits, n_hashes
+        self.slots = stored(tree_slots(neighbors), "slots")
+        self.rows = stored(sliced_index(tree, self.slots), "index")
+        words = self.slots.select("viewer", "word").distinct()
+        self.packed, self.count = None, words.count()
+        if self.count * n_bits * 8 <= FILTER_BYTES:
+            every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_bits - 1).cast("bigint")))
+            empty = words.select("viewer", "word", every.alias("pos"), F.lit(0).cast("bigint").alias("bits"))
+            whole = self.rows.unionByName(empty).groupBy("viewer", "word", "pos").agg(F.bit_or("bits").alias("bits"))
+            arrays = whole.groupBy("viewer", "word").agg(
+                F.sort_array(F.collect_list(F.struct("pos", "bits")))["bits"].alias("slices")
+            )
+            number = F.row_number().over(Window.orderBy("viewer", "word")) - 1
+            self.packed = stored(arrays.withColumn("_row", number), "slices")
+
+    def answers(self, probes: DataFrame, value: str, by_viewer: bool) -> DataFrame:
+        """Probes with ``(viewer, word, answer)``: the filters, of the probe's viewer or of all, that seem to hold the value.
+
+        Packed arrays are broadcast, no probe moves, and the k lookups are plain array reads. Beyond that the
+        positions of a probe meet the rows of the index.
+        """
+        places = bloom_positions(F.col(value), self.n_bits, self.n_hashes)
+        others = [c for c in probes.columns if c != "viewer"]
+        if self.packed is not None:
+            keys = ["viewer"] if by_viewer else ["_row"]
+            if not by_viewer:
+                every = F.sequence(F.lit(0), F.lit(max(self.count - 1, 0)))
+                probes = probes.select(*others, F.explode(every).alias("_row"))
+            answer = functools.reduce(
+                Column.bitwiseAND, [F.get("slices", F.get(places, F.lit(i)).cast("int")) for i in range(self.n_hashes)]
+            )
+            joined = probes.join(F.broadcast(self.packed), keys)
+            return joined.select(*others, "viewer", "word", answer.alias("answer")).where("answer <> 0")
+        laid = probes.withColumn("_places", F.array_distinct(places)).select(
+            *probes.columns, F.size("_places").alias("_wanted"), F.explode("_places").alias("pos")
+        )
+        met = laid.join(self.rows, ["viewer", "pos"] if by_viewer else ["pos"])
+        return met.groupBy(*others, "viewer", "word", "_wanted").agg(
+            F.bit_and("bits").alias("answer"), F.count(F.lit(1)).alias("_met")
+        ).where("_met = _wanted AND answer <> 0").select(*others, "viewer", "word", "answer")
+
+
+def _bits_set(answer: str) -> Column:
+    is_set = lambda i: F.call_function("shiftright", F.col(answer), i).bitwiseAND(1) == 1
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), is_set))
+
+
 def cbf_tree_search(
     probes: DataFrame, tree: dict[str, DataFrame], neighbors: DataFrame, n_bits: int, n_hashes: int
 ) -> DataFrame:
-    """``(viewer, object_id, hop, node_id)``: neighbours that seem to hold the object of a probe."""
-    return _down_the_tree(
-        probes,
-        neighbors,
-        is_small(neighbors),
-        lambda rows, kind: _cbf_found(rows, tree[kind], LEVELS[kind], "object_id", n_bits, n_hashes),
-    )
+    """``(viewer, object_id, hop, node_id)``: neighbours that seem to hold the object of a probe.
+
+    Root, levels and leaves answer in one lookup; a leaf that answers has its level and root answer too.
+    """
+    index = TreeIndex(tree, neighbors, n_bits, n_hashes)
+    found = index.answers(probes.select("viewer", "object_id").distinct(), "object_id", by_viewer=True)
+    leaves = index.slots.where("kind = 'leaf'").select("viewer", "word", "bit", "hop", "node_id")
+    named = found.select("viewer", "object_id", "word", _bits_set("answer").alias("bit"))
+    return lookup_join(named, leaves, ["viewer", "word", "bit"]).select("viewer", "object_id", "hop", "node_id")
 
 
 def qf_tree_search(
@@ -231,37 +322,26 @@ def qf_tree_search(
     return _down_the_tree(probes, neighbors, small, search)
 
 
-def false_positive_rates(hits: DataFrame, filters: DataFrame, keys: Sequence[str], n_negatives: Column) -> DataFrame:
-    """Share of the negatives found by every filter; ``hits`` has a row per filter and found value."""
-    found = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hits"))
-    return filters.join(found, list(keys), "left").select(
-        *filters.columns, (F.coalesce("_hits", F.lit(0)) / n_negatives).alias("fpr")
-    )
-
-
 def cbf_tree_fpr(
     negatives: DataFrame, tree: dict[str, DataFrame], neighbors: DataFrame, n_bits: int, n_hashes: int
 ) -> DataFrame:
     """``(viewer, root_fpr, level_fpr, all_fpr)`` over a list of objects nobody holds.
 
-    Every negative is laid out once; its positions meet the filters by an equi join, and a filter that
-    sets all of them has a false hit.
+    Every negative is asked of all filters, 64 at once; each answer is a false hit.
     """
+    index = TreeIndex(tree, neighbors, n_bits, n_hashes)
     total = negatives.agg(F.count(F.lit(1))).scalar()
-    places = F.array_distinct(bloom_positions(F.col("object_id"), n_bits, n_hashes))
-    laid = negatives.select("object_id").withColumn("_places", places).select(
-        "object_id", F.size("_places").alias("_wanted"), F.explode("_places").alias("pos")
+    answers = index.answers(negatives.select("object_id"), "object_id", by_viewer=False)
+    hits = answers.select("viewer", "word", _bits_set("answer").alias("bit")).groupBy("viewer", "word", "bit").agg(
+        F.count(F.lit(1)).alias("_hits")
     )
-    rates = {}
-    for kind, keys in LEVELS.items():
-        hits = (
-            laid.join(tree[kind].where("cnt > 0").select(*keys, "pos"), "pos")
-            .groupBy(*keys, "object_id", "_wanted")
-            .agg(F.count(F.lit(1)).alias("_met"))
-            .where("_met = _wanted")
-        )
-        rates[kind] = false_positive_rates(hits, neighbors.select(*keys).distinct(), keys, total)
-    return _weigh(rates)
+    rates = stored(
+        index.slots.join(hits, ["viewer", "word", "bit"], "left").select(
+            "viewer", "hop", "node_id", "kind", (F.coalesce("_hits", F.lit(0)) / total).alias("fpr")
+        ),
+        "rates",
+    )
+    return _weigh({kind: rates.where(F.col("kind") == kind).select(*keys, "fpr") for kind, keys in LEVELS.items()})
 
 
 def _weigh(rates: dict[str, DataFrame]) -> DataFrame:
