@@ -105,3 +105,53 @@ def test_trees_find_all_holders(spark):
     assert rows(m.qf_tree_search(probes, qf, near, 1e-6)) == want
     sizes = m.cbf_tree_bits(near, 4096).where("viewer = 0").first()
     assert sizes["filters"] == 1 + 2 + 5 and sizes["bits"] == 8 * 9 * 4096
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    ends = F.explode(F.array(*[((F.col("id") * a + b) % 90).cast("int") for a, b in ((1, 1), (7, 1), (11, 5))]))
+    edges = topology.undirected(spark.range(90).select(F.col("id").cast("int").alias("src"), ends.alias("dst")))
+    nodes = spark.range(90).select(F.col("id").cast("int").alias("node_id"), F.lit(9).alias("capacity"))
+    near = topology.neighborhood(topology.hop_distances(edges, nodes, 4), nodes, 4).cache()
+    held = spark.range(1200).select((F.col("id") % 90).cast("int").alias("node_id"), (F.col("id") * 31 % 211).alias("object_id")).distinct().cache()
+    assert near.groupBy("viewer").count().agg(F.max("count")).first()[0] > 64, "more filters than a word has bits"
+    return held, near
+
+
+@pytest.mark.parametrize("room", [m.FILTER_BYTES, 0])
+def test_sliced_index_names_every_filter_that_answers(spark, tree, room, monkeypatch):
+    monkeypatch.setattr(m, "FILTER_BYTES", room)
+    held, near = tree
+    size = (256, 3)
+    filters = m.cbf_tree(held, near, *size)
+    probes = spark.range(400).select((F.col("id") % 7).cast("int").alias("viewer"), (F.col("id") * 3 % 500).alias("object_id"))
+    found = m.cbf_tree_search(probes.unionAll(probes), filters, near, *size)
+    places = {r["object_id"]: set(r["p"]) for r in probes.select("object_id", sketch.bloom_positions(F.col("object_id"), *size).alias("p")).collect()}
+    sets = {}
+    for r in filters["leaf"].where("cnt > 0").collect():
+        sets.setdefault((r["viewer"], r["hop"], r["node_id"]), set()).add(r["pos"])
+    asked = {(r["viewer"], r["object_id"]) for r in probes.collect()}
+    want = sorted((v, o, hop, n) for (v, hop, n), s in sets.items() for w, o in asked if w == v and places[o] <= s)
+    assert rows(found, "viewer", "object_id", "hop", "node_id") == want and len(want) > 100
+    negatives = spark.range(1000, 1300).select(F.col("id").alias("object_id"))
+    far = [set(r["p"]) for r in negatives.select(sketch.bloom_positions(F.col("object_id"), *size).alias("p")).collect()]
+    wanted = {}
+    for kind, keys in m.LEVELS.items():
+        above = {}
+        for r in near.collect():
+            above.setdefault(tuple(r[k] for k in keys), set()).update(sets.get((r["viewer"], r["hop"], r["node_id"]), ()))
+        for key, s in above.items():
+            wanted.setdefault(key[0], {}).setdefault(kind, []).append(sum(p <= s for p in far) / len(far))
+    for r in m.cbf_tree_fpr(negatives, filters, near, *size).collect():
+        w = wanted[r["viewer"]]
+        level = (sum(w["level"]) + w["root"][0]) / (len(w["level"]) + 1)
+        assert r["root_fpr"] == pytest.approx(w["root"][0]) and r["level_fpr"] == pytest.approx(level)
+        assert r["all_fpr"] == pytest.approx((sum(w["leaf"]) / len(w["leaf"]) + w["root"][0] + level) / 3)
+
+
+def test_probes_of_a_packed_index_move_once(spark, tree):
+    held, near = tree
+    index = m.TreeIndex(m.cbf_tree(held, near, 256, 3), near, 256, 3)
+    probes = held.withColumnRenamed("node_id", "viewer")
+    plan = index.answers(probes, "object_id", by_viewer=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan.split("InMemoryRelation")[0]

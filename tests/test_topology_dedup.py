@@ -31,6 +31,33 @@ def test_hops_stop_at_the_limit(graph):
     assert topology.hop_distances(*graph, 1).agg(F.max("hop")).first()[0] == 1
 
 
+def test_search_of_5000_nodes_moves_bitmaps(spark):
+    """A ring of 5,000 nodes with five chords each: rows of the largest round against its pairs of nodes, and some sources by hand."""
+    n = 5000
+    ring = spark.range(n).select(F.col("id").cast("int").alias("src"), F.explode(F.array(*[
+        F.pmod(F.col("id") * a + b, F.lit(n)).cast("int") for a, b in ((1, 1), (7, 3), (13, 5), (101, 11), (333, 7), (1009, 2))
+    ])).alias("dst"))
+    edges = topology.undirected(ring).cache()
+    nodes = spark.range(n).select(F.col("id").cast("int").alias("node_id"))
+    positions = topology.node_positions(nodes)
+    found = topology.reached_sources(edges, positions).cache()
+    rounds = found.groupBy("hop").agg(F.sum(F.bit_count("bits")).alias("pairs"), F.count("bits").alias("rows")).collect()
+    assert sum(r["pairs"] for r in rounds) == n * n
+    largest = max(rounds, key=lambda r: r["pairs"])
+    assert largest["pairs"] / largest["rows"] >= 30, rounds
+    around = {}
+    for r in edges.collect():
+        around.setdefault(r["src"], set()).add(r["dst"])
+    for source in (0, 63, 64, 4999):
+        level, hop, want = {source}, 0, {}
+        while level:
+            want |= {m: hop for m in level}
+            level, hop = {k for m in level for k in around[m] if k not in want}, hop + 1
+        bit = F.call_function("shiftright", "bits", F.lit(source % 64)).bitwiseAND(1) == 1
+        got = found.where((F.col("block") == source // 64) & bit).select("node_id", "hop").collect()
+        assert {r["node_id"]: r["hop"] for r in got} == want and len(got) == n
+
+
 def test_tree_takes_the_parent_queued_first(graph):
     tree = topology.shortest_path_trees(*graph, 6).where("source = 0")
     assert rows(tree, "node_id", "parent", "hop") == [(1, 0, 1), (2, 1, 2), (3, 0, 1), (4, 3, 2), (5, 1, 2)]
