@@ -2,19 +2,23 @@
 
 When no piece of a model has a white-space marker behind another character, no merge crosses from one marked word to
 the next (a marked word is a run of markers and what follows it up to the next marker). Then a text's ids are those of its
-marked words in a row. So every distinct marked word is segmented once: texts are cut in blocks of bounded size, a block
-lists its distinct words, and a text keeps the places of its words in that list; the distinct words of all blocks are
-segmented, and the ids come back to the blocks by word and to the texts by place.
+marked words in a row. So every distinct marked word is segmented once: texts are cut in blocks of bounded size; a block
+lists its distinct words, dealt to buckets by a hash, and its texts keep the places of their words in that list. Each bucket
+has all blocks' lists of its words and segments a word when it first meets it; the ids come back to the blocks list by list,
+and to the texts by place. Lists travel as compressed bytes, a row per block and bucket.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +29,11 @@ from edgelake.session import stored
 MARKER = "▁"
 MARKED = re.compile(" +[^ ]*")
 BORDER = re.compile("(?<! ) ")
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 PART_CHARS = 1 << 20
-CUT = "block bigint, doc_id bigint, places array<int>, words array<string>"
+BUCKETS_PER_PARTITION = 8
+TEXTS = "block bigint, cut bigint, doc_ids array<bigint>, sizes array<int>, places binary, buckets binary"
+LISTS = "block bigint, cut bigint, bucket int, words binary"
 
 
 def load(model: bytes) -> sentencepiece.SentencePieceProcessor:
@@ -74,54 +80,133 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = TaskContext.get().partitionId() << 36
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes; the high ones are mostly zero."""
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[str | None]]]:
+    """Blocks of texts with their numbers, which hang on the partition and the order of its rows alone."""
+    number = TaskContext.get().partitionId() << 36
     for batch in batches:
         for low, high in slices(batch.column(1), BLOCK_BYTES):
-            places, found = _Places(), []
-            for text in batch.column(1).slice(low, high - low).to_pylist():
-                parts = [
-                    np.fromiter(map(places.__getitem__, words), np.int32, len(words))
-                    for words in (marked_words(text) if text else ())
-                ]
-                found.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
-            n = high - low
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, block)),
-                    batch.column(0).slice(low, n),
-                    _lists(found, pa.int32()),
-                    pa.array([list(places), *[None] * (n - 1)], pa.list_(pa.string())),
-                ],
-                ["block", "doc_id", "places", "words"],
-            )
-            block += 1
+            yield number, batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low).to_pylist()
+            number += 1
+
+
+def _dealt(words: list[str], n_buckets: int) -> tuple[np.ndarray, int]:
+    """The bucket of each word, and a checksum of all of them."""
+    data = [w.encode() for w in words]
+    return np.fromiter((zlib.crc32(w) % n_buckets for w in data), np.int64, len(data)), zlib.crc32(b"".join(data))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row per block: its texts' ids, numbers of words and words' places, and the bucket of each place."""
+    for number, ids, texts in _blocks(batches):
+        places, found = _Places(), []
+        for text in texts:
+            parts = [
+                np.fromiter(map(places.__getitem__, words), np.int32, len(words))
+                for words in (marked_words(text) if text else ())
+            ]
+            found.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+        buckets, cut = _dealt(list(places), n_buckets)
+        row = (number, cut, ids.to_pylist(), list(map(len, found)), _packed(np.concatenate(found)), _packed(buckets))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x], kind) for x, kind in zip(row, kinds)], ["block", "cut", "doc_ids", "sizes", "places", "buckets"]
+        )
+
+
+def _lists_of_words(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row per block and bucket: the words, in the order of their places."""
+    for number, _, texts in _blocks(batches):
+        places: dict[str, None] = {}
+        for text in texts:
+            for words in marked_words(text) if text else ():
+                places.update(dict.fromkeys(words))
+        words = np.array(list(places), object)
+        buckets, cut = _dealt(words.tolist(), n_buckets)
+        order = np.argsort(buckets, kind="stable")
+        used, starts = np.unique(buckets[order], return_index=True)
+        parts = np.split(words[order], starts[1:]) if len(used) else []
+        lists = [zstandard.compress(json.dumps(part.tolist(), ensure_ascii=False).encode()) for part in parts]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(used), number)), pa.array(np.full(len(used), cut)),
+                pa.array(used, pa.int32()), pa.array(lists, pa.binary()),
+            ],
+            ["block", "cut", "bucket", "words"],
+        )
+
+
+def _segmented(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+    """Ids of lists of words that come bucket by bucket; what a bucket has met is kept until its end."""
+    library, known, current = load(model), {}, None
+    for batch in batches:
+        out = []
+        for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words")):
+            if bucket != current:
+                known, current = {}, bucket
+            words = json.loads(zstandard.decompress(words.as_py()))
+            new = [w for w in words if w not in known]
+            known.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(new, segment(library, new)))
+            ids = [known[w] for w in words]
+            sizes = np.fromiter((len(x) // 4 for x in ids), "<u4", len(ids))
+            out.append(_packed(np.concatenate([sizes, np.frombuffer(b"".join(ids), "<u4")])))
+        columns = [batch.column(c) for c in ("block", "cut", "bucket")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], ["of_block", "cut", "bucket", "ids"])
 
 
 def _joined(texts: pa.Table, known: pa.Table, end: list[int]) -> pa.Table:
-    """Ids of a block's texts, from the ids of its words in the order of their places."""
-    known = known.sort_by("place")
-    ids = known.column("ids").combine_chunks()
-    sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, begins = ids.flatten().to_numpy(), np.cumsum(sizes) - sizes
-    out = []
-    for places in texts.column("places"):
-        places = places.values.to_numpy()
-        n = sizes[places]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out.append(np.concatenate([flat[np.repeat(begins[places], n) + inside], end]).astype(np.int32))
-    return pa.table({"doc_id": texts.column("doc_id"), "ids": _lists(out, pa.int32())})
+    """Ids of a block's texts: its lists by bucket hold its words' ids in the order of their buckets and places."""
+    if texts.num_rows != 1 or any(c != texts.column("cut")[0] for c in known.column("cut")):
+        raise RuntimeError("the rows came in another order when they were read again; call encode with store=True")
+    row = texts.to_pylist()[0]
+    buckets, places = _unpacked(row["buckets"]), _unpacked(row["places"])
+    sizes, flat = [], []
+    counts = dict(zip(*(x.tolist() for x in np.unique(buckets, return_counts=True))))
+    for x in known.sort_by("bucket").to_pylist():
+        values = _unpacked(x["ids"])
+        sizes.append(values[: counts[x["bucket"]]])
+        flat.append(values[counts[x["bucket"]] :])
+    order = np.argsort(buckets, kind="stable")
+    size, begin = np.zeros((2, len(buckets)), np.int64)
+    if len(sizes) < len(counts):
+        raise RuntimeError("the rows came in another order when they were read again; call encode with store=True")
+    if sizes:
+        size[order] = np.concatenate(sizes)
+        begin[order] = np.cumsum(size[order]) - size[order]
+    ids = np.concatenate([*flat, np.array(end, "<u4")]).astype(np.int32)
+    out, at = [], 0
+    for n in row["sizes"]:
+        own = places[at : at + n]
+        at += n
+        k = size[own]
+        inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        out.append(np.concatenate([ids[np.repeat(begin[own], k) + inside], ids[len(ids) - len(end) :]]))
+    return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": _lists(out, pa.int32())})
 
 
 def encode(
-    docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True
+    docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True, store: bool = False
 ) -> DataFrame:
     """Ids of every row's whole text, with the model's end id behind them: doc_id, ids.
 
+    ``docs`` is read twice, once for the words and once for their places, and is to be a table: partitions and the order of their
+    rows must be the same both times. A checksum per block tells if they are not, and the job then fails. ``store`` writes
+    the texts first, for frames that may be computed differently.
+
     ``model`` is the content of a model file. A null text is an empty one; it has the end id only. Repeated
     rows stay repeated, a null id stays null, no rows give no rows; other columns are not read. A text of any length
-    is one row and one block of its own; it is cut in parts while its words are looked up. With a model whose pieces
-    cross markers, or one that changes texts, there is nothing to share: every text is segmented as a whole.
+    is one row and one block of its own; it is cut in parts while its words are looked up. A task that segments holds the
+    distinct words of one bucket; there are BUCKETS_PER_PARTITION buckets per shuffle partition. With a model whose
+    pieces cross markers, or one that changes texts, there is nothing to share: every text is segmented as a whole.
     """
     library = load(model)
     end = [library.eos_id()] if add_end else []
@@ -140,24 +225,16 @@ def encode(
     if not words_apart(library):
         return texts.mapInArrow(whole, "doc_id bigint, ids array<int>")
 
-    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = load(model)
-        for batch in batches:
-            ids = segment(own, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _joined(left, right, end)
-
-    rows = stored(texts.mapInArrow(_cut, CUT), "chunked")
-    words = rows.where("words IS NOT NULL").select("block", F.posexplode("words").alias("place", "word"))
-    distinct = words.select("word").distinct()
-    known = stored(distinct.mapInArrow(segmented, "word string, ids array<int>"), "segmented")
-    placed = words.join(known, "word").select(F.col("block").alias("of_block"), "place", "ids")
-    return (
-        rows.select("block", "doc_id", "places").groupBy("block")
-        .cogroup(placed.groupBy("of_block"))
-        .applyInArrow(joined, "doc_id bigint, ids array<int>")
+    n_buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if store:
+        texts = stored(texts, "texts")
+    lists = texts.mapInArrow(lambda batches: _lists_of_words(batches, n_buckets), LISTS)
+    found = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        lambda batches: _segmented(batches, model), "of_block bigint, cut bigint, bucket int, ids binary"
+    )
+    blocks = texts.mapInArrow(lambda batches: _texts(batches, n_buckets), TEXTS)
+    return blocks.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(
+        lambda left, right: _joined(left, right, end), "doc_id bigint, ids array<int>"
     )
 
 

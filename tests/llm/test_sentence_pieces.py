@@ -58,3 +58,19 @@ def test_models_whose_pieces_cross_words_segment_whole_texts(spark, documents, m
     monkeypatch.setattr(sp, "words_apart", lambda library: False)
     got = sp.encode(documents([(1, "a b  c"), (2, None)]), model).collect()
     assert sorted((r["doc_id"], r["ids"]) for r in got) == [(1, sp.load(model).encode("a b  c", add_eos=True)), (2, [2])]
+
+
+def test_rows_in_another_order_are_noticed(spark, model):
+    import pyarrow as pa
+
+    at = lambda texts, cut: pa.table({
+        "cut": pa.array([cut], pa.int64()), "doc_ids": [[1]], "sizes": [[1]],
+        "places": [sp._packed(sp.np.zeros(1, "<u4"))], "buckets": [sp._packed(sp.np.zeros(1, "<u4"))],
+    })
+    lists = pa.table({"cut": pa.array([5], pa.int64()), "bucket": [0], "ids": [sp._packed(sp.np.array([1, 9]))]})
+    assert sp._joined(at(["a"], 5), lists, [2]).to_pylist() == [{"doc_id": 1, "ids": [9, 2]}]
+    for left, right in ((at(["a"], 6), lists), (at(["a"], 5), lists.slice(0, 0)), (at(["a"], 5).slice(0, 0), lists)):
+        with pytest.raises(RuntimeError, match="another order"):
+            sp._joined(left, right, [2])
+    rows = spark.createDataFrame([(i, f"w{i % 7} x y") for i in range(50)], "doc_id long, text string").repartition(3)
+    assert sp.encode(rows, model, store=True).count() == 50
