@@ -11,16 +11,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgelake.llm.words import slices, words_of
+from edgelake.llm.words import Words, slices, word_count, words_of
 from edgelake.operators.scale import lookup_join
 from edgelake.session import stored
 
 PASSAGE_WORDS = 64
+PART_BYTES = 128 << 10
 TRAIN_ROWS = 4096
-TRAIN_PASSAGES = 64
+TRAIN_PASSAGES = 40_000
 ATTENTION = 16
 EPOCHS = 60
 BATCH = 64
@@ -44,18 +45,38 @@ def _shapes() -> np.ndarray:
     return kinds
 
 
-def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def parts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``encode`` of the texts, in parts of about PART_BYTES; a longer text is cut between passages."""
+    for low, high in slices(texts, PART_BYTES):
+        words = words_of(texts.slice(low, high - low))
+        step = PASSAGE_WORDS * max(1, PART_BYTES * len(words.starts) // max(len(words.data), 1) // PASSAGE_WORDS)
+        if high - low > 1 or len(words.starts) <= step:
+            x, doc = encode(words)
+            yield x, doc + low
+            continue
+        for first in range(0, len(words.starts), step):
+            begin = int(words.starts[first]) if first else 0
+            # One byte of the next part is kept for the pair of bytes at the border.
+            end = int(words.starts[first + step]) + 1 if first + step < len(words.starts) else len(words.data)
+            own = slice(first, first + step)
+            x, doc = encode(Words(
+                words.data[begin:end], np.array([0, end - begin]), words.starts[own] - begin, words.ends[own] - begin, words.doc[own]
+            ))
+            yield x, doc + low
+
+
+def encode(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Passages of the texts, encoded, and the text each is of; a text without words is one empty passage.
 
     A passage is encoded by the square roots of the shares of its pairs of byte classes, its shares of distinct
     words, of words equal to the last and to the last but one, its mean word length and its number of words.
     """
-    words = words_of(texts)
     hashes, first = words.hashes(), words.first
+    texts = len(words.at) - 1
     in_doc = np.arange(len(hashes)) - first[words.doc]
     counts = np.maximum(-(-np.diff(first) // PASSAGE_WORDS), 1)
     base = np.cumsum(counts) - counts
-    doc = np.repeat(np.arange(len(texts)), counts)
+    doc = np.repeat(np.arange(texts), counts)
     out = np.zeros((len(doc), WIDTH), np.float32)
     if not len(hashes):
         return out, doc
@@ -65,7 +86,7 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     kinds = _shapes()[words.data].astype(np.int64)
     place = np.searchsorted(begins, np.arange(len(kinds)), side="right") - 1
     holder = filled[np.maximum(place, 0)]
-    of = np.repeat(np.arange(len(texts)), np.diff(words.at))
+    of = np.repeat(np.arange(texts), np.diff(words.at))
     inside = (place[:-1] >= 0) & (of[:-1] == of[1:]) & (doc[holder[:-1]] == of[:-1])
     pairs, held = (kinds[:-1] * SHAPES + kinds[1:])[inside], holder[:-1][inside]
     shares = np.bincount(held * (SHAPES * SHAPES) + pairs, minlength=len(doc) * SHAPES * SHAPES).reshape(len(doc), -1)
@@ -97,13 +118,19 @@ class AttentionModel:
     b: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        x, doc = encode(texts)
-        x = (x - self.mean) * self.scale
-        logits = (np.tanh(x @ self.v) * _sigmoid(x @ self.u)) @ self.w
+        logits, values, doc = [], [], []
+        for x, of in parts(texts):
+            x = (x - self.mean) * self.scale
+            logits.append((np.tanh(x @ self.v) * _sigmoid(x @ self.u)) @ self.w)
+            values.append(x @ self.c)
+            doc.append(of)
+        if not doc:
+            return np.zeros(0)
+        logits, values, doc = map(np.concatenate, (logits, values, doc))
         starts = np.searchsorted(doc, np.arange(len(texts)))
         weights = np.exp(logits - np.maximum.reduceat(logits, starts)[doc])
         weights /= np.add.reduceat(weights, starts)[doc]
-        return _sigmoid(np.add.reduceat(weights * (x @ self.c), starts) + self.b).astype(np.float64)
+        return _sigmoid(np.add.reduceat(weights * values, starts) + self.b).astype(np.float64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -115,6 +142,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Atten
     rng = np.random.default_rng(seed)
     everything = np.concatenate(bags) if bags else np.zeros((1, WIDTH), np.float32)
     mean, scale = everything.mean(axis=0), 1 / (everything.std(axis=0) + 0.02)
+    del everything
     share = (labels.sum() + 1) / (len(labels) + 2)
     p = {
         "v": rng.normal(0, 0.1, (WIDTH, ATTENTION)), "u": rng.normal(0, 0.1, (WIDTH, ATTENTION)),
@@ -159,13 +187,14 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Atten
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_id_col: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS,
+    train_passages: int = TRAIN_PASSAGES,
 ) -> AttentionModel:
     """Model from at most ``train_rows`` labelled documents, those of the smallest id hashes.
 
-    Whole texts are encoded; a training bag keeps at most TRAIN_PASSAGES passages, spread evenly over its text, so
-    the driver receives at most train_rows * TRAIN_PASSAGES encoded passages. Rows with a null id or label teach
-    nothing; of several labels of one id the majority counts, a tie is 1. Without both labels the score is
-    their share.
+    Bags are whole: a document teaches with all its passages. ``train_passages`` bounds the passages of all bags together, so
+    that fewer documents are taken where texts are long; a text with more passages than that teaches nothing. Rows with a
+    null id or label teach nothing; of several labels of one id the majority counts, a tie is 1. Without both labels
+    the score is their share.
     """
     marks = (
         labels.select(F.col(label_id_col).cast("bigint").alias("doc_id"), F.col(label_col).alias("label"))
@@ -177,20 +206,24 @@ def fit(
     known = marks.join(ids, "doc_id", "left_semi")
     sample = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "train")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = lookup_join(texts, sample, ["doc_id"], small=True).select("doc_id", "text", "label")
+    size = F.greatest(F.ceil(word_count(F.col("text")) / PASSAGE_WORDS), F.lit(1)).cast("bigint")
+    labelled = stored(
+        lookup_join(texts, sample, ["doc_id"], small=True).select("doc_id", "text", "label", size.alias("passages")), "labelled"
+    )
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fitting = labelled.groupBy("doc_id").agg(F.sum("passages").alias("passages")).where(F.col("passages") <= train_passages)
+    taken = fitting.withColumn("all", F.sum("passages").over(order)).where(F.col("all") <= train_passages).select("doc_id")
+    chosen = labelled.join(F.broadcast(taken), "doc_id", "left_semi").select("doc_id", "text", "label")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in slices(batch.column(1)):
-                x, doc = encode(batch.column(1).slice(low, high - low))
-                bags = []
-                for i in range(high - low):
-                    own = np.flatnonzero(doc == i)
-                    if len(own) > TRAIN_PASSAGES:
-                        own = own[np.linspace(0, len(own) - 1, TRAIN_PASSAGES).astype(int)]
-                    bags.append(x[own].tobytes())
+                bags: list[list[bytes]] = [[] for _ in range(high - low)]
+                for x, doc in parts(batch.column(1).slice(low, high - low)):
+                    for i in np.unique(doc).tolist():
+                        bags[i].append(x[doc == i].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(bags, pa.binary())],
+                    [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(map(b"".join, bags), pa.binary())],
                     ["doc_id", "label", "bag"],
                 )
 
@@ -202,7 +235,7 @@ def fit(
 def score(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score of every row's whole text: doc_id, score in 0 to 1. A null text is an empty one.
 
-    Repeated rows stay repeated; other columns are not read.
+    A text of any length is encoded part by part and keeps two numbers per passage. Repeated rows stay repeated; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
