@@ -29,7 +29,8 @@ from edgelake.session import stored
 MARKER = "▁"
 MARKED = re.compile(" +[^ ]*")
 BORDER = re.compile("(?<! ) ")
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+DECODED_IDS = 1 << 18
 PART_CHARS = 1 << 20
 BUCKETS_PER_PARTITION = 8
 TEXTS = "block bigint, cut bigint, doc_ids array<bigint>, sizes array<int>, places binary, buckets binary"
@@ -238,20 +239,72 @@ def encode(
     )
 
 
+class Decoder:
+    """Texts of ids from the bytes of their pieces, joined for many texts at once.
+
+    The library itself decodes what is not plain: ids that are no normal, byte or control piece, texts that do not begin with a
+    normal piece, and bytes that are no UTF-8.
+    """
+
+    def __init__(self, model: bytes):
+        library = self.library = load(model)
+        n = library.get_piece_size()
+        pieces = [library.id_to_piece(i).replace(MARKER, " ").encode() for i in range(n)]
+        pieces = [
+            bytes([int(p[3:5], 16)]) if library.is_byte(i) else b"" if library.is_control(i) else p
+            for i, p in enumerate(pieces)
+        ]
+        self.plain = np.array([not (library.is_unknown(i) or library.is_unused(i)) for i in range(n)])
+        self.normal = self.plain & np.array([not (library.is_byte(i) or library.is_control(i)) for i in range(n)])
+        self.blank = np.array([p[:1] == b" " for p in pieces])
+        self.sizes = np.array([len(p) for p in pieces])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The text of each run of ids."""
+        known = (ids >= 0) & (ids < len(self.sizes))
+        safe = np.where(known, ids, 0)
+        known &= self.plain[safe]
+        sizes = self.sizes[safe]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.repeat(self.starts[safe] - ends[:-1], sizes) + np.arange(ends[-1])
+        data, odd = self.data[places].tobytes(), np.concatenate([[0], np.cumsum(~known)])
+        out = []
+        for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            if low == high:
+                out.append("")
+                continue
+            if odd[high] == odd[low] and self.normal[safe[low]]:
+                try:
+                    out.append(data[ends[low] + self.blank[safe[low]] : ends[high]].decode())
+                    continue
+                except UnicodeDecodeError:
+                    pass
+            out.append(self.library.decode(ids[low:high].tolist()))
+        return out
+
+
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the text of their ids in ``out``; null ids are none, and other columns stay as they are.
+    """``rows`` with the text of their ids in ``out``; a null list is an empty one, and other columns stay as they are.
 
-    ``out`` must be no column of ``rows``.
+    ``out`` must be no column of ``rows``. An id the model does not have is an error of the library.
     """
     if out in rows.columns:
         raise ValueError(f"rows have a column {out!r}")
     place = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = load(model)
+        decoder = Decoder(model)
         for batch in batches:
             lists = batch.column(place)
-            texts = [own.decode(x.values.to_pylist()) if x.is_valid else "" for x in lists]
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets, flat = np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().fill_null(-1).to_numpy()
+            texts, low = [], 0
+            while low < len(sizes):
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + DECODED_IDS, side="right")) - 1)
+                texts += decoder.texts(flat[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                low = high
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     return rows.mapInArrow(run, rows.select("*", F.lit("").alias(out)).schema)

@@ -74,3 +74,13 @@ def test_rows_in_another_order_are_noticed(spark, model):
             sp._joined(left, right, [2])
     rows = spark.createDataFrame([(i, f"w{i % 7} x y") for i in range(50)], "doc_id long, text string").repartition(3)
     assert sp.encode(rows, model, store=True).count() == 50
+
+
+def test_any_ids_are_decoded_as_by_the_library(spark, model, monkeypatch):
+    monkeypatch.setattr(sp, "DECODED_IDS", 50)
+    rng, library = random.Random(8), sp.load(model)
+    some = [0, 1, 2, 3, 198, 199, 230, 258, 259, 260, library.piece_to_id("▁▁"), library.piece_to_id("▁"), 31999, 500, 29871]
+    lists = [[rng.choice(some) for _ in range(rng.choice([0, 1, 2, 5, 80]))] for _ in range(500)]
+    rows = spark.createDataFrame([(i, ids) for i, ids in enumerate(lists)], "n long, ids array<int>")
+    got = {r["n"]: r["decoded"] for r in sp.decode(rows, model).collect()}
+    assert [got[i] for i in range(len(lists))] == [library.decode(ids) for ids in lists]
