@@ -19,7 +19,7 @@ from edgelake.plans import oracle_views as ov
 from edgelake.schemas import FEATURE_COLS, GOLD, MIN_F1, SILVER, TARGET_COL, WINDOWS_PER_DAY
 from edgelake.session import new_table_path, stored
 from edgelake.sources import events, logs, reports, tables
-from edgelake.streaming import jobs
+from edgelake.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1670,3 +1670,41 @@ def registry_restarted(spark, sf):
             version = tables.batch_version(spark, path, run, 0)
             jobs.append_flags(registry.viral_flags(scores.where(chosen), F.col("scored_at")), path, version)
     return jobs.read_registry(spark, path).select("object_id", "status", F.unix_micros("expires_at").alias("expires_us"))
+
+
+@query(f"SELECT {FEATURE_SELECT} FROM features15", "features15")
+def stream_silver_keyed(spark, sf):
+    """Silver by keyed state, in two streams; the second has a new checkpoint and starts from the counts the first stored."""
+    root = new_table_path(spark, "keyed")
+    at = F.unix_millis("ts")
+    for half, chosen in enumerate((at < HALF_MS, at >= HALF_MS)):
+        _feed(spark, sf, f"{root}/messages{half}", chosen)
+        source = events.parse_events(events.read_messages(spark, "parquet", f"{root}/messages{half}"))
+        _run(stateful.start_keyed_silver(source, f"{root}/silver", f"{root}/checkpoint{half}", ONCE))
+    return rounded(tables.read_silver(spark, f"{root}/silver"))
+
+
+FLAG_TTL = fx.DAY + 900
+
+
+@query(
+    f"""SELECT object_id, at_ms, change FROM (
+      WITH marked AS (SELECT object_id, epoch_ms(scored_at) AS t,
+          CASE WHEN epoch_ms(scored_at) < {FLAG_TTL * 1000} + lag(epoch_ms(scored_at)) OVER (PARTITION BY object_id ORDER BY scored_at)
+            THEN 0 ELSE 1 END AS new FROM flags),
+        lives AS (SELECT object_id, min(t) AS since, max(t) + {FLAG_TTL * 1000} AS until FROM (
+          SELECT *, sum(new) OVER (PARTITION BY object_id ORDER BY t) AS life FROM marked) GROUP BY object_id, life)
+      SELECT object_id, since AS at_ms, 'hot' AS change FROM lives
+      UNION ALL SELECT object_id, until, 'over' FROM lives WHERE until < (SELECT max(t) FROM marked))""",
+    "flags",
+)
+def stream_flag_expiry(spark, sf):
+    """When objects become hot and when that is over, told by a stream of flags that is stopped and restarted half way."""
+    root = new_table_path(spark, "flags")
+    flags = fx.flags(spark, sf)
+    for chosen in (F.col("scored_at") < _flag_time(), F.col("scored_at") >= _flag_time()):
+        flags.where(chosen).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema("object_id bigint, scored_at timestamp").parquet(f"{root}/in")
+        changes = stateful.flag_changes(source, FLAG_TTL).writeStream.format("parquet")
+        _run(changes.option("checkpointLocation", f"{root}/checkpoint").trigger(**ONCE).start(f"{root}/out"))
+    return spark.read.parquet(f"{root}/out")
