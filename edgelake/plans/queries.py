@@ -18,7 +18,8 @@ from edgelake.plans import fixtures as fx
 from edgelake.plans import oracle_views as ov
 from edgelake.schemas import FEATURE_COLS, GOLD, MIN_F1, SILVER, TARGET_COL, WINDOWS_PER_DAY
 from edgelake.session import new_table_path, stored
-from edgelake.sources import events, logs, reports, tables
+from edgelake.sources import events, growing, logs, publishing, reports, tables
+from edgelake.sources.files import place, sizes
 from edgelake.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1708,3 +1709,38 @@ def stream_flag_expiry(spark, sf):
         changes = stateful.flag_changes(source, FLAG_TTL).writeStream.format("parquet")
         _run(changes.option("checkpointLocation", f"{root}/checkpoint").trigger(**ONCE).start(f"{root}/out"))
     return spark.read.parquet(f"{root}/out")
+
+
+@query(
+    f"""SELECT object_id, CAST(count(*) AS BIGINT) AS n FROM (
+      SELECT CAST(node_number * 31 AS BIGINT) AS object_id FROM ({PARSED}) WHERE line_no % 9 <> 4) GROUP BY 1""",
+    "lines",
+)
+def follow_growing_log(spark, sf):
+    """Counts per object of a log that grows between three runs of one stream; a run finds the last line unfinished."""
+    root = new_table_path(spark, "growing")
+    _simple_lines(spark, sf).select("value").coalesce(1).write.text(f"{root}/whole")
+    system, folder = place(root)
+    system.create_dir(f"{folder}/logs", recursive=True)
+    (name, size), = [(f, n) for f, n in sizes(system, f"{folder}/whole").items()]
+    for upto in (size // 3, size // 2, size):
+        with system.open_input_file(name) as whole, system.open_output_stream(f"{folder}/logs/requests.log") as log:
+            for at in range(0, upto, 1 << 20):
+                log.write(whole.read_at(min(1 << 20, upto - at), at))
+        stream = growing.follow_growing_log(spark, f"{root}/logs", fx.N_NODES, taskBytes=str(1 << 16))
+        done = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+        _run(done.trigger(**ONCE).start(f"{root}/out"))
+    return spark.read.parquet(f"{root}/out").groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT CAST(curr_object_id AS VARCHAR) AS key, {FEATURE_SELECT} FROM features15", "features15")
+def stream_published_features(spark, sf):
+    """Feature messages published once per batch by a stream and read back, after the last batch was tried again."""
+    root = new_table_path(spark, "published")
+    sink = jobs.SilverSink(f"{root}/silver", include_batch=True, published=f"{root}/topic")
+    _run(jobs.start_silver(_bronze_stream(spark, sf), sink, f"{root}/checkpoint", ONCE))
+    version = tables.next_version(spark, f"{root}/silver") - 1
+    again = events.feature_messages(tables.read_silver(spark, f"{root}/silver"))
+    publishing.publish_once(again, f"{root}/topic", f"version-{version}")
+    value = F.from_json("value", SILVER).alias("v")
+    return rounded(publishing.read_published(spark, f"{root}/topic").select("key", value).select("key", "v.*"))

@@ -17,6 +17,7 @@ from edgelake.operators.model import latest_version, load_model, score
 from edgelake.operators.registry import viral_flags
 from edgelake.schemas import FEATURE_COLS, REGISTRY, SILVER_KEYS, VIRAL_THRESHOLD, VIRAL_TTL_SECONDS
 from edgelake.sources.events import feature_messages
+from edgelake.sources.publishing import publish_once
 from edgelake.sources.tables import (
     append_silver,
     batch_version,
@@ -62,7 +63,8 @@ class SilverSink:
 
     A batch's version in the store belongs to its stream (the checkpoint's) and its number, so a batch that is
     repeated replaces itself and a stream with a new checkpoint adds to what older ones stored. The previous count is looked up in what earlier batches stored; with ``include_batch`` also in the
-    batch itself, which gives the value a batch job would.
+    batch itself, which gives the value a batch job would. ``publish`` is called with the messages of a batch, again when it is
+    repeated; in the folder ``published`` they appear once.
     """
 
     def __init__(
@@ -70,9 +72,11 @@ class SilverSink:
         path: str,
         publish: Callable[[DataFrame], None] | None = None,
         include_batch: bool = False,
+        published: str | None = None,
     ):
         self.path = path
         self.publish = publish
+        self.published = published
         self.include_batch = include_batch
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
@@ -95,8 +99,12 @@ class SilverSink:
             own = batch.select(*SILVER_KEYS, "req_count_current")
             history = history.join(own, SILVER_KEYS, "left_anti").unionByName(own)
         append_silver(join_previous_count(batch, history), self.path, version)
-        if self.publish:
-            self.publish(feature_messages(silver_version(spark, self.path, version, (first, last))))
+        if self.publish or self.published:
+            messages = feature_messages(silver_version(spark, self.path, version, (first, last)))
+            if self.publish:
+                self.publish(messages)
+            if self.published:
+                publish_once(messages, self.published, f"version-{version}")
 
 
 class ScoringSink:
