@@ -359,30 +359,15 @@ def _weigh(rates: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def cbf_tree_bits(neighbors: DataFrame, n_bits: int) -> DataFrame:
-    """``(viewer, filters, bits)``: a bit and a counter of eight bits per position, in every filter."""
-    return neighbors.groupBy("viewer").agg(
-        (F.count(F.lit(1)) + F.count_distinct("hop") + 1).alias("filters")
-    ).withColumn("bits", F.col("filters") * F.lit(9 * n_bits).cast("bigint"))
+ENTRY_BYTES = 16
 
 
-def qf_tree_bits(tree: dict[str, DataFrame], sizes: DataFrame, start_power: int) -> DataFrame:
-    """``(viewer, filters, bits)`` of fingerprint filters that double before they are four fifths full.
-
-    A filter of 2^q slots spends three flag bits and ``bits - q`` fingerprint bits per slot.
-    """
+def stored_sizes(tree: dict[str, DataFrame]) -> DataFrame:
+    """``(viewer, filters, entries, bytes)`` of the filter tables of a tree as they are: two whole numbers an entry."""
     rows = None
     for kind, keys in LEVELS.items():
-        entries = tree[kind].groupBy(*keys).agg(F.sum("cnt").alias("entries"))
-        part = sizes.where(F.col("kind") == kind).join(entries, keys, "left").select(
-            "viewer", "bits", F.coalesce("entries", F.lit(0)).alias("entries")
-        )
+        part = tree[kind].groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("viewer", "n")
         rows = part if rows is None else rows.unionByName(part)
-    grown = F.ceil(F.log2((F.col("entries") + 1) / 0.8)).cast("int")
-    power = F.least(F.greatest(F.lit(start_power), grown), F.greatest(F.lit(start_power), F.col("bits") - 1))
-    return (
-        rows.withColumn("_q", power)
-        .withColumn("_size", F.expr("shiftleft(1L, _q) * (3 + bits - _q)"))
-        .groupBy("viewer")
-        .agg(F.count(F.lit(1)).alias("filters"), F.sum("_size").alias("bits"))
+    return rows.groupBy("viewer").agg(
+        F.count(F.lit(1)).alias("filters"), F.sum("n").alias("entries"), (F.sum("n") * ENTRY_BYTES).alias("bytes")
     )

@@ -38,27 +38,36 @@ def lookup_join(
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], parts: int) -> list[tuple]:
-    """Keys with more than one part in ``parts`` of the rows, each with its salts: fewer than ``parts``."""
+    """Keys with more than one part in ``parts`` of the rows, each with its salts: fewer than ``parts``.
+
+    One job finds the largest key, and only when that is hot another lists the hot ones.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    share = F.col("_rows") * F.lit(parts) / counts.agg(F.sum("_rows")).scalar()
+    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    if not total or largest * parts <= total:
+        return []
+    share = F.col("_rows") * parts / total
     salts = F.ceil(share * SALTS_PER_PART).cast("int")
     return [tuple(r) for r in counts.where(share > 1).select(*keys, salts).collect()]
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def skew_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", found: list[tuple] | None = None
+) -> DataFrame:
     """Equi join of a long left side, whose keys may be hot, with few right rows per key.
 
     A key is hot when it has more than one part in P of the left rows, P being the number of shuffle
     partitions, so there are fewer than P such keys. A key with k parts is dealt over 4k salts, so that some
     falling together matters little, and only its right rows are repeated; without hot keys it is a plain join. ``how`` is one of inner,
-    left, left_semi and left_anti. The keys of the left side are counted at once, so it is best a
-    stored table, and these joins are not to be nested.
+    left, left_semi and left_anti. The keys of the left side are counted at once, unless ``found`` has the outcome of
+    ``hot_keys``, so it is best a stored table, and these joins are not to be nested.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not repeat right rows safely for {how!r}")
     keys = list(keys)
     spark = left.sparkSession
-    found = hot_keys(left, keys, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if found is None:
+        found = hot_keys(left, keys, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if not found:
         return left.join(right, keys, how)
     schema = StructType([*left.select(*keys).schema.fields, StructField("_salts", IntegerType())])
@@ -130,8 +139,8 @@ def seen_recently(
     ``0 < at - marked_at <= horizon``, or ``0 <= at - marked_at < horizon`` with ``include_now``.
     The clock is cut into slices of the horizon. Of the marks in the slice of a row the earliest decides, of
     those in the slices before it the latest: the join is on (key, slice) with these two numbers, and no key is
-    sorted or windowed. A burst on one key falls into few slices, so the rows are stored, and slices with many of
-    them are salted.
+    sorted or windowed. A burst on one key falls into few slices; these are looked for in the two columns of the join
+    alone, and only where there are some are the rows stored, and salted.
     """
     width = F.lit(max(1, horizon // slices))
     reach = -(-horizon // max(1, horizon // slices))
@@ -150,9 +159,11 @@ def seen_recently(
         hit = (F.col("_first") <= now) | (now - F.col("_prior") < horizon)
     else:
         hit = (F.col("_first") < now) | (now - F.col("_prior") <= horizon)
-    sliced = stored(rows.withColumn("_slice", F.floor(now / width).cast("bigint")), "sliced")
+    sliced = rows.withColumn("_slice", F.floor(now / width).cast("bigint"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys(sliced.select(key, "_slice"), [key, "_slice"], parts)
     return (
-        skew_join(sliced, near, [key, "_slice"], "left")
+        skew_join(stored(sliced, "sliced") if hot else sliced, near, [key, "_slice"], "left", hot)
         .withColumn(out, F.coalesce(hit, F.lit(False)).cast("int"))
         .drop("_slice", "_first", "_prior")
     )

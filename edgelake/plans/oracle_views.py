@@ -317,11 +317,8 @@ view("negative_positions", positions_sql("negative_hashes", 1 << 10, 3), "negati
 view("small_negatives", "SELECT DISTINCT object_id, pos FROM negative_positions", "negative_positions")
 view("small_positions", positions_sql("hashes", 1 << 10, 3), "hashes")
 view("small_content", "SELECT DISTINCT node_id, pos FROM content JOIN small_positions USING (object_id)", "content", "small_positions")
-view("small_place_positions", positions_sql("place_hashes", 1 << 10, 3), "place_hashes")
-view(
-    "small_placement", "SELECT DISTINCT node_id, pos FROM placement JOIN small_place_positions USING (object_id)", "placement",
-    "small_place_positions",
-)
+view("large_negatives", f"SELECT DISTINCT object_id, pos FROM ({positions_sql('negative_hashes', 1 << 14, 5)})", "negative_hashes")
+view("placed_positions", "SELECT DISTINCT node_id, pos FROM placement JOIN place_positions USING (object_id)", "placement", "place_positions")
 view(
     "paths",
     """SELECT [node_id] AS path FROM nodes

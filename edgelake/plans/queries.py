@@ -1407,11 +1407,11 @@ def _negatives(spark, sf):
     return fx.table(spark, sf, "documents").select(keys.object_id(number).alias("object_id"))
 
 
-def _rate_sql(cols: list[str], held: str) -> str:
+def _rate_sql(cols: list[str], held: str, negatives: str = "small_negatives") -> str:
     """Share of negatives found by every filter; one is a false hit where no position of it is missing."""
     return f"""SELECT {', '.join(f'f.{c}' for c in cols)}, count(*) FILTER (missed = 0) / count(*) AS fpr FROM (
           SELECT {', '.join(f'f.{c}' for c in cols)}, n.object_id, count(*) - count(t.pos) AS missed
-          FROM (SELECT DISTINCT {', '.join(cols)} FROM neighbors) f CROSS JOIN small_negatives n
+          FROM (SELECT DISTINCT {', '.join(cols)} FROM neighbors) f CROSS JOIN {negatives} n
           LEFT JOIN (SELECT DISTINCT {', '.join(cols)}, pos FROM {held} JOIN neighbors USING (node_id)) t
             ON {' AND '.join(f't.{c} = f.{c}' for c in cols)} AND t.pos = n.pos
           GROUP BY ALL) f GROUP BY ALL"""
@@ -1433,41 +1433,39 @@ def false_positive_rates(spark, sf):
     return rounded(membership.cbf_tree_fpr(_negatives(spark, sf), tree, near, 1 << 10, 3))
 
 
-@query(
-    f"""SELECT viewer, CAST(count(*) + count(DISTINCT hop) + 1 AS BIGINT) AS filters,
-      CAST((count(*) + count(DISTINCT hop) + 1) * 9 * {N_BITS} AS BIGINT) AS bits FROM neighbors GROUP BY 1""",
-    "neighbors",
-)
-def sketch_bits_cbf(spark, sf):
-    return membership.cbf_tree_bits(fx.neighbors(spark, sf), N_BITS)
+def _sizes_sql(source: str, entry: str) -> str:
+    """Filters, entries and bytes of the trees; ``entry`` names what an entry is for, ``{bits}`` the bits of its filter."""
+    parts = []
+    for keys in (["viewer"], ["viewer", "hop"], ["viewer", "hop", "node_id"]):
+        names = ", ".join(keys)
+        bits = f"""(SELECT {names}, CAST(ceil((ln(sum(capacity)) - ln({TREE_RATE})) / ln(2)) AS BIGINT) AS bits
+          FROM neighbors GROUP BY {names})"""
+        parts.append(f"""SELECT {names.replace('viewer', 'b.viewer', 1)}, count(DISTINCT {entry}) AS n
+          FROM (SELECT viewer, hop, node_id FROM neighbors) b JOIN {source} USING (node_id) JOIN {bits} USING ({names})
+          GROUP BY {names.replace('viewer', 'b.viewer', 1)}""")
+    union = " UNION ALL ".join(f"SELECT viewer, n FROM ({part})" for part in parts)
+    return f"""SELECT viewer, CAST(count(*) AS BIGINT) AS filters, CAST(sum(n) AS BIGINT) AS entries,
+      CAST(sum(n) * 16 AS BIGINT) AS bytes FROM ({union}) GROUP BY viewer"""
+
+
+CBF_SIZES = _sizes_sql("(SELECT node_id, pos FROM placement JOIN place_positions USING (object_id))", "pos")
 
 
-QF_START = 4
+@query(CBF_SIZES, "neighbors", "placement", "place_positions")
+def sketch_bits_cbf(spark, sf):
+    """What the counting filters of the trees take as tables."""
+    return membership.stored_sizes(membership.cbf_tree(fx.placement(spark, sf), fx.neighbors(spark, sf), *CBF))
 
 
 @query(
-    f"""SELECT viewer, CAST(count(*) AS BIGINT) AS filters,
-      CAST(sum(CAST(pow(2, q) AS BIGINT) * (3 + bits - q)) AS BIGINT) AS bits FROM (
-      SELECT viewer, bits, least(greatest({QF_START}, CAST(ceil(log2((n + 1) / 0.8)) AS INTEGER)),
-          greatest({QF_START}, bits - 1)) AS q
-      FROM (SELECT viewer, n, CAST(ceil((ln(volume) - ln(1e-9)) / ln(2)) AS INTEGER) AS bits FROM (
-        SELECT b.viewer, b.node_id, b.capacity AS volume, count(p.object_id) AS n
-          FROM neighbors b LEFT JOIN placement p USING (node_id) GROUP BY 1, 2, 3
-        UNION ALL SELECT b.viewer, b.hop, c.v, count(p.object_id) FROM neighbors b
-          JOIN (SELECT viewer, hop, sum(capacity) AS v FROM neighbors GROUP BY 1, 2) c
-            ON c.viewer = b.viewer AND c.hop = b.hop
-          LEFT JOIN placement p ON p.node_id = b.node_id GROUP BY 1, 2, 3
-        UNION ALL SELECT b.viewer, 0, c.v, count(p.object_id) FROM neighbors b
-          JOIN (SELECT viewer, sum(capacity) AS v FROM neighbors GROUP BY 1) c ON c.viewer = b.viewer
-          LEFT JOIN placement p ON p.node_id = b.node_id GROUP BY 1, 2, 3)))
-    GROUP BY 1""",
+    _sizes_sql("(SELECT node_id, h FROM placement JOIN place_hashes USING (object_id))", "h & ((CAST(1 AS BIGINT) << bits) - 1)"),
     "neighbors",
     "placement",
+    "place_hashes",
 )
 def sketch_bits_qf(spark, sf):
-    rows, near = fx.placement(spark, sf), fx.neighbors(spark, sf)
-    tree = membership.qf_tree(rows, near, TREE_RATE)
-    return membership.qf_tree_bits(tree, membership.tree_sizes(near, TREE_RATE), QF_START)
+    """What the fingerprint filters of the trees take as tables."""
+    return membership.stored_sizes(membership.qf_tree(fx.placement(spark, sf), fx.neighbors(spark, sf), TREE_RATE))
 
 
 @query(
@@ -1479,17 +1477,17 @@ def sketch_bits_qf(spark, sf):
       (SELECT round(sum(coalesce(l, 0)) / count(*), 9) FROM nodes LEFT JOIN (
         SELECT node_id, avg(distance) AS l FROM ({ASOF}) GROUP BY 1) USING (node_id)) AS average_latency,
       (SELECT CAST(count(DISTINCT viewer) AS INTEGER) FROM neighbors) AS fpr_entries,
-      (SELECT round(sum(fpr), 9) FROM ({_rate_sql(['viewer'], 'small_placement')})) AS fpr_total,
-      (SELECT CAST(sum(9 * {1 << 14} * (n + h + 1)) AS BIGINT) FROM (
-        SELECT viewer, count(*) AS n, count(DISTINCT hop) AS h FROM neighbors GROUP BY 1)) AS memory_bits""",
+      (SELECT round(sum(fpr), 9) FROM ({_rate_sql(['viewer'], 'placed_positions', 'large_negatives')})) AS fpr_total,
+      (SELECT CAST(sum(bytes) * 8 AS BIGINT) FROM ({CBF_SIZES})) AS memory_bits""",
     "gets",
     "placement",
     "neighbors",
     "nodes",
     "turns",
     "sweep",
-    "small_negatives",
-    "small_placement",
+    "large_negatives",
+    "placed_positions",
+    "place_positions",
 )
 def run_summary(spark, sf):
     """The summary of a run, written as JSON and read back; its lists as their length and sum."""
@@ -1503,13 +1501,10 @@ def run_summary(spark, sf):
         overhead.agg(F.coalesce(F.sum("trans_hops"), F.lit(0))).scalar().alias("overhead"),
         overhead.agg(F.coalesce(F.sum("packs"), F.lit(0))).scalar().alias("packs"),
     )
-    tree = membership.cbf_tree(rows, near, 1 << 10, 3)
-    rates = membership.cbf_tree_fpr(_negatives(spark, sf), tree, near, 1 << 10, 3).select(
-        "viewer", F.col("root_fpr").alias("fpr")
-    )
-    summary = reports.run_summary(
-        counters, rates, membership.cbf_tree_bits(near, N_BITS), metrics.node_mean_latency(_measured(spark, sf, rows), hosts)
-    )
+    tree = membership.cbf_tree(rows, near, *CBF)
+    rates = membership.cbf_tree_fpr(_negatives(spark, sf), tree, near, *CBF).select("viewer", F.col("root_fpr").alias("fpr"))
+    memory = membership.stored_sizes(tree).select("viewer", (F.col("bytes") * 8).alias("bits"))
+    summary = reports.run_summary(counters, rates, memory, metrics.node_mean_latency(_measured(spark, sf, rows), hosts))
     path = new_table_path(spark, "summary")
     reports.write_run_json(summary, path)
     stored = spark.read.json(path, schema=summary.schema)
