@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelake.functions import clock, keys, sketch
-from edgelake.operators import dedup, features, labels, membership, metrics, model, placement, registry, topology
+from edgelake.operators import (
+    dedup, features, labels, membership, metrics, model, placement, registry, summaries, topology,
+)
 from edgelake.operators.scale import prefix_sum
 from edgelake.plans import fixtures as fx
 from edgelake.plans import oracle_views as ov
@@ -66,14 +68,25 @@ def window_counts_approx(spark, sf):
     return features.window_counts(features.get_requests(fx.requests(spark, sf)), fx.DAY, exact=False)
 
 
+BUCKETS = 8
+
+
+def _bucketed(spark, df):
+    path = new_table_path(spark, "bucketed")
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    tables.write_bucketed(df, table, path, "curr_object_id", BUCKETS, ["window_index"])
+    return table
+
+
 @query(
     """SELECT window_index, curr_object_id, req_count_current,
       CAST(req_count_previous AS BIGINT) AS req_count_previous FROM features_day""",
     "features_day",
 )
 def lag_join(spark, sf):
+    """Previous counts over a table bucketed by object, which is read without a shuffle."""
     counts = features.window_counts(features.get_requests(fx.requests(spark, sf)), fx.DAY)
-    return features.add_previous_count(counts).select(
+    return features.add_previous_count(spark.table(_bucketed(spark, counts))).select(
         "window_index", "curr_object_id", "req_count_current", "req_count_previous"
     )
 
@@ -288,6 +301,20 @@ def upsert_features(spark, sf):
     return rounded(tables.upsert(target, updates, ["window_index", "curr_object_id"]))
 
 
+@query(
+    f"""SELECT {FEATURE_SELECT} FROM (
+      SELECT * REPLACE (CASE WHEN window_index % 3 = 0 THEN req_count_current + 100 ELSE req_count_current END
+        AS req_count_current) FROM features_day)""",
+    "features_day",
+)
+def upsert_bucketed(spark, sf):
+    """The same into a table bucketed by object."""
+    rows = fx.silver(spark, sf)
+    name = _bucketed(spark, rows.where((F.col("window_index") % 3 != 0) | (F.col("curr_object_id") % 2 == 0)))
+    updates = rows.where(F.col("window_index") % 3 == 0).withColumn("req_count_current", F.col("req_count_current") + 100)
+    return rounded(tables.upsert_bucketed(name, updates, ["window_index", "curr_object_id"]))
+
+
 @query(f"SELECT {FEATURE_SELECT} FROM features_day", "features_day")
 def silver_store(spark, sf):
     """The newest version of every row after a first write and a correction of the same keys."""
@@ -426,6 +453,44 @@ def gold_from_store(spark, sf):
     return rounded(labels.build_gold(recent))
 
 
+RANK_ERROR = 0.02
+
+
+@query(
+    """SELECT window_index // 96 AS window_day, CAST(count(DISTINCT window_index) AS BIGINT) AS windows, CAST(count(*) AS BIGINT) AS objects,
+      true AS floor_ok, true AS limits_ok, true AS nodes_ok FROM features15 GROUP BY 1""",
+    "features15",
+)
+def merged_sketches(spark, sf):
+    """Days merged from the stored sketches of their windows, held against the rows: ranks within RANK_ERROR, nodes within 5%."""
+    path = new_table_path(spark, "summaries")
+    rows = stored(fx.features(spark, sf, 900), "features")
+    requests = fx.requests(spark, sf)
+    summaries.write_summaries(summaries.window_summaries(rows, requests), path)
+    kept = summaries.read_summaries(spark, path)
+    days = stored(summaries.merged(kept), "days")
+    day = F.floor(F.col("window_index") / WINDOWS_PER_DAY).cast("bigint").alias("window_day")
+
+    def within(limit: str, rank: float):
+        below = F.avg((F.col("req_count_current") < F.col(limit)).cast("double"))
+        upto = F.avg((F.col("req_count_current") <= F.col(limit)).cast("double"))
+        return (below <= rank + RANK_ERROR) & (upto >= rank - RANK_ERROR)
+
+    by_day = rows.select(day, "req_count_current").join(days, "window_day").groupBy("window_day").agg(
+        within("count_floor", summaries.FLOOR_RANK).alias("floor_ok")
+    )
+    limits = rows.join(summaries.window_limits(kept), "window_index").groupBy("window_index").agg(
+        within("p95_limit", summaries.WINDOW_RANK).alias("ok")
+    ).groupBy(day).agg(F.every("ok").alias("limits_ok"))
+    exact = features.get_requests(requests).groupBy(
+        F.floor(clock.window_index(F.col("ts")) / WINDOWS_PER_DAY).cast("bigint").alias("window_day")
+    ).agg(F.count_distinct("node_id").alias("exact"))
+    near = F.abs(F.col("distinct_nodes") - F.col("exact")) <= 0.05 * F.col("exact")
+    return days.join(by_day, "window_day").join(limits, "window_day").join(exact, "window_day").select(
+        "window_day", "windows", "objects", "floor_ok", "limits_ok", near.alias("nodes_ok")
+    )
+
+
 # Registry
 
 def _flag_time():

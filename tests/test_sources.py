@@ -201,3 +201,47 @@ def test_registry_expiry_and_case(spark):
     odd = flags.withColumn("status", F.lower("status"))
     assert registry.get_viral(ids, odd, at(1000)).count() == 2
     assert registry.get_viral(ids, odd, at(1000), any_case=False).count() == 0
+
+
+def test_windows_and_joins_over_a_bucketed_table_do_not_shuffle_it(spark, tmp_path):
+    from edgelake.operators.features import add_previous_count
+
+    rows_ = [(w, o, w * o) for w in range(6) for o in range(40) if (w + o) % 5]
+    df = spark.createDataFrame(rows_, "window_index long, curr_object_id long, req_count_current long")
+    tables.write_bucketed(df, "bucketed_counts", str(tmp_path / "t"), "curr_object_id", 3, ["window_index"])
+    table = spark.table("bucketed_counts")
+    plan_of = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    got = add_previous_count(table)
+    assert "Exchange" not in plan_of(got)
+    assert rows(got, "window_index", "curr_object_id", "req_count_previous") == rows(
+        add_previous_count(df), "window_index", "curr_object_id", "req_count_previous"
+    )
+    updates = spark.createDataFrame([(1, 2, -1), (9, 9, -2)], df.schema)
+    merged = tables.upsert_bucketed("bucketed_counts", updates.hint("merge"), ["window_index", "curr_object_id"])
+    left = plan_of(merged).split("Scan parquet")[0]
+    assert "Exchange" not in left
+    assert rows(merged) == sorted([r for r in rows_ if r[:2] != (1, 2)] + [(1, 2, -1), (9, 9, -2)])
+    tables.write_bucketed(df.limit(5), "bucketed_counts", str(tmp_path / "t"), "curr_object_id", 3)
+    assert spark.table("bucketed_counts").count() == 5
+
+
+def test_summaries_merge(spark, tmp_path):
+    from edgelake.operators import summaries
+
+    rng = __import__("random").Random(3)
+    counts = [(w, o, rng.randrange(1000)) for w in range(96, 96 * 3) for o in range(30)]
+    features = spark.createDataFrame(counts, "window_index long, curr_object_id long, req_count_current long")
+    asked = [(w * 900 + 5, rng.randrange(50), "get") for w in range(96, 96 * 3) for _ in range(9)]
+    requests = spark.createDataFrame(asked, "t long, node_id int, operation string").withColumn("ts", F.timestamp_seconds("t"))
+    found = summaries.window_summaries(features, requests)
+    summaries.write_summaries(found, str(tmp_path / "s"))
+    summaries.write_summaries(found.where("window_index < 192"), str(tmp_path / "s"))
+    kept = summaries.read_summaries(spark, str(tmp_path / "s"))
+    assert kept.count() == 192 and summaries.read_summaries(spark, str(tmp_path / "s"), (2, 2)).count() == 96
+    for r in summaries.merged(kept).collect():
+        own = sorted(c for w, _, c in counts if w // 96 == r["window_day"])
+        assert (r["windows"], r["objects"]) == (96, 2880) and abs(r["distinct_nodes"] - 50) <= 2
+        assert own[int(0.73 * 2880)] <= r["count_floor"] <= own[int(0.77 * 2880)]
+    limits = {r["window_index"]: r["p95_limit"] for r in summaries.window_limits(kept).collect()}
+    assert all(limits[w] in {c for x, _, c in counts if x == w} for w in limits)
+    assert summaries.read_summaries(spark, str(tmp_path / "none")).count() == 0
