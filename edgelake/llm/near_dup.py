@@ -11,6 +11,10 @@ with each other: they are compared with a hub, the one with the fewest shingles
 component, and only what is still apart from the largest component of its bucket becomes a hub in later rounds.
 A bucket is done when it has one component or all its minor members were hubs, so no pair that shares a bucket
 and lies in two components stays unchecked.
+
+In later rounds members are known by how they differ from the first hub r of their bucket: L, the shingles of r they lack, and E,
+those they have and r has not. Both are short where a member is like r, and they tell the similarity of two members:
+|a and b| = |r| - |L_a or L_b| + |E_a and E_b|. So the join of members with later hubs decides by itself and gives links only.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ ODD_WORDS = 8
 ODD_MARGIN = 0.25
 SMALL_BUCKET = 32
 HUBS = 64
+SHORT = 512
 CHUNK = 4096
 SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, odd array<bigint>"
 
@@ -127,8 +132,8 @@ def _promising(n_a: Column, n_b: Column, odd_a: Column, odd_b: Column, percent:
     return sizes & (odd_similarity(odd_a, odd_b) >= percent / 100 - ODD_MARGIN)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, after the sizes and the odd sketches are asked."""
+def _with_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and odd sketches allow, with the full sets of both: a, b, s_a, s_b, common."""
     own = nodes.select("node", "n_shingles", "odd")
     a = own.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("odd").alias("odd_a"))
     b = own.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("odd").alias("odd_b"))
@@ -146,13 +151,56 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     both = asked.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a"
     )
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    return (
-        both.withColumn("common", common)
-        .where(F.col("common") * 100 >= (F.size("s_a") + F.size("s_b") - F.col("common")) * percent)
-        .select("a", "b")
-        .distinct()
+    return both.withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+
+
+def _enough(common: Column, union: Column, percent: int) -> Column:
+    return common * 100 >= union * percent
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, after the sizes and the odd sketches are asked."""
+    both = _with_sets(pairs, nodes, docs, percent)
+    union = F.size("s_a") + F.size("s_b") - F.col("common")
+    return both.where(_enough(F.col("common"), union, percent)).select("a", "b").distinct()
+
+
+def _differences(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Differences of nodes from hubs, of the pairs (hub, node) that sizes and sketches allow: hub, node, size, linked, lacks, extra.
+
+    ``size`` is the number of shingles of the hub. Of nodes with several texts (one id, several rows) and where more
+    than SHORT shingles differ there are none.
+    """
+    both = _with_sets(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes, docs, percent)
+    union = F.size("s_a") + F.size("s_b") - F.col("common")
+    lacks, extra = F.array_except("s_a", "s_b"), F.array_except("s_b", "s_a")
+    short = F.size("s_a") + F.size("s_b") - 2 * F.col("common") <= SHORT
+    found = both.groupBy(F.col("a").alias("hub"), F.col("b").alias("node")).agg(
+        F.max(_enough(F.col("common"), union, percent)).alias("linked"),
+        F.count(F.lit(1)).alias("texts"),
+        F.first(F.size("s_a")).alias("size"),
+        F.first(F.when(short, lacks)).alias("lacks"),
+        F.first(F.when(short, extra)).alias("extra"),
     )
+    single = F.col("texts") == 1
+    return found.select(
+        "hub", "node", "size", "linked", F.when(single, F.col("lacks")).alias("lacks"), F.when(single, F.col("extra")).alias("extra")
+    )
+
+
+def _by_differences(a: str, b: str, percent: int) -> Column:
+    """Whether two nodes of one hub are linked, from their differences; null where these are not known."""
+    def of(side: str, name: str) -> Column:
+        return F.col(f"{side}.{name}")
+
+    def n(side: str, name: str) -> Column:
+        return F.size(of(side, name))
+
+    same = F.size(F.array_intersect(of(a, "lacks"), of(b, "lacks"))) + F.size(F.array_intersect(of(a, "extra"), of(b, "extra")))
+    common = of(a, "size") - n(a, "lacks") - n(b, "lacks") + same
+    total = 2 * of(a, "size") - n(a, "lacks") - n(b, "lacks") + n(a, "extra") + n(b, "extra")
+    known = of(a, "lacks").isNotNull() & of(b, "lacks").isNotNull()
+    return F.when(known, _enough(common, total - common, percent))
 
 
 def _not_alone(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -202,7 +250,10 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     tested = stored(placed.where("node <> hub").select(*pair).distinct(), "pairs")
     members = placed.where("size > 2").select("key", "node")
     waiting = placed.where("size > 2 AND node <> hub").select("key", "node")
-    links = stored(_confirmed(tested, nodes, docs, percent), "links")
+    from_hubs = placed.where("node <> hub").select("hub", "node").distinct()
+    apart = stored(_differences(from_hubs, nodes, docs, percent), "differences")
+    linked = apart.where("linked").select(*pair).distinct()
+    links = stored(linked, "links")
     labels = stored(connected_components(links), "labels")
     width = HUBS
     while True:
@@ -222,8 +273,18 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         if hubs.isEmpty():
             return labels
         about = nodes.select("node", F.col("n_shingles").alias("n"), "odd", "bands")
-        left = open_.select("key", "node", "component").join(about, "node")
-        right = hubs.join(about.select(*[F.col(c).alias(f"h_{c}") for c in about.columns]), F.col("hub") == F.col("h_node"))
+        first_hub = placed.select("key", "node", F.col("hub").alias("r"))
+        differ = apart.select(F.col("hub").alias("r"), "node", "size", "lacks", "extra")
+        known = stored(
+            open_.select("key", "node", "component").join(first_hub, ["key", "node"]).join(differ, ["r", "node"], "left")
+            .select("key", "node", "component", "size", "lacks", "extra"),
+            "known",
+        )
+        left = known.join(about, "node")
+        h = known.select("key", F.col("node").alias("hub"), "size", "lacks", "extra")
+        right = hubs.join(h, ["key", "hub"]).join(
+            about.select(*[F.col(c).alias(f"h_{c}") for c in about.columns]), F.col("hub") == F.col("h_node")
+        )
         equal = F.zip_with("bands", "h_bands", lambda x, y: x == y)
         first = F.element_at("bands", F.array_position(equal, True).cast("int"))
         ask = (
@@ -231,13 +292,17 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             & (first == F.col("l.key"))
             & _promising(F.col("n"), F.col("h_n"), F.col("odd"), F.col("h_odd"), percent)
         )
-        pairs = (
+        by_differences = _by_differences("l", "r", percent)
+        ask = ask & F.coalesce(by_differences, F.lit(True))
+        met = stored(
             left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & ask)
-            .select(*pair).distinct()
-            .join(tested, ["a", "b"], "left_anti")
+            .select(*pair, by_differences.isNotNull().alias("linked")).distinct(),
+            "met",
+        )
+        pairs = stored(met.where("NOT linked").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = stored(
+            _confirmed(pairs, nodes, docs, percent).unionAll(met.where("linked").select("a", "b")).distinct(), "found"
         )
-        pairs = stored(pairs, "pairs")
-        found = stored(_confirmed(pairs, nodes, docs, percent), "found")
         if not found.isEmpty():
             links = stored(links.unionAll(found), "links")
             labels = stored(connected_components(links), "labels")

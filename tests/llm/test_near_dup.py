@@ -102,3 +102,37 @@ def test_a_pair_at_the_limit_whose_sketches_differ_by_chance_is_linked(documents
     assert brute(rows) == {(1, 21): 1, (2, 21): 1}
     found = near_dup.near_duplicates(documents(rows)).collect()
     assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1}
+
+
+@pytest.mark.parametrize("short", [near_dup.SHORT, 8])
+def test_a_large_group_of_near_copies_equals_brute_force(spark, documents, short, monkeypatch):
+    """Copies of one text with some words changed, many of them below the limit to the origin and linked over others only."""
+    monkeypatch.setattr(near_dup, "SHORT", short)
+    rng = random.Random(11)
+    origin = [f"w{rng.randrange(40)}" for _ in range(90)]
+    edits = [(rng.randrange(90), f"x{k}") for k in range(12)]
+    texts = []
+    for _ in range(260):
+        words = list(origin)
+        for at, new in rng.sample(edits, rng.choice([0, 1, 1, 2, 2, 3])):
+            words[at] = new
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words[rng.randrange(90)] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(words[: rng.choice([90, 90, 90, 80, 70])]))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    least = list(range(len(texts)))
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                least[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(documents(list(enumerate(texts)))).collect()}
+    want = {i: top(i) for i in range(len(texts))}
+    assert len(set(want.values())) > 10 and max(list(want.values()).count(c) for c in set(want.values())) > 50
+    assert got == want
