@@ -140,9 +140,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> AttentionModel:
     """Learn attention and score together by Adam on the logistic loss of whole bags."""
     rng = np.random.default_rng(seed)
-    everything = np.concatenate(bags) if bags else np.zeros((1, WIDTH), np.float32)
-    mean, scale = everything.mean(axis=0), 1 / (everything.std(axis=0) + 0.02)
-    del everything
+    n = max(1, sum(map(len, bags)))
+    mean = sum((bag.sum(axis=0, dtype=np.float64) for bag in bags), np.zeros(WIDTH)) / n
+    square = sum((((bag - mean) ** 2).sum(axis=0) for bag in bags), np.zeros(WIDTH)) / n
+    mean, scale = mean.astype(np.float32), (1 / (np.sqrt(square) + 0.02)).astype(np.float32)
     share = (labels.sum() + 1) / (len(labels) + 2)
     p = {
         "v": rng.normal(0, 0.1, (WIDTH, ATTENTION)), "u": rng.normal(0, 0.1, (WIDTH, ATTENTION)),
@@ -151,12 +152,11 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Atten
     first = {k: np.zeros_like(x) for k, x in p.items()}
     second = {k: np.zeros_like(x) for k, x in p.items()}
     step = 0
-    bags = [(bag - mean) * scale for bag in bags]
     for _ in range(EPOCHS if 0 < labels.sum() < len(labels) else 0):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
-            x = np.concatenate([bags[i] for i in chosen])
+            x = (np.concatenate([bags[i] for i in chosen]) - mean) * scale
             sizes = np.array([len(bags[i]) for i in chosen])
             doc, starts = np.repeat(np.arange(len(chosen)), sizes), np.cumsum(sizes) - sizes
             tan, gate = np.tanh(x @ p["v"]), _sigmoid(x @ p["u"])
@@ -192,7 +192,7 @@ def fit(
     """Model from at most ``train_rows`` labelled documents, those of the smallest id hashes.
 
     Bags are whole: a document teaches with all its passages. ``train_passages`` bounds the passages of all bags together, so
-    that fewer documents are taken where texts are long; a text with more passages than that teaches nothing. Rows with a
+    that fewer documents are taken where texts are long (the driver holds them, in half precision); a text with more passages than that teaches nothing. Rows with a
     null id or label teach nothing; of several labels of one id the majority counts, a tie is 1. Without both labels
     the score is their share.
     """
@@ -221,14 +221,14 @@ def fit(
                 bags: list[list[bytes]] = [[] for _ in range(high - low)]
                 for x, doc in parts(batch.column(1).slice(low, high - low)):
                     for i in np.unique(doc).tolist():
-                        bags[i].append(x[doc == i].tobytes())
+                        bags[i].append(x[doc == i].astype(np.float16).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(map(b"".join, bags), pa.binary())],
                     ["doc_id", "label", "bag"],
                 )
 
     found = chosen.mapInArrow(passages, "doc_id bigint, label int, bag binary").toArrow().sort_by("doc_id")
-    bags = [np.frombuffer(b.as_buffer(), np.float32).reshape(-1, WIDTH) for b in found.column("bag")]
+    bags = [np.frombuffer(b.as_buffer(), np.float16).reshape(-1, WIDTH) for b in found.column("bag")]
     return train(bags, found.column("label").to_numpy().astype(np.float64))
 
 
