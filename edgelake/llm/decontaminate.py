@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelake.llm.words import mixed, slices, window_hashes, windows, words_of
@@ -23,16 +23,25 @@ from edgelake.session import stored
 WINDOW = 13
 SUBSTITUTIONS = 2
 MASKS = ("111011101", "1110100111", "1001110111")
-SHORTEST_ITEM = 5
+SHORT_SUBSTITUTIONS = 1
+SOLID_ITEM = 4
 BITS_PER_SEED = 64
 MOST_BITS = 1 << 28
 PROBES = 4
 
 
-def _masks() -> list[list[int]]:
-    """Offsets of the words each mask keeps; after the spaced ones a whole mask for each short length."""
-    spaced = [[i for i, c in enumerate(mask) if c == "1"] for mask in MASKS]
-    return spaced + [list(range(n)) for n in range(SHORTEST_ITEM, WINDOW)]
+def _masks() -> list[tuple[int, list[int]]]:
+    """Masks as (words of the items they are for, offsets of the words they keep).
+
+    Items of WINDOW words or more have the spaced masks (their number of words is given as 0). Shorter ones have two, the first
+    and the second half of their words, one of which is whole where one word was changed; items of up to SOLID_ITEM words are looked
+    for as they are.
+    """
+    out = [(0, [i for i, c in enumerate(mask) if c == "1"]) for mask in MASKS]
+    for n in range(1, WINDOW):
+        halves = [range(n)] if n <= SOLID_ITEM else [range(n // 2), range(n // 2, n)]
+        out += [(n, list(half)) for half in halves]
+    return out
 
 
 def _seeds(hashes: np.ndarray, first: np.ndarray, number: int, offsets: list[int]):
@@ -52,10 +61,11 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = hashes[first[i] : first[i + 1]]
             span = np.array([0, len(own)])
             found = []
-            for number, offsets in enumerate(masks):
-                if len(own) >= WINDOW if number < len(MASKS) else len(own) == len(offsets):
+            for number, (length, offsets) in enumerate(masks):
+                if len(own) == length or not length and len(own) >= WINDOW:
                     starts, _, seeds = _seeds(own, span, number, offsets)
-                    found += [{"seed": int(s), "at": int(p)} for s, p in zip(seeds.view(np.int64), starts)]
+                    places = zip(seeds.view(np.int64), starts)
+                    found += [{"seed": int(s), "at": int(p)} for s, p in places if not length or p == 0]
             rows["words"].append(own.view(np.int64))
             rows["seeds"].append(found)
         yield pa.RecordBatch.from_pydict(rows, schema=_ITEM)
@@ -92,7 +102,7 @@ def _bit(seeds: np.ndarray, probe: int) -> np.ndarray:
 def _regions(lengths: list[int], bits) -> object:
     """Parts of texts around places where a seed passes the filter, with the seeds found there."""
     masks = _masks()
-    used = [(n, m) for n, m in enumerate(masks) if n < len(MASKS) or len(m) in lengths]
+    used = [(n, m) for n, (length, m) in enumerate(masks) if not length or length in lengths]
     margin = WINDOW - 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +182,7 @@ def overlaps(
     tests = stored(tests, "items")
     seeds = tests.select("item", F.explode("seeds").alias("s")).select("item", "s.seed", F.col("s.at").alias("item_at"))
     seeds = stored(seeds, "seeds")
-    lengths = [r[0] for r in tests.groupBy(F.size("words").alias("n")).count().where(F.col("n").between(SHORTEST_ITEM, WINDOW - 1)).collect()]
+    lengths = [r[0] for r in tests.groupBy(F.size("words").alias("n")).count().where(F.col("n").between(1, WINDOW - 1)).collect()]
     bits = spark.sparkContext.broadcast(_filter_bits(seeds))
     keyed = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")
@@ -198,7 +208,9 @@ def overlaps(
         lambda p: (F.get("words", p) == F.get("item_words", p - F.col("shift"))).cast("int"),
     )
     width = F.least(F.lit(WINDOW), F.size("item_words"))
-    allowed = F.when(F.size("item_words") < WINDOW, 0).otherwise(SUBSTITUTIONS)
+    allowed = (
+        F.when(F.size("item_words") <= SOLID_ITEM, 0).when(F.size("item_words") < WINDOW, SHORT_SUBSTITUTIONS).otherwise(SUBSTITUTIONS)
+    )
     add = lambda s, x: s + x
     enough = F.exists(
         F.sequence(F.lit(1), F.size("same") - width + 1),
@@ -235,8 +247,8 @@ def decontaminate(
     per_doc = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     per_doc = stored(per_doc, "leaks")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"))
-    key = F.xxhash64("doc_id", "text_key").alias("_key")
-    joined = lookup_join(rows.select("*", key), per_doc.select(key, "items"), ["_key"], "left")
+    leaks = per_doc.select(*_identity(F.col("doc_id"), F.col("text_key")), "items")
+    joined = lookup_join(rows.select("*", *_identity(F.col("doc_id"), F.col("text_key"))), leaks, IDENTITY, "left")
     return joined.select(
         "doc_id",
         "text_key",
@@ -251,6 +263,15 @@ def drop_leaks(
 ) -> DataFrame:
     """``docs`` without the rows whose text overlaps a test item, with all their columns."""
     found = overlaps(docs, items, id_col, text_col, item_id_col, item_text_col)
-    leaks = stored(found.select(F.xxhash64("doc_id", "text_key").alias("_key")).distinct(), "leaks")
-    key = F.xxhash64(F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col)))
-    return lookup_join(docs.withColumn("_key", key), leaks, ["_key"], "left_anti").select(*docs.columns)
+    leaks = stored(found.select(*_identity(F.col("doc_id"), F.col("text_key"))).distinct(), "leaks")
+    own = _identity(F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col)))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *own)
+    return lookup_join(rows, leaks, IDENTITY, "left_anti").select("_row.*")
+
+
+IDENTITY = ["_no_id", "_id", "_text"]
+
+
+def _identity(id_: Column, text_key: Column) -> list[Column]:
+    """Columns to join rows on by id and text, null ids among each other."""
+    return [id_.isNull().alias("_no_id"), F.coalesce(id_, F.lit(0)).alias("_id"), text_key.alias("_text")]

@@ -329,26 +329,43 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return stored(kept.where(F.exists("keep", lambda x: ~x)), "copies")
 
 
-def delete_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """Rows as ``_row`` with ``_text`` (rewritten), ``_lines`` and ``_deleted``; the user's columns stay inside the struct."""
+    copies = later_copies(docs, id_col, text_col, min_words).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("keep").alias("_keep"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("_d"),
+        F.xxhash64(F.col(text_col)).alias("_t"),
+    )
+    joined = lookup_join(rows, copies, ["_d", "_t"], "left")
+    text, changed = F.col("_row")[text_col], F.col("_keep").isNotNull()
+    lines = F.split(text, "\n")
+    shorter = F.array_join(F.filter(lines, lambda x, i: F.get("_keep", i)), "\n")
+    deleted = F.size(F.filter("_keep", lambda x: ~x))
+    return joined.select(
+        "_row",
+        F.when(changed, shorter).otherwise(text).alias("_text"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("_lines"),
+        F.when(changed, deleted).otherwise(0).cast("bigint").alias("_deleted"),
+    )
+
+
+def delete_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+    lines_col: str = "_lines", deleted_col: str = "_deleted",
+) -> DataFrame:
     """``docs`` without the lines that are later copies of runs: text is rewritten, all columns stay.
 
-    Adds _lines and _deleted, the numbers of lines before and deleted. Rows of one id with one text are one
-    document and judged alike; null ids come after all others; null and empty texts stay as they are; no rows give
-    no rows.
+    Adds the numbers of lines before and deleted, under names that must not be columns of ``docs``. Rows of one id with one text
+    are one document and judged alike; null ids come after all others; null and empty texts stay as they are; no rows
+    give no rows. A text of any length is one row of its lines' ids.
     """
-    copies = later_copies(docs, id_col, text_col, min_words).select(F.xxhash64("d", "t").alias("_key"), "keep")
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)), F.xxhash64(F.col(text_col)))
-    joined = lookup_join(docs.withColumn("_key", key), copies, ["_key"], "left")
-    lines = F.split(F.col(text_col), "\n")
-    shorter = F.array_join(F.filter(lines, lambda x, i: F.get("keep", i)), "\n")
-    deleted = F.size(F.filter("keep", lambda x: ~x))
-    return joined.select(
-        *[
-            F.when(F.col("keep").isNull(), F.col(c)).otherwise(shorter).alias(c) if c == text_col else F.col(c)
-            for c in docs.columns
-        ],
-        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("_lines"),
-        F.when(F.col("keep").isNull(), 0).otherwise(deleted).cast("bigint").alias("_deleted"),
+    if taken := {lines_col, deleted_col} & set(docs.columns):
+        raise ValueError(f"docs have a column {taken}; name the added columns by lines_col and deleted_col")
+    return _judged(docs, id_col, text_col, min_words).select(
+        *[F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns],
+        F.col("_lines").alias(lines_col),
+        F.col("_deleted").alias(deleted_col),
     )
 
 
@@ -359,6 +376,13 @@ def without_copies(
 
     All columns stay; ``size_col``, where there is one, follows the shorter text.
     """
-    found = delete_copies(docs, id_col, text_col, min_words).where("_deleted = 0 OR _deleted < _lines")
-    size = F.when(F.col("_deleted") > 0, F.length(text_col)).otherwise(F.col(size_col)) if size_col in docs.columns else None
-    return found.select(*[size.cast(docs.schema[c].dataType).alias(c) if c == size_col else F.col(c) for c in docs.columns])
+    found = _judged(docs, id_col, text_col, min_words).where("_deleted = 0 OR _deleted < _lines")
+
+    def column(c: str) -> Column:
+        if c == text_col:
+            return F.col("_text")
+        if c == size_col:
+            return F.when(F.col("_deleted") > 0, F.length("_text")).otherwise(F.col("_row")[c]).cast(docs.schema[c].dataType)
+        return F.col("_row")[c]
+
+    return found.select(*[column(c).alias(c) for c in docs.columns])

@@ -247,18 +247,36 @@ def mixed_copies(plan: DataFrame, seed: str = SEED) -> DataFrame:
     return copies.repartition("shard").sortWithinPartitions("shard", order)
 
 
+ADDED = ("size", "target", "taken", "copies", "shards")
+
+
+def added_names(columns: list[str]) -> dict[str, str]:
+    """Names of the columns ``mixed_documents`` adds: as they are, with ``mix_`` before them where a column has that name."""
+    out = {}
+    for name in ADDED:
+        free = name
+        while free in columns:
+            free = f"mix_{free}"
+        out[name] = free
+    return out
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the mix draws, with all their columns and size, target, taken, copies and shards.
 
-    Rows without an id are drawn alike within their source, as often as the one that is drawn most.
+    An added column whose name ``docs`` have is called ``mix_`` and the name. Rows without an id are drawn alike within their source, as
+    often as the one that is drawn most.
     """
-    def key(id_: str, source: str) -> Column:
-        return F.xxhash64(F.coalesce(F.col(id_).cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")))
-
-    plan = mix(docs, id_col, text_col, source_col).select(
-        key("doc_id", "source").alias("_key"), F.struct("copies", "size", "target", "taken", "shards").alias("_plan")
-    )
-    drawn = stored(plan.groupBy("_key").agg(F.max("_plan").alias("_plan")).where("_plan.copies > 0"), "plan")
-    return lookup_join(docs.withColumn("_key", key(id_col, source_col)), drawn, ["_key"]).select(
-        *docs.columns, *[F.col(f"_plan.{c}").alias(c) for c in ("size", "target", "taken", "copies", "shards")]
+    def key(id_: str, source: str) -> list[Column]:
+        return [
+            F.col(id_).isNull().alias("_no_id"), F.coalesce(F.col(id_).cast("string"), F.lit("")).alias("_id"),
+            F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")).alias("_source"),
+        ]
+
+    keys = ["_no_id", "_id", "_source"]
+    plan = mix(docs, id_col, text_col, source_col).select(*key("doc_id", "source"), F.struct("copies", "size", "target", "taken", "shards").alias("_plan"))
+    drawn = stored(plan.groupBy(*keys).agg(F.max("_plan").alias("_plan")).where("_plan.copies > 0"), "plan")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *key(id_col, source_col))
+    return lookup_join(rows, drawn, keys).select(
+        "_row.*", *[F.col("_plan")[name].alias(free) for name, free in added_names(docs.columns).items()]
     )

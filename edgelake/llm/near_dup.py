@@ -357,11 +357,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     Of rows of one id one stays. Rows without an id and texts without words are in no group and stay.
     """
     groups = stored(near_duplicates(docs, id_col, text_col, percent), "groups")
-    dropped = stored(groups.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    left = lookup_join(docs, dropped, [id_col], "left_anti").select(*docs.columns)
-    again = groups.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").drop("count")
-    again = stored(again, "again")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("bigint").alias("_id"))
+    dropped = stored(groups.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    left = lookup_join(rows, dropped, ["_id"], "left_anti").select("_row", "_id")
+    again = groups.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
+    again = stored(again.where("n > 1").select("_id"), "again")
     if again.isEmpty():
-        return left
-    single = lookup_join(left, again, [id_col], "left_anti").select(*docs.columns)
-    return single.unionByName(lookup_join(left, again, [id_col], "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+        return left.select("_row.*")
+    single = lookup_join(left, again, ["_id"], "left_anti").select("_row", "_id")
+    one = lookup_join(left, again, ["_id"], "left_semi").select("_row", "_id").dropDuplicates(["_id"])
+    return single.unionByName(one).select("_row.*")

@@ -11,10 +11,10 @@ def words(text):
 
 def overlapped(text, item):
     a, b = words(text), words(item)
-    if len(b) < dec.SHORTEST_ITEM:
+    if not b:
         return False
     width = min(dec.WINDOW, len(b))
-    most = dec.SUBSTITUTIONS if len(b) >= dec.WINDOW else 0
+    most = dec.SUBSTITUTIONS if len(b) >= dec.WINDOW else dec.SHORT_SUBSTITUTIONS if len(b) > dec.SOLID_ITEM else 0
     return any(
         sum(x != y for x, y in zip(a[i : i + width], b[j : j + width])) <= most
         for i in range(len(a) - width + 1) for j in range(len(b) - width + 1)
@@ -67,3 +67,18 @@ def test_registered_query_finds_every_verbatim_item(spark, sf):
     got = {r.doc_id: set(r["items"]) for r in QUERIES["op5_decontaminate"](spark, sf).collect()}
     for d in docs:
         assert {i.item_id for i in items if i.text in d.text} <= got[d.doc_id]
+
+
+def test_items_of_any_length_are_found(spark, documents):
+    rng = random.Random(3)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 15)]
+    docs, want = [], {}
+    for n, item in items:
+        for changed in range(3):
+            part = item.split()
+            for at in rng.sample(range(n), min(changed, n)):
+                part[at] = "other"
+            docs.append((100 * n + changed, f"a b {' '.join(part)} c d"))
+            want[100 * n + changed] = [n] if changed <= (0 if n <= 4 else 1 if n < 13 else 2) else []
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in dec.decontaminate(documents(docs), table).collect()} == want

@@ -62,3 +62,11 @@ def test_long_repeats_in_one_text(documents):
 def test_no_rows(documents):
     assert line_dedup.delete_copies(documents([(1, "a")]).where("false")).count() == 0
     assert line_dedup.delete_copies(documents([(1, None), (2, "")])).count() == 2
+
+
+def test_names_of_added_columns(spark, documents):
+    docs = spark.createDataFrame([(1, "a b\nc", "mine")], "doc_id long, text string, _deleted string")
+    with pytest.raises(ValueError, match="_deleted"):
+        line_dedup.delete_copies(docs)
+    got = line_dedup.delete_copies(docs, deleted_col="gone").first()
+    assert (got["_deleted"], got["gone"], got["_lines"]) == ("mine", 0, 2)

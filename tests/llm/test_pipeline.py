@@ -1,11 +1,13 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from edgelake.llm import queries as llm
 
 
 def test_all_operators_are_registered():
-    assert {int(name[2:].split("_")[0]) for name in llm.QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in llm.QUERIES} == set(range(1, 14))
     assert set(llm.ORACLES) <= set(llm.QUERIES)
 
 
@@ -53,6 +55,18 @@ def test_run_equals_its_stages(spark, sf):
     assert rows and len({r.doc_id for r in rows}) == len(rows)
 
 
+def test_columns_of_clashing_names_keep_their_values(spark, sf):
+    names = ["_key", "_salt", "_salts", "keep", "_keep", "_deleted", "_lines", "_text", "_row", "_id", "size", "copies", "kept", "component_id", "label", "score"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 80")
+    marked = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, marked, sf)
+        rows = out.collect()
+        assert rows and out.columns[: len(marked.columns)] == marked.columns, name
+        assert all(r[n] == f"{n}-{r['doc_id']}" for r in rows for n in names), name
+    assert {"mix_size", "mix_copies", "taken"} <= set(out.columns)
+
+
 def test_no_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
