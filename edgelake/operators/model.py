@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import PipelineModel, Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +24,7 @@ DEPTH = 5
 STEP = 0.1
 POSITIVE_SCALE = 0.7
 
+ROWS_PER_TASK = 100_000
 _RANK_BUCKETS = 4096
 
 
@@ -78,7 +79,11 @@ def train_viral(train: DataFrame, rounds: int = ROUNDS, seed: int = 42) -> Pipel
     if not balance["negatives"] or not balance["positives"]:
         return None
     weight = F.when(F.col(TARGET_COL) == 1, F.lit(float(balance["positive_weight"]))).otherwise(F.lit(1.0))
-    rows = train.withColumn("weight", weight).withColumn("label", F.col(TARGET_COL).cast("double"))
+    labelled = train.withColumn("weight", weight).withColumn("label", F.col(TARGET_COL).cast("double"))
+    inputs = VectorAssembler(inputCols=FEATURE_COLS, outputCol="features")
+    # A round is several short jobs over all rows: vectors are made once, in tasks of a size worth starting.
+    parts = math.ceil((balance["negatives"] + balance["positives"]) / ROWS_PER_TASK)
+    rows = inputs.transform(labelled).select("features", "label", "weight").coalesce(parts).persist()
     trees = GBTClassifier(
         featuresCol="features",
         labelCol="label",
@@ -88,8 +93,10 @@ def train_viral(train: DataFrame, rounds: int = ROUNDS, seed: int = 42) -> Pipel
         stepSize=STEP,
         seed=seed,
     )
-    inputs = VectorAssembler(inputCols=FEATURE_COLS, outputCol="features")
-    return Pipeline(stages=[inputs, trees]).fit(rows)
+    try:
+        return PipelineModel([inputs, trees.fit(rows)])
+    finally:
+        rows.unpersist()
 
 
 def score(features: DataFrame, model: PipelineModel, threshold: float = VIRAL_THRESHOLD) -> DataFrame:
