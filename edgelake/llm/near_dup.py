@@ -248,17 +248,33 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     placed = stored(members.join(middle, "key").select("key", "node", "hub", "size"), "placed")
     pair = (F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     tested = stored(placed.where("node <> hub").select(*pair).distinct(), "pairs")
-    members = placed.where("size > 2").select("key", "node")
+    members = placed.where("size > 2").select("key", "node", F.col("hub").alias("r"))
     waiting = placed.where("size > 2 AND node <> hub").select("key", "node")
     from_hubs = placed.where("node <> hub").select("hub", "node").distinct()
     apart = stored(_differences(from_hubs, nodes, docs, percent), "differences")
     linked = apart.where("linked").select(*pair).distinct()
     links = stored(linked, "links")
     labels = stored(connected_components(links), "labels")
+    differ = F.struct(F.col("hub").alias("r"), "size", "lacks", "extra")
+    known = stored(
+        nodes.select("node", F.col("n_shingles").alias("n"), "odd", "bands")
+        .join(apart.groupBy("node").agg(F.collect_list(differ).alias("differences")), "node", "left"),
+        "known",
+    )
+
+    def placed_again(rows: DataFrame) -> DataFrame:
+        """Rows (key, r, node, component) with what is known of the node, by a join of one row per node."""
+        at = rows.groupBy("node", "component").agg(F.collect_list(F.struct("key", "r")).alias("places"))
+        each = at.join(known, "node").select("node", "component", "n", "odd", "bands", "differences", F.explode("places").alias("at"))
+        of_hub = F.get(F.filter("differences", lambda d: d["r"] == F.col("at.r")), F.lit(0))
+        return each.select("node", "component", "n", "odd", "bands", "at.key", of_hub.alias("d")).select(
+            "node", "component", "n", "odd", "bands", "key", "d.size", "d.lacks", "d.extra"
+        )
+
     width = HUBS
     while True:
         label = F.coalesce("component", "node")
-        own = members.join(labels, "node", "left").select("key", "node", label.alias("component"))
+        own = members.join(labels, "node", "left").select("key", "node", "r", label.alias("component"))
         counts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         tops = counts.groupBy("key").agg(
             F.max(F.struct("n", "component"))["component"].alias("top"), F.count(F.lit(1)).alias("parts")
@@ -267,23 +283,14 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         minor = open_.where("component <> top").join(waiting, ["key", "node"], "left_semi")
         turn = F.xxhash64(F.lit(width), "key", "node")
         hubs = minor.groupBy("key", F.pmod(turn, F.lit(width)).alias("_slot")).agg(
-            F.min(F.struct(turn.alias("t"), "node", "component")).alias("h")
+            F.min(F.struct(turn.alias("t"), "node", "component", "r")).alias("h")
         )
-        hubs = stored(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.component").alias("hub_component")), "hubs")
+        hubs = stored(hubs.select("key", "h.node", "h.component", "h.r"), "hubs")
         if hubs.isEmpty():
             return labels
-        about = nodes.select("node", F.col("n_shingles").alias("n"), "odd", "bands")
-        first_hub = placed.select("key", "node", F.col("hub").alias("r"))
-        differ = apart.select(F.col("hub").alias("r"), "node", "size", "lacks", "extra")
-        known = stored(
-            open_.select("key", "node", "component").join(first_hub, ["key", "node"]).join(differ, ["r", "node"], "left")
-            .select("key", "node", "component", "size", "lacks", "extra"),
-            "known",
-        )
-        left = known.join(about, "node")
-        h = known.select("key", F.col("node").alias("hub"), "size", "lacks", "extra")
-        right = hubs.join(h, ["key", "hub"]).join(
-            about.select(*[F.col(c).alias(f"h_{c}") for c in about.columns]), F.col("hub") == F.col("h_node")
+        left = placed_again(open_.select("key", "r", "node", "component"))
+        right = placed_again(hubs).withColumnsRenamed(
+            {"node": "hub", "component": "hub_component", "n": "h_n", "odd": "h_odd", "bands": "h_bands"}
         )
         equal = F.zip_with("bands", "h_bands", lambda x, y: x == y)
         first = F.element_at("bands", F.array_position(equal, True).cast("int"))
@@ -307,7 +314,7 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             links = stored(links.unionAll(found), "links")
             labels = stored(connected_components(links), "labels")
         tested = tested.unionAll(pairs)
-        used = hubs.select("key", F.col("hub").alias("node"))
+        used = hubs.select("key", "node")
         waiting = stored(waiting.join(used, ["key", "node"], "left_anti"), "waiting")
         width *= HUBS
 
