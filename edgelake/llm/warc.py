@@ -103,14 +103,19 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _inflated(stream) -> Iterator[bytes]:
-    """Bytes of a gzip file of one or more members, a chunk at a time."""
-    inflate = zlib.decompressobj(31)
-    while chunk := stream.read(CHUNK):
-        while chunk:
-            yield inflate.decompress(chunk)
-            chunk = inflate.unused_data
-            if inflate.eof:
+    """Bytes of a gzip file of one or more members, at most a chunk at a time however well they are packed."""
+    inflate, begun = zlib.decompressobj(31), False
+    while data := stream.read(CHUNK):
+        full = False
+        while data or full:
+            piece = inflate.decompress(data, CHUNK)
+            yield piece
+            begun, full = not inflate.eof, len(piece) == CHUNK and not inflate.eof
+            data = inflate.unconsumed_tail if begun else inflate.unused_data
+            if not begun:
                 inflate = zlib.decompressobj(31)
+    if begun:
+        raise ValueError("an archive is cut off")
 
 
 def _records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -124,7 +129,9 @@ def _records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         return piece is not None
 
     while True:
-        while (end := held.find(END)) < 0:
+        searched = 0
+        while (end := held.find(END, searched)) < 0:
+            searched = max(0, len(held) - len(END) + 1)
             if not more():
                 if held.strip():
                     raise ValueError("a WARC header does not end")

@@ -2,6 +2,8 @@ import gzip
 import hashlib
 import zlib
 
+import pytest
+
 from edgelake.llm import warc
 from edgelake.session import new_table_path
 
@@ -58,3 +60,13 @@ def test_archives_hold_one_stream_and_then_a_member_per_record(spark):
 
 def test_no_rows(spark):
     assert warc.archive_round_trip(pages(spark, [(1, "u", "a")]).where("false")).count() == 0
+
+
+def test_inflating_is_bounded():
+    import io
+
+    packed = gzip.compress(b"x" * 50_000_000) + gzip.compress(b"") + gzip.compress(b"tail")
+    pieces = [len(p) for p in warc._inflated(io.BytesIO(packed))]
+    assert sum(pieces) == 50_000_004 and max(pieces) <= warc.CHUNK
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc._inflated(io.BytesIO(packed[:-9])))
