@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -60,6 +61,7 @@ BLOCKS = frozenset(
     ol p pre section summary table tbody td tfoot th thead tr ul header article main nav footer aside form dialog menu
     fieldset""".split()
 )
+CONTAINERS = frozenset("div section body center".split())
 SHORT_LIVED = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr".split())
 MARKS = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertis\w*|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebars?|footer|comments?"
@@ -78,11 +80,15 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Block:
-    """A block of text: its region (a number, and whether it is main text or page furniture) and its label."""
+    """A block of text: its region (a number, and whether it is main text or page furniture) and its label.
+
+    A bare block stands in a container, not in a paragraph, heading, list or table cell of its own.
+    """
 
     region: int
     main: bool
     furniture: bool
+    bare: bool = False
     parts: list[str] = field(default_factory=list)
     links: int = 0
     text: str = ""
@@ -93,6 +99,7 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     found: list[Block] = []
     stack: list[tuple[str, int, bool, bool]] = []
+    opened_tags: Counter[str] = Counter()
     region, links, at = (0, False, False), 0, 0
     regions, current, wait = 0, Block(*region), ""
 
@@ -103,6 +110,11 @@ def blocks(page: str) -> list[Block]:
             found.append(current)
         return Block(*region)
 
+    def close() -> str:
+        tag = stack.pop()[0]
+        opened_tags[tag] -= 1
+        return tag
+
     while match := TOKEN.match(page, at):
         at = match.end()
         tag = match["tag"]
@@ -129,25 +141,25 @@ def blocks(page: str) -> list[Block]:
         if tag not in BLOCKS:
             continue
         if not ending and tag in SHORT_LIVED and stack and stack[-1][0] == tag:
-            stack.pop()
+            close()
         elif not ending and wait and tag in BLOCKS and stack and stack[-1][0] == "p":
-            stack.pop()
+            close()
         if ending:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+            while opened_tags[tag] and close() != tag:
+                pass
         elif tag not in VOID:
             now = stack[-1] if stack else ("", 0, False, False)
             marked = tag in FURNITURE or _marked(tag, match["rest"], now[2])
             if tag not in SHORT_LIVED or marked:
                 opened = tag in MAIN or marked
                 regions += opened
+                opened_tags[tag] += 1
                 stack.append((tag, regions if opened else now[1], now[2] or tag in MAIN, now[3] or marked))
         links = 0
         region = stack[-1][1:] if stack else (0, False, False)
         wait = "p" if stack and stack[-1][0] == "p" else ""
         current = flush()
+        current.bare = ending or tag in CONTAINERS
     flush()
     return found
 
@@ -183,7 +195,8 @@ def classify(found: list[Block]) -> list[Block]:
     A long block with many stop words is main text by itself; with few it stays open, for it may be of a language that
     has no list here, and only its place and links can speak against it. With an article in the page, blocks outside it
     need a decision of their own; inside it only links speak against a block, and say nothing of its neighbours. A block
-    that has no decided neighbour in its region is main text.
+    that has no decided neighbour in its region is main text, but for bare blocks up to ``LENGTH_HIGH`` in pages without an
+    article: these follow the nearest decided block of the whole page, and when two are as near, both must be main text.
     """
     has_main = any(b.main and not b.furniture for b in found)
     for b in found:
@@ -196,26 +209,26 @@ def classify(found: list[Block]) -> list[Block]:
             if stops >= STOP_HIGH and size > LENGTH_HIGH:
                 b.label = True
     decided = [None if b.main and b.label is False else b.label for b in found]
-    before = _nearest(found, decided, range(len(found)))
-    after = _nearest(found, decided, range(len(found) - 1, -1, -1))
+    inside, anywhere = _nearest([b.region for b in found], decided), _nearest([0] * len(found), decided)
     for i, b in enumerate(found):
-        if b.label is None:
-            near = [j for j in (before[i], after[i]) if j is not None]
-            least = min((abs(j - i) for j in near), default=0)
-            inherited = not near or any(decided[j] for j in near if abs(j - i) == least)
-            b.label = inherited and (b.main or not has_main)
+        if b.label is None and b.bare and not has_main and len(b.text) <= LENGTH_HIGH:
+            b.label = all(anywhere[i])
+        elif b.label is None:
+            b.label = (not inside[i] or any(inside[i])) and (b.main or not has_main)
     return found
 
 
-def _nearest(found: list[Block], decided: list[bool | None], order: range) -> list[int | None]:
-    """For each block the last decided block of its region that came before it in this order."""
-    last: dict[int, int] = {}
-    near: list[int | None] = [None] * len(found)
-    for i in order:
-        near[i] = last.get(found[i].region)
-        if decided[i] is not None:
-            last[found[i].region] = i
-    return near
+def _nearest(regions: list[int], decided: list[bool | None]) -> list[list[bool]]:
+    """For each block the labels of the nearest decided blocks of its region: two when they are as near, none without any."""
+    near: list[list[tuple[int, bool]]] = [[] for _ in regions]
+    for order in (range(len(regions)), range(len(regions) - 1, -1, -1)):
+        last: dict[int, int] = {}
+        for i in order:
+            if (j := last.get(regions[i])) is not None:
+                near[i].append((abs(i - j), decided[j]))
+            if decided[i] is not None:
+                last[regions[i]] = i
+    return [[label for distance, label in found if distance == min(found)[0]] for found in near]
 
 
 def main_text(page: str) -> tuple[str, int, int]:

@@ -72,6 +72,24 @@ def test_pages_keep_their_text_without_article_elements(spark, sf, tag):
         assert text(re.sub(r"<(/?)article\b", rf"<\1{tag}", r.html)) == text(r.html)
 
 
+def test_pages_keep_their_text_without_names(spark, sf):
+    named = r"""\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        page = re.sub(r"<(/?)article\b", r"<\1div", r.html)
+        assert text(re.sub(named, "", page)) == text(r.html)
+
+
+def test_bare_blocks_follow_the_page():
+    menu = '<ul><li><a href="/a">one</a></li><li><a href="/b">two</a></li></ul>'
+    body = f"<div><h1>Head</h1><p>{LONG}</p><p>End.</p></div>"
+    assert text(f"<body>{menu}<div>Buy this thing now.</div>{body}<div>More of it.</div><footer>Me</footer></body>") == text(body)
+    assert text("<div>Only this.</div>") == "Only this."
+
+
+def test_end_tags_without_an_element_cost_nothing():
+    assert text("<div>" * 100_000 + "</p>" * 100_000 + "deep") == "deep"
+
+
 def test_text_of_a_language_without_stop_words_is_kept():
     prose = "Дом у реки стоит на дороге в город, и он был там столько, сколько они его знали. " * 4
     menu = '<nav><a href="/a">Один</a></nav><div class="related"><a href="/b">Два</a></div>'
