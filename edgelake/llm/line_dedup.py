@@ -239,61 +239,112 @@ def _backwards(places: list[Place], depths: list[int], stack: Stairs) -> tuple[l
 
 
 STEP = pa.struct([("depth", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("line", pa.int64())])
+STAIRS = "array<struct<depth:bigint,d:bigint,t:bigint,line:bigint>>"
+FAN = 64
+
+
+def _steps(stacks: list[Stairs]) -> pa.Array:
+    rows = [[{"depth": d, "d": p[0], "t": p[1], "line": p[2]} for d, p in stack] for stack in stacks]
+    return pa.array(rows, pa.list_(STEP))
+
+
+def _stacks(column: pa.ChunkedArray) -> list[Stairs]:
+    return [[(x["depth"], (x["d"], x["t"], x["line"])) for x in row] for row in column.to_pylist()]
+
+
+def _nodes(table: pa.Table) -> list[tuple[int, int, Stairs, Stairs]]:
+    """Neighbours in order: node, the least shared lines in it, what reaches out of it to the left and to the right."""
+    table = table.sort_by("node")
+    ahead, behind = _stacks(table.column("ahead")), _stacks(table.column("behind"))
+    return list(zip(table.column("node").to_pylist(), table.column("least").to_pylist(), ahead, behind))
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """Neighbours as one node of the next level."""
+    nodes = _nodes(table)
+    behind: Stairs = []
+    ahead: Stairs = []
+    for _, least, _, own in nodes:
+        behind = _joined(own, behind, least)
+    for _, least, own, _ in reversed(nodes):
+        ahead = _joined(own, ahead, least)
+    return pa.table({
+        "node": table.column("parent").slice(0, 1),
+        "least": pa.array([min(n[1] for n in nodes)], pa.int64()),
+        "ahead": _steps([ahead]),
+        "behind": _steps([behind]),
+    })
+
+
+def _handed_down(table: pa.Table, parent: pa.Table) -> pa.Table:
+    """What reaches into each of some neighbours from the left and from the right."""
+    nodes = _nodes(table)
+    carry = _stacks(parent.column("left"))[0] if parent.num_rows else []
+    left, right = [], []
+    for _, least, _, own in nodes:
+        left.append(carry)
+        carry = _joined(own, carry, least)
+    carry = _stacks(parent.column("right"))[0] if parent.num_rows else []
+    for _, least, own, _ in reversed(nodes):
+        right.append(carry)
+        carry = _joined(own, carry, least)
+    return pa.table({"node": pa.array([n[0] for n in nodes], pa.int64()), "left": _steps(left), "right": _steps(right[::-1])})
+
+
+def _open_intervals(chunks: DataFrame) -> DataFrame:
+    """What reaches into each chunk from its left and its right: node, left, right.
+
+    Joining open intervals is associative, so they are summed up a tree over the chunks, ``FAN`` to a node, and handed
+    down again. A task holds the intervals of one node's children; the driver holds the number of the last chunk.
+    """
+    levels = [chunks]
+    last = chunks.agg(F.max("node")).first()[0] or 0
+    parent = F.floor(F.col("node") / FAN)
+    while last >= FAN:
+        up = levels[-1].withColumn("parent", parent).groupBy("parent").applyInArrow(_merged, f"node bigint, least bigint, ahead {STAIRS}, behind {STAIRS}")
+        levels.append(stored(up, "intervals"))
+        last //= FAN
+    reach = chunks.sparkSession.createDataFrame([], f"node bigint, left {STAIRS}, right {STAIRS}")
+    for level in reversed(levels):
+        children = level.withColumn("parent", parent).groupBy("parent")
+        down = children.cogroup(reach.withColumn("parent", F.col("node")).groupBy("parent"))
+        reach = stored(down.applyInArrow(_handed_down, f"node bigint, left {STAIRS}, right {STAIRS}"), "reach")
+    return reach
 
 
 def previous_runs(array: DataFrame) -> DataFrame:
     """Runs with an earlier copy: d, t, line, length (the longest such run that begins at the line).
 
     Every chunk is scanned from both sides by one task; what reaches over its borders are a few open intervals, one
-    per depth, which the driver passes from chunk to chunk before the second scan.
+    per depth, which a tree over the chunks sums up and hands to each chunk before the second scan.
     """
     array = stored(array, "prefixes")
 
-    def steps(stack: Stairs) -> list[dict]:
-        return [{"depth": d, "d": p[0], "t": p[1], "line": p[2]} for d, p in stack]
-
     def summary(table: pa.Table) -> pa.Table:
         places, depths = _columns(table)
         _, right = _scan(places, [DEEP, *depths[1:]], [])
         _, left = _backwards(places, depths, [])
-        left = _joined([], left, depths[0])
         return pa.table({
-            "chunk": table.column("chunk").slice(0, 1),
+            "node": table.column("chunk").slice(0, 1),
             "least": pa.array([min(depths)], pa.int64()),
-            "ahead": pa.array([steps(left)], pa.list_(STEP)),
-            "behind": pa.array([steps(right)], pa.list_(STEP)),
+            "ahead": _steps([_joined([], left, depths[0])]),
+            "behind": _steps([right]),
         })
 
-    stairs = "array<struct<depth:bigint,d:bigint,t:bigint,line:bigint>>"
-    found = array.groupBy("chunk").applyInArrow(summary, f"chunk bigint, least bigint, ahead {stairs}, behind {stairs}")
-    chunks = found.toArrow().sort_by("chunk").to_pylist()
-
-    def stack(row: list[dict]) -> Stairs:
-        return [(x["depth"], (x["d"], x["t"], x["line"])) for x in row]
-
-    from_left: dict[int, Stairs] = {}
-    from_right: dict[int, Stairs] = {}
-    carry: Stairs = []
-    for row in chunks:
-        from_left[row["chunk"]] = carry
-        carry = _joined(stack(row["behind"]), carry, row["least"])
-    carry = []
-    for row in reversed(chunks):
-        from_right[row["chunk"]] = carry
-        carry = _joined(stack(row["ahead"]), carry, row["least"])
-    sent = array.sparkSession.sparkContext.broadcast((from_left, from_right))
-
-    def runs(table: pa.Table) -> pa.Table:
+    chunks = array.groupBy("chunk").applyInArrow(summary, f"node bigint, least bigint, ahead {STAIRS}, behind {STAIRS}")
+    reach = _open_intervals(stored(chunks, "summaries"))
+
+    def runs(table: pa.Table, reach: pa.Table) -> pa.Table:
         places, depths = _columns(table)
-        chunk = table.column("chunk")[0].as_py()
-        left, _ = _scan(places, depths, list(sent.value[0][chunk]))
-        right, _ = _backwards(places, depths, list(sent.value[1][chunk]))
+        left, _ = _scan(places, depths, _stacks(reach.column("left"))[0])
+        right, _ = _backwards(places, depths, _stacks(reach.column("right"))[0])
         length = np.minimum(np.maximum(left, right), DEEP - 1)
         rows = np.flatnonzero(length > 0)
         d, t, line = (np.array([places[i][c] for i in rows], np.int64) for c in range(3))
         return pa.table({"d": d, "t": t, "line": line.astype(np.int32), "length": length[rows].astype(np.int64)})
 
-    return array.groupBy("chunk").applyInArrow(runs, "d bigint, t bigint, line int, length bigint")
+    both = array.groupBy("chunk").cogroup(reach.withColumnRenamed("node", "chunk").groupBy("chunk"))
+    return both.applyInArrow(runs, "d bigint, t bigint, line int, length bigint")
 
 
 def _kept_lines(min_words: int):

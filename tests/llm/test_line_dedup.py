@@ -22,9 +22,10 @@ def brute(docs, min_words):
     return {d: ("\n".join(x for x, g in zip(own, mark) if not g), sum(mark)) for (d, _), own, mark in zip(docs, lines, gone)}
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_deleted_lines_equal_brute_force(documents, monkeypatch, seed):
+@pytest.mark.parametrize("seed,fan", [(0, 64), (1, 2)])
+def test_deleted_lines_equal_brute_force(documents, monkeypatch, seed, fan):
     monkeypatch.setattr(line_dedup, "CHUNK_SIZES", (7, 7))
+    monkeypatch.setattr(line_dedup, "FAN", fan)
     rng = random.Random(seed)
     words = ["a", "b b", "c c c", "d", "e e", "", "  "]
     blocks = [[rng.choice(words) for _ in range(rng.randint(2, 9))] for _ in range(5)]
