@@ -38,8 +38,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix draws, with how often and into which output shards."""
-    return mixing.mixed_documents(docs)
+    """The copies of documents that the mix draws, in their output shards and shuffled there."""
+    return mixing.mixed_copies(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -4,7 +4,8 @@ Documents are dealt into blocks by hash, each source's blocks are put in a rando
 whole blocks along that order until its target is met: whole passes first, then a part of a pass. How many
 blocks each output shard takes of each source is drawn by a tree: a node's exact quotas are split between its
 two halves by a multivariate-hypergeometric draw, down to single shards. A source's order is then cut by
-these quotas, so shards get disjoint runs of permuted blocks, which are shuffled inside the shard by a hash.
+these quotas, so shards get disjoint runs of permuted blocks: a block is taken as often as it lies in such runs.
+Copies are shuffled inside their shard by a hash.
 Spark functions only; what is random is a hash of ids, so reruns agree.
 """
 
@@ -169,16 +170,17 @@ def mix(
     )
     dealt = stored(dealt.drop("n_blocks"), "dealt")
 
-    permuted = Window.partitionBy("_key").orderBy(hashed(seed, "block", F.col("_key"), F.col("block")), "block")
+    order = Window.partitionBy("_key")
+    permuted = order.orderBy(hashed(seed, "block", F.col("_key"), F.col("block")), "block")
     along = permuted.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = dealt.groupBy("_key", "block").agg(F.sum("size").alias("words"))
-    blocks = lookup_join(blocks, sources.select("_key", "turn", "whole", "rest", "n_blocks"), ["_key"])
+    blocks = lookup_join(blocks, sources.select("_key", "turn", "whole", "rest"), ["_key"])
     after = F.sum("words").over(along)
     blocks = (
-        blocks.withColumns({"place": F.row_number().over(permuted) - 1, "after": after})
+        blocks.withColumns({"place": F.row_number().over(permuted) - 1, "held": F.count(F.lit(1)).over(order), "after": after})
         .withColumn("before", F.col("after") - F.col("words"))
-        .withColumn("full", F.col("after") <= F.col("rest"))
-        .withColumn("part", ~F.col("full") & (F.col("before") < F.col("rest")))
+        .withColumn("full", (F.col("whole") < max_repeats) & (F.col("after") <= F.col("rest")))
+        .withColumn("part", (F.col("whole") < max_repeats) & ~F.col("full") & (F.col("before") < F.col("rest")))
     )
     blocks = stored(blocks, "blocks")
 
@@ -193,15 +195,16 @@ def mix(
         lambda a, q: F.struct((a["sum"] + q["quota"]).alias("sum"), F.concat(a["ends"], F.array(a["sum"] + q["quota"])).alias("ends")),
     )["ends"]
     cuts = ends.select("turn", running.alias("ends"))
-    numbers = F.transform(F.sequence(F.lit(0), F.lit(max_repeats)), lambda p: p * F.col("n_blocks") + F.col("place"))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(max_repeats)), lambda p: p * F.col("held") + F.col("place"))
     shards = F.transform(numbers, lambda j: F.size(F.filter("ends", lambda e: e <= j)))
+    inside = F.filter(shards, lambda shard: shard < 1 << levels)
     blocks = lookup_join(blocks, cuts, ["turn"]).select(
-        "_key", "block", "whole", "full", "part", (F.col("rest") - F.col("before")).alias("room"), shards.alias("shards")
+        "_key", "block", "part", (F.col("rest") - F.col("before")).alias("room"), inside.alias("shards")
     )
 
     placed = dealt.join(blocks, ["_key", "block"])
     whole_blocks = placed.where(~F.col("part")).select(
-        "doc_id", "source", "_key", "size", (F.col("whole") + F.col("full").cast("bigint")).alias("copies"), "shards"
+        "doc_id", "source", "_key", "size", F.size("shards").cast("bigint").alias("copies"), "shards"
     )
     item = F.struct(hashed(seed, "doc", F.col("doc_id")).alias("h"), F.col("size"), F.col("doc_id"), F.col("source"))
     fitting = F.aggregate(
@@ -214,16 +217,16 @@ def mix(
     )["taken"]
     parts = (
         placed.where("part")
-        .groupBy("_key", "block", "whole", "room", "shards")
+        .groupBy("_key", "block", "room", "shards")
         .agg(F.sort_array(F.collect_list(item)).alias("items"))
         .withColumn("taken", fitting)
-        .select("_key", "whole", "shards", F.explode(F.arrays_zip("items", "taken")).alias("x"))
+        .select("_key", "shards", F.explode(F.arrays_zip("items", "taken")).alias("x"))
         .select(
             F.col("x.items.doc_id").alias("doc_id"),
             F.col("x.items.source").alias("source"),
             "_key",
             F.col("x.items.size").alias("size"),
-            (F.col("whole") + F.col("x.taken").cast("bigint")).alias("copies"),
+            F.greatest(F.size("shards") - F.when(F.col("x.taken"), 0).otherwise(1), F.lit(0)).cast("bigint").alias("copies"),
             "shards",
         )
     )
@@ -240,20 +243,14 @@ def mix(
     )
 
 
-def mixed_copies(plan: DataFrame, seed: str = SEED) -> DataFrame:
-    """The drawn copies of a plan, dealt to their shards and shuffled inside them: doc_id, source, copy, shard."""
-    copies = plan.select("doc_id", "source", F.posexplode("shards").alias("copy", "shard"))
-    order = F.xxhash64(F.lit(seed), "shard", "doc_id", "copy")
-    return copies.repartition("shard").sortWithinPartitions("shard", order)
-
-
 ADDED = ("size", "target", "taken", "copies", "shards")
+PART_COPIES = 100_000
 
 
-def added_names(columns: list[str]) -> dict[str, str]:
-    """Names of the columns ``mixed_documents`` adds: as they are, with ``mix_`` before them where a column has that name."""
+def added_names(columns: list[str], added: tuple[str, ...] = ADDED) -> dict[str, str]:
+    """Names of the columns that a mix adds: as they are, with ``mix_`` before them where a column has that name."""
     out = {}
-    for name in ADDED:
+    for name in added:
         free = name
         while free in columns:
             free = f"mix_{free}"
@@ -280,3 +277,29 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lookup_join(rows, drawn, keys).select(
         "_row.*", *[F.col("_plan")[name].alias(free) for name, free in added_names(docs.columns).items()]
     )
+
+
+def mixed_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    seed: str = SEED, part_copies: int = PART_COPIES,
+) -> DataFrame:
+    """The mix itself: a row per drawn copy, shuffled inside its shard, with the columns of ``mixed_documents``, copy and shard.
+
+    The order in a shard is a hash. A shard of many copies is cut at places of that order into parts of about ``part_copies``
+    rows, one to a task; a shard's parts one after another are the shuffled shard. Rows without an id are told apart by their
+    texts. Names that are taken begin with ``mix_``; no rows give no rows.
+    """
+    mixed = mixed_documents(docs, id_col, text_col, source_col)
+    names = added_names(mixed.columns, ("copy", "shard"))
+    shards = F.col("_row")[added_names(docs.columns)["shards"]]
+    hashed_row = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
+    rows = mixed.select(F.struct(*mixed.columns).alias("_row"), hashed_row.alias("_hash"))
+    copies = rows.select("_row", "_hash", F.posexplode(shards).alias("_copy", "_shard"))
+    parts = -(-MAX_REPEATS * docs.count() // (part_copies << SHARD_LEVELS)) or 1
+    place = F.shiftrightunsigned(F.xxhash64("_hash", "_copy", "_shard"), 1)
+    dealt = copies.withColumn("_place", place).withColumn("_part", F.floor(F.col("_place") / (2.0**63 / parts)))
+    return (
+        dealt.repartition("_shard", "_part")
+        .sortWithinPartitions("_shard", "_place")
+        .select("_row.*", F.col("_copy").alias(names["copy"]), F.col("_shard").alias(names["shard"]))
+    )

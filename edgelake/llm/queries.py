@@ -49,7 +49,7 @@ def op1_host_rules(spark, sf):
 
 @query(twins.MIX)
 def op10_mix_sources(spark, sf):
-    return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 @query(twins.NEAR_DUPLICATES)

@@ -56,8 +56,9 @@ f AS (SELECT turn, CAST(0 AS BIGINT) AS n, room AS room, false AS fits FROM c WH
       SELECT x.turn, x.n, CASE WHEN x.size <= f.room THEN f.room - x.size ELSE f.room END, x.size <= f.room
       FROM f JOIN x ON x.turn = f.turn AND x.part AND x.n = f.n + 1)
 SELECT x.doc_id, x.size, x.source_size, x.target,
-       CAST(x.size * (x.whole + CASE WHEN x.filled OR (x.part AND f.fits) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM x LEFT JOIN f ON f.turn = x.turn AND f.n = x.n AND x.part
+       CAST(x.size * c.copies AS BIGINT) AS taken, c.copies
+FROM x LEFT JOIN f ON f.turn = x.turn AND f.n = x.n AND x.part,
+     LATERAL (SELECT CAST(x.whole + CASE WHEN x.whole < 3 AND (x.filled OR (x.part AND f.fits)) THEN 1 ELSE 0 END AS BIGINT) AS copies) AS c
 """
 
 NEAR_DUPLICATES = r"""

@@ -58,12 +58,35 @@ def test_mix_meets_its_targets(documents):
     assert sorted(map(key, plan)) == sorted(map(key, again))
 
 
-def test_quotas_of_shards_are_what_the_shards_get(documents):
+def test_shards_take_what_the_tree_gives_them(documents):
     rows = [(i, "w", None, "abc"[i % 3]) for i in range(3000)]
-    copies = mixing.mixed_copies(mixing.mix(documents(rows))).collect()
-    per_shard = Counter(r["shard"] for r in copies)
-    assert sum(per_shard.values()) == sum(r.taken for r in mixing.mix(documents(rows)).collect())
-    assert len({(r.doc_id, r.copy) for r in copies}) == len(copies)
+    docs = documents(rows)
+    copies = mixing.mixed_copies(docs).collect()
+    plan = mixing.mix(docs).collect()
+    assert len(copies) == sum(r.copies for r in plan) and len({(r.doc_id, r.copy) for r in copies}) == len(copies)
+    assert Counter((r.doc_id, r.shard) for r in copies) == Counter((r.doc_id, s) for r in plan for s in r.shards)
+
+
+def test_nothing_is_drawn_without_quotas(documents, monkeypatch):
+    real = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: real(*a).withColumn("quota", F.lit(0).cast("bigint")))
+    docs = documents([(i, "w", None, "ab"[i % 2]) for i in range(50)])
+    assert {(r.copies, tuple(r.shards)) for r in mixing.mix(docs).collect()} == {(0, ())}
+
+
+def test_copies_are_shuffled_in_parts_of_a_shard(documents):
+    docs = documents([(i, "w", None, "a") for i in range(2000)] + [(None, "x", None, "a"), (None, "y", None, "a")])
+    whole = mixing.mixed_copies(docs).collect()
+    cut = mixing.mixed_copies(docs, part_copies=5).collect()
+    key = lambda r: (r.shard, r.doc_id is None, r.doc_id or 0, r.text, r["copy"])
+    assert sorted(map(key, whole)) == sorted(map(key, cut))
+    ids = [r.doc_id for r in whole if r.doc_id is not None]
+    assert ids != sorted(ids)
+
+
+def test_ids_that_leave_blocks_empty(documents):
+    plan = mixing.mix(documents([(None, "w", None, "a")] * 700 + [(1, "w " * 300, None, "b")])).collect()
+    assert all(0 <= s < 64 for r in plan for s in r.shards) and all(len(r.shards) == r.copies for r in plan)
 
 
 def test_mixed_documents_keep_their_columns(documents):

@@ -52,7 +52,8 @@ def test_planted_cases(spark, sf, tmp_path):
 
 def test_run_equals_its_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
-    assert rows and len({r.doc_id for r in rows}) == len(rows)
+    assert rows and len({(r.doc_id, r["copy"]) for r in rows}) == len(rows)
+    assert all(r["copy"] < r.copies and r.shards[r["copy"]] == r.shard for r in rows)
 
 
 def test_columns_of_clashing_names_keep_their_values(spark, sf):
