@@ -1766,8 +1766,7 @@ def stream_flag_expiry(spark, sf):
     for chosen in (F.col("scored_at") < _flag_time(), F.col("scored_at") >= _flag_time()):
         flags.where(chosen).write.mode("append").parquet(f"{root}/in")
         source = spark.readStream.schema("object_id bigint, scored_at timestamp").parquet(f"{root}/in")
-        changes = stateful.flag_changes(source, FLAG_TTL).writeStream.format("parquet")
-        _run(changes.option("checkpointLocation", f"{root}/checkpoint").trigger(**ONCE).start(f"{root}/out"))
+        _run(stateful.start_flag_changes(source, f"{root}/out", f"{root}/checkpoint", ONCE, FLAG_TTL))
     return spark.read.parquet(f"{root}/out")
 
 

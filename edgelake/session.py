@@ -5,11 +5,18 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -18,9 +25,7 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     # A table bucketed by object serves joins by (window, object) as it lies.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    **STATE_STORE,
 }
 
 
@@ -36,6 +41,22 @@ def build_session(app_name: str = "edgelake", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs, for streams started inside; a stream keeps the settings it was started with."""
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    try:
+        for key, value in STATE_STORE.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 _shipped: set[str] = set()
 
 

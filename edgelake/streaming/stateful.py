@@ -15,7 +15,7 @@ from edgelake.functions.traffic import growth_rate
 from edgelake.operators.features import add_hour_features
 from edgelake.schemas import SILVER, VIRAL_TTL_SECONDS, WINDOW_SECONDS
 from edgelake.sources.tables import append_silver, batch_version, read_silver, run_id
-from edgelake.session import ship_package
+from edgelake.session import keyed_state, ship_package
 from edgelake.streaming.jobs import LATENESS, TRIGGER
 
 HOT, OVER = "hot", "over"
@@ -76,7 +76,8 @@ class FlagLife(StatefulProcessor):
 def flag_changes(flags: DataFrame, ttl: int = VIRAL_TTL_SECONDS, lateness: str = "0 seconds") -> DataFrame:
     """Stream of ``(object_id, scored_at)`` to ``(object_id, at_ms, change)``, on the clock of the flags.
 
-    An end is told when the watermark, the latest flag less ``lateness``, has passed it.
+    An end is told when the watermark, the latest flag less ``lateness``, has passed it. Keyed state needs another state store than
+    Spark's default: start the stream by ``start_flag_changes``, or inside ``keyed_state``.
     """
     ship_package(flags.sparkSession)
     timed = flags.withWatermark("scored_at", lateness).select(
@@ -85,6 +86,16 @@ def flag_changes(flags: DataFrame, ttl: int = VIRAL_TTL_SECONDS, lateness: str =
     return timed.groupBy("object_id").transformWithState(FlagLife(ttl * 1000), CHANGES, "append", "eventTime")
 
 
+def start_flag_changes(
+    flags: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, ttl: int = VIRAL_TTL_SECONDS,
+    lateness: str = "0 seconds",
+) -> StreamingQuery:
+    """The changes appended to a Parquet table, whatever state store the session has."""
+    changes = flag_changes(flags, ttl, lateness).writeStream.format("parquet").outputMode("append")
+    with keyed_state(flags.sparkSession):
+        return changes.option("checkpointLocation", checkpoint).trigger(**(trigger or TRIGGER)).start(path)
+
+
 class KeyedCounts(StatefulProcessor):
     """Requests and nodes of an object's open windows, and the count of the one before them.
 

@@ -173,3 +173,23 @@ def test_batches_by_name(spark, tmp_path):
     assert publishing.read_published(spark, str(tmp_path / "topic")).count() == 4
     publishing.publish_once(messages.where("false"), str(tmp_path / "topic"), "three")
     assert publishing.read_published(spark, str(tmp_path / "topic")).count() == 4
+
+
+@pytest.fixture
+def other_state_store(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, other)
+    yield
+    assert spark.conf.get(key) == other, "the session's own setting is left as it was"
+    spark.conf.set(key, before)
+
+
+def test_flags_need_no_setting_of_the_session(spark, tmp_path, other_state_store):
+    for at, out in ((0, 1), (2000, 3)):
+        flags = spark.createDataFrame([(1 + at, datetime.fromtimestamp(T0 + at, tz=timezone.utc))], "object_id long, scored_at timestamp")
+        flags.write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(flags.schema).parquet(f"{tmp_path}/in")
+        stateful.start_flag_changes(source, f"{tmp_path}/out", f"{tmp_path}/cp", ONCE, 900).awaitTermination()
+        assert spark.read.parquet(f"{tmp_path}/out").count() == out, "hot, and after the restart over and hot"
