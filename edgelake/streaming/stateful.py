@@ -189,11 +189,12 @@ def start_keyed_silver(
     def store(batch: DataFrame, batch_id: int) -> None:
         append_silver(batch, path, batch_version(spark, path, run_id(spark), batch_id))
 
-    return (
-        keyed_features(events, initial, seconds, lateness)
-        .writeStream.outputMode("update")
-        .foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or TRIGGER))
-        .start()
-    )
+    with keyed_state(spark):
+        return (
+            keyed_features(events, initial, seconds, lateness)
+            .writeStream.outputMode("update")
+            .foreachBatch(store)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or TRIGGER))
+            .start()
+        )

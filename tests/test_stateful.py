@@ -193,3 +193,10 @@ def test_flags_need_no_setting_of_the_session(spark, tmp_path, other_state_store
         source = spark.readStream.schema(flags.schema).parquet(f"{tmp_path}/in")
         stateful.start_flag_changes(source, f"{tmp_path}/out", f"{tmp_path}/cp", ONCE, 900).awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/out").count() == out, "hot, and after the restart over and hot"
+
+
+def test_keyed_counts_need_no_setting_of_the_session(spark, tmp_path, other_state_store):
+    for half in (0, 1):
+        event = spark.createDataFrame([(datetime(2024, 1, 1, half), 1, "a", "get")], "timestamp timestamp, object_id long, node_id string, operation string")
+        silver_of(spark, event, tmp_path, half)
+    assert tables.read_silver(spark, f"{tmp_path}/silver").count() == 2
