@@ -1704,10 +1704,15 @@ def stream_two_sinks(spark, sf):
     "features_day",
 )
 def stream_scoring(spark, sf):
-    """Registry written by the scoring stream over published features, by a model whose rule is a request count."""
+    """Registry written by the scoring stream over published features, by a model whose rule is a request count.
+
+    The model learns from every row as it is and with counts on either side of the rule, so both classes occur in any table.
+    """
     root = new_table_path(spark, "scoring")
     rows = fx.features(spark, sf)
-    taught = rows.withColumn(TARGET_COL, (F.col("req_count_current") >= 2).cast("int"))
+    count = F.col("req_count_current")
+    counts = F.explode(F.array(count, F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))
+    taught = rows.withColumn("req_count_current", counts).withColumn(TARGET_COL, (count >= 2).cast("int"))
     model.publish_model(model.train_viral(taught, 20), f"{root}/models", 1.0, spark)
     events.feature_messages(rows).write.parquet(f"{root}/features")
     parsed = events.parse_feature_messages(events.read_messages(spark, "parquet", f"{root}/features"))

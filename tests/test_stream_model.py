@@ -164,3 +164,16 @@ def test_gold_needs_two_closed_windows(spark):
     assert labels.build_gold(one.limit(0)).count() == 0
     more = gold(spark, 80).select(*SILVER.fieldNames())
     assert rows(labels.build_gold(more).select("window_index").distinct()) == [(0,), (1,)]
+
+
+@pytest.mark.parametrize("times, flagged", [(2, [1, 2]), (1, [])])
+def test_scoring_with_one_class_of_counts(spark, tmp_path, times, flagged):
+    """Every object is asked for as often as any other, so the rule holds for all rows or for none."""
+    from __spark_entry__ import queries
+
+    ts = datetime(2024, 1, 3, 12)
+    made = [(t * 2 + k, ts, 7 + t, "view", 1.0, f'{{"k": {k}}}') for k in (1, 2) for t in range(times)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries()["stream_scoring"](spark, str(tmp_path))
+    assert rows(got, "object_id", "status") == [(k, "TRUE") for k in flagged]
