@@ -1232,11 +1232,9 @@ def _models(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _published:
         path = new_table_path(spark, "models")
-        rows = _stored_gold(spark, sf)
-        if model.retrain(spark, rows, path) is None:
+        trained, f1 = model.train_and_judge(_stored_gold(spark, sf))
+        if model.publish_model(trained, path, f1, spark) is None:
             # Below the gate nothing is published; what was trained is then stored under the version it would have.
-            split = model.chronological_split(model.training_rows(rows))
-            trained = model.train_viral(split.where("is_test = 0").drop("is_test"))
             trained.write().overwrite().save(f"{path}/version=1")
         _published[key] = path
     return _published[key]

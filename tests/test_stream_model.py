@@ -177,3 +177,16 @@ def test_scoring_with_one_class_of_counts(spark, tmp_path, times, flagged):
     spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/events.parquet")
     got = queries()["stream_scoring"](spark, str(tmp_path))
     assert rows(got, "object_id", "status") == [(k, "TRUE") for k in flagged]
+
+
+def test_a_model_below_the_gate_is_trained_once(spark, tmp_path, monkeypatch):
+    from edgelake.plans import queries
+
+    trained, train = [], model.train_viral
+    monkeypatch.setattr(model, "train_viral", lambda rows, rounds=0, **k: trained.append(1) or train(rows, 2, **k))
+    monkeypatch.setattr(queries, "_stored_gold", lambda session, sf: gold(session))
+    monkeypatch.setattr(model, "decide", lambda probability, threshold=0.95: F.lit(0))
+    got = queries.model_publication(spark, str(tmp_path)).first()
+    assert got["gate_held"] and got["test_rows"] > 0
+    assert queries.train_and_score(spark, str(tmp_path)).count() == got["test_rows"]
+    assert len(trained) == 1
