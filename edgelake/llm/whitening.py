@@ -127,7 +127,9 @@ def whiten(
         schema = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
         return vectors.sparkSession.createDataFrame([], schema)
     blocks = _projected(_blocks(rows, model.sums / model.n, rows.count()), model.matrix)
-    found = callMLlibFunc("getIndexedRows", blocks.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    # The Python wrapper is kept until the call is over: with it goes the object in the JVM.
+    matrix = blocks.toIndexedRowMatrix()
+    found = callMLlibFunc("getIndexedRows", matrix._java_matrix_wrapper._java_model)
     placed = found.select(F.col("index"), F.posexplode(vector_to_array("vector")).alias("i", "whitened"))
     apart = F.zip_with("x", F.lit(model.sums), lambda x, s: x * F.lit(model.n).cast("bigint") - s)
     deviation = F.aggregate(apart, F.lit(0).cast("bigint"), lambda total, y: total + y * y)

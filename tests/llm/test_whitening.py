@@ -1,4 +1,6 @@
+import gc
 import math
+import time
 
 import numpy as np
 import pytest
@@ -56,3 +58,11 @@ def test_few_components_and_none(spark):
     assert {round(r["explained"], 9) for r in line} == {1.0}
     assert wh.whiten(frame([(1, [1.0, 2.0]), (2, [1.0, 2.0])])).collect() == []
     assert wh.whiten(frame([(1, []), (2, None)])).collect() == [] and wh.whiten(frame([])).collect() == []
+
+
+def test_the_matrix_outlives_a_pause_before_its_rows_are_read(spark, monkeypatch):
+    """py4j lets go of what Python has dropped in a thread of its own; a pause gives it the time."""
+    call = wh.callMLlibFunc
+    monkeypatch.setattr(wh, "callMLlibFunc", lambda *a: (gc.collect(), time.sleep(2), call(*a))[2])
+    vectors = spark.createDataFrame([(i, [float(i % 3), float(i % 5)]) for i in range(30)], "vec_id long, embedding array<float>")
+    assert wh.whiten(vectors).count() == 60
