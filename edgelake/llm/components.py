@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelake.session import drop_tables, new_table_path
+from edgelake.session import drop_tables, short_shuffles, stored_at
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,12 +15,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     with it; every step's edges are a stored table, and the driver sees whether there are any left to move.
     """
     spark = edges.sparkSession
-    schema = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).schema
-
-    def store(df: DataFrame) -> tuple[DataFrame, str]:
-        path = new_table_path(spark, "edges")
-        df.write.parquet(path)
-        return spark.read.schema(schema).parquet(path), path
 
     def large_star(df: DataFrame) -> DataFrame:
         both = df.select("a", "b").unionAll(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -38,12 +32,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         """Whether a node has two centres, or a centre has one of its own."""
         children = df.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         centres = df.select(F.col("b").alias("a")).withColumn("centre", F.lit(1)).distinct()
-        return not children.join(centres, "a", "left").where("n > 1 OR centre = 1").isEmpty()
+        with short_shuffles(spark):
+            return not children.join(centres, "a", "left").where("n > 1 OR centre = 1").isEmpty()
 
-    current, path = store(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b"))
+    current, path = stored_at(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b"), "edges")
     more = not current.isEmpty()
     while more:
-        following, next_path = store(small_star(large_star(current)))
+        following, next_path = stored_at(small_star(large_star(current)), "edges")
         drop_tables(spark, [path])
         path, current = next_path, following
         more = moving(current)

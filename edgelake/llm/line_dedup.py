@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from edgelake.llm.words import WORD
 from edgelake.operators.scale import lookup_join
-from edgelake.session import stored
+from edgelake.session import scratch, stored
 
 MIN_WORDS = 50
 CHUNKS = 2000
@@ -371,13 +371,14 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A line goes if it lies in a run of lines, of at least ``min_words`` words together, that also begins at an earlier
     place: in a text of a smaller id, or further up in the same text.
     """
-    seqs = stored(line_sequences(docs, id_col, text_col), "sequences")
-    entries, ended = suffix_array(seqs)
-    runs = previous_runs(common_prefixes(entries, seqs)).unionByName(ended.withColumn("length", F.col("length").cast("bigint")))
-    per_text = runs.groupBy("d", "t").agg(F.collect_list(F.struct("line", "length")).alias("runs"))
-    marked = seqs.join(per_text, ["d", "t"]).select("d", "t", "words", "runs")
-    kept = marked.mapInArrow(_kept_lines(min_words), "d bigint, t bigint, keep array<boolean>")
-    return stored(kept.where(F.exists("keep", lambda x: ~x)), "copies")
+    with scratch(docs.sparkSession) as outlive:
+        seqs = stored(line_sequences(docs, id_col, text_col), "sequences")
+        entries, ended = suffix_array(seqs)
+        runs = previous_runs(common_prefixes(entries, seqs)).unionByName(ended.withColumn("length", F.col("length").cast("bigint")))
+        per_text = runs.groupBy("d", "t").agg(F.collect_list(F.struct("line", "length")).alias("runs"))
+        marked = seqs.join(per_text, ["d", "t"]).select("d", "t", "words", "runs")
+        kept = marked.mapInArrow(_kept_lines(min_words), "d bigint, t bigint, keep array<boolean>")
+        return outlive(kept.where(F.exists("keep", lambda x: ~x)), "copies")
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:

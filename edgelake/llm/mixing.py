@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from edgelake.llm.words import with_value, word_count
 from edgelake.operators.scale import lookup_join
-from edgelake.session import stored
+from edgelake.session import scratch, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -271,8 +271,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ]
 
     keys = ["_no_id", "_id", "_source"]
-    plan = mix(docs, id_col, text_col, source_col).select(*key("doc_id", "source"), F.struct("copies", "size", "target", "taken", "shards").alias("_plan"))
-    drawn = stored(plan.groupBy(*keys).agg(F.max("_plan").alias("_plan")).where("_plan.copies > 0"), "plan")
+    with scratch(docs.sparkSession) as outlive:
+        plan = mix(docs, id_col, text_col, source_col).select(*key("doc_id", "source"), F.struct("copies", "size", "target", "taken", "shards").alias("_plan"))
+        drawn = outlive(plan.groupBy(*keys).agg(F.max("_plan").alias("_plan")).where("_plan.copies > 0"), "plan")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *key(id_col, source_col))
     return lookup_join(rows, drawn, keys).select(
         "_row.*", *[F.col("_plan")[name].alias(free) for name, free in added_names(docs.columns).items()]

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from edgelake.llm.components import connected_components
 from edgelake.llm.shingles import shingle_sets
-from edgelake.llm.words import mixed, slices
+from edgelake.llm.words import SHORT_SLICE_BYTES, mixed, slices
 from edgelake.operators.scale import lookup_join, skew_join
-from edgelake.session import stored
+from edgelake.session import scratch, stored
 
 PERCENT = 75
 BANDS = 40
@@ -41,6 +41,8 @@ SMALL_BUCKET = 32
 HUBS = 64
 SHORT = 512
 CHUNK = 4096
+PART_SHINGLES = 1 << 20
+LEAST_PARTS = 16
 SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, odd array<bigint>"
 
 
@@ -61,7 +63,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factors, terms = (seeds[:k] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds[k:] >> np.uint64(32)).astype(np.uint32)
     salts = mixed(np.arange(k, dtype=np.uint64) + np.uint64(1 << 40))
     for batch in batches:
-        for low, high in slices(batch.column(1)):
+        for low, high in slices(batch.column(1), SHORT_SLICE_BYTES):
             sets = shingle_sets(batch.column(1).slice(low, high - low))
             full = [s for s in sets if len(s)]
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -99,7 +101,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, high in slices(batch.column(1)):
+        for low, high in slices(batch.column(1), SHORT_SLICE_BYTES):
             sets = shingle_sets(batch.column(1).slice(low, high - low))
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -109,6 +111,39 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _dealt_shingles(parts: int):
+    """Shingles of nodes in lists, one per slice and part; what a slice has more than once is listed twice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for low, high in slices(batch.column(1), SHORT_SLICE_BYTES):
+                sets = shingle_sets(batch.column(1).slice(low, high - low))
+                flat, node = np.concatenate(sets), np.repeat(ids[low:high], [len(s) for s in sets])
+                order = np.argsort(flat, kind="stable")
+                flat, node = flat[order], node[order]
+                few = np.ones(len(flat), bool)
+                few[2:] = flat[2:] != flat[:-2]
+                flat, node = flat[few], node[few]
+                part = (flat % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                found, first = np.unique(part[order], return_index=True)
+                offsets = pa.array(np.append(first, len(part)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (flat.view(np.int64), node)]
+                yield pa.RecordBatch.from_arrays([pa.array(found), *lists], ["part", "shingles", "nodes"])
+
+    return run
+
+
+def _private(table: pa.Table) -> pa.Table:
+    """Nodes of a part with the number of its shingles that no other node has."""
+    shingles, nodes = (pa.concat_arrays([c.flatten() for c in table.column(name).chunks]).to_numpy() for name in ("shingles", "nodes"))
+    order = np.argsort(shingles)
+    edges = np.ones(len(order) + 1, bool)
+    edges[1:-1] = np.diff(shingles[order]) != 0
+    node, count = np.unique(nodes[order[edges[:-1] & edges[1:]]], return_counts=True)
+    return pa.table({"node": pa.array(node, pa.int64()), "private": pa.array(count, pa.int64())})
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -209,22 +244,23 @@ def _not_alone(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: i
     ``private`` counts the shingles of a node that no other node of a large bucket has. What a node with n shingles
     shares with another is at most c = n - private, so their similarity is at most c / (m + private), m being the
     least set of the bucket, or c / n if that is smaller than c. This is exact, and linear in the sets of large
-    buckets; small ones are left as they are.
+    buckets; small ones are left as they are. Shingles are dealt by their value over parts of about PART_SHINGLES and travel in lists.
     """
     big = members.where(F.col("n") > SMALL_BUCKET)
     own = stored(big.select(F.col("node").alias("doc_id")).distinct(), "big")
     plain = members.select("key", "node", F.lit(0).cast("bigint").alias("private"))
     if own.isEmpty():
         return plain
-    sets = lookup_join(docs, own, ["doc_id"], "left_semi").mapInArrow(_full_sets, "node bigint, shingles array<bigint>")
-    held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("n"), F.min("node").alias("node")
+    sizes = nodes.groupBy("node").agg(F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("texts"), F.sum("n_shingles").alias("all"))
+    sizes = stored(sizes.join(own.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "sizes")
+    parts = max(LEAST_PARTS, (sizes.agg(F.sum("all")).first()[0] or 0) // PART_SHINGLES)
+    lists = lookup_join(docs, own, ["doc_id"], "left_semi").mapInArrow(
+        _dealt_shingles(parts), "part bigint, shingles array<bigint>, nodes array<bigint>"
     )
-    private = held.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("private"))
-    sizes = nodes.groupBy("node").agg(F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("texts"))
+    private = lists.groupBy("part").applyInArrow(_private, "node bigint, private bigint")
+    private = private.groupBy("node").agg(F.sum("private").alias("private"))
     known = stored(
-        sizes.join(own.withColumnRenamed("doc_id", "node"), "node", "left_semi")
-        .join(private, "node", "left")
+        sizes.join(private, "node", "left")
         .select("node", "size", F.when(F.col("texts") == 1, F.coalesce("private", F.lit(0))).otherwise(0).alias("private")),
         "private",
     )
@@ -242,8 +278,10 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     shared = bands.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("_first"), F.max("node").alias("_last")
     ).where("_first < _last")
-    found = stored(bands.join(shared.select("key", "n"), "key"), "buckets")
-    members = stored(_not_alone(found, nodes, docs, percent), "members")
+    spark = nodes.sparkSession
+    with scratch(spark) as outlive:
+        found = stored(bands.join(shared.select("key", "n"), "key"), "buckets")
+        members = outlive(_not_alone(found, nodes, docs, percent), "members")
     middle = members.groupBy("key").agg(F.min(F.struct("private", "node"))["node"].alias("hub"), F.count(F.lit(1)).alias("size"))
     placed = stored(members.join(middle, "key").select("key", "node", "hub", "size"), "placed")
     pair = (F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
@@ -251,10 +289,11 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     members = placed.where("size > 2").select("key", "node", F.col("hub").alias("r"))
     waiting = placed.where("size > 2 AND node <> hub").select("key", "node")
     from_hubs = placed.where("node <> hub").select("hub", "node").distinct()
-    apart = stored(_differences(from_hubs, nodes, docs, percent), "differences")
-    linked = apart.where("linked").select(*pair).distinct()
-    links = stored(linked, "links")
-    labels = stored(connected_components(links), "labels")
+    with scratch(spark) as outlive:
+        apart = outlive(_differences(from_hubs, nodes, docs, percent), "differences")
+    links = stored(apart.where("linked").select(*pair).distinct(), "links")
+    with scratch(spark) as outlive:
+        labels = outlive(connected_components(links), "labels")
     differ = F.struct(F.col("hub").alias("r"), "size", "lacks", "extra")
     known = stored(
         nodes.select("node", F.col("n_shingles").alias("n"), "odd", "bands")
@@ -273,50 +312,51 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     width = HUBS
     while True:
-        label = F.coalesce("component", "node")
-        own = members.join(labels, "node", "left").select("key", "node", "r", label.alias("component"))
-        counts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        tops = counts.groupBy("key").agg(
-            F.max(F.struct("n", "component"))["component"].alias("top"), F.count(F.lit(1)).alias("parts")
-        ).where("parts > 1")
-        open_ = stored(own.join(tops.select("key", "top"), "key"), "open")
-        minor = open_.where("component <> top").join(waiting, ["key", "node"], "left_semi")
-        turn = F.xxhash64(F.lit(width), "key", "node")
-        hubs = minor.groupBy("key", F.pmod(turn, F.lit(width)).alias("_slot")).agg(
-            F.min(F.struct(turn.alias("t"), "node", "component", "r")).alias("h")
-        )
-        hubs = stored(hubs.select("key", "h.node", "h.component", "h.r"), "hubs")
-        if hubs.isEmpty():
-            return labels
-        left = placed_again(open_.select("key", "r", "node", "component"))
-        right = placed_again(hubs).withColumnsRenamed(
-            {"node": "hub", "component": "hub_component", "n": "h_n", "odd": "h_odd", "bands": "h_bands"}
-        )
-        equal = F.zip_with("bands", "h_bands", lambda x, y: x == y)
-        first = F.element_at("bands", F.array_position(equal, True).cast("int"))
-        ask = (
-            (F.col("component") != F.col("hub_component"))
-            & (first == F.col("l.key"))
-            & _promising(F.col("n"), F.col("h_n"), F.col("odd"), F.col("h_odd"), percent)
-        )
-        by_differences = _by_differences("l", "r", percent)
-        ask = ask & F.coalesce(by_differences, F.lit(True))
-        met = stored(
-            left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & ask)
-            .select(*pair, by_differences.isNotNull().alias("linked")).distinct(),
-            "met",
-        )
-        pairs = stored(met.where("NOT linked").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(
-            _confirmed(pairs, nodes, docs, percent).unionAll(met.where("linked").select("a", "b")).distinct(), "found"
-        )
-        if not found.isEmpty():
-            links = stored(links.unionAll(found), "links")
-            labels = stored(connected_components(links), "labels")
-        tested = tested.unionAll(pairs)
-        used = hubs.select("key", "node")
-        waiting = stored(waiting.join(used, ["key", "node"], "left_anti"), "waiting")
-        width *= HUBS
+        with scratch(spark) as outlive:
+            label = F.coalesce("component", "node")
+            own = members.join(labels, "node", "left").select("key", "node", "r", label.alias("component"))
+            counts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+            tops = counts.groupBy("key").agg(
+                F.max(F.struct("n", "component"))["component"].alias("top"), F.count(F.lit(1)).alias("parts")
+            ).where("parts > 1")
+            open_ = stored(own.join(tops.select("key", "top"), "key"), "open")
+            minor = open_.where("component <> top").join(waiting, ["key", "node"], "left_semi")
+            turn = F.xxhash64(F.lit(width), "key", "node")
+            hubs = minor.groupBy("key", F.pmod(turn, F.lit(width)).alias("_slot")).agg(
+                F.min(F.struct(turn.alias("t"), "node", "component", "r")).alias("h")
+            )
+            hubs = stored(hubs.select("key", "h.node", "h.component", "h.r"), "hubs")
+            if hubs.isEmpty():
+                return labels
+            left = placed_again(open_.select("key", "r", "node", "component"))
+            right = placed_again(hubs).withColumnsRenamed(
+                {"node": "hub", "component": "hub_component", "n": "h_n", "odd": "h_odd", "bands": "h_bands"}
+            )
+            equal = F.zip_with("bands", "h_bands", lambda x, y: x == y)
+            first = F.element_at("bands", F.array_position(equal, True).cast("int"))
+            ask = (
+                (F.col("component") != F.col("hub_component"))
+                & (first == F.col("l.key"))
+                & _promising(F.col("n"), F.col("h_n"), F.col("odd"), F.col("h_odd"), percent)
+            )
+            by_differences = _by_differences("l", "r", percent)
+            ask = ask & F.coalesce(by_differences, F.lit(True))
+            met = stored(
+                left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & ask)
+                .select(*pair, by_differences.isNotNull().alias("linked")).distinct(),
+                "met",
+            )
+            pairs = outlive(met.where("NOT linked").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+            found = stored(
+                _confirmed(pairs, nodes, docs, percent).unionAll(met.where("linked").select("a", "b")).distinct(), "found"
+            )
+            if not found.isEmpty():
+                links = outlive(links.unionAll(found), "links")
+                labels = outlive(connected_components(links), "labels")
+            tested = tested.unionAll(pairs)
+            used = hubs.select("key", "node")
+            waiting = outlive(waiting.join(used, ["key", "node"], "left_anti"), "waiting")
+            width *= HUBS
 
 
 def near_duplicates(
@@ -330,25 +370,27 @@ def near_duplicates(
     give no rows; other columns are not read.
     """
     texts = _texts(docs, id_col, text_col)
-    rows = stored(sketches(docs, id_col, text_col), "sketches")
-    named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["n_shingles", "set_a", "set_b"]
-    nodes = stored(
-        named.groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("odd").alias("odd")),
-        "nodes",
-    )
-    again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = named.join(again, "doc_id", "left_semi").join(nodes.select(*key, "node"), key)
-    edges = same.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    labels = _linked(nodes, texts, percent)
-    edges = stored(edges, "edges")
-    if not edges.isEmpty():
-        linked = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = stored(connected_components(linked.unionAll(edges)), "labels")
-    classes = nodes.select(*key, "node").join(labels, "node", "left").select(
-        *key, F.coalesce("component", "node").alias("component_id")
-    )
-    placed = skew_join(rows.select("doc_id", *key), stored(classes.distinct(), "classes"), key, "left")
+    with scratch(docs.sparkSession) as outlive:
+        full = stored(sketches(docs, id_col, text_col), "sketches")
+        rows = outlive(full.select("doc_id", *key), "sets")
+        named = full.where("doc_id IS NOT NULL AND n_shingles > 0")
+        nodes = stored(
+            named.groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("odd").alias("odd")),
+            "nodes",
+        )
+        again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        same = named.join(again, "doc_id", "left_semi").join(nodes.select(*key, "node"), key)
+        edges = stored(same.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "edges")
+        labels = _linked(nodes, texts, percent)
+        if not edges.isEmpty():
+            linked = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = connected_components(linked.unionAll(edges))
+        classes = nodes.select(*key, "node").join(labels, "node", "left").select(
+            *key, F.coalesce("component", "node").alias("component_id")
+        )
+        classes = outlive(classes.distinct(), "classes")
+    placed = skew_join(rows, classes, key, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return placed.select(
         "doc_id",
@@ -363,7 +405,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
     Of rows of one id one stays. Rows without an id and texts without words are in no group and stay.
     """
-    groups = stored(near_duplicates(docs, id_col, text_col, percent), "groups")
+    with scratch(docs.sparkSession) as outlive:
+        groups = outlive(near_duplicates(docs, id_col, text_col, percent), "groups")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("bigint").alias("_id"))
     dropped = stored(groups.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
     left = lookup_join(rows, dropped, ["_id"], "left_anti").select("_row", "_id")

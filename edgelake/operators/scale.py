@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from edgelake.session import stored
+from edgelake.session import short_shuffles, stored
 
 BROADCAST_ROWS = 200_000
 LINES_PER_BUCKET = 1 << 20
@@ -43,12 +43,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str], parts: int) -> list[tuple]:
     One job finds the largest key, and only when that is hot another lists the hot ones.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    if not total or largest * parts <= total:
-        return []
-    share = F.col("_rows") * parts / total
-    salts = F.ceil(share * SALTS_PER_PART).cast("int")
-    return [tuple(r) for r in counts.where(share > 1).select(*keys, salts).collect()]
+    with short_shuffles(df.sparkSession):
+        total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+        if not total or largest * parts <= total:
+            return []
+        share = F.col("_rows") * parts / total
+        salts = F.ceil(share * SALTS_PER_PART).cast("int")
+        return [tuple(r) for r in counts.where(share > 1).select(*keys, salts).collect()]
 
 
 def skew_join(

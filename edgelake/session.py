@@ -5,8 +5,9 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ STATE_STORE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+SHORT_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -42,11 +44,11 @@ def build_session(app_name: str = "edgelake", master: str | None = None, **conf:
 
 
 @contextmanager
-def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """The state store that keyed state needs, for streams started inside; a stream keeps the settings it was started with."""
-    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session inside the block; what it had comes back at its end."""
+    before = {key: spark.conf.get(key, None) for key in values}
     try:
-        for key, value in STATE_STORE.items():
+        for key, value in values.items():
             spark.conf.set(key, value)
         yield
     finally:
@@ -57,6 +59,16 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
+def keyed_state(spark: SparkSession) -> AbstractContextManager[None]:
+    """The state store that keyed state needs, for streams started inside; a stream keeps the settings it was started with."""
+    return _settings(spark, STATE_STORE)
+
+
+def short_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Shuffle files of the queries run inside go with their query, not when the driver's garbage collector finds them unused."""
+    return _settings(spark, SHORT_SHUFFLES)
+
+
 _shipped: set[str] = set()
 
 
@@ -93,11 +105,47 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table written once: no lineage behind it, and a size the planner knows."""
-    path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The frame as a table written once: no lineage behind it, and a size the planner knows. Its shuffle files go at once."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame as ``stored`` gives it, and the path of the table."""
+    spark = df.sparkSession
+    path = new_table_path(spark, name)
+    tables = _scratch.get()
+    if tables is not None:
+        tables.append(path)
+    with short_shuffles(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that the block's thread stores are deleted at its end; what it yields is ``stored`` for tables that outlive it.
+
+    These belong to the block around it, if there is one. No other frame of the block is to be read after it.
+    """
+    outer, tables = _scratch.get(), []
+
+    def outlive(df: DataFrame, name: str) -> DataFrame:
+        _scratch.set(outer)
+        try:
+            return stored(df, name)
+        finally:
+            _scratch.set(tables)
+
+    _scratch.set(tables)
+    try:
+        yield outlive
+    finally:
+        _scratch.set(outer)
+        drop_tables(spark, tables)
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:

@@ -136,3 +136,36 @@ def test_a_large_group_of_near_copies_equals_brute_force(spark, documents, short
     want = {i: top(i) for i in range(len(texts))}
     assert len(set(want.values())) > 10 and max(list(want.values()).count(c) for c in set(want.values())) > 50
     assert got == want
+
+
+def test_intermediate_tables_and_shuffles_go(spark, documents):
+    """What a search stored on its way is gone when its rows are read, and so are its shuffle files."""
+    import os
+    from pathlib import Path
+
+    from edgelake.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    docs = documents([(i, " ".join(changed(rng, base, rng.randint(0, 6)))) for i in range(120)])
+    tables, shuffles = set(os.listdir(folder)), set(local.rglob("shuffle_*.data"))
+    kept = near_dup.keep_one(docs)
+    assert len(set(os.listdir(folder)) - tables) <= 3
+    assert len(set(local.rglob("shuffle_*.data")) - shuffles) <= 8
+    found = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id for r in kept.collect()} == set(found.values())
+
+
+def test_private_shingles_are_counted_from_lists(documents, monkeypatch):
+    """Members of a large bucket that share one passage only are told by their private shingles, over several parts and slices."""
+    monkeypatch.setattr(near_dup, "PART_SHINGLES", 50)
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = documents([(i, passage + " " + " ".join(f"d{i // 2}w{j}" for j in range(30 + i % 2))) for i in range(80)] + [(500, passage)])
+    nodes = near_dup.sketches(docs).withColumnRenamed("doc_id", "node")
+    members = nodes.selectExpr("1L AS key", "node", "81L AS n")
+    asked = near_dup._not_alone(members, nodes, near_dup._texts(docs, "doc_id", "text"), 10)
+    got = {r.node: r.private for r in asked.collect()}
+    want = {i: i % 2 for i in range(80)} | {500: 0}
+    assert got == want
