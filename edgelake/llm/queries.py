@@ -130,8 +130,7 @@ def op12_whiten(spark, sf):
 def op13_sentence_pieces(spark, sf):
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    found = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf, "documents"), model), model)
-    return found.select(
+    return sentence_pieces.encode(table(spark, sf, "documents"), model, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),

@@ -5,7 +5,8 @@ the next (a marked word is a run of markers and what follows it up to the next m
 marked words in a row. So every distinct marked word is segmented once: texts are cut in blocks of bounded size; a block
 lists its distinct words, dealt to buckets by a hash, and its texts keep the places of their words in that list. Each bucket
 has all blocks' lists of its words and segments a word when it first meets it; the ids come back to the blocks list by list,
-and to the texts by place. Lists travel as compressed bytes, a row per block and bucket.
+and to the texts by place. Lists travel as compressed bytes, a row per block and bucket. Texts of ids can be had with the ids,
+from the task that joins them: a decoding step behind it would keep a second Python worker for every core at the same time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,19 +93,27 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[str | None]]]:
-    """Blocks of texts with their numbers, which hang on the partition and the order of its rows alone."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, Iterator[str | None]]]:
+    """Blocks of texts with their numbers, which hang on the partition and the order of its rows alone.
+
+    A block's texts are made strings one by one, as they are asked for.
+    """
     number = TaskContext.get().partitionId() << 36
     for batch in batches:
         for low, high in slices(batch.column(1), BLOCK_BYTES):
-            yield number, batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low).to_pylist()
+            texts = batch.column(1).slice(low, high - low)
+            yield number, batch.column(0).slice(low, high - low), (text.as_py() for text in texts)
             number += 1
 
 
 def _dealt(words: list[str], n_buckets: int) -> tuple[np.ndarray, int]:
     """The bucket of each word, and a checksum of all of them."""
-    data = [w.encode() for w in words]
-    return np.fromiter((zlib.crc32(w) % n_buckets for w in data), np.int64, len(data)), zlib.crc32(b"".join(data))
+    buckets, cut = np.empty(len(words), np.int32), 0
+    for i, word in enumerate(words):
+        data = word.encode()
+        buckets[i] = zlib.crc32(data) % n_buckets
+        cut = zlib.crc32(data, cut)
+    return buckets, cut
 
 
 def _texts(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -164,8 +174,13 @@ def _segmented(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], ["of_block", "cut", "bucket", "ids"])
 
 
-def _joined(texts: pa.Table, known: pa.Table, end: list[int]) -> pa.Table:
-    """Ids of a block's texts: its lists by bucket hold its words' ids in the order of their buckets and places."""
+def _joined(
+    texts: pa.Table, known: pa.Table, end: list[int], decoder: Decoder | None = None, decoded: str | None = None
+) -> pa.Table:
+    """Ids of a block's texts: its lists by bucket hold its words' ids in the order of their buckets and places.
+
+    With a decoder, also the texts of the ids, as ``decoded``.
+    """
     if texts.num_rows != 1 or any(c != texts.column("cut")[0] for c in known.column("cut")):
         raise RuntimeError("the rows came in another order when they were read again; call encode with store=True")
     row = texts.to_pylist()[0]
@@ -191,14 +206,19 @@ def _joined(texts: pa.Table, known: pa.Table, end: list[int]) -> pa.Table:
         k = size[own]
         inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
         out.append(np.concatenate([ids[np.repeat(begin[own], k) + inside], ids[len(ids) - len(end) :]]))
-    return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": _lists(out, pa.int32())})
+    lists = _lists(out, pa.int32())
+    columns = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": lists}
+    return pa.table(columns if decoder is None else {**columns, decoded: decoder.of_lists(lists)})
 
 
 def encode(
-    docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True, store: bool = False
+    docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True, store: bool = False,
+    decoded: str | None = None,
 ) -> DataFrame:
     """Ids of every row's whole text, with the model's end id behind them: doc_id, ids.
 
+    ``decoded`` names a further column with the text of the ids, what ``decode`` gives. The task that joins ids decodes them.
+
     ``docs`` is read twice, once for the words and once for their places, and is to be a table: partitions and the order of their
     rows must be the same both times. A checksum per block tells if they are not, and the job then fails. ``store`` writes
     the texts first, for frames that may be computed differently.
@@ -209,8 +229,11 @@ def encode(
     distinct words of one bucket; there are BUCKETS_PER_PARTITION buckets per shuffle partition. With a model whose
     pieces cross markers, or one that changes texts, there is nothing to share: every text is segmented as a whole.
     """
+    if decoded in ("doc_id", "ids"):
+        raise ValueError(f"{decoded!r} is a column of its own")
     library = load(model)
     end = [library.eos_id()] if add_end else []
+    schema = "doc_id bigint, ids array<int>" + (f", `{decoded}` string" if decoded else "")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +241,12 @@ def encode(
         for batch in batches:
             for low, high in slices(batch.column(1)):
                 part = batch.column(1).slice(low, high - low).fill_null("").to_pylist()
-                ids = [np.array([*x, *end], np.int32) for x in own.encode(part, num_threads=1)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), _lists(ids, pa.int32())], ["doc_id", "ids"]
-                )
+                ids = _lists([np.array([*x, *end], np.int32) for x in own.encode(part, num_threads=1)], pa.int32())
+                columns = {"doc_id": batch.column(0).slice(low, high - low), "ids": ids}
+                yield pa.RecordBatch.from_pydict(columns | ({decoded: _decoder(model).of_lists(ids)} if decoded else {}))
 
     if not words_apart(library):
-        return texts.mapInArrow(whole, "doc_id bigint, ids array<int>")
+        return texts.mapInArrow(whole, schema)
 
     n_buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if store:
@@ -235,7 +257,7 @@ def encode(
     )
     blocks = texts.mapInArrow(lambda batches: _texts(batches, n_buckets), TEXTS)
     return blocks.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(
-        lambda left, right: _joined(left, right, end), "doc_id bigint, ids array<int>"
+        lambda left, right: _joined(left, right, end, _decoder(model) if decoded else None, decoded), schema
     )
 
 
@@ -284,6 +306,25 @@ class Decoder:
             out.append(self.library.decode(ids[low:high].tolist()))
         return out
 
+    def of_lists(self, lists: pa.Array) -> pa.Array:
+        """The text of each list of ids, about DECODED_IDS ids at once; a null list is an empty one."""
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets, flat = np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().fill_null(-1).to_numpy()
+        texts, low = [], 0
+        while low < len(sizes):
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + DECODED_IDS, side="right")) - 1)
+            texts.append(
+                pa.array(self.texts(flat[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]), pa.string())
+            )
+            low = high
+        return pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+
+
+@lru_cache(maxsize=1)
+def _decoder(model: bytes) -> Decoder:
+    """One decoder for all blocks of a worker."""
+    return Decoder(model)
+
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of their ids in ``out``; a null list is an empty one, and other columns stay as they are.
@@ -295,16 +336,8 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str = "deco
     place = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model)
         for batch in batches:
-            lists = batch.column(place)
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            offsets, flat = np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().fill_null(-1).to_numpy()
-            texts, low = [], 0
-            while low < len(sizes):
-                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + DECODED_IDS, side="right")) - 1)
-                texts += decoder.texts(flat[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                low = high
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            texts = _decoder(model).of_lists(batch.column(place))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, out])
 
     return rows.mapInArrow(run, rows.select("*", F.lit("").alias(out)).schema)

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from edgelake.llm import sentence_pieces as sp
@@ -84,3 +86,39 @@ def test_any_ids_are_decoded_as_by_the_library(spark, model, monkeypatch):
     rows = spark.createDataFrame([(i, ids) for i, ids in enumerate(lists)], "n long, ids array<int>")
     got = {r["n"]: r["decoded"] for r in sp.decode(rows, model).collect()}
     assert [got[i] for i in range(len(lists))] == [library.decode(ids) for ids in lists]
+
+
+def test_texts_come_with_the_ids_from_one_worker_per_task(spark, documents, model, tmp_path, monkeypatch):
+    from edgelake.llm.queries import QUERIES
+
+    rng, library = random.Random(9), sp.load(model)
+    rows = [(i, t) for i, t in enumerate([None, "", " ", "a▁ b", *(random_text(rng, 30) for _ in range(60))])]
+    want = {i: library.encode(t or "", add_eos=True) for i, t in rows}
+    for apart in (sp.words_apart, lambda library: False):
+        monkeypatch.setattr(sp, "words_apart", apart)
+        got = sp.encode(documents(rows), model, decoded="a text").collect()
+        assert {r["doc_id"]: r["ids"] for r in got} == want
+        assert all(r["a text"] == library.decode(r["ids"]) for r in got)
+    monkeypatch.undo()
+    assert sp.encode(documents([]), model, decoded="x").collect() == []
+    with pytest.raises(ValueError, match="ids"):
+        sp.encode(documents(rows), model, decoded="ids")
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["op13_sentence_pieces"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
+
+
+def test_a_blocks_texts_are_not_all_strings_at_once(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(sp, "TaskContext", Task)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(3000)), "text": pa.array(["é漢 " + "some words " * 180] * 3000)})
+    assert sum(1 for _ in sp.slices(batch.column(1), sp.BLOCK_BYTES)) == 1
+    tracemalloc.start()
+    try:
+        assert len(list(sp._lists_of_words(iter([batch]), 8))) == 1
+        assert tracemalloc.get_traced_memory()[1] < batch.nbytes / 3
+    finally:
+        tracemalloc.stop()
